@@ -5,7 +5,7 @@ each of them; the language of the smallest sum wins, and the prediction is rejec
 the second is narrow. Case is folded on both sides.
 
 Null texts and texts without a letter are `und`, with score 0, and rejected. Ties of sizes go to the
-language that comes first by name. With no usable training row every text is `und`. Repeated rows are
+language with more training rows, then to the first by name. With no usable training row every text is `und`. Repeated rows are
 judged alike; columns with other names are ignored.
 """
 
@@ -25,9 +25,9 @@ from .session import ready, table
 SAMPLE_ROWS, SAMPLE_CHARS = 400, 500
 DICTIONARY_BYTES = 112 << 10
 BLOCK = 8 << 10
-LEVEL = 3
+LEVEL = 6
 #: The least difference to the second size, as a share of it, and 1 - 1/e of the way to score 1.
-NARROW, SOFT = 0.004, 0.02
+NARROW, SOFT = 0.0015, 0.02
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -36,13 +36,14 @@ def held_out(id_col: str = "doc_id"):
 
 
 def learn(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> dict[str, bytes]:
-    """Raw-content dictionaries by language, from a sample of rows with a non-null language and a letter in
+    """Raw-content dictionaries by language, the language with most rows first, from a sample of rows with a non-null language and a letter in
     their text. The sample is bounded by SAMPLE_ROWS and SAMPLE_CHARS a language, whatever the input."""
     usable = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.col(text_col).substr(1, SAMPLE_CHARS).alias("text"), F.xxhash64(text_col).alias("h"), F.col(id_col).cast("string").alias("id"))
     order = Window.partitionBy("lang").orderBy("h", "id", "text")
     sample = usable.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE_ROWS).select("lang", "n", "text")
+    rows = {r.lang: r.rows for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).collect()}
     out: dict[str, list[bytes]] = {}
-    for row in sorted(sample.collect(), key=lambda r: (r.lang, -r.n)):
+    for row in sorted(sample.collect(), key=lambda r: (-rows[r.lang], r.lang, -r.n)):
         out.setdefault(row.lang, []).append(row.text.lower().encode())
     return {k: b"\n".join(v)[-DICTIONARY_BYTES:] for k, v in out.items()}
 
@@ -51,7 +52,7 @@ class Classifier:
     """sizes() of one text under each dictionary."""
 
     def __init__(self, dictionaries: dict[str, bytes]):
-        self.names = sorted(dictionaries)
+        self.names = list(dictionaries)  # in order of preference
         self.compressors = []
         for name in self.names:
             d = zstandard.ZstdCompressionDict(dictionaries[name].ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
