@@ -5,11 +5,11 @@ its signature with the smallest hash of each bin; an empty bin copies a bin that
 probes finds, the same sequence for all documents. Bands of bins are bucket keys. Equal sets are one class
 with the smallest id as its representative, and only representatives go into buckets.
 
-In a bucket each member gets one candidate edge, to the bucket's centre, and of its edges a member keeps
-the one to the first centre, so that a group of any size gives a star. Edges are confirmed on the full
-sets. As a star can miss links between its outer members, what is still in different components is then
-joined again inside the buckets: once as stars with other centres, then pair by pair, where the bands that
-two members share must be as many as any linked pair has but for a chance of about 1e-6.
+In a bucket each member gets one candidate edge, to the bucket's centre (the member that shares most
+buckets with others), and of its edges a member keeps the one to the best centre, so that a group of any
+size gives a star. Edges are confirmed on the full sets. As a star can miss links between its outer
+members, what shares a bucket and is still in different components is tried again, once with other centres
+and then by an exact prefix filter on the full sets, which needs no cap on the size of a bucket.
 
 Null and empty texts have empty sets and are linked with nothing. Rows without an id are linked with
 nothing and stay. Repeated rows (same id, same text) give equal rows. Columns with other names are ignored.
@@ -17,8 +17,6 @@ nothing and stay. Repeated rows (same id, same text) give equal rows. Columns wi
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -33,19 +31,19 @@ BINS = 256
 WORDS = 5
 #: The chance that a pair at the threshold shares no bucket.
 MISS = 1e-8
+#: Rounds of stars, and the last round.
+TURNS = 3
+#: Counters of the sketch that orders shingles in the last round.
+SLOT_BITS = 20
+SLOTS = 1 << SLOT_BITS
 _SET_SEED = np.uint64(0x5851F42D4C957F2D)
 
 
-def bands(percent: int, bins: int = BINS, miss: float = MISS) -> tuple[int, int, int]:
-    """Number of bands, bins in each, and the bands that a linked pair shares at least (but for a chance of 1e-6)."""
+def bands(percent: int, bins: int = BINS, miss: float = MISS) -> tuple[int, int]:
+    """Number of bands and bins in each, so that a pair at the threshold misses all buckets with a chance of `miss` at most."""
     s = percent / 100
     rows = max((r for r in range(1, 13) if (1 - s**r) ** (bins // r) <= miss), default=1)
-    n, p = bins // rows, s**rows
-    least, tail = 0, (1 - p) ** n
-    while tail <= 1e-6:
-        least += 1
-        tail += math.comb(n, least) * p**least * (1 - p) ** (n - least)
-    return n, rows, max(1, least)
+    return bins // rows, rows
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -164,49 +162,111 @@ def _confirmed(edges: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "zb", "za").mapInArrow(run, "a long, b long")
 
 
+def _unpacked_sets(batches):
+    """Slices of batches whose last column holds compressed texts, each with its shingle hashes and their rows."""
+    d = zstandard.ZstdDecompressor()
+    for batch in batches:
+        _, off = tx.utf8(batch.column(batch.num_columns - 1))
+        for lo, hi in tx.chunks(off, tx.CHUNK // 2):
+            part = batch.slice(lo, hi - lo)
+            data, at = tx.utf8(pa.array([d.decompress(z) if z else b"" for z in part.column(batch.num_columns - 1).to_pylist()], pa.large_binary()))
+            yield part, *shingle_sets(data, at)
+
+
+def _prefix_pairs(texts: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of members (rep, comp) of different components that can be similar enough.
+
+    In any order of shingles, two sets of similarity s share one of the first n - ceil(s * n) + 1 shingles
+    of each. The order puts rare shingles first, by a count sketch of fixed size, so that what a group of
+    copies has in common is hardly ever met; a bad count costs time but loses no pair. Shingles that one
+    member alone has bound what it can share with any other."""
+    rows = written(texts.join(members.withColumnRenamed("rep", "id"), "id").select("id", "comp", "z"), "minhash-left")
+
+    def listed(batches):
+        for part, h, doc in _unpacked_sets(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(tx.signed(h)), part.column(0).take(pa.array(doc))], ["token", "rep"])
+
+    alone = rows.select("id", "z").mapInArrow(listed, "token long, rep long").groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("id")).where("m = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+    rows = written(rows.join(alone, "id", "left").select("id", "comp", F.coalesce("own", F.lit(0)).alias("own"), "z"), "minhash-own")
+
+    def counted(batches):
+        total = np.zeros(SLOTS, np.int64)
+        for _, h, _ in _unpacked_sets(batches):
+            total += np.bincount((h >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=SLOTS)
+        used = np.flatnonzero(total)
+        for a in range(0, len(used), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(used[a : a + (1 << 16)]), pa.array(total[used[a : a + (1 << 16)]])], ["slot", "n"])
+
+    got = rows.mapInArrow(counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    sketch = np.zeros(SLOTS, np.int64)
+    sketch[got["slot"].to_numpy()] = got["n"].to_numpy()
+    shared = rows.sparkSession.sparkContext.broadcast(np.minimum(sketch, 0xFFFFFFFF).astype(np.uint32))
+
+    def prefixes(batches):
+        for part, h, doc in _unpacked_sets(batches):
+            order = np.lexsort((h, shared.value[(h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)], doc))
+            h, doc = h[order], doc[order]
+            first = np.searchsorted(doc, np.arange(part.num_rows))
+            n = np.bincount(doc, minlength=part.num_rows)
+            take = np.arange(len(h)) - first[doc] < (n + (-percent * n) // 100 + 1)[doc]
+            at = pa.array(doc[take])
+            yield pa.RecordBatch.from_arrays([pa.array(tx.signed(h[take])), part.column(0).take(at), part.column(1).take(at), part.column(2).take(at), pa.array(n[doc[take]].astype(np.int32)), pa.array((np.arange(len(h)) - first[doc])[take].astype(np.int32))], ["token", "rep", "comp", "own", "n", "at"])
+
+    tokens = written(rows.mapInArrow(prefixes, "token long, rep long, comp long, own long, n int, at int").where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")), "minhash-prefixes")
+    mixed = tokens.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
+    tokens = tokens.join(mixed, "token", "left_semi")
+    other = tokens.select("token", F.col("rep").alias("b"), F.col("comp").alias("kb"), F.col("n").alias("nb"), F.col("own").alias("ob"), F.col("at").alias("pb"))
+    # what two sets share at most, if this is the first shingle that they share
+    most = F.least(F.col("n") - F.col("own"), F.col("nb") - F.col("ob"), F.col("n") - F.col("at"), F.col("nb") - F.col("pb"))
+    close = 100 * most >= percent * (F.col("n") + F.col("nb") - most)
+    return tokens.join(other, "token").where((F.col("rep") < F.col("b")) & (F.col("comp") != F.col("kb")) & close).select(F.col("rep").alias("a"), "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: its id, n_shingles, component_id (smallest id reachable over links of
     similarity >= percent / 100, itself included) and kept (the id is the component's)."""
     spark = ready(docs.sparkSession)
-    n_bands, rows, least = bands(percent)
+    n_bands, rows = bands(percent)
     docs = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     described = written(_described(docs, n_bands, rows), "minhash-sets")
     sets = described.where("n > 0 AND id IS NOT NULL")
     classes = written(sets.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.min_by("keys", "id").alias("keys")), "minhash-classes")
 
     members = classes.select(F.explode("keys").alias("key"), "rep", "n")
-    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
+    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     buckets = written(members.join(shared, "key"), "minhash-buckets")
+    # a member that shares buckets with many is a good centre: near copies differ least from it
+    weight = written(buckets.groupBy("rep").agg(F.sum("m").alias("weight")), "minhash-weights")
+    buckets = buckets.drop("m").join(weight, "rep")
     near = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     texts = written(_packed_texts(docs.where("id IS NOT NULL")).join(buckets.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]), "minhash-texts")
 
-    links = tried = labels = None
-    for turn in (1, 2, 3):
+    tried = labels = links = None
+    for turn in range(1, TURNS + 1):
         rows_now = buckets if labels is None else buckets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
         if labels is None:
             rows_now = rows_now.withColumn("comp", F.col("rep"))
         mixed = rows_now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key") if labels is not None else None
         if mixed is not None:
             rows_now = written(rows_now.join(mixed, "key", "left_semi"), "minhash-mixed")
-        if turn < 3:
+        if turn < TURNS:
             # centres: the first member by a hash, and the first of those in other components than its own
-            order = F.xxhash64("rep", F.lit(turn))
-            first = rows_now.groupBy("key").agg(F.min_by("rep", order).alias("c1"), F.min_by("comp", order).alias("k1"), F.min_by("n", order).alias("n1"))
+            share = F.lit(1.0) if turn == 1 else 0.25 + F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(1 << 20)) / (1 << 20)
+            order = -F.round(F.col("weight") * share * 1024).cast("long") * 1024 + F.pmod(F.xxhash64("rep"), F.lit(1024))
+            first = rows_now.groupBy("key").agg(F.min_by("rep", order).alias("c1"), F.min_by("comp", order).alias("k1"), F.min_by("n", order).alias("n1"), F.min(order).alias("o1"))
             met = rows_now.join(first, "key")
             if turn == 1:
-                pairs = met.where(F.col("rep") != F.col("c1")).where(near(F.col("n"), F.col("n1"))).select("rep", F.col("c1").alias("centre"))
+                pairs = met.where(F.col("rep") != F.col("c1")).where(near(F.col("n"), F.col("n1"))).select("rep", F.col("c1").alias("centre"), F.col("o1").alias("o"))
             else:
-                second = met.where(F.col("comp") != F.col("k1")).groupBy("key").agg(F.min_by("rep", order).alias("c2"), F.min_by("n", order).alias("n2"))
+                second = met.where(F.col("comp") != F.col("k1")).groupBy("key").agg(F.min_by("rep", order).alias("c2"), F.min_by("n", order).alias("n2"), F.min(order).alias("o2"))
                 met = met.join(second, "key")
                 own = F.col("comp") == F.col("k1")
-                pairs = met.select("rep", "n", F.when(own, F.col("c2")).otherwise(F.col("c1")).alias("centre"), F.when(own, F.col("n2")).otherwise(F.col("n1")).alias("nc"))
+                pairs = met.select("rep", "n", F.when(own, F.col("c2")).otherwise(F.col("c1")).alias("centre"), F.when(own, F.col("n2")).otherwise(F.col("n1")).alias("nc"), F.when(own, F.col("o2")).otherwise(F.col("o1")).alias("o"))
                 pairs = pairs.where(near(F.col("n"), F.col("nc")))
-            best = pairs.groupBy("rep").agg(F.min_by("centre", F.xxhash64("centre", F.lit(turn))).alias("centre"))
+            best = pairs.groupBy("rep").agg(F.min_by("centre", "o").alias("centre"))
             edges = best.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
         else:
-            other = rows_now.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("kb"))
-            pairs = rows_now.join(other, "key").where((F.col("rep") < F.col("b")) & (F.col("comp") != F.col("kb")) & near(F.col("n"), F.col("nb")))
-            edges = pairs.groupBy(F.col("rep").alias("a"), "b").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= least).select("a", "b")
+            edges = _prefix_pairs(texts, rows_now.select("rep", "comp").distinct(), percent)
         if tried is not None:
             edges = edges.join(tried, ["a", "b"], "left_anti")
         edges = written(edges, "minhash-edges")
