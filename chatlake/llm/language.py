@@ -95,6 +95,20 @@ def identify(df: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_i
     return source.mapInArrow(run, f"id {kind}, lang_pred string, score double, margin double, rejected boolean").withColumnRenamed("id", id_col)
 
 
+def keep_identified(df: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text") -> DataFrame:
+    """The rows of df, with all their columns, whose language is not rejected."""
+    ready(df.sparkSession)
+    place = df.columns.index(text_col)
+
+    def run(batches):
+        c = Classifier(dictionaries)
+        for batch in batches:
+            found = (c.judge(t.as_py()) for t in batch.column(place))
+            yield batch.filter(pa.array([name != "und" and margin >= NARROW for name, _, margin in found], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def op4_language(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = identify(docs, learn(docs.where(~held_out())))

@@ -198,4 +198,3 @@ def op1_warc(spark, sf_dir: str) -> DataFrame:
     return read_archives(written(write_archives(table(spark, sf_dir, "pages")), "op1-archives"), with_payload=False).drop("url")
 
 
-OP1_SQL = None
