@@ -10,7 +10,6 @@ from ..operators.folds import histogram
 from ..sources.views import oracle, view
 from .registry import query
 
-_A = F.col("answer_text")
 _C = r"\[([^,]+),\s*@?([^,]+),\s*([^\]]+)\]"
 _CITES = rf"""SELECT answer_id, row_number() OVER (PARTITION BY answer_id ORDER BY min(pos)) AS number, channel, "user", cited_at FROM (
   SELECT answer_id, unnest(range(len(a))) AS pos, trim(unnest(a)) AS channel, trim(unnest(b)) AS "user", trim(unnest(c)) AS cited_at FROM (
@@ -48,7 +47,7 @@ _HAS = "length(trim(answer_text)) >= 50" + "".join(" AND NOT contains(lower(answ
 
 @query("va_has_answer", oracle(f"SELECT answer_id, {_HAS} AS has_answer FROM answers", "answers"))
 def va_has_answer(spark, sf_dir):
-    return view(spark, sf_dir, "answers").select("answer_id", an.has_answer(_A).alias("has_answer"))
+    return view(spark, sf_dir, "answers").select("answer_id", an.has_answer(F.col("answer_text")).alias("has_answer"))
 
 
 _NUMBERED = "answer_text || ' This part is cited well [1].'"
@@ -57,7 +56,7 @@ _COV = rf"list_filter(list_transform(regexp_split_to_array({_NUMBERED}, '[.!?]+'
 
 @query("va_coverage", oracle(rf"SELECT answer_id, CASE WHEN len({_COV}) = 0 THEN 1 ELSE round(len(list_filter({_COV}, lambda s: regexp_matches(s, '\[[0-9]+\]'))) / len({_COV}), 6) END AS coverage FROM answers", "answers"))
 def va_coverage(spark, sf_dir):
-    return view(spark, sf_dir, "answers").select("answer_id", an.coverage(F.concat(_A, F.lit(" This part is cited well [1]."))).alias("coverage"))
+    return view(spark, sf_dir, "answers").select("answer_id", an.coverage(F.concat(F.col("answer_text"), F.lit(" This part is cited well [1]."))).alias("coverage"))
 
 
 def _ent(col: str) -> str:
@@ -79,12 +78,12 @@ _RELW = r"list_filter(list_distinct(regexp_extract_all(lower(query_text), '[\p{L
 
 @query("va_relevance", oracle(f"SELECT answer_id, CASE WHEN len({_RELW}) = 0 THEN 1 ELSE round(len(list_filter({_RELW}, lambda w: contains(lower(answer_text), w))) / len({_RELW}), 6) END AS relevance FROM answers", "answers"))
 def va_relevance(spark, sf_dir):
-    return view(spark, sf_dir, "answers").select("answer_id", an.relevance(F.col("query_text"), _A).alias("relevance"))
+    return view(spark, sf_dir, "answers").select("answer_id", an.relevance(F.col("query_text"), F.col("answer_text")).alias("relevance"))
 
 
 @query("va_flags")
 def va_flags(spark, sf_dir):
-    return view(spark, sf_dir, "answers").select("answer_id", F.array_join(an.flags(_A), "|").alias("flags"))
+    return view(spark, sf_dir, "answers").select("answer_id", F.array_join(an.flags(F.col("answer_text")), "|").alias("flags"))
 
 
 def _count(words: list[str]) -> str:
@@ -95,14 +94,14 @@ def _count(words: list[str]) -> str:
 
 @query("va_confidence", oracle(f"SELECT answer_id, CASE WHEN {_count(an.CONFIDENCE['low'])} > {_count(an.CONFIDENCE['high'])} THEN 'low' WHEN {_count(an.CONFIDENCE['high'])} > {_count(an.CONFIDENCE['low'])} + {_count(an.CONFIDENCE['medium'])} THEN 'high' ELSE 'medium' END AS confidence FROM answers", "answers"))
 def va_confidence(spark, sf_dir):
-    return view(spark, sf_dir, "answers").select("answer_id", an.confidence(_A).alias("confidence"))
+    return view(spark, sf_dir, "answers").select("answer_id", an.confidence(F.col("answer_text")).alias("confidence"))
 
 
 @query("va_quality")
 def va_quality(spark, sf_dir):
     a = view(spark, sf_dir, "answers")
     ground = va_grounding(spark, sf_dir).select("answer_id", "grounding")
-    score = an.quality(an.coverage(_A), F.col("grounding"), an.relevance(F.col("query_text"), _A), F.size(an.flags(_A)))
+    score = an.quality(an.coverage(F.col("answer_text")), F.col("grounding"), an.relevance(F.col("query_text"), F.col("answer_text")), F.size(an.flags(F.col("answer_text"))))
     return a.join(ground, "answer_id").select("answer_id", score.alias("quality")).withColumn("acceptable", F.col("quality") >= 0.6)
 
 

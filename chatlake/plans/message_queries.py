@@ -9,7 +9,6 @@ from ..operators import search
 from ..sources.views import oracle, view
 from .registry import query
 
-_T = F.col("text")
 AS_OF = "2024-02-01 12:34:56"
 _W = "[\\p{L}\\p{N}_]+"
 # The oracle's engine has no look-behind, so whole words are tested with blanks around every word.
@@ -28,7 +27,7 @@ SELECT message_id, contains(text, '```') AS has_fence,
 FROM chat_messages""", "chat_messages"))
 def enrich_code(spark, sf_dir):
     m = view(spark, sf_dir, "chat_messages")
-    return m.select("message_id", _T.contains("```").alias("has_fence"), join_list(ft.code_languages(_T)).alias("languages"), F.size(ft.code_bodies(_T)).cast("long").alias("n_blocks"), join_list(ft.code_bodies(_T)).alias("bodies"))
+    return m.select("message_id", F.col("text").contains("```").alias("has_fence"), join_list(ft.code_languages(F.col("text"))).alias("languages"), F.size(ft.code_bodies(F.col("text"))).cast("long").alias("n_blocks"), join_list(ft.code_bodies(F.col("text"))).alias("bodies"))
 
 
 _LINKS_SQL = r"""list_sort(list_distinct(list_concat(regexp_extract_all(text, '<(https?://[^|>]+)', 1), regexp_extract_all(text, 'https?://[^\s<>"{}|\\^`\[\]]+'))))"""
@@ -36,17 +35,17 @@ _LINKS_SQL = r"""list_sort(list_distinct(list_concat(regexp_extract_all(text, '<
 
 @query("enrich_links", oracle(f"SELECT message_id, array_to_string({_LINKS_SQL}, '|') AS links, CAST(len({_LINKS_SQL}) AS BIGINT) AS n_links FROM chat_messages", "chat_messages"))
 def enrich_links(spark, sf_dir):
-    return view(spark, sf_dir, "chat_messages").select("message_id", join_list(ft.links(_T)).alias("links"), F.size(ft.links(_T)).cast("long").alias("n_links"))
+    return view(spark, sf_dir, "chat_messages").select("message_id", join_list(ft.links(F.col("text"))).alias("links"), F.size(ft.links(F.col("text"))).cast("long").alias("n_links"))
 
 
 @query("enrich_mentions", oracle("SELECT message_id, array_to_string(regexp_extract_all(text, '<@([A-Z0-9]+)>', 1), '|') AS mentions FROM chat_messages", "chat_messages"))
 def enrich_mentions(spark, sf_dir):
-    return view(spark, sf_dir, "chat_messages").select("message_id", join_list(ft.mentions(_T)).alias("mentions"))
+    return view(spark, sf_dir, "chat_messages").select("message_id", join_list(ft.mentions(F.col("text"))).alias("mentions"))
 
 
 @query("enrich_text", oracle(r"SELECT message_id, trim(regexp_replace(regexp_replace(text, '<#[A-Z0-9]+\|([^>]+)>', '#\1', 'g'), '\s+', ' ', 'g')) AS text_processed FROM chat_messages", "chat_messages"))
 def enrich_text(spark, sf_dir):
-    return view(spark, sf_dir, "chat_messages").select("message_id", ft.clean(_T).alias("text_processed"))
+    return view(spark, sf_dir, "chat_messages").select("message_id", ft.clean(F.col("text")).alias("text_processed"))
 
 
 _IMPORTANCE_SQL = r"""round(1 + least(0.5E0 * reaction_total, 5) + least(0.3E0 * event_reply_count, 3) + CASE WHEN has_file THEN 2 ELSE 0 END
@@ -54,7 +53,7 @@ _IMPORTANCE_SQL = r"""round(1 + least(0.5E0 * reaction_total, 5) + least(0.3E0 *
 
 
 def _importance():
-    return ft.importance(_T, F.col("reaction_total"), F.col("event_reply_count"), F.col("has_file"))
+    return ft.importance(F.col("text"), F.col("reaction_total"), F.col("event_reply_count"), F.col("has_file"))
 
 
 @query("importance", oracle(f"SELECT message_id, {_IMPORTANCE_SQL} AS importance FROM chat_messages", "chat_messages"))
@@ -68,7 +67,7 @@ SELECT message_id, channel_id, coalesce(user_id, 'BOT') AS user_id, coalesce(thr
   concat('https://chat.example/archives/', channel_id, '/p', replace(message_id, '.', '')) AS permalink
 FROM chat_messages WHERE user_id IS NOT NULL""", "chat_messages"))
 def message_rows(spark, sf_dir):
-    n = F.size(ft.links(_T)).cast("long")
+    n = F.size(ft.links(F.col("text"))).cast("long")
     return view(spark, sf_dir, "chat_messages").where("user_id IS NOT NULL").select(
         "message_id", "channel_id", "user_id", F.col("thread_ts").eqNullSafe(F.col("message_id")).alias("is_thread_parent"), F.col("thread_ts").isNotNull().alias("in_thread"), _importance().alias("importance_score"),
         F.when(n > 0, n).alias("n_links"), F.lit(0).cast("long").alias("reaction_count"), search.permalink(F.col("channel_id"), F.col("message_id")).alias("permalink"),
@@ -83,7 +82,7 @@ def embed_text(spark, sf_dir):
     m = view(spark, sf_dir, "chat_messages")
     parent = m.select(F.col("message_id").alias("parent_id"), F.substring("text", 1, 200).alias("topic"))
     joined = m.join(parent, m["thread_ts"] == parent["parent_id"], "left")
-    return joined.select("message_id", F.concat_ws("\n", F.concat(F.lit("Channel: "), "channel_name"), F.when(F.col("thread_ts") != F.col("message_id"), F.concat(F.lit("Thread Topic: "), "topic")), F.concat(F.lit("Message: "), "text"), F.when(_T.contains("```"), F.concat(F.lit("Contains code: "), F.array_join(F.array_distinct(ft.code_languages(_T)), ", ")))).alias("embed_text"))
+    return joined.select("message_id", F.concat_ws("\n", F.concat(F.lit("Channel: "), "channel_name"), F.when(F.col("thread_ts") != F.col("message_id"), F.concat(F.lit("Thread Topic: "), "topic")), F.concat(F.lit("Message: "), "text"), F.when(F.col("text").contains("```"), F.concat(F.lit("Contains code: "), F.array_join(F.array_distinct(ft.code_languages(F.col("text"))), ", ")))).alias("embed_text"))
 
 
 # File types whose content is read.
@@ -103,13 +102,12 @@ def _queries(spark, sf_dir):
     return view(spark, sf_dir, "search_queries").withColumn("as_of", F.lit(AS_OF).cast("timestamp"))
 
 
-_Q = F.col("query_text")
 _INTENT_SQL = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches({_PAD}, ' ({'|'.join(w)}) ') THEN '{k}' END" for k, w in ft.INTENTS.items()) + "], lambda x: x IS NOT NULL)"
 
 
 @query("q_intents", oracle(f"SELECT query_id, CASE WHEN len({_INTENT_SQL}) = 0 THEN 'factual' ELSE array_to_string({_INTENT_SQL}, '|') END AS intents FROM search_queries", "search_queries"))
 def q_intents(spark, sf_dir):
-    return _queries(spark, sf_dir).select("query_id", join_list(ft.intents(_Q)).alias("intents"))
+    return _queries(spark, sf_dir).select("query_id", join_list(ft.intents(F.col("query_text"))).alias("intents"))
 
 
 _CAPS_SQL = f"list_filter(regexp_extract_all(query_text, '{_W}'), lambda x: regexp_full_match(x, '[A-Z][A-Za-z0-9]+'))"
@@ -118,7 +116,7 @@ _ENT_SQL = f"""list_concat(list_concat(list_transform(regexp_extract_all(query_t
 
 @query("q_entities", oracle(f"SELECT query_id, array_to_string({_ENT_SQL}, '|') AS entities FROM search_queries WHERE NOT regexp_matches(query_text, '[A-Z]+-[0-9]')", "search_queries"))
 def q_entities(spark, sf_dir):
-    return _queries(spark, sf_dir).where(~_Q.rlike("[A-Z]+-[0-9]")).select("query_id", join_list(F.transform(ft.entities(_Q), lambda e: F.concat_ws(":", e["type"], e["text"]))).alias("entities"))
+    return _queries(spark, sf_dir).where(~F.col("query_text").rlike("[A-Z]+-[0-9]")).select("query_id", join_list(F.transform(ft.entities(F.col("query_text")), lambda e: F.concat_ws(":", e["type"], e["text"]))).alias("entities"))
 
 
 _DAYS_SQL = "CASE " + " ".join(f"WHEN contains(lower(q), '{p}') THEN {{'phrase': '{p}', 's': {'date_trunc' + chr(40) + chr(39) + 'day' + chr(39) + ', t' + chr(41) if d < 2 else 't'} - INTERVAL {d} DAY, 'e': t}}" for p, d in ft.PHRASE_DAYS.items()) + " END"
@@ -131,7 +129,7 @@ SELECT query_id, CASE WHEN a IS NOT NULL THEN a.phrase WHEN try_strptime(d, '%Y-
   CASE WHEN a IS NOT NULL THEN epoch(a.s) ELSE epoch(try_strptime(d, '%Y-%m-%d')) END AS start_s, CASE WHEN a IS NOT NULL THEN epoch(a.e) ELSE epoch(try_strptime(d, '%Y-%m-%d') + INTERVAL 1 DAY) END AS end_s FROM y""", "search_queries"))
 def q_temporal(spark, sf_dir):
     ending = F.element_at(F.array(*map(F.lit, [" last week", " yesterday", " on 2024-01-15", " on 2024-13-45 after march 3", ""])), (F.col("query_id") % 5 + 1).cast("int"))
-    rows = _queries(spark, sf_dir).withColumn("query_text", F.concat("query_text", ending)).select("query_id", ft.temporal(_Q, F.col("as_of")).alias("x"))
+    rows = _queries(spark, sf_dir).withColumn("query_text", F.concat("query_text", ending)).select("query_id", ft.temporal(F.col("query_text"), F.col("as_of")).alias("x"))
     return rows.select("query_id", "x.phrase", F.unix_timestamp("x.start").cast("double").alias("start_s"), F.unix_timestamp("x.end").cast("double").alias("end_s"))
 
 
@@ -141,7 +139,7 @@ SELECT query_id, array_to_string(list_sort(list_distinct(list_concat(list_concat
   array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(q, '@([A-Za-z0-9_.-]+)', 1), regexp_extract_all(lower(q), 'by ([a-z0-9_.-]+)', 1)))), '|') AS users FROM x""", "search_queries"))
 def q_channels_users(spark, sf_dir):
     rows = _queries(spark, sf_dir).withColumn("query_text", F.concat("query_text", F.lit(" in #eng-core by alice @bob.c in the ops channel")))
-    return rows.select("query_id", join_list(F.array_sort(ft.channels(_Q))).alias("channels"), join_list(F.array_sort(ft.users(_Q))).alias("users"))
+    return rows.select("query_id", join_list(F.array_sort(ft.channels(F.col("query_text")))).alias("channels"), join_list(F.array_sort(ft.users(F.col("query_text")))).alias("users"))
 
 
 def _normal_sql(text: str) -> str:
@@ -154,19 +152,19 @@ def _normal_sql(text: str) -> str:
 
 @query("q_normalize", oracle(f"SELECT query_id, {_normal_sql(chr(39) + 'db k8s ai, ' + chr(39) + ' || query_text')} AS normalized FROM search_queries", "search_queries"))
 def q_normalize(spark, sf_dir):
-    return _queries(spark, sf_dir).select("query_id", ft.normalized(F.concat(F.lit("db k8s ai, "), _Q)).alias("normalized"))
+    return _queries(spark, sf_dir).select("query_id", ft.normalized(F.concat(F.lit("db k8s ai, "), F.col("query_text"))).alias("normalized"))
 
 
 @query("q_type", oracle("SELECT query_id, CASE " + " ".join(f"WHEN starts_with(trim(lower(query_text)), '{w}') THEN '{w}'" for w in ft.QUESTION_WORDS) + " WHEN contains(query_text, '?') THEN 'question' ELSE 'statement' END AS question_type, " + " OR ".join(f"contains(lower(query_text), '{p}')" for p in ft.CODE_PARTS) + " AS code_intent FROM search_queries", "search_queries"))
 def q_type(spark, sf_dir):
-    return _queries(spark, sf_dir).select("query_id", ft.question_type(_Q).alias("question_type"), ft.code_intent(_Q).alias("code_intent"))
+    return _queries(spark, sf_dir).select("query_id", ft.question_type(F.col("query_text")).alias("question_type"), ft.code_intent(F.col("query_text")).alias("code_intent"))
 
 
 @query("q_expand")
 def q_expand(spark, sf_dir):
-    return _queries(spark, sf_dir).select("query_id", F.posexplode(ft.expansions(_Q)).alias("n", "variant"))
+    return _queries(spark, sf_dir).select("query_id", F.posexplode(ft.expansions(F.col("query_text"))).alias("n", "variant"))
 
 
 @query("intent_counts", oracle(f"WITH x AS (SELECT CASE WHEN len({_INTENT_SQL}) = 0 THEN ['factual'] ELSE {_INTENT_SQL} END AS i FROM search_queries) SELECT unnest(i) AS intent, count(*) AS n FROM x GROUP BY 1", "search_queries"))
 def intent_counts(spark, sf_dir):
-    return _queries(spark, sf_dir).select(F.explode(ft.intents(_Q)).alias("intent")).groupBy("intent").agg(F.count(F.lit(1)).alias("n"))
+    return _queries(spark, sf_dir).select(F.explode(ft.intents(F.col("query_text"))).alias("intent")).groupBy("intent").agg(F.count(F.lit(1)).alias("n"))
