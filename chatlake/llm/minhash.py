@@ -107,7 +107,7 @@ def _described(docs: DataFrame, n_bands: int, rows: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             data, off = tx.utf8(batch.column(1))
-            for a, b in tx.chunks(off):
+            for a, b in tx.chunks(off, each=8 * BINS):
                 n = b - a
                 h, d = shingle_sets(data[off[a] : off[b]], off[a : b + 1] - off[a])
                 count = np.bincount(d, minlength=n)
@@ -145,7 +145,7 @@ def _confirmed(edges: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             _, off = tx.utf8(batch.column(3))
             _, off_b = tx.utf8(batch.column(2))
-            for lo, hi in tx.chunks(off + off_b, tx.CHUNK // 4):
+            for lo, hi in tx.chunks(off + off_b, tx.CHUNK // 4, each=1 << 12):
                 part = batch.slice(lo, hi - lo)
                 n = hi - lo
                 sides = []
@@ -167,7 +167,7 @@ def _unpacked_sets(batches):
     d = zstandard.ZstdDecompressor()
     for batch in batches:
         _, off = tx.utf8(batch.column(batch.num_columns - 1))
-        for lo, hi in tx.chunks(off, tx.CHUNK // 2):
+        for lo, hi in tx.chunks(off, tx.CHUNK // 4, each=1 << 12):
             part = batch.slice(lo, hi - lo)
             data, at = tx.utf8(pa.array([d.decompress(z) if z else b"" for z in part.column(batch.num_columns - 1).to_pylist()], pa.large_binary()))
             yield part, *shingle_sets(data, at)

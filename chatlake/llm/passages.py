@@ -11,7 +11,7 @@ with the smallest hash; equal windows have equal anchors. The steps:
    smallest ids first; inside a shard only the first document of a window has to ask.
 
 Null and empty texts have no words. Rows without an id neither remove nor lose anything. Rows that repeat
-an id do not remove from each other. Texts with fewer words than a window stay. Columns with other names
+an id do not remove from each other; an id is expected to have one text. Texts with fewer words than a window stay. Columns with other names
 are ignored.
 """
 
@@ -130,7 +130,7 @@ def _slices(batches, column: int, size: int = tx.CHUNK):
     d = zstandard.ZstdDecompressor()
     for batch in batches:
         _, off = tx.utf8(batch.column(column))
-        for a, b in tx.chunks(off, size // 2):
+        for a, b in tx.chunks(off, size // 2, each=1 << 10):
             part = batch.slice(a, b - a)
             yield part, *tx.utf8(pa.array([d.decompress(z) for z in part.column(column).to_pylist()], pa.large_binary()))
 
@@ -247,8 +247,10 @@ def _kept(joined: DataFrame, others: list[str]) -> DataFrame:
             spans = lists.flatten()
             if len(spans):
                 at = spans.field("at").to_numpy().astype(np.int64) + np.repeat(first[:-1], size)
-                np.add.at(cover, at, 1)
-                np.add.at(cover, at + spans.field("n").to_numpy() + WINDOW - 1, -1)
+                end = at + spans.field("n").to_numpy() + WINDOW - 1
+                own = end <= np.repeat(first[1:], size)  # else it is of another text with this id
+                np.add.at(cover, at[own], 1)
+                np.add.at(cover, end[own], -1)
             gone = np.cumsum(cover)[:-1] > 0
             raw = data.tobytes()
             keep = ~gone

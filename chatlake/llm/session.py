@@ -8,11 +8,14 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROWS_PER_BATCH = 1000
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers that this session starts later import this package."""
+    """Let Python workers that this session starts later import this package, and hand them batches of few rows,
+    as the arrays of a batch are many times its size."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH)
     env = spark.sparkContext.environment
     if _ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (_ROOT, env.get("PYTHONPATH", "")) if x)

@@ -6,13 +6,15 @@ no step needs a Python loop over words or characters.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are turned into arrays at a time; a longer document is taken alone.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 _U = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
@@ -24,6 +26,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: All ASCII bytes but letters and digits.
 NO_LETTER = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+_libc = ctypes.CDLL("libc.so.6") if sys.platform == "linux" else None
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -43,14 +46,24 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[off[0] : off[-1]], off - off[0]
 
 
-def chunks(offsets: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
-    """Ranges of documents with about `size` bytes each, one document at least."""
+def chunks(offsets: np.ndarray, size: int = CHUNK, each: int = 0) -> Iterator[tuple[int, int]]:
+    """Ranges of documents with about `size` bytes each, one document at least. each: what a document costs
+    besides its bytes."""
+    offsets = offsets + each * np.arange(len(offsets))
     at, n = 0, len(offsets) - 1
     while at < n:
         to = int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1
         to = min(n, max(at + 1, to))
         yield at, to
         at = to
+    _trim()
+
+
+def _trim() -> None:
+    """Give memory that is free in this worker back to the system, as workers stay alive between tasks."""
+    pa.default_memory_pool().release_unused()
+    if _libc:
+        _libc.malloc_trim(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -1,7 +1,7 @@
 """A corpus pipeline: toxicity, language, near duplicates, repeated passages, packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last
-return the columns of documents. Rows without an id pass the third and fourth stage unchanged.
+return the columns of documents. Rows without an id pass the third and fourth stage unchanged; an id is expected to have one text.
 """
 
 from __future__ import annotations
