@@ -33,6 +33,8 @@ from .session import ready, table
 WINDOW, PHRASE = 13, 5
 #: A phrase of five words of so many bits is a key of 60 bits.
 LETTER_BITS = 12
+#: Level at which texts are compressed for the two shuffles that carry them.
+TEXT_LEVEL = 6
 _FIRST_LETTER, _WALL = 0x100, 0x10FFFF
 
 
@@ -115,7 +117,7 @@ def _compressed(docs: DataFrame) -> DataFrame:
     others = docs.schema.fields[2:]
 
     def run(batches):
-        c = zstandard.ZstdCompressor(level=1)
+        c = zstandard.ZstdCompressor(level=TEXT_LEVEL)
         for batch in batches:
             data, off = tx.utf8(batch.column(1))
             raw = memoryview(data)
