@@ -184,8 +184,8 @@ def _located(joined: DataFrame) -> DataFrame:
             least = np.empty(len(order), np.int64)
             least[order] = ids[order][np.flatnonzero(head)][np.cumsum(head) - 1]
             known = ids > least
-            group = np.ones(len(at), bool)  # windows in a row of one anchor and one state
-            group[1:] = (at[1:] != at[:-1] + 1) | (anchor[1:] != anchor[:-1]) | (known[1:] != known[:-1])
+            group = np.ones(len(at), bool)  # windows in a row of one state, and where they have to ask of one anchor
+            group[1:] = (at[1:] != at[:-1] + 1) | (known[1:] != known[:-1]) | (~known[1:] & (anchor[1:] != anchor[:-1]))
             start = np.flatnonzero(group)
             n = np.diff(np.append(start, len(at)))
             raw = h.tobytes()
