@@ -112,8 +112,11 @@ def _phrases(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "key long, id long")
 
 
-def _compressed(docs: DataFrame) -> DataFrame:
-    """id, z (the text, compressed for the shuffles) and the other columns."""
+def _compressed(docs: DataFrame, null_ids: bool = False) -> DataFrame:
+    """id, z (the text, compressed for the shuffle) and the other columns.
+
+    Both joins by id read one shuffle of these rows. To be the same plan in both, the id is declared not null
+    where it is (else one join alone adds a filter), and both take every column."""
     others = docs.schema.fields[2:]
 
     def run(batches):
@@ -124,7 +127,7 @@ def _compressed(docs: DataFrame) -> DataFrame:
             z = pa.array([c.compress(raw[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist())], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), z, *batch.columns[2:]], ["id", "z", *batch.schema.names[2:]])
 
-    return docs.mapInArrow(run, T.StructType([T.StructField("id", T.LongType()), T.StructField("z", T.BinaryType()), *others]))
+    return docs.mapInArrow(run, T.StructType([T.StructField("id", T.LongType(), nullable=null_ids), T.StructField("z", T.BinaryType()), *others]))
 
 
 def _slices(batches, column: int, size: int = tx.CHUNK):
@@ -192,7 +195,8 @@ def _located(joined: DataFrame) -> DataFrame:
             windows = [None if k else raw[8 * a : 8 * (a + m)] for a, m, k in zip(start.tolist(), n.tolist(), known[start].tolist())]
             yield pa.RecordBatch.from_arrays([pa.array(tx.signed(np.where(known[start], tx.mix(ids[start].view(np.uint64)), w.keys[anchor[start]]))), pa.array(ids[start]), pa.array((at - w.first[w.doc[at]])[start].astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(windows, pa.binary())], names)
 
-    return joined.select("id", "keys", "z").mapInArrow(run, "key long, id long, at int, n int, windows binary")
+    others = [c for c in joined.columns if c not in ("id", "keys", "z")]  # unused here; see _compressed
+    return joined.select("id", "keys", "z", *others).mapInArrow(run, "key long, id long, at int, n int, windows binary")
 
 
 def _judged(rows: DataFrame) -> DataFrame:
@@ -285,7 +289,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = _compressed(named)
     gone = _judged(_located(texts.join(found, "id"))).groupBy("id").agg(F.collect_list(F.struct("at", "n")).alias("gone"))
     nothing = F.lit(None).cast("array<struct<at:int,n:int>>")
-    out = _kept(texts.join(gone, "id", "left").unionByName(_compressed(docs.where("id IS NULL")).withColumn("gone", nothing), allowMissingColumns=False), others)
+    out = _kept(texts.join(gone, "id", "left").unionByName(_compressed(docs.where("id IS NULL"), null_ids=True).withColumn("gone", nothing), allowMissingColumns=False), others)
     return out.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept_sha256", "kept_text", *(F.col(o).alias(c) for c, o in zip(carry, others)))
 
 
