@@ -7,8 +7,9 @@ with the smallest hash; equal windows have equal anchors. The steps:
 2. compile: each shard of documents gets an Aho-Corasick automaton of the recurring phrases in it. A word
    is one letter of the automaton, and the key of a phrase can be turned back into its letters;
 3. stream: every document runs through its shard's automaton, which locates every occurrence;
-4. judge: windows at those places are held against all windows of the same anchor by their full hashes,
-   smallest ids first; inside a shard only the first document of a window has to ask.
+4. judge: windows at those places are held against all windows of the same anchor (of a very common one: of the
+   same hash) by their full hashes, smallest ids first; inside a shard only the first document of a window has
+   to ask.
 
 Null and empty texts have no words. Rows without an id neither remove nor lose anything. Rows that repeat
 an id do not remove from each other; an id is expected to have one text. Texts with fewer words than a window stay. Columns with other names
@@ -33,6 +34,9 @@ from .session import ready, table
 WINDOW, PHRASE = 13, 5
 #: A phrase of five words of so many bits is a key of 60 bits.
 LETTER_BITS = 12
+#: Windows whose anchor is in more documents than this meet by their own hashes, each in a row of its own, so that
+#: a very common phrase isn't one key.
+HOT_DOCUMENTS = 256
 #: Level at which texts are compressed for the two shuffles that carry them.
 TEXT_LEVEL = 6
 _FIRST_LETTER, _WALL = 0x100, 0x10FFFF
@@ -162,7 +166,7 @@ def occurrences(machine: ahocorasick.Automaton, w: Words) -> np.ndarray:
 
 
 def _located(joined: DataFrame) -> DataFrame:
-    """(id, keys of its recurring phrases, text) to rows for the judge.
+    """(id, keys of its recurring phrases, those of them that are hot, text) to rows for the judge.
 
     A row has a key to meet other rows by, the id, the first window, the number of windows and their hashes;
     without hashes the windows are known to repeat a smaller id of the same shard."""
@@ -174,6 +178,7 @@ def _located(joined: DataFrame) -> DataFrame:
             if not len(w.at):
                 continue
             keys = np.unique(part.column(1).flatten().to_numpy().view(np.uint64))
+            hot_keys = np.unique(part.column(3).flatten().to_numpy().view(np.uint64))
             hit = occurrences(automaton(keys), w)[w.anchor]
             at, anchor = w.at[hit], w.anchor[hit]
             if not len(at):
@@ -187,16 +192,18 @@ def _located(joined: DataFrame) -> DataFrame:
             least = np.empty(len(order), np.int64)
             least[order] = ids[order][np.flatnonzero(head)][np.cumsum(head) - 1]
             known = ids > least
+            hot = np.isin(w.keys[anchor], hot_keys)
+            meet = np.where(known, tx.mix(ids.view(np.uint64)), np.where(hot, h, w.keys[anchor]))
             group = np.ones(len(at), bool)  # windows in a row of one state, and where they have to ask of one anchor
-            group[1:] = (at[1:] != at[:-1] + 1) | (known[1:] != known[:-1]) | (~known[1:] & (anchor[1:] != anchor[:-1]))
+            group[1:] = (at[1:] != at[:-1] + 1) | (known[1:] != known[:-1]) | (~known[1:] & (hot[1:] | (anchor[1:] != anchor[:-1])))
             start = np.flatnonzero(group)
             n = np.diff(np.append(start, len(at)))
             raw = h.tobytes()
             windows = [None if k else raw[8 * a : 8 * (a + m)] for a, m, k in zip(start.tolist(), n.tolist(), known[start].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(tx.signed(np.where(known[start], tx.mix(ids[start].view(np.uint64)), w.keys[anchor[start]]))), pa.array(ids[start]), pa.array((at - w.first[w.doc[at]])[start].astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(windows, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(tx.signed(meet[start])), pa.array(ids[start]), pa.array((at - w.first[w.doc[at]])[start].astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(windows, pa.binary())], names)
 
-    others = [c for c in joined.columns if c not in ("id", "keys", "z")]  # unused here; see _compressed
-    return joined.select("id", "keys", "z", *others).mapInArrow(run, "key long, id long, at int, n int, windows binary")
+    others = [c for c in joined.columns if c not in ("id", "keys", "z", "hot")]  # unused here; see _compressed
+    return joined.select("id", "keys", "z", "hot", *others).mapInArrow(run, "key long, id long, at int, n int, windows binary")
 
 
 def _judged(rows: DataFrame) -> DataFrame:
@@ -284,8 +291,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"), *(docs[c].alias(o) for c, o in zip(carry, others)))
     named = docs.where("id IS NOT NULL")
     phrases = _phrases(named.select("id", "text"))
-    recurring = phrases.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
-    found = phrases.join(recurring, "key", "left_semi").groupBy("id").agg(F.collect_list("key").alias("keys"))
+    recurring = phrases.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("documents")).where("low < high")
+    is_hot = F.col("documents") > HOT_DOCUMENTS
+    found = phrases.join(recurring, "key").groupBy("id").agg(F.collect_list("key").alias("keys"), F.collect_list(F.when(is_hot, F.col("key"))).alias("hot"))
     texts = _compressed(named)
     gone = _judged(_located(texts.join(found, "id"))).groupBy("id").agg(F.collect_list(F.struct("at", "n")).alias("gone"))
     nothing = F.lit(None).cast("array<struct<at:int,n:int>>")
