@@ -70,17 +70,19 @@ def thread_totals(spark, sf_dir):
     return _m(spark, sf_dir).where("thread_ts IS NOT NULL").groupBy("thread_ts").agg(F.sum("reaction_total").alias("total_reactions"), (F.unix_timestamp(F.max("ts")) >= 1704067200 + 40 * 3600).alias("is_active"))
 
 
-_ENT = r"""SELECT message_id, channel_id, ts, unnest(list_distinct(list_transform(list_concat(regexp_extract_all(text, '"([^"]+)"', 1), list_filter(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[A-Z][A-Za-z0-9]+'))), lambda x: trim(lower(x))))) AS entity FROM chat_messages WHERE turn > 0"""
+_ENT = r"""SELECT message_id, channel_id, ts, unnest(list_distinct(list_transform(list_concat(list_concat(list_concat(regexp_extract_all(text, '"([^"]+)"', 1), list_filter(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[A-Z][A-Za-z0-9]+'))),
+  regexp_extract_all(text, '\b[A-Z]+-[0-9]+\b')), regexp_extract_all(text, 'https?://\S+')), lambda x: trim(lower(x))))) AS entity FROM (SELECT message_id, channel_id, ts, text FROM chat_messages UNION ALL SELECT message_id, channel_id, ts, text FROM doc_messages)"""
+_KG = ("chat_messages", "doc_messages")
 
 
 def _entities(spark, sf_dir):
-    """Distinct quoted and technical entities of each message, in lower case, sorted."""
-    found = F.filter(ft.entities(F.col("text")), lambda e: e["type"].isin("quoted", "technical"))
-    names = F.array_sort(F.array_distinct(F.transform(found, lambda e: F.trim(F.lower(e["text"])))))
-    return _m(spark, sf_dir).where("turn > 0").select("message_id", "channel_id", "ts", names.alias("names"))
+    """Distinct entities of each message and document, in lower case, sorted."""
+    names = F.array_sort(F.array_distinct(F.transform(ft.entities(F.col("text")), lambda e: F.trim(F.lower(e["text"])))))
+    parts = [view(spark, sf_dir, n).select("message_id", "channel_id", "ts", "text") for n in _KG]
+    return parts[0].unionByName(parts[1]).select("message_id", "channel_id", "ts", names.alias("names"))
 
 
-@query("kg_entities", oracle(f"SELECT entity, count(*) AS occurrence_count, count(DISTINCT channel_id) AS channel_count, epoch(min(ts)) AS first_s, epoch(max(ts)) AS last_s FROM ({_ENT}) GROUP BY 1", "chat_messages"))
+@query("kg_entities", oracle(f"SELECT entity, count(*) AS occurrence_count, count(DISTINCT channel_id) AS channel_count, epoch(min(ts)) AS first_s, epoch(max(ts)) AS last_s FROM ({_ENT}) GROUP BY 1", *_KG))
 def kg_entities(spark, sf_dir):
     return _entities(spark, sf_dir).select("channel_id", "ts", F.explode("names").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("occurrence_count"), F.count_distinct("channel_id").alias("channel_count"), F.unix_timestamp(F.min("ts")).cast("double").alias("first_s"), F.unix_timestamp(F.max("ts")).cast("double").alias("last_s"))
 
@@ -91,12 +93,12 @@ _PAIRS = f"WITH e AS ({_ENT}), o AS (SELECT entity, count(*) AS n FROM e GROUP B
 def _edges(spark, sf_dir):
     rows = _entities(spark, sf_dir)
     # pairs are built inside a row: no self-join, and no shuffle before the counts
-    pairs = F.flatten(F.transform("names", lambda a: F.transform(F.filter("names", lambda b: b > a), lambda b: F.struct(a.alias("entity_1"), b.alias("entity_2")))))
+    pairs = F.flatten(F.transform("names", lambda a, i: F.transform(F.slice("names", i + 2, F.size("names")), lambda b: F.struct(a.alias("entity_1"), b.alias("entity_2")))))
     edges = rows.select(F.explode(pairs).alias("p")).select("p.*").groupBy("entity_1", "entity_2").agg(F.count(F.lit(1)).alias("n"))
     return rows, edges
 
 
-@query("kg_edges", oracle(f"{_PAIRS} SELECT entity_1, entity_2, p.n AS co_occurrence_count, round(p.n / least(x.n, y.n), 6) AS confidence FROM p JOIN o x ON x.entity = entity_1 JOIN o y ON y.entity = entity_2", "chat_messages"))
+@query("kg_edges", oracle(f"{_PAIRS} SELECT entity_1, entity_2, p.n AS co_occurrence_count, round(p.n / least(x.n, y.n), 6) AS confidence FROM p JOIN o x ON x.entity = entity_1 JOIN o y ON y.entity = entity_2", *_KG))
 def kg_edges(spark, sf_dir):
     rows, edges = _edges(spark, sf_dir)
     seen = rows.select(F.explode("names").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("m"))
@@ -104,8 +106,7 @@ def kg_edges(spark, sf_dir):
     return edges.join(x, "entity_1").join(y, "entity_2").select("entity_1", "entity_2", F.col("n").alias("co_occurrence_count"), F.round(F.col("n") / F.least("x", "y"), 6).alias("confidence"))
 
 
-@query("kg_related", oracle(f"{_PAIRS}, b AS (SELECT entity_1 AS entity, entity_2 AS other, n FROM p UNION ALL SELECT entity_2, entity_1, n FROM p) SELECT entity, other, n FROM b QUALIFY row_number() OVER (PARTITION BY entity ORDER BY n DESC, other) <= 5", "chat_messages"))
+@query("kg_related", oracle(f"{_PAIRS}, b AS (SELECT entity_1 AS entity, entity_2 AS other, n FROM p UNION ALL SELECT entity_2, entity_1, n FROM p) SELECT entity, other, n FROM b", *_KG))
 def kg_related(spark, sf_dir):
     _, e = _edges(spark, sf_dir)
-    both = e.select(F.explode(F.array(F.struct(F.col("entity_1").alias("entity"), F.col("entity_2").alias("other"), "n"), F.struct(F.col("entity_2").alias("entity"), F.col("entity_1").alias("other"), "n"))).alias("x")).select("x.*")
-    return both.withColumn("r", F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("n"), "other"))).where("r <= 5").drop("r")
+    return e.select(F.explode(F.array(F.struct(F.col("entity_1").alias("entity"), F.col("entity_2").alias("other"), "n"), F.struct(F.col("entity_2").alias("entity"), F.col("entity_1").alias("other"), "n"))).alias("x")).select("x.*")
