@@ -21,6 +21,7 @@ CONFIDENCE = {
     "hedging": ["however", "but", "although", "while"],
 }
 NEAR = 100
+TRIM_ABOVE, TRIM_TO = 10, 20
 
 
 def citations(answers: DataFrame) -> DataFrame:
@@ -129,3 +130,10 @@ def confidence(text: Column) -> Column:
 def quality(cov: Column, ground: Column, rel: Column, n_flags: Column) -> Column:
     score = 0.3 + 0.25 * cov + 0.25 * ground + 0.15 * rel - F.least(0.02 * n_flags, F.lit(0.05))
     return F.round(F.greatest(F.least(score, F.lit(1.0)), F.lit(0.0)), 3)
+
+
+def trimmed(turns: DataFrame, above: int = TRIM_ABOVE, last: int = TRIM_TO) -> DataFrame:
+    """Of conversations of more than `above` turns the system turns and the `last` ones."""
+    whole = Window.partitionBy("conv_id")
+    t = turns.withColumn("back", F.row_number().over(whole.orderBy(F.desc("turn")))).withColumn("n", F.count(F.lit(1)).over(whole))
+    return t.where((F.col("n") <= above) | (F.col("back") <= last) | (F.col("role") == "system")).drop("back", "n")

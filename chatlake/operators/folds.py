@@ -96,6 +96,10 @@ def histogram(df: DataFrame, value: Column, edges: list[float], *by: str) -> Dat
     return wide.select(*by, pairs.alias("x")).select(*by, "x.le", "x.n")
 
 
+#: Messages that a backfill takes of a channel.
+PER_CHANNEL = 1000
+
+
 def latest_per_channel(messages: DataFrame, limit: int, oldest: Column | None = None) -> DataFrame:
     """The newest `limit` messages of each channel that are not older than `oldest`."""
     rows = messages if oldest is None else messages.where(F.col("ts") >= oldest)

@@ -147,8 +147,6 @@ def convo_expire(spark, sf_dir):
     return last.where(F.col("last_s") >= 1704067200 + 60 * 3600 - 86400)
 
 
-@query("history_trim", "SELECT conv_id, turn FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) WHERE n <= 5 OR back <= 4 OR role = 'system'")
+@query("history_trim", "SELECT conv_id, turn FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) WHERE n <= 10 OR back <= 20 OR role = 'system'")
 def history_trim(spark, sf_dir):
-    whole = Window.partitionBy("conv_id")
-    t = view(spark, sf_dir, "conversations").withColumn("back", F.row_number().over(whole.orderBy(F.desc("turn")))).withColumn("n", F.count(F.lit(1)).over(whole))
-    return t.where("n <= 5 OR back <= 4 OR role = 'system'").select("conv_id", "turn")
+    return an.trimmed(view(spark, sf_dir, "conversations")).select("conv_id", "turn")

@@ -89,16 +89,16 @@ def event_counts(spark, sf_dir):
     return e.groupBy(F.unix_timestamp(F.window("ts", "1 minute")["start"]).cast("double").alias("minute_s"), "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("backfill_latest_n", oracle("SELECT channel_id, message_id, row_number() OVER (PARTITION BY channel_id ORDER BY ts DESC, message_id) AS n FROM chat_messages WHERE ts >= make_timestamp(1704103200000000) QUALIFY row_number() OVER (PARTITION BY channel_id ORDER BY ts DESC, message_id) <= 10", "chat_messages"))
+@query("backfill_latest_n", oracle("SELECT channel_id, message_id, row_number() OVER (PARTITION BY channel_id ORDER BY ts DESC, message_id) AS n FROM chat_messages WHERE ts >= make_timestamp(1704103200000000) QUALIFY row_number() OVER (PARTITION BY channel_id ORDER BY ts DESC, message_id) <= 1000", "chat_messages"))
 def backfill_latest_n(spark, sf_dir):
-    return folds.latest_per_channel(_m(spark, sf_dir), 10, F.timestamp_seconds(F.lit(1704067200 + 36000))).select("channel_id", "message_id", "n")
+    return folds.latest_per_channel(_m(spark, sf_dir), folds.PER_CHANNEL, F.timestamp_seconds(F.lit(1704067200 + 36000))).select("channel_id", "message_id", "n")
 
 
-@query("backfill_counts", oracle("SELECT channel_id, least(count(*), 20) AS n_added, 100 + least(count(*), 20) AS total_messages FROM chat_messages WHERE channel_id NOT IN ('C003') GROUP BY 1", "chat_messages"))
+@query("backfill_counts", oracle("SELECT channel_id, least(count(*), 1000) AS n_added, 100 + least(count(*), 1000) AS total_messages FROM chat_messages WHERE channel_id NOT IN ('C003') GROUP BY 1", "chat_messages"))
 def backfill_counts(spark, sf_dir):
     m = _m(spark, sf_dir)
     channels = m.select("channel_id").distinct().select("channel_id", (F.col("channel_id") == "C003").alias("is_archived"), F.lit(100).cast("long").alias("total_messages"))
-    taken = folds.latest_per_channel(m.join(channels.where("NOT is_archived"), "channel_id", "left_semi"), 20)
+    taken = folds.latest_per_channel(m.join(channels.where("NOT is_archived"), "channel_id", "left_semi"), folds.PER_CHANNEL)
     added = taken.groupBy("channel_id").agg(F.count(F.lit(1)).alias("n_added"))
     return channels.join(added, "channel_id").select("channel_id", "n_added", (F.col("total_messages") + F.col("n_added")).alias("total_messages"))
 

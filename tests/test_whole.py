@@ -4,6 +4,7 @@ import pytest
 
 from chatlake import catalog
 from chatlake.functions import text as ft
+from chatlake.operators import answers, folds
 
 
 @pytest.fixture(scope="module")
@@ -36,3 +37,21 @@ def test_related_keeps_all_partners(spark, tiny):
     d = tiny(conversations=([(1, 1, "user", " ".join(words))], CONVERSATIONS), documents=([], DOCUMENTS))
     got = [(r.entity, r.other) for r in catalog.QUERIES["kg_related"](spark, d).collect()]
     assert len(got) == 42 and set(got) == {(a.lower(), b.lower()) for a in words for b in words if a != b}
+
+
+def test_history_trim_limits(spark, tiny):
+    rows = [(1, t, "user", "x") for t in range(20)] + [(2, t, "system" if t == 0 else "user", "x") for t in range(23)]
+    df = spark.createDataFrame(rows, CONVERSATIONS)
+    got = sorted((r.conv_id, r.turn) for r in catalog.QUERIES["history_trim"](spark, tiny(conversations=(rows, CONVERSATIONS))).collect())
+    assert got == [(1, t) for t in range(20)] + [(2, 0)] + [(2, t) for t in range(3, 23)]
+    assert sorted(r.turn for r in answers.trimmed(df.where("conv_id = 2"), 5, 4).collect()) == [0, 19, 20, 21, 22]
+    assert answers.trimmed(df.where("conv_id = 2 AND turn < 5"), 5, 4).count() == 5
+
+
+def test_backfill_limits(spark, tiny):
+    d = tiny(conversations=([(8 + i // 1002, i % 1002, "user", "x") for i in range(1003)], CONVERSATIONS))
+    assert {r.channel_id: (r.n_added, r.total_messages) for r in catalog.QUERIES["backfill_counts"](spark, d).collect()} == {"C000": (1000, 1100), "C001": (1, 101)}
+    m = spark.createDataFrame([("a", str(t), t) for t in range(4)] + [("b", "0", 0)], "channel_id string, message_id string, ts long")
+    assert sorted((r.channel_id, r.ts, r.n) for r in folds.latest_per_channel(m, 2).collect()) == [("a", 2, 2), ("a", 3, 1), ("b", 0, 1)]
+    late = tiny(conversations=([(16, 1000 + i, "user", "x") for i in range(30)], CONVERSATIONS))
+    assert catalog.QUERIES["backfill_latest_n"](spark, late).count() == 30
