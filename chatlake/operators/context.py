@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as ft
+
 COMPRESS_ABOVE, MOST_MESSAGES = 10, 50
 
 
@@ -71,11 +73,41 @@ def connections(rows: DataFrame) -> DataFrame:
     return both.groupBy("query_id", "x.kind", "x.name").agg(F.count_distinct("thread").alias("n_threads")).where("n_threads > 1")
 
 
-def prompt_rows(rows: DataFrame, contexts: DataFrame, queries: DataFrame, most_threads: int = 10) -> DataFrame:
-    """One user message per query: an overview, the threads by score with their messages, and the question."""
-    line = F.concat_ws("", F.lit("- "), F.col("user_name"), F.lit(" ("), F.date_format("ts", "yyyy-MM-dd HH:mm"), F.lit(")"), F.when(F.col("relevant"), " *").otherwise(""))
+def prompt_rows(rows: DataFrame, contexts: DataFrame, queries: DataFrame, messages: DataFrame, as_of: Column, most_threads: int = 10, most_people: int = 10) -> DataFrame:
+    """One user message per query: an overview, the threads by score with their messages, the question, instructions.
+    A thread that the budget cut shows no placeholder, as its messages end before it; totals count real messages."""
+    said = messages.select("message_id", "text", "reaction_count")
+    line = F.concat_ws(
+        "\n", F.concat(F.lit("**"), F.coalesce("user_name", F.lit("Unknown")), F.lit("** ("), F.coalesce(F.date_format("ts", "yyyy-MM-dd HH:mm"), F.lit("")), F.lit("):")), F.concat(F.coalesce("text", F.lit("")), F.lit("\n")),
+        F.when(F.col("reaction_count") > 0, F.concat(F.lit("_Reactions: "), F.col("reaction_count").cast("string"), F.lit("_\n"))),
+    )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "thread")
     ranked = contexts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most_threads)
-    body = rows.join(ranked.select("query_id", "thread", "r"), ["query_id", "thread"]).groupBy("query_id", "r").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]), "\n").alias("body"), F.first("channel_name").alias("channel"))
-    whole = body.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", F.concat_ws("\n", F.concat(F.lit("#"), "channel"), "body").alias("t")))), lambda x: x["t"]), "\n\n").alias("threads"))
-    return whole.join(queries.select("query_id", "query_text"), "query_id").select("query_id", F.concat(F.col("n").cast("string"), F.lit(" threads\n\n"), F.col("threads"), F.lit("\n\nQuestion: "), F.col("query_text")).alias("prompt"))
+    ranked = ranked.select("query_id", "thread", "r", "left_out", (F.col("left_out") > 0).alias("short"), (F.col("taken") == F.col("n_messages")).alias("whole"))
+    met = rows.drop("left_out").join(said, "message_id").join(ranked, ["query_id", "thread"])
+    lines = met.groupBy("query_id", "r", "left_out", "short", "whole").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]).alias("lines"), F.min("channel_name").alias("channel"))
+    gap = F.when(F.col("short") & F.col("whole"), F.array(F.concat(F.lit("_["), F.col("left_out").cast("string"), F.lit(" additional messages in thread]_\n")))).otherwise(F.array().cast("array<string>"))
+    lines = lines.withColumn("lines", F.concat("lines", gap))
+    head = F.concat(F.lit("### Discussion "), F.col("r").cast("string"), F.lit("\n**Channel**: #"), F.coalesce("channel", F.lit("unknown")), F.lit("\n**Messages** ("), F.size("lines").cast("string"), F.lit("):\n\n"))
+    body = lines.select("query_id", F.struct("r", F.concat(head, F.array_join("lines", "\n"), F.lit("\n")).alias("t")).alias("t")).groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("t")), lambda x: x["t"]), "\n").alias("threads"))
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    facts = meta(rows).join(rows.groupBy("query_id").agg(F.array_sort(F.collect_set("user_name")).alias("people")), "query_id")
+    overview = F.concat_ws(
+        "\n", F.lit("## Context Overview"), F.concat(F.lit("- Found "), F.col("n_threads").cast("string"), F.lit(" relevant discussions")), F.concat(F.lit("- Total messages: "), F.col("n_messages").cast("string")),
+        F.when(F.col("channels") != "", F.concat(F.lit("- Channels: "), F.replace("channels", F.lit(","), F.lit(", ")))),
+        F.when(F.size("people") > 0, F.concat(F.lit("- Participants: "), F.array_join(F.slice("people", 1, most_people), ", "))),
+        F.when(F.size("people") > most_people, F.concat(F.lit("  (and "), (F.size("people") - most_people).cast("string"), F.lit(" more)"))),
+        F.concat(F.lit("- Time period: "), stamp("first_ts"), F.lit(" to "), stamp("last_ts")), F.lit(""),
+    )
+    q = F.col("query_text")
+    names = F.transform(ft.entities(q), lambda e: e["text"])
+    asked = F.concat_ws(
+        "\n", F.lit("## User Question"), F.concat(q, F.lit("\n")), F.lit("## Instructions"),
+        F.when(F.col("has_code_intent"), "- The user is looking for code. Include complete code snippets with syntax highlighting."),
+        F.concat(F.lit("- Pay special attention to the time period: "), ft.temporal(q, as_of)["phrase"]),
+        F.when(F.size(names) > 0, F.concat(F.lit("- Focus on information related to: "), F.array_join(names, ", "))),
+        F.lit("- Provide citations with [Channel, @User, timestamp] format for all factual claims."), F.lit("- If information is not found in the context, explicitly state that."), F.lit("- Be concise but comprehensive."),
+    )
+    known = facts.select("query_id", overview.alias("overview")).join(body, "query_id")
+    found = queries.select("query_id", asked.alias("asked")).join(known, "query_id", "left")
+    return found.select("query_id", F.concat_ws("\n", "overview", F.when(F.col("threads").isNotNull(), F.lit("## Relevant Discussions\n")), "threads", "asked").alias("prompt"))

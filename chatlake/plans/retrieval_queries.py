@@ -160,4 +160,5 @@ def context_connections(spark, sf_dir):
 @query("prompt_rows")
 def prompt_rows(spark, sf_dir):
     rows, contexts = _selected(spark, sf_dir)
-    return cx.prompt_rows(rows, contexts, view(spark, sf_dir, "search_queries"))
+    q, m, _ = _sources(spark, sf_dir)
+    return cx.prompt_rows(rows, contexts, q, m, F.lit(search.AS_OF).cast("timestamp"))

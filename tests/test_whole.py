@@ -1,10 +1,11 @@
 """Small hand-made tables on which a query that does less than the whole job shows it."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from chatlake import catalog
 from chatlake.functions import text as ft
-from chatlake.operators import answers, folds
+from chatlake.operators import answers, context, folds
 
 
 @pytest.fixture(scope="module")
@@ -55,3 +56,56 @@ def test_backfill_limits(spark, tiny):
     assert sorted((r.channel_id, r.ts, r.n) for r in folds.latest_per_channel(m, 2).collect()) == [("a", 2, 2), ("a", 3, 1), ("b", 0, 1)]
     late = tiny(conversations=([(16, 1000 + i, "user", "x") for i in range(30)], CONVERSATIONS))
     assert catalog.QUERIES["backfill_latest_n"](spark, late).count() == 30
+
+
+PROMPT = """## Context Overview
+- Found 2 relevant discussions
+- Total messages: 12
+- Channels: c1, c2
+- Participants: u00, u01, u02, u03, u04, u05, u06, u07, u08, u09
+  (and 2 more)
+- Time period: 2024-01-01T00:00:00 to 2024-01-01T00:11:00
+
+## Relevant Discussions
+
+### Discussion 1
+**Channel**: #c1
+**Messages** (3):
+
+**u00** (2024-01-01 00:00):
+text 0
+
+**u01** (2024-01-01 00:01):
+text 1
+
+_Reactions: 4_
+
+_[9 additional messages in thread]_
+
+
+### Discussion 2
+**Channel**: #c2
+**Messages** (10):
+
+""" + "\n".join(f"**u{i:02}** (2024-01-01 00:{i:02}):\ntext {i}\n" for i in range(2, 12)) + """
+
+## User Question
+Where is ABC-12 yesterday?
+
+## Instructions
+- The user is looking for code. Include complete code snippets with syntax highlighting.
+- Pay special attention to the time period: yesterday
+- Focus on information related to: Where, ABC, ABC-12
+- Provide citations with [Channel, @User, timestamp] format for all factual claims.
+- If information is not found in the context, explicitly state that.
+- Be concise but comprehensive."""
+
+
+def test_prompt_equals_hand_made(spark):
+    ids = [(i, 1704067200 + 60 * i) for i in range(12)]
+    m = spark.createDataFrame([(f"m{i}", f"text {i}", 4 if i == 1 else 0) for i, _ in ids], "message_id string, text string, reaction_count long")
+    rows = spark.createDataFrame([(1, "a" if i < 2 else "b", f"m{i}", s, f"u{i:02}", "c1" if i < 2 else "c2", i, 9 if i < 2 else 3) for i, s in ids], "query_id long, thread string, message_id string, s long, user_name string, channel_name string, pos long, left_out long").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    contexts = spark.createDataFrame([(1, "b", 1.0, 12, 3, 10), (1, "a", 2.0, 2, 9, 2)], "query_id long, thread string, score double, n_messages long, left_out long, taken long")
+    queries = spark.createDataFrame([(1, "Where is ABC-12 yesterday?", True), (2, "none", False)], "query_id long, query_text string, has_code_intent boolean")
+    got = {r.query_id: r.prompt for r in context.prompt_rows(rows, contexts, queries, m, F.lit("2024-02-01").cast("timestamp")).collect()}
+    assert got[1] == PROMPT and got[2].startswith("## User Question\nnone\n\n## Instructions\n- Provide")
