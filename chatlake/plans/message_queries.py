@@ -111,12 +111,12 @@ def q_intents(spark, sf_dir):
 
 
 _CAPS_SQL = f"list_filter(regexp_extract_all(query_text, '{_W}'), lambda x: regexp_full_match(x, '[A-Z][A-Za-z0-9]+'))"
-_ENT_SQL = f"""list_concat(list_concat(list_transform(regexp_extract_all(query_text, '"([^"]+)"', 1), lambda x: 'quoted:' || x), list_transform({_CAPS_SQL}, lambda x: 'technical:' || x)), list_transform(regexp_extract_all(query_text, 'https?://\\S+'), lambda x: 'url:' || x))"""
+_ENT_SQL = f"""list_concat(list_concat(list_concat(list_transform(regexp_extract_all(query_text, '"([^"]+)"', 1), lambda x: 'quoted:' || x), list_transform({_CAPS_SQL}, lambda x: 'technical:' || x)), list_transform(regexp_extract_all(query_text, '\\b[A-Z]+-[0-9]+\\b'), lambda x: 'ticket:' || x)), list_transform(regexp_extract_all(query_text, 'https?://\\S+'), lambda x: 'url:' || x))"""
 
 
-@query("q_entities", oracle(f"SELECT query_id, array_to_string({_ENT_SQL}, '|') AS entities FROM search_queries WHERE NOT regexp_matches(query_text, '[A-Z]+-[0-9]')", "search_queries"))
+@query("q_entities", oracle(f"SELECT query_id, array_to_string({_ENT_SQL}, '|') AS entities FROM search_queries", "search_queries"))
 def q_entities(spark, sf_dir):
-    return _queries(spark, sf_dir).where(~F.col("query_text").rlike("[A-Z]+-[0-9]")).select("query_id", join_list(F.transform(ft.entities(F.col("query_text")), lambda e: F.concat_ws(":", e["type"], e["text"]))).alias("entities"))
+    return _queries(spark, sf_dir).select("query_id", join_list(F.transform(ft.entities(F.col("query_text")), lambda e: F.concat_ws(":", e["type"], e["text"]))).alias("entities"))
 
 
 _DAYS_SQL = "CASE " + " ".join(f"WHEN contains(lower(q), '{p}') THEN {{'phrase': '{p}', 's': {'date_trunc' + chr(40) + chr(39) + 'day' + chr(39) + ', t' + chr(41) if d < 2 else 't'} - INTERVAL {d} DAY, 'e': t}}" for p, d in ft.PHRASE_DAYS.items()) + " END"

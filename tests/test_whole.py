@@ -1,5 +1,6 @@
 """Small hand-made tables on which a query that does less than the whole job shows it."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,3 +110,12 @@ def test_prompt_equals_hand_made(spark):
     queries = spark.createDataFrame([(1, "Where is ABC-12 yesterday?", True), (2, "none", False)], "query_id long, query_text string, has_code_intent boolean")
     got = {r.query_id: r.prompt for r in context.prompt_rows(rows, contexts, queries, m, F.lit("2024-02-01").cast("timestamp")).collect()}
     assert got[1] == PROMPT and got[2].startswith("## User Question\nnone\n\n## Instructions\n- Provide")
+
+
+def test_query_entities_keep_tickets(spark, tiny):
+    d = tiny(benchmark=([(1, "Show me the SQL query for ABC-12"), (2, 'is "a b" in xABC-1 or T-9, https://x.example/U-7?')], "item_id long, text string"))
+    want = {1: "technical:Show|technical:SQL|technical:ABC|ticket:ABC-12", 2: "quoted:a b|ticket:T-9|ticket:U-7|url:https://x.example/U-7?"}
+    assert {r.query_id: r.entities for r in catalog.QUERIES["q_entities"](spark, d).collect()} == want
+    c = duckdb.connect()
+    c.execute(f"create view benchmark as select * from '{d}/benchmark.parquet/*.parquet'")
+    assert dict(c.execute(f"select query_id, entities from ({catalog.ORACLES['q_entities']})").fetchall()) == want
