@@ -27,18 +27,29 @@ def dot(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
-def passes(filtered: bool) -> Column:
-    """Channel and code filters of a query, cheap ones first."""
+def with_filters(queries: DataFrame, as_of: str = AS_OF) -> DataFrame:
+    """queries with the users and the time range that their texts name: users, start_at, end_at."""
+    span = ft.temporal(F.col("query_text"), F.lit(as_of).cast("timestamp"))
+    return queries.withColumns({"users": ft.users(F.col("query_text")), "start_at": span["start"], "end_at": span["end"]})
+
+
+def passes(filtered: bool, by_user: bool = False) -> Column:
+    """Channel, code and time filters of a query, cheap ones first, and by_user those on users: the reference's
+    vector branch has none on users (RT-2), its keyword branch has (RT-4)."""
     if not filtered:
         return F.lit(True)
-    return (F.col("channel_filter").isNull() | (F.col("channel_filter") == F.col("channel_name"))) & (~F.col("has_code_intent") | F.col("has_code"))
+    out = (F.col("channel_filter").isNull() | (F.col("channel_filter") == F.col("channel_name"))) & (~F.col("has_code_intent") | F.col("has_code"))
+    out &= (F.col("start_at").isNull() | (F.col("ts") >= F.col("start_at"))) & (F.col("end_at").isNull() | (F.col("ts") <= F.col("end_at")))
+    if by_user:
+        out &= (F.size("users") == 0) | F.coalesce(F.array_contains("users", F.col("user_name")), F.lit(False)) | F.arrays_overlap("mentioned", "users")
+    return out
 
 
 def semantic(queries: DataFrame, messages: DataFrame, vectors: DataFrame, filtered: bool = False, k: int = SEMANTIC) -> DataFrame:
     """Top k by cosine: (query_id, message_id, score, rank). Vectors: (vec_id, embedding); norms once per side."""
     v = vectors.select("vec_id", "embedding", F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("norm")).where("norm > 0")
-    q = queries.join(v, queries["query_id"] == v["vec_id"]).select("query_id", "channel_filter", "has_code_intent", F.col("embedding").alias("q_vec"), F.col("norm").alias("q_norm"))
-    m = messages.join(v, messages["doc_id"] == v["vec_id"]).select("message_id", "channel_name", "has_code", "embedding", "norm")
+    q = with_filters(queries).join(v, queries["query_id"] == v["vec_id"]).select("query_id", "channel_filter", "has_code_intent", "start_at", "end_at", F.col("embedding").alias("q_vec"), F.col("norm").alias("q_norm"))
+    m = messages.join(v, messages["doc_id"] == v["vec_id"]).select("message_id", "channel_name", "has_code", "ts", "embedding", "norm")
     met = m.join(checked_broadcast(q), passes(filtered))
     scored = met.select("query_id", "message_id", F.round(dot(F.col("embedding"), F.col("q_vec")) / (F.col("norm") * F.col("q_norm")), 9).alias("score"))
     return best(scored, k, F.desc("score"), F.col("message_id"))
@@ -46,9 +57,9 @@ def semantic(queries: DataFrame, messages: DataFrame, vectors: DataFrame, filter
 
 def keyword(queries: DataFrame, messages: DataFrame, k: int = KEYWORD) -> DataFrame:
     """The whole query as a substring, by importance: (query_id, message_id, score, rank)."""
-    q = queries.select("query_id", F.lower("query_text").alias("needle"), "channel_filter", "has_code_intent")
-    m = messages.select("message_id", "channel_name", "has_code", "importance_score", F.lower("text").alias("hay"))
-    met = m.join(checked_broadcast(q), passes(True) & F.contains("hay", "needle"))
+    q = with_filters(queries).select("query_id", F.lower("query_text").alias("needle"), "channel_filter", "has_code_intent", "users", "start_at", "end_at")
+    m = messages.select("message_id", "channel_name", "user_name", ft.mentions(F.col("text")).alias("mentioned"), "ts", "has_code", "importance_score", F.lower("text").alias("hay"))
+    met = m.join(checked_broadcast(q), passes(True, by_user=True) & F.contains("hay", "needle"))
     ranked = best(met.select("query_id", "message_id", "importance_score"), k, F.desc("importance_score"), F.col("message_id"))
     score = (k - (F.col("rank") - 1)) / k * 0.5 + F.col("importance_score") / 10 * 0.5
     return ranked.select("query_id", "message_id", F.round(score, 9).alias("score"), "rank")

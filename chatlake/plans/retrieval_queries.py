@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import context as cx
 from ..operators import search
 from ..sources.views import oracle, view
+from .message_queries import _DAYS_SQL as DAYS_SQL
 from .registry import query
 
 _VIEWS = ("search_queries", "doc_messages")
@@ -18,21 +19,27 @@ def _sources(spark, sf_dir):
 
 def _lists(spark, sf_dir):
     q, m, v = _sources(spark, sf_dir)
-    return m, search.fuse(semantic=search.semantic(q, m, v), keyword=search.keyword(q, m), entity=search.entity(q, m))
+    return m, search.fuse(semantic=search.semantic(q, m, v, filtered=True), keyword=search.keyword(q, m), entity=search.entity(q, m))
+
+
+# Queries with the users and the time range of their texts.
+_Q = rf"""(SELECT query_id, query_text, channel_filter, has_code_intent, list_concat(regexp_extract_all(q, '@([A-Za-z0-9_.-]+)', 1), regexp_extract_all(lower(q), 'by ([a-z0-9_.-]+)', 1)) AS users, CASE WHEN a IS NOT NULL THEN a.s ELSE day END AS start_at, CASE WHEN a IS NOT NULL THEN a.e ELSE day + INTERVAL 1 DAY END AS end_at
+  FROM (SELECT *, {DAYS_SQL} AS a, try_strptime(regexp_extract(q, '([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})', 1), '%Y-%m-%d') AS day FROM (SELECT *, query_text AS q, TIMESTAMP '{search.AS_OF}' AS t FROM search_queries)))"""
 
 
 def _semantic_sql(where: str) -> str:
     return f"""SELECT query_id, message_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, message_id) AS rank FROM (
   SELECT q.query_id, m.message_id, round(list_inner_product(CAST(qv.embedding AS DOUBLE[]), CAST(mv.embedding AS DOUBLE[]))
     / (sqrt(list_inner_product(CAST(qv.embedding AS DOUBLE[]), CAST(qv.embedding AS DOUBLE[]))) * sqrt(list_inner_product(CAST(mv.embedding AS DOUBLE[]), CAST(mv.embedding AS DOUBLE[])))), 9) AS score
-  FROM search_queries q JOIN embeddings qv ON qv.vec_id = q.query_id, doc_messages m JOIN embeddings mv ON mv.vec_id = m.doc_id WHERE {where})
+  FROM {_Q} q JOIN embeddings qv ON qv.vec_id = q.query_id, doc_messages m JOIN embeddings mv ON mv.vec_id = m.doc_id WHERE {where})
   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, message_id) <= 100"""
 
 
-_FILTER = "(q.channel_filter IS NULL OR q.channel_filter = m.channel_name) AND (NOT q.has_code_intent OR m.has_code)"
+_FILTER = "(q.channel_filter IS NULL OR q.channel_filter = m.channel_name) AND (NOT q.has_code_intent OR m.has_code) AND (q.start_at IS NULL OR m.ts >= q.start_at) AND (q.end_at IS NULL OR m.ts <= q.end_at)"
+_BY_USER = "(len(q.users) = 0 OR coalesce(list_contains(q.users, m.user_name), false) OR list_has_any(q.users, regexp_extract_all(m.text, '<@([A-Z0-9]+)>', 1)))"
 _KEYWORD = f"""SELECT query_id, message_id, round((50 - (rank - 1)) / 50 * 0.5E0 + importance_score / 10 * 0.5E0, 9) AS score, rank FROM (
   SELECT q.query_id, m.message_id, m.importance_score, row_number() OVER (PARTITION BY q.query_id ORDER BY m.importance_score DESC, m.message_id) AS rank
-  FROM search_queries q, doc_messages m WHERE {_FILTER} AND contains(lower(m.text), lower(q.query_text))) WHERE rank <= 50"""
+  FROM {_Q} q, doc_messages m WHERE {_FILTER} AND {_BY_USER} AND contains(lower(m.text), lower(q.query_text))) WHERE rank <= 50"""
 _NEEDLES = r"""SELECT query_id, list_transform(list_concat(list_concat(list_concat(regexp_extract_all(query_text, '"([^"]+)"', 1), list_filter(regexp_extract_all(query_text, '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[A-Z][A-Za-z0-9]+'))),
   regexp_extract_all(query_text, '\b[A-Z]+-[0-9]+\b')), regexp_extract_all(query_text, 'https?://\S+')), lambda x: lower(x)) AS needles FROM search_queries"""
 _ENTITY = f"""SELECT query_id, message_id, round(len(list_filter(needles, lambda x: contains(lower(text), x))) / len(needles) * 0.7E0 + importance_score / 10 * 0.3E0, 9) AS score, rank FROM (
@@ -40,7 +47,7 @@ _ENTITY = f"""SELECT query_id, message_id, round(len(list_filter(needles, lambda
   FROM ({_NEEDLES}) q, doc_messages m WHERE len(list_filter(q.needles, lambda x: contains(lower(m.text), x))) > 0) WHERE rank <= 30"""
 _FUSED = f"""SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, first, message_id) AS rank FROM (
   SELECT query_id, message_id, round(sum(1.0E0 / (60 + rank)), 12) AS rrf, count(*) AS n_sources, min(source * 1000 + rank) AS first FROM (
-    SELECT query_id, message_id, rank, 0 AS source FROM ({_semantic_sql("true")}) UNION ALL SELECT query_id, message_id, rank, 1 FROM ({_KEYWORD}) UNION ALL SELECT query_id, message_id, rank, 2 FROM ({_ENTITY})) GROUP BY 1, 2)
+    SELECT query_id, message_id, rank, 0 AS source FROM ({_semantic_sql(_FILTER)}) UNION ALL SELECT query_id, message_id, rank, 1 FROM ({_KEYWORD}) UNION ALL SELECT query_id, message_id, rank, 2 FROM ({_ENTITY})) GROUP BY 1, 2)
   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, first, message_id) <= 200"""
 _FULL = f"""SELECT query_id, message_id, relevance, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, fused_rank) AS rank, channel_id, text FROM (
   SELECT f.query_id, f.message_id, f.rank AS fused_rank, m.channel_id, substr(m.text, 1, 500) AS text, CASE WHEN count(*) OVER (PARTITION BY f.query_id) > 10 THEN round(0.4E0 * rrf + 0.2E0 * importance_score / 10
@@ -85,7 +92,8 @@ def _results(spark, sf_dir):
 @query("hybrid_full", oracle(f"SELECT query_id, message_id, round(relevance, 8) AS relevance, rank, text, concat('https://chat.example/archives/', channel_id, '/p', replace(message_id, '.', '')) AS permalink FROM ({_FULL})", *_VIEWS))
 def hybrid_full(spark, sf_dir):
     _, r = _results(spark, sf_dir)
-    return r.select("query_id", "message_id", F.round("relevance", 8).alias("relevance"), "rank", "text", search.permalink(F.col("channel_id"), F.col("message_id")).alias("permalink"))
+    # rounded as the oracle's engine does, by a product: relevance has 9 places, so ties at 8 are common
+    return r.select("query_id", "message_id", (F.round(F.col("relevance") * 1e8) / 1e8).alias("relevance"), "rank", "text", search.permalink(F.col("channel_id"), F.col("message_id")).alias("permalink"))
 
 
 @query("precision_at_k", oracle(f"""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from chatlake import catalog
 from chatlake.functions import text as ft
-from chatlake.operators import answers, context, folds
+from chatlake.operators import answers, context, folds, search
 
 
 @pytest.fixture(scope="module")
@@ -119,3 +119,23 @@ def test_query_entities_keep_tickets(spark, tiny):
     c = duckdb.connect()
     c.execute(f"create view benchmark as select * from '{d}/benchmark.parquet/*.parquet'")
     assert dict(c.execute(f"select query_id, entities from ({catalog.ORACLES['q_entities']})").fetchall()) == want
+
+
+def test_filters_by_user_and_time(spark):
+    day = 1717200000  # 2024-06-01, search.AS_OF
+    m = spark.createDataFrame([(i, f"m{i}", "c", u, day - back * 86400, False, 1.0, f"x by alice last week {more}") for i, (u, back, more) in enumerate([("alice", 1, ""), ("bob", 1, ""), ("bob", 1, "<@U1>"), ("alice", 15, ""), ("alice", -1, ""), ("alice", 14, "")])], "doc_id long, message_id string, channel_name string, user_name string, s long, has_code boolean, importance_score double, text string").withColumn("ts", F.timestamp_seconds("s"))
+    q = spark.createDataFrame([(0, "by alice last week", None, False)], "query_id long, query_text string, channel_filter string, has_code_intent boolean")
+    v = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(6)], "vec_id long, embedding array<float>")
+    assert {r.message_id for r in search.keyword(q, m).collect()} == {"m0", "m5"}
+    assert {r.message_id for r in search.keyword(q.withColumn("query_text", F.lit("Last week")), m).collect()} == {"m0", "m1", "m2", "m5"}
+    assert {r.message_id for r in search.keyword(q.withColumn("query_text", F.lit("x")), m).collect()} == {f"m{i}" for i in range(6)}
+    m2 = m.withColumn("text", F.concat("text", F.lit(" @U1")))
+    assert {r.message_id for r in search.keyword(q.withColumn("query_text", F.lit("@U1")), m2).collect()} == {"m2"}
+    assert {r.message_id for r in search.semantic(q, m, v, filtered=True).collect()} == {"m0", "m1", "m2", "m5"}
+    assert search.semantic(q, m, v).count() == 6
+
+
+def test_hybrid_filters_the_vector_list(spark, tiny):
+    docs = [(i, f"word{i}", "en", "s", 5) for i in range(64)]
+    d = tiny(documents=(docs, DOCUMENTS), benchmark=([(1, "nothing alike")], "item_id long, text string"), embeddings=([(i, [1.0, float(i)], 0) for i in range(64)], "vec_id long, embedding array<float>, label int"))
+    assert {r.message_id for r in catalog.QUERIES["hybrid_rrf"](spark, d).collect()} == {f"D{i:08}" for i in range(16, 32)}  # channel_filter chan-1
