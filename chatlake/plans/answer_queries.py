@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import answers as an
 from ..operators.folds import histogram
 from ..sources.views import oracle, view
+from . import retrieval_queries as rt
 from .registry import query
 
 _C = r"\[([^,]+),\s*@?([^,]+),\s*([^\]]+)\]"
@@ -64,13 +65,14 @@ def _ent(col: str) -> str:
 
 
 @query("va_grounding", oracle(f"""
-WITH said AS (SELECT answer_id, unnest({_ent("answer_text")}) AS e FROM answers), known AS (SELECT DISTINCT answer_id, e FROM (SELECT a.answer_id, unnest({_ent("m.text")}) AS e FROM answers a JOIN doc_messages m ON m.doc_id % 40 = a.answer_id % 40)),
+{rt._ALL}, said AS (SELECT answer_id, unnest({_ent("answer_text")}) AS e FROM answers), known AS (SELECT DISTINCT answer_id, e FROM (SELECT c.query_id AS answer_id, unnest({_ent("m.text")}) AS e FROM sel c JOIN doc_messages m USING (message_id))),
 p AS (SELECT s.answer_id, count(*) AS n, count(k.e) AS h, list_sort(list_distinct(list(s.e) FILTER (k.e IS NULL)))[1:5] AS miss FROM said s LEFT JOIN known k ON k.answer_id = s.answer_id AND k.e = s.e GROUP BY 1)
-SELECT a.answer_id, round(coalesce(h / n, 1.0E0), 6) AS grounding, coalesce(array_to_string(miss, ','), '') AS ungrounded FROM answers a LEFT JOIN p USING (answer_id)""", "answers", "doc_messages"))
+SELECT a.answer_id, round(coalesce(h / n, 1.0E0), 6) AS grounding, coalesce(array_to_string(miss, ','), '') AS ungrounded FROM answers a LEFT JOIN p USING (answer_id)""", "answers", "search_queries", "doc_messages"))
 def va_grounding(spark, sf_dir):
-    a, m = view(spark, sf_dir, "answers"), view(spark, sf_dir, "doc_messages")
-    keyed = a.select("answer_id", (F.col("answer_id") % 40).alias("k")).join(m.select((F.col("doc_id") % 40).alias("k"), "text"), "k")
-    return an.grounding(a, keyed.select("answer_id", "text"))
+    # an answer has the id of its query, whose assembled context holds at most 50 messages
+    rows, _ = rt._selected(spark, sf_dir)
+    context = rows.select(F.col("query_id").alias("answer_id"), "message_id").join(view(spark, sf_dir, "doc_messages").select("message_id", "text"), "message_id")
+    return an.grounding(view(spark, sf_dir, "answers"), context)
 
 
 _RELW = r"list_filter(list_distinct(regexp_extract_all(lower(query_text), '[\p{L}\p{N}_]+')), lambda w: NOT list_contains([" + ", ".join(f"'{w}'" for w in an.STOP_WORDS) + "], w))"
