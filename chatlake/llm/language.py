@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .session import ready, table
 
-#: The bounded sample: so many training rows of each language, and so many characters of each.
+#: The bounded sample: so many distinct training texts of each language, and so many characters of each.
 SAMPLE_ROWS, SAMPLE_CHARS = 400, 500
 DICTIONARY_BYTES = 112 << 10
 BLOCK = 8 << 10
@@ -35,12 +35,15 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string")) % 5 == 0
 
 
-def learn(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> dict[str, bytes]:
+def learn(rows: DataFrame, lang_col: str = "lang", text_col: str = "text") -> dict[str, bytes]:
     """Raw-content dictionaries by language, the language with most rows first, from a sample of rows with a non-null language and a letter in
-    their text. The sample is bounded by SAMPLE_ROWS and SAMPLE_CHARS a language, whatever the input."""
-    usable = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.col(text_col).substr(1, SAMPLE_CHARS).alias("text"), F.xxhash64(text_col).alias("h"), F.col(id_col).cast("string").alias("id"))
-    order = Window.partitionBy("lang").orderBy("h", "id", "text")
-    sample = usable.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE_ROWS).select("lang", "n", "text")
+    their text. The sample is bounded by SAMPLE_ROWS distinct texts a language and SAMPLE_CHARS of each, from a place that its hash chooses, whatever the input."""
+    usable = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    # copies count once: keys first, so that only the texts of the sample are sent
+    keys = usable.select("lang", "h").distinct().withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= SAMPLE_ROWS)
+    start = F.pmod("h", F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1))).cast("int") + 1
+    part = usable.join(F.broadcast(keys), ["lang", "h"]).select("lang", "n", F.substr("text", start, F.lit(SAMPLE_CHARS)).alias("text"))
+    sample = part.groupBy("lang", "n").agg(F.min("text").alias("text"))
     rows = {r.lang: r.rows for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).collect()}
     out: dict[str, list[bytes]] = {}
     for row in sorted(sample.collect(), key=lambda r: (-rows[r.lang], r.lang, -r.n)):
