@@ -56,10 +56,10 @@ def chunks(offsets: np.ndarray, size: int = CHUNK, each: int = 0) -> Iterator[tu
         to = min(n, max(at + 1, to))
         yield at, to
         at = to
-    _trim()
+    trim()
 
 
-def _trim() -> None:
+def trim() -> None:
     """Give memory that is free in this worker back to the system, as workers stay alive between tasks."""
     pa.default_memory_pool().release_unused()
     if _libc:
@@ -102,6 +102,45 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     return mix((total[ends] - total[starts]) * _power("up", n)[starts])
 
 
+def wide(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each byte on as a number; beyond the end are zeros."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def exact_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """A key of each span that is the same for spans of equal bytes only: the bytes themselves and their number up
+    to 7 bytes, else the hash, with the bytes compared. hashes: of the spans' bytes."""
+    n = ends - starts
+    at = wide(data)
+    key = at[starts] & ~(~np.uint64(0) << (np.minimum(n, 7) * 8).astype(np.uint64)) | (n.astype(np.uint64) << np.uint64(56))
+    long = np.flatnonzero(n > 7)
+    if not len(long):
+        return key
+    start, size = starts[long], n[long]
+    key[long] = h = hashes[long] | np.uint64(1 << 63)  # the number of bytes of the others is below that
+    order = np.argsort(h, kind="stable")
+    lead = np.append(True, h[order][1:] != h[order][:-1])
+    like = np.empty(len(long), np.int64)
+    like[order] = order[np.flatnonzero(lead)][np.cumsum(lead) - 1]  # the first span of each hash
+    differs = size != size[like]
+    here = np.flatnonzero((like != np.arange(len(long))) & ~differs)
+    j = 0
+    while len(here):  # 8 bytes at a time, the last 8 overlap
+        a = np.minimum(j, size[here] - 8)
+        odd = at[start[here] + a] != at[start[like[here]] + a]
+        differs[here[odd]] = True
+        j += 8
+        here = here[~odd & (size[here] > j)]
+    if differs.any():  # equal hashes of different bytes: such spans get numbers of their own
+        named: dict[bytes, int] = {}
+        for i in np.flatnonzero(differs).tolist():
+            span = data[start[i] : start[i] + size[i]].tobytes()
+            key[long[i]] = np.uint64(named.setdefault(span, (1 << 62) + len(named)))
+    return key
+
+
 def words(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and document numbers of the words `[^\\x20\\x09-\\x0D]+`; none crosses documents.
 

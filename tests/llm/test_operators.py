@@ -85,9 +85,10 @@ def test_warc(spark):
     assert all(r.record_type == "response" for r in warc.read_archives(warc.write_archives(pages, 10**9)).collect())
 
 
-@pytest.mark.parametrize("hot", [3, passages.HOT_DOCUMENTS])
-def test_passages(spark, monkeypatch, hot):
-    monkeypatch.setattr(passages, "HOT_DOCUMENTS", hot)
+@pytest.mark.parametrize(("hot", "size"), [(3, 2000), (passages.HOT_SHARDS, 2000), (passages.HOT_SHARDS, passages.SHARD_BYTES)])
+def test_passages(spark, monkeypatch, hot, size):
+    monkeypatch.setattr(passages, "HOT_SHARDS", hot)
+    monkeypatch.setattr(passages, "SHARD_BYTES", size)
     rng = random.Random(4)
     shared = [noise(rng, 30) for _ in range(4)]
     rows = [(i + 10, noise(rng, rng.randint(0, 40)) + " " + rng.choice(shared) + rng.choice(["\n", " "]) + noise(rng, rng.randint(0, 20)) if i % 3 else noise(rng, 12)) for i in range(150)] + ODD
