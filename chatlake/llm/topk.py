@@ -5,33 +5,39 @@ A block of queries meets a block of candidates a few dimensions at a time: after
 goes on only if its score so far plus what the remaining dimensions can add at most (the product of the
 two remaining norms) reaches the k-th best score known, and the survivors are moved together.
 
-Each pair of blocks gives at most k rows per query; these are merged by a window that keeps k per query
-before it shuffles. Ties go to the smaller id. Vectors that are null, hold null or non-finite components,
-or have no id take no part; queries meet candidates of their own length only. Of rows that repeat an id,
-each counts as a row of its own, and none is a candidate for a query of the same id.
+Candidate blocks are dealt into groups once; the query blocks, which are few, are sent to every group. Each pair of
+blocks gives at most k rows per query; these are merged by a window that keeps k per query before it shuffles.
+
+Ties go to the smaller id. Scores are exact wherever they fit in 64 bits: sums that 53 bits don't hold are made again
+in whole numbers. Vectors that are null, hold null or non-finite components, or have no id take no part; empty
+vectors score 0; queries meet candidates of their own length only. Of rows that repeat an id, each counts as a row of
+its own, and none is a candidate for a query of the same id. Empty tables give empty tables; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import ready, table
+from .session import ready, table, written
 
 QUERY_BLOCK, CANDIDATE_BLOCK = 512, 8192
+#: Candidate blocks in a group at most; a group is a task's work.
+GROUP_BLOCKS = 16
 #: Dimensions that are added up between two bounds.
 STEP = 16
-_BLOCKS = "dim int, block long, ids binary, rows binary"
+_BLOCKS = "dim int, block long, ids binary, width int, rows binary"
 
 
 def _packed(df: DataFrame, size: int) -> DataFrame:
-    """Rows (id, v array<long>, dim) as blocks of `size` vectors of equal length, whole numbers dimension by dimension."""
+    """Rows (id, v array<long>, dim) as blocks of `size` vectors of equal length, whole numbers of the fewest bytes that
+    hold them, dimension by dimension."""
 
     def run(batches):
-        from pyspark import TaskContext
-
         part, count, held = TaskContext.get().partitionId(), 0, {}
 
         def flush(dim):
@@ -39,12 +45,16 @@ def _packed(df: DataFrame, size: int) -> DataFrame:
             ids, rows = (np.concatenate(x) for x in zip(*held.pop(dim)))
             for a in range(0, len(ids), size):
                 count += 1
-                yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([(part << 32) + count], pa.int64()), pa.array([ids[a : a + size].tobytes()], pa.binary()), pa.array([np.ascontiguousarray(rows[a : a + size].T).tobytes()], pa.binary())], ["dim", "block", "ids", "rows"])
+                block = rows[a : a + size].T
+                low, high = (block.min(), block.max()) if block.size else (0, 0)
+                kind = next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max)
+                arrays = [pa.array([dim], pa.int32()), pa.array([(part << 32) + count], pa.int64()), pa.array([ids[a : a + size].tobytes()], pa.binary()), pa.array([np.dtype(kind).itemsize], pa.int32()), pa.array([np.ascontiguousarray(block, kind).tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["dim", "block", "ids", "width", "rows"])
 
         for batch in batches:
             dims = batch.column(2).to_numpy()
             ids = batch.column(0).to_numpy()
-            flat = batch.column(1).flatten().to_numpy().astype(np.int32)
+            flat = batch.column(1).flatten().to_numpy()
             starts = np.cumsum(dims) - dims
             for dim in np.unique(dims).tolist():
                 which = np.flatnonzero(dims == dim)
@@ -58,16 +68,22 @@ def _packed(df: DataFrame, size: int) -> DataFrame:
 
 
 def block_top_k(q: np.ndarray, c: np.ndarray, q_ids: np.ndarray, c_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best candidates of each query: query numbers, candidate numbers, scores. q, c: dimension by row, float64."""
+    """The k best candidates of each query: query numbers, candidate numbers, scores. q, c: whole numbers, dimension by row."""
     dims, n = c.shape
+    whole_q, whole_c = q.astype(np.int64), c
+    q, c = q.astype(np.float64), c.astype(np.float64)
     edges = [*range(0, dims, STEP), dims]
     rest_q = [np.sqrt((q[e:] ** 2).sum(0)) for e in edges]
     rest_c = [np.sqrt((c[e:] ** 2).sum(0)) for e in edges]
+    most = rest_q[0] * rest_c[0].max(initial=0)  # no sum of a query is larger
+    exact = most.max(initial=0) < 2**52
+    slack = most * (1e-12 if exact else 1e-12 + dims * 2.0**-50) + 1e-6
     # scores of the candidates of largest norm set the first bar
     seed = np.argsort(-rest_c[0], kind="stable")[: 4 * k]
     first = q.T @ c[:, seed]
     first[q_ids[:, None] == c_ids[seed][None, :]] = -np.inf
     bar = np.partition(first, -k, 1)[:, -k] if first.shape[1] >= k else np.full(len(q_ids), -np.inf)
+    bar = bar - 2 * slack
     out_q, out_c, out_s = [], [], []
     step_scores = q[: edges[1]].T @ c[: edges[1]]
     for i in range(len(q_ids)):
@@ -76,7 +92,7 @@ def block_top_k(q: np.ndarray, c: np.ndarray, q_ids: np.ndarray, c_ids: np.ndarr
             if s > 1:
                 score = score + q[edges[s - 1] : edges[s], i] @ (c[edges[s - 1] : edges[s]] if alive is None else c[edges[s - 1] : edges[s]][:, alive])
             if s + 1 < len(edges):
-                reach = score + rest_q[s][i] * (rest_c[s] if alive is None else rest_c[s][alive]) + 1e-6 * (1 + abs(bar[i]))
+                reach = score + rest_q[s][i] * (rest_c[s] if alive is None else rest_c[s][alive])
                 stay = np.flatnonzero(reach >= bar[i])
                 if len(stay) < 0.7 * len(score):
                     alive = stay if alive is None else alive[stay]
@@ -86,41 +102,47 @@ def block_top_k(q: np.ndarray, c: np.ndarray, q_ids: np.ndarray, c_ids: np.ndarr
         if not other.all():
             who, score = who[other], score[other]
         if len(who) > k:
-            least = np.partition(score, -k)[-k]
-            near = score >= least
+            near = score >= np.partition(score, -k)[-k] - (0 if exact else 2 * slack[i])
             who, score = who[near], score[near]
-        order = np.lexsort((c_ids[who], -score))[:k]
+        score = score.astype(np.int64) if exact else (whole_q[:, i, None] * whole_c[:, who].astype(np.int64)).sum(0)
+        order = np.lexsort((c_ids[who], ~score))[:k]
         out_q.append(np.full(len(order), i))
         out_c.append(who[order])
         out_s.append(score[order])
     return np.concatenate(out_q), np.concatenate(out_c), np.concatenate(out_s)
 
 
+def _block(raw: bytes, width: int, dim: int) -> np.ndarray:
+    return np.frombuffer(raw, f"<i{width}").reshape(dim, -1)
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k best of `vectors` for each row of `queries`."""
-    ready(vectors.sparkSession)
+    spark = ready(vectors.sparkSession)
 
     def whole(df):
         rows = df.select(df[id_col].cast("long").alias("id"), df[vector_col].cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
         rows = rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
         return rows.select("id", F.transform("v", lambda x: F.floor(x * scale)).alias("v"), F.size("v").alias("dim"))
 
-    q = _packed(whole(queries), QUERY_BLOCK).select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"))
-    c = _packed(whole(vectors), CANDIDATE_BLOCK)
-    # the stated queries meet all rows block by block; salting by a candidate block spreads the pairs
-    pairs = c.join(q, "dim").repartition(F.col("block"), F.col("q_block"))
+    c = written(_packed(whole(vectors), CANDIDATE_BLOCK), "topk-blocks")
+    blocks = c.count()
+    groups = max(-(-blocks // GROUP_BLOCKS), min(blocks, 2 * spark.sparkContext.defaultParallelism), 1)
+    c = c.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
+    q = _packed(whole(queries), QUERY_BLOCK).select("dim", F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("rows").alias("q_rows"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
+    pairs = c.join(q.hint("shuffle_merge"), ["dim", "part"]).select("dim", "ids", "width", "rows", "q_ids", "q_width", "q_rows")
 
     def run(batches):
         for batch in batches:
-            for dim, _, ids, rows, q_ids, q_rows in zip(*(batch.column(x).to_pylist() for x in ("dim", "block", "ids", "rows", "q_ids", "q_rows"))):
+            for dim, ids, width, rows, q_ids, q_width, q_rows in zip(*(x.to_pylist() for x in batch.columns)):
                 a, b = np.frombuffer(q_ids, np.int64), np.frombuffer(ids, np.int64)
                 if not dim:
-                    left, right, score = np.repeat(np.arange(len(a)), len(b)), np.tile(np.arange(len(b)), len(a)), np.zeros(len(a) * len(b))
-                    keep = a[left] != b[right]
-                    left, right, score = left[keep], right[keep], score[keep]
-                else:
-                    left, right, score = block_top_k(np.frombuffer(q_rows, np.int32).reshape(dim, -1).astype(np.float64), np.frombuffer(rows, np.int32).reshape(dim, -1).astype(np.float64), a, b, k)
-                yield pa.RecordBatch.from_arrays([pa.array(a[left]), pa.array(b[right]), pa.array(score.astype(np.int64))], ["query_id", "vec_id", "score"])
+                    for i in range(len(a)):  # all scores are 0
+                        best = np.sort(b[b != a[i]])[:k]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), a[i])), pa.array(best), pa.array(np.zeros(len(best), np.int64))], ["query_id", "vec_id", "score"])
+                    continue
+                left, right, score = block_top_k(_block(q_rows, q_width, dim), _block(rows, width, dim), a, b, k)
+                yield pa.RecordBatch.from_arrays([pa.array(a[left]), pa.array(b[right]), pa.array(score)], ["query_id", "vec_id", "score"])
 
     found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 
@@ -169,18 +170,30 @@ def test_urls(spark):
     assert got == {1: ("example.org/es/", "block"), 2: ("example.org/en/1", "block"), 3: ("com/fr/", "allow"), 4: ("com/de/", "block"), 5: (None, "allow"), 6: (None, "allow"), 7: (None, "allow"), 8: (None, "allow"), 9: ("org/", "allow")}
 
 
-def test_topk(spark):
+def exact_top(rows, k, step=20):
+    v = {}
+    for i, x in rows:
+        if i is not None and x is not None and all(y is not None and math.isfinite(y) for y in x):
+            v.setdefault(i, []).append([math.floor(64 * y) for y in x])
+    out = {}
+    for i in (i for i in v if i % step == 0):
+        for q in v[i]:
+            all_ = [(sum(a * b for a, b in zip(q, c)), j) for j in v if j != i for c in v[j] if len(c) == len(q)]
+            out.setdefault(i, []).append([(j, s) for s, j in sorted(all_, key=lambda x: (-x[0], x[1]))[:k]])
+    return out
+
+
+@pytest.mark.parametrize(("scale", "query_scale"), [(1.0, 1.0), (1e6, 1e6), (1e8, 1.0), (3e12, 1.0)])  # the second and last need more than 53 bits
+def test_topk(spark, scale, query_scale):
     rng = np.random.default_rng(8)
-    rows = [(i, rng.normal(size=32).round(1).tolist()) for i in range(300)] + [(1000, None), (1001, [float("nan")] * 32), (1002, [1.0, None] * 16), (1003, [0.5] * 7)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    rows = [(i, (rng.normal(size=40).round(1) * (scale if i % 20 else query_scale)).tolist()) for i in range(300)] + [(1000, None), (1001, [float("nan")] * 32), (1002, [1.0, None] * 16), (1003, [0.5] * 7), (None, [0.5] * 40), (1004, []), (1020, []), (1006, [float("inf")])]
+    rows += [(2000 + i, [1.0] * 6) for i in range(30)]  # ties
+    df = spark.createDataFrame([(i, x, i) for i, x in rows], "vec_id long, embedding array<double>, id long")
     got = {}
     for r in topk.top_k(df, df.where("vec_id % 20 = 0"), 5).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
-    v = {i: np.floor(64 * np.array(x)).astype(int) for i, x in rows[:300]}
-    for q in range(0, 300, 20):
-        want = sorted(((i, int(v[i] @ v[q])) for i in v if i != q), key=lambda x: (-x[1], x[0]))[:5]
-        assert got[q] == want
-    assert set(got) == set(range(0, 300, 20))
+    assert got == {i: x[0] for i, x in exact_top(rows, 5).items() if x[0]}
+    assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
 def test_packing(spark):
