@@ -1,12 +1,13 @@
 """Byte-pair encoding and decoding by a pair occurrence index.
 
-The texts of a partition are cut into pieces, equal pieces are kept once, and the symbols of all
+The texts of a partition are cut into pieces, equal pieces are kept once (by their bytes), and the symbols of all
 distinct pieces lie in one array. Each adjacent pair that has a merge rank is listed with all its
 positions; ranks that are active are applied in ascending order, each at all its positions at once,
-and only the lists of pairs beside a merge are updated.
+and only the lists of pairs beside a merge are updated. A partition is indexed INDEX_BYTES of text at a time; a longer
+text is indexed alone, in memory in proportion to it.
 
-Nulls are encoded like empty texts (no ids). Empty tables give empty tables. Columns of the input
-other than the named ones are carried along or ignored as each function says.
+Nulls are encoded like empty texts (no ids). Empty tables give empty tables, repeated rows repeated rows. Columns of
+the input other than the named ones are ignored. Of pairs that overlap, as in a run of one symbol, the first is merged.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -27,7 +27,7 @@ from . import text as tx
 from .session import ready, table
 
 #: Bytes of text whose pieces are indexed together.
-INDEX_BYTES = 8 << 20
+INDEX_BYTES = 4 << 20
 
 # The characters with the Unicode property White_Space.
 _WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -36,7 +36,6 @@ _ENDINGS = ["s", "t", "re", "ve", "m", "ll", "d"]
 _OTHER, _LETTER, _DIGIT, _BLANK, _SPECIAL = 0, 1, 2, 3, 4
 
 
-@functools.lru_cache(1)
 def _classes() -> np.ndarray:
     kinds = {"L": _LETTER, "N": _DIGIT}
     out = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], _OTHER) for c in range(0x110000)), np.uint8, 0x110000)
@@ -52,7 +51,7 @@ def _byte_letters() -> dict[str, int]:
 
 
 class Vocabulary:
-    """A byte-level BPE vocabulary of the tokenizers library's JSON format."""
+    """A byte-level BPE vocabulary of the tokenizers library's JSON format, as arrays that are broadcast."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -80,6 +79,7 @@ class Vocabulary:
         keys = self.left.astype(np.int64) * size + self.right
         order = np.argsort(keys, kind="stable")
         self.keys, self.key_ranks = keys[order], order.astype(np.int32)
+        self.classes = _classes()
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The merge rank of each pair, -1 where there is none."""
@@ -91,6 +91,7 @@ class Vocabulary:
 
 @functools.lru_cache(4)
 def vocabulary(path: str) -> Vocabulary:
+    """The vocabulary in a file, read by the driver only."""
     return Vocabulary(path)
 
 
@@ -109,14 +110,14 @@ def _code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cp, first
 
 
-def pieces(data: np.ndarray, offsets: np.ndarray, special: dict[bytes, int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def pieces(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray, special: dict[bytes, int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends (in bytes) of the pieces before merging, and the special id of a piece or -1."""
     if len(data) == 0:
         none = np.zeros(0, np.int64)
         return none, none, none
     cp, first = _code_points(data)
     n = len(cp)
-    kind = _classes()[cp]
+    kind = classes[cp]
     wall = np.zeros(n + 1, bool)  # a document or a special token starts here, or one has just ended
     wall[np.searchsorted(first, offsets)] = True
     marks: dict[int, int] = {}
@@ -263,31 +264,33 @@ def spread(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.nda
 
 def encode(data: np.ndarray, offsets: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all documents and their offsets."""
-    keys, spans, doc_pieces = [], [], []
+    hashes, spans, doc_pieces = [], [], []
     for a, b in tx.chunks(offsets):
         lo, hi = offsets[a], offsets[b]
         part, off = data[lo:hi], offsets[a : b + 1] - lo
-        s, e, special = pieces(part, off, v.special)
-        h = tx.span_hashes(part, s, e) + (e - s).astype(np.uint64)
-        if (special >= 0).any():
-            h[special >= 0] = (special[special >= 0]).astype(np.uint64)
-        keys.append(h)
-        spans.append(np.stack([s + lo, np.where(special >= 0, -1 - special, e + lo)]))
+        s, e, special = pieces(part, off, v.classes, v.special)
+        hashes.append(tx.span_hashes(part, s, e))
+        spans.append(np.stack([s + lo, e + lo, special]))
         doc_pieces.append(np.diff(np.searchsorted(s, off)))
-    if not keys:
+    if not hashes:
         return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
-    codes, unique = pd.factorize(np.concatenate(keys))
-    del keys
-    where = np.empty(len(unique), np.int64)
+    start, end, special = np.concatenate(spans, axis=1)
+    keys = tx.exact_keys(data, start, end, np.concatenate(hashes))
+    some = special >= 0
+    keys[some] = special[some].astype(np.uint64) | np.uint64(1 << 61)
+    del hashes, spans
+    coded = pa.array(keys.view(np.int64)).dictionary_encode()
+    codes, unique = coded.indices.to_numpy(), len(coded.dictionary)
+    del keys, coded
+    where = np.empty(unique, np.int64)
     where[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-    span = np.concatenate(spans, axis=1)[:, where]
-    del spans
+    start, end, special = start[where], end[where], special[where]
     # the symbols of distinct pieces; a special piece is one symbol that no merge takes
-    special = span[1] < 0
-    length = np.where(special, 1, span[1] - span[0])
-    symbols = v.of_byte[spread(data, span[0], length)]
+    some = special >= 0
+    length = np.where(some, 1, end - start)
+    symbols = v.of_byte[spread(data, start, length)]
     ends = np.cumsum(length)
-    symbols[ends[special] - 1] = -1 - span[1][special]
+    symbols[ends[some] - 1] = special[some]
     ids, counts = merge_all(symbols, ends, v)
     starts = np.cumsum(counts) - counts
     per_doc = np.concatenate(doc_pieces)
@@ -306,14 +309,14 @@ def decode(ids: np.ndarray, offsets: np.ndarray, v: Vocabulary) -> tuple[np.ndar
     return out, np.append(0, np.cumsum(length))[offsets]
 
 
-def encoded_batches(batches: Iterator[pa.RecordBatch], path: str, keep: Callable, text_col: str = "text") -> Iterator[pa.RecordBatch]:
+def encoded_batches(batches: Iterator[pa.RecordBatch], v: Vocabulary, keep: Callable, text_col: str = "text") -> Iterator[pa.RecordBatch]:
     """Encode batch by batch in pieces of INDEX_BYTES; keep(batch slice, ids, offsets, data, data offsets) makes the output."""
-    v = vocabulary(path)
     for batch in _gathered(batches):
         data, off = tx.utf8(batch.column(batch.schema.get_field_index(text_col)))
         for a, b in tx.chunks(off, INDEX_BYTES):
             part, part_off = data[off[a] : off[b]], off[a : b + 1] - off[a]
             yield from keep(batch.slice(a, b - a), *encode(part, part_off, v), part, part_off)
+            tx.trim()
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,12 +338,13 @@ def bpe_encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     adding special tokens. Null texts have no ids; repeated rows give repeated rows."""
     ready(df.sparkSession)
     source = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary(path))
 
     def keep(batch, ids, at, *_):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))], ["id", "ids"])
 
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(lambda it: encoded_batches(it, path, keep), f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return source.mapInArrow(lambda it: encoded_batches(it, shared.value, keep), f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def bpe_decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -348,9 +352,10 @@ def bpe_decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     Null lists give empty texts, bytes that are no UTF-8 give U+FFFD."""
     ready(df.sparkSession)
     source = df.select(df[id_col].alias("id"), df[ids_col].cast("array<int>").alias("ids"))
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary(path))
 
     def run(batches):
-        v = vocabulary(path)
+        v = shared.value
         for batch in batches:
             lists = batch.column(1)
             n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -372,9 +377,10 @@ def default_path() -> str:
 def round_trip(df: DataFrame, path: str) -> DataFrame:
     """Encode and decode every text in one pass; digests of the ids and of the decoded text."""
     ready(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary(path))
 
     def run(batches):
-        v = vocabulary(path)
+        v = shared.value
 
         def keep(batch, ids, at, *_):
             raw = ids.astype("<u4").tobytes()
@@ -390,7 +396,7 @@ def round_trip(df: DataFrame, path: str) -> DataFrame:
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-        yield from encoded_batches(batches, path, keep)
+        yield from encoded_batches(batches, v, keep)
 
     return df.select("doc_id", "text").mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
