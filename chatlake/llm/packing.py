@@ -1,18 +1,21 @@
 """Harmonic packing of token sequences.
 
-Lengths fall into classes of reciprocal capacity: a bin of the class of lengths l holds floor(capacity / l)
-pieces, and nothing but the class and the count decides where a piece goes, so that every task packs its
-rows alone. As documents may be cut, a document gives as many full pieces as it fills and its rest is cut
-at powers of two down to GRAIN; each class then has one length only, the classes of powers of two fill
-their bins exactly, and those below GRAIN leave less than one piece. The bins that a task leaves open at
-its end, at most one per class, are packed together, largest pieces first.
+Lengths fall into classes of reciprocal capacity: a piece of length l is of class k = floor(capacity / l), and a bin of
+class k takes k pieces, whatever their lengths in that class. Nothing but the class and the count decides where a
+piece goes, so that every task packs its rows alone.
+
+A document longer than a bin gives full pieces, and its rest goes whole into its class, or in two pieces if these leave
+at least WORTH tokens less of their bins' shares empty: 700 tokens as 512 and 188 fill halves and fifths. The bins that a
+task leaves open at its end are packed together, largest pieces first.
 
 Null texts are empty: a document of the end id alone. Empty tables give empty tables. Repeated rows are
-packed like different documents. Other columns are ignored.
+packed like different documents, and rows without an id too. Very long texts give as many full pieces as they fill.
+Ties between two cuts go to the shorter second piece. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import zlib
 
 import numpy as np
@@ -24,33 +27,36 @@ from . import bpe
 from .session import ready, table
 
 CAPACITY = 1024
-GRAIN = 16
+#: Tokens of padding that a second piece has to save.
+WORTH = 4
 END_ID = 0
 
 
-def cut(n: np.ndarray, capacity: int = CAPACITY, grain: int = GRAIN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+@functools.lru_cache(4)
+def second_pieces(capacity: int) -> np.ndarray:
+    """The length of the second piece of a rest of each length, 0 where the rest stays whole."""
+    length = np.arange(capacity + 1)
+    empty = np.full(capacity + 1, np.inf)
+    empty[1:] = capacity / (capacity // length[1:]) - length[1:]  # of a piece's share of its bin
+    out = np.zeros(capacity + 1, np.int64)
+    for r in range(2, capacity + 1):
+        both = empty[1 : r // 2 + 1] + empty[r - 1 : r - r // 2 - 1 : -1]
+        best = int(both.argmin())
+        if both[best] + WORTH <= empty[r]:
+            out[r] = best + 1
+    return out
+
+
+def cut(n: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pieces of documents of n tokens: document numbers, starts and lengths, in order."""
     full = n // capacity
     rest = n - full * capacity
-    docs = [np.repeat(np.arange(len(n)), full)]
-    lengths = [np.full(int(full.sum()), capacity, np.int64)]
-    rank = [np.zeros(int(full.sum()), np.int64)]
-    size = 1 << ((capacity - 1).bit_length() - 1)
-    while size >= grain:
-        has = np.flatnonzero(rest & size)
-        docs.append(has)
-        lengths.append(np.full(len(has), size, np.int64))
-        rank.append(np.full(len(has), capacity - size, np.int64))
-        size >>= 1
-    tail = rest & (grain - 1)
-    has = np.flatnonzero(tail)
-    docs, lengths, rank = np.concatenate([*docs, has]), np.concatenate([*lengths, tail[has]]), np.concatenate([*rank, np.full(len(has), capacity)])
-    order = np.lexsort((rank, docs))
-    docs, lengths = docs[order], lengths[order]
-    ends = np.cumsum(lengths)
-    first = np.searchsorted(docs, np.arange(len(n)))
-    before = np.append(0, ends)[first]
-    return docs, ends - lengths - before[docs], lengths
+    second = second_pieces(capacity)[rest]
+    count = full + (rest > 0) + (second > 0)
+    docs = np.repeat(np.arange(len(n)), count)
+    place = np.arange(len(docs)) - np.repeat(np.cumsum(count) - count, count)
+    lengths = np.where(place < full[docs], capacity, np.where(place == full[docs], (rest - second)[docs], second[docs]))
+    return docs, np.minimum(place, full[docs]) * capacity + np.where(place > full[docs], (rest - second)[docs], 0), lengths
 
 
 class Bins:
@@ -61,40 +67,42 @@ class Bins:
 
     def add(self, lengths: np.ndarray, rows: np.ndarray):
         """Rows (any 2-d array) of pieces; gives (rows, sequence ids, offsets) of the bins that are full now."""
-        for length in np.unique(lengths).tolist():
-            new = rows[lengths == length]
-            old = self.held.pop(length, None)
-            new = new if old is None else np.concatenate([old, new])
-            count = self.capacity // length
-            whole = len(new) // count * count
+        classes = self.capacity // lengths
+        for k in np.unique(classes).tolist():
+            here = classes == k
+            size, new = lengths[here], rows[here]
+            if k in self.held:
+                size, new = np.concatenate([self.held[k][0], size]), np.concatenate([self.held.pop(k)[1], new])
+            whole = len(new) // k * k
             if whole < len(new):
-                self.held[length] = new[whole:]
+                self.held[k] = size[whole:], new[whole:]
             if whole:
-                k = np.arange(whole)
-                yield new[:whole], self.next + k // count, k % count * length
-                self.next += whole // count
+                inside = size[:whole].reshape(-1, k)
+                yield new[:whole], self.next + np.arange(whole) // k, (np.cumsum(inside, 1) - inside).ravel()
+                self.next += whole // k
 
     def close(self):
         """What is held back, largest pieces first, each bin filled before the next."""
-        used = self.capacity
-        self.next -= 1
-        for length in sorted(self.held, reverse=True):
-            rows = self.held.pop(length)
-            seqs, offs = np.empty(len(rows), np.int64), np.empty(len(rows), np.int64)
-            for i in range(len(rows)):
-                if used + length > self.capacity:
-                    self.next, used = self.next + 1, 0
-                seqs[i], offs[i] = self.next, used
-                used += length
-            yield rows, seqs, offs
+        if not self.held:
+            return
+        size, rows = (np.concatenate(x) for x in zip(*self.held.values()))
+        self.held = {}
+        order = np.argsort(-size, kind="stable")
+        seqs, offs = np.empty(len(size), np.int64), np.empty(len(size), np.int64)
+        used, self.next = self.capacity, self.next - 1
+        for i, length in enumerate(size[order].tolist()):
+            if used + length > self.capacity:
+                self.next, used = self.next + 1, 0
+            seqs[i], offs[i] = self.next, used
+            used += length
+        yield rows[order], seqs, offs
 
 
 def pack(df: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: the id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and the ids)."""
     ready(df.sparkSession)
     source = df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text"))
-    if capacity & (capacity - 1):
-        raise ValueError("the capacity is a power of two")
+    shared = df.sparkSession.sparkContext.broadcast(bpe.vocabulary(path))
 
     def run(batches):
         bins = Bins(TaskContext.get().partitionId(), capacity)
@@ -128,7 +136,7 @@ def pack(df: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = Fa
             seen += len(docs)
             yield from rows(bins.add(lengths, part))
 
-        yield from bpe.encoded_batches(batches, path, keep)
+        yield from bpe.encoded_batches(batches, shared.value, keep)
         yield from rows(bins.close())
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
