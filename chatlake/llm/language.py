@@ -4,31 +4,35 @@ For each language a zstandard dictionary is made of raw text. A text is compress
 each of them; the language of the smallest sum wins, and the prediction is rejected where the margin to
 the second is narrow. Case is folded on both sides.
 
-Null texts and texts without a letter are `und`, with score 0, and rejected. Ties of sizes go to the
-language with more training rows, then to the first by name. With no usable training row every text is `und`. Repeated rows are
-judged alike; columns with other names are ignored.
+Null and empty texts and texts without a letter (Unicode's categories L) are `und`, with score 0, and rejected. Ties of
+sizes go to the language with more distinct training texts, then to the first by name. With no usable training row, as
+of an empty table, every text is `und`. Repeated rows are judged alike, very long texts block by block to their end;
+columns with other names are ignored, and kept by keep_identified.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .session import ready, table
 
-#: The bounded sample: so many distinct training texts of each language, and so many characters of each.
-SAMPLE_ROWS, SAMPLE_CHARS = 400, 500
-DICTIONARY_BYTES = 112 << 10
+#: The bounded sample: a dictionary is filled with whole distinct texts, drawn by a hash from all rows of its language,
+#: until no other fits into so many bytes. Texts of more than TEXT_BYTES are not drawn; a language that has no other
+#: gives its shortest.
+DICTIONARY_BYTES, TEXT_BYTES = 112 << 10, 14 << 10
+#: Bytes that are drawn for each that is wanted, so that chance hardly leaves a dictionary short.
+DRAWN = 3
 BLOCK = 8 << 10
 LEVEL = 6
 #: The least difference to the second size, as a share of it, and 1 - 1/e of the way to score 1.
 NARROW, SOFT = 0.0015, 0.02
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
+_HASHES = 1 << 40
 
 
 def held_out(id_col: str = "doc_id"):
@@ -36,19 +40,27 @@ def held_out(id_col: str = "doc_id"):
 
 
 def learn(rows: DataFrame, lang_col: str = "lang", text_col: str = "text") -> dict[str, bytes]:
-    """Raw-content dictionaries by language, the language with most rows first, from a sample of rows with a non-null language and a letter in
-    their text. The sample is bounded by SAMPLE_ROWS distinct texts a language and SAMPLE_CHARS of each, from a place that its hash chooses, whatever the input."""
-    usable = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
-    # copies count once: keys first, so that only the texts of the sample are sent
-    keys = usable.select("lang", "h").distinct().withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= SAMPLE_ROWS)
-    start = F.pmod("h", F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1))).cast("int") + 1
-    part = usable.join(F.broadcast(keys), ["lang", "h"]).select("lang", "n", F.substr("text", start, F.lit(SAMPLE_CHARS)).alias("text"))
-    sample = part.groupBy("lang", "n").agg(F.min("text").alias("text"))
-    rows = {r.lang: r.rows for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).collect()}
-    out: dict[str, list[bytes]] = {}
-    for row in sorted(sample.collect(), key=lambda r: (-rows[r.lang], r.lang, -r.n)):
-        out.setdefault(row.lang, []).append(row.text.lower().encode())
-    return {k: b"\n".join(v)[-DICTIONARY_BYTES:] for k, v in out.items()}
+    """Raw-content dictionaries by language, the language with most distinct texts first, from rows with a non-null
+    language and a letter in their text. The driver gets two numbers a language and DRAWN dictionaries of text."""
+    usable = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    usable = usable.select("lang", "text", F.xxhash64("text").alias("h"), F.octet_length("text").alias("bytes"))
+    # copies count once
+    distinct = usable.select("lang", "h", "bytes").distinct()
+    found = distinct.groupBy("lang").agg(F.count(F.lit(1)).alias("texts"), F.sum(F.when(F.col("bytes") <= TEXT_BYTES, F.col("bytes"))).alias("bytes")).collect()
+    if not found:
+        return {}
+    share = [(r.lang, int(min(1.0, DRAWN * DICTIONARY_BYTES / r.bytes) * _HASHES)) for r in found if r.bytes]
+    drawn = rows.sparkSession.createDataFrame(share, "lang string, most long")
+    sample = usable.where(F.col("bytes") <= TEXT_BYTES).join(F.broadcast(drawn), "lang").where(F.pmod(F.xxhash64("h"), F.lit(_HASHES)) < F.col("most"))
+    texts = sample.groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
+    if long := [r.lang for r in found if not r.bytes]:
+        texts += usable.where(F.col("lang").isin(long)).groupBy("lang").agg(F.min_by("text", F.struct("bytes", "h")).alias("text"), F.lit(0).alias("h")).collect()
+    out: dict[str, bytes] = {r.lang: b"" for r in sorted(found, key=lambda r: (-r.texts, r.lang))}
+    for row in sorted(texts, key=lambda r: r.h):
+        raw = row.text.lower().encode() + b"\n"
+        if not out[row.lang] or len(out[row.lang]) + len(raw) <= DICTIONARY_BYTES:
+            out[row.lang] += raw
+    return {k: v for k, v in out.items() if v}
 
 
 class Classifier:
