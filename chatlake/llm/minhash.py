@@ -12,7 +12,9 @@ members, what shares a bucket and is still in different components is tried agai
 and then by an exact prefix filter on the full sets, which needs no cap on the size of a bucket.
 
 Null and empty texts have empty sets and are linked with nothing. Rows without an id are linked with
-nothing and stay. Repeated rows (same id, same text) give equal rows. Columns with other names are ignored.
+nothing and stay. Repeated rows (same id, same text) give equal rows. An empty table gives an empty table. Very long
+texts take memory in proportion to them. Of equal sets, as of a component, the smallest id stands for all. Columns with
+other names are ignored.
 """
 
 from __future__ import annotations
@@ -118,9 +120,9 @@ def _described(docs: DataFrame, n_bands: int, rows: int) -> DataFrame:
                     prints.append(total[at[1:]] - total[at[:-1]])
                 keys = band_keys(signatures(h, d, n), n_bands, rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * n_bands, pa.int32()), pa.array(tx.signed(keys.ravel())))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.array(count.astype(np.int32)), *(pa.array(tx.signed(p)) for p in prints), lists], ["id", "n", "f1", "f2", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.array(count.astype(np.int64)), *(pa.array(tx.signed(p)) for p in prints), lists], ["id", "n", "f1", "f2", "keys"])
 
-    return docs.mapInArrow(run, "id long, n int, f1 long, f2 long, keys array<long>")
+    return docs.mapInArrow(run, "id long, n long, f1 long, f2 long, keys array<long>")
 
 
 def _packed_texts(docs: DataFrame) -> DataFrame:
@@ -210,9 +212,9 @@ def _prefix_pairs(texts: DataFrame, members: DataFrame, percent: int) -> DataFra
             n = np.bincount(doc, minlength=part.num_rows)
             take = np.arange(len(h)) - first[doc] < (n + (-percent * n) // 100 + 1)[doc]
             at = pa.array(doc[take])
-            yield pa.RecordBatch.from_arrays([pa.array(tx.signed(h[take])), part.column(0).take(at), part.column(1).take(at), part.column(2).take(at), pa.array(n[doc[take]].astype(np.int32)), pa.array((np.arange(len(h)) - first[doc])[take].astype(np.int32))], ["token", "rep", "comp", "own", "n", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(tx.signed(h[take])), part.column(0).take(at), part.column(1).take(at), part.column(2).take(at), pa.array(n[doc[take]].astype(np.int64)), pa.array((np.arange(len(h)) - first[doc])[take].astype(np.int32))], ["token", "rep", "comp", "own", "n", "at"])
 
-    tokens = written(rows.mapInArrow(prefixes, "token long, rep long, comp long, own long, n int, at int").where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")), "minhash-prefixes")
+    tokens = written(rows.mapInArrow(prefixes, "token long, rep long, comp long, own long, n long, at int").where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")), "minhash-prefixes")
     mixed = tokens.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
     tokens = tokens.join(mixed, "token", "left_semi")
     other = tokens.select("token", F.col("rep").alias("b"), F.col("comp").alias("kb"), F.col("n").alias("nb"), F.col("own").alias("ob"), F.col("at").alias("pb"))
@@ -241,7 +243,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     near = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     texts = written(_packed_texts(docs.where("id IS NOT NULL")).join(buckets.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]), "minhash-texts")
 
-    tried = labels = links = None
+    tried = labels = None
     for turn in range(1, TURNS + 1):
         rows_now = buckets if labels is None else buckets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
         if labels is None:
@@ -272,9 +274,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
         edges = written(edges, "minhash-edges")
         found = written(_confirmed(edges, texts, percent), "minhash-links")
         tried = edges if tried is None else tried.unionByName(edges)
-        links = found if links is None else links.unionByName(found)
         if not found.isEmpty() or labels is None:
-            labels = connected(links)
+            # what is known of the components stands for the links before this turn
+            known = labels.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")) if labels is not None else None
+            labels = connected(found if known is None else found.unionByName(known))
     parts = classes.select("f1", "f2", "n", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.col("n").alias("size"), F.coalesce("component", "rep").alias("component"))
     on = (described["f1"] == parts["f1"]) & (described["f2"] == parts["f2"]) & (described["n"] == parts["size"]) & (described["n"] > 0) & described["id"].isNotNull()
     out = described.join(parts, on, "left").select("id", described["n"].alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
@@ -283,3 +286,20 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
 
 def op9_minhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), 85)
+
+
+OP9_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS e FROM d),
+c AS (SELECT list_sort(e) AS e, min(doc_id) AS rep FROM s WHERE len(e) > 0 AND doc_id IS NOT NULL GROUP BY 1),
+t AS (SELECT rep, len(e) AS n, unnest(e) AS x FROM c),
+f AS (SELECT x, count(*) AS m FROM t GROUP BY 1),
+o AS (SELECT rep, n, t.x, row_number() OVER (PARTITION BY rep ORDER BY m, t.x) AS p FROM t JOIN f ON t.x = f.x),
+k AS (SELECT DISTINCT a.rep AS a, b.rep AS b FROM o a JOIN o b ON a.x = b.x AND a.rep < b.rep AND a.p <= a.n - ceil(0.85 * a.n) + 1 AND b.p <= b.n - ceil(0.85 * b.n) + 1),
+l AS (SELECT a, b FROM k JOIN c x ON x.rep = a JOIN c y ON y.rep = b WHERE 100 * len(list_intersect(x.e, y.e)) >= 85 * (len(x.e) + len(y.e) - len(list_intersect(x.e, y.e)))),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(node, root) AS (SELECT rep, rep FROM c UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.node),
+m AS (SELECT node, min(root) AS root FROM r GROUP BY 1),
+q AS (SELECT s.doc_id, len(s.e) AS n, coalesce(m.root, s.doc_id) AS component_id FROM s LEFT JOIN c ON list_sort(s.e) = c.e LEFT JOIN m ON m.node = c.rep)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM q
+"""
