@@ -5,10 +5,11 @@ that any rule could have: host suffixes and path prefixes of the (number of labe
 occur among the rules. Keys that the Bloom filter passes are joined with the rules themselves, which
 removes its false positives.
 
-Null addresses and those without `://` have an empty host and path; no rule fits them. Of several rules
-that fit, the longest (host and path) wins; of an allow and a block rule for the same key, block wins.
-Repeated rows are judged alike. Columns with other names are carried along unless they are named like an
-output column, which then replaces them.
+Null and empty addresses and those without `://` have an empty host and path; no rule fits them. Of several rules
+that fit, the longest (host and path) wins; of two of one length, that with the longer host; of an allow and a block
+rule for the same key, block wins. Repeated rows are judged alike, very long addresses like others; an empty table
+gives an empty table. Columns with other names are carried along unless they are named like an output column, which then
+replaces them.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 
 from .session import ready, table
 
-#: The filter has one word of 64 bits per this many rules, and never more words than MOST_WORDS (16 MB).
+#: The filter has one word of 64 bits per this many rules. Up to MOST_WORDS words (16 MB) it is broadcast, beyond that
+#: it is joined like any table.
 RULES_PER_WORD = 4
 MOST_WORDS = 1 << 21
 BITS_PER_RULE = 5
@@ -69,7 +71,7 @@ def apply_rules(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
     rules = rules.select("verdict", "rule", F.concat(host, path).alias("key"), F.size(F.split(host, r"\.")).alias("labels"), F.length(path).alias("length"))
     rules = rules.groupBy("key").agg(F.max_by(F.struct("rule", "verdict"), F.struct("verdict", "rule")).alias("hit"), F.max("labels").alias("labels"), F.max("length").alias("length"))
     n = rules.count()
-    words = min(MOST_WORDS, 1 << max(6, math.ceil(math.log2(max(1, n / RULES_PER_WORD)))))
+    words = 1 << max(6, math.ceil(math.log2(max(1, n / RULES_PER_WORD))))
     bloom = rules.groupBy(_word(F.col("key"), words).alias("word")).agg(F.bit_or(_mask(F.col("key"))).alias("bits"))
     shapes = rules.groupBy("labels", "length").agg(F.lit(0).alias("one")).groupBy("one").agg(F.collect_list(F.struct("labels", "length")).alias("shapes"))
 
@@ -85,10 +87,11 @@ def apply_rules(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
         ),
     )
     keys = parts.withColumn("one", F.lit(0)).join(F.broadcast(shapes), "one").withColumn("labels", labels).select("h", "p", F.explode(F.array_compact(key)).alias("key"))
-    possible = keys.withColumn("word", _word(F.col("key"), words)).join(F.broadcast(bloom), "word").where(F.col("bits").bitwiseAND(_mask(F.col("key"))) == _mask(F.col("key")))
+    bloom = F.broadcast(bloom) if words <= MOST_WORDS else bloom
+    possible = keys.withColumn("word", _word(F.col("key"), words)).join(bloom, "word").where(F.col("bits").bitwiseAND(_mask(F.col("key"))) == _mask(F.col("key")))
     # no hint: the rules are broadcast only below the session's size limit, else AQE splits hot keys
     hits = possible.select("h", "p", "key").join(rules.select("key", "hit"), "key")
-    best = hits.groupBy("h", "p").agg(F.max_by("hit", F.length("key")).alias("__hit"))
+    best = hits.groupBy("h", "p").agg(F.max_by("hit", F.struct(F.length("key"), F.locate("/", "key"))).alias("__hit"))
     joined = pages.join(best, (pages["__host"] == best["h"]) & (pages["__path"] == best["p"]), "left")
     keep = [c for c in pages.columns if c not in ("__host", "__path", "host", "path", "rule", "verdict")]
     return joined.select(*(pages[c] for c in keep), F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__hit.rule").alias("rule"), F.coalesce(F.col("__hit.verdict"), F.lit(default)).alias("verdict"))
