@@ -17,4 +17,4 @@ QUERIES = {
     "op10_packing": packing.op10_packing,
 }
 
-ORACLES = {"op5_urls": urls.OP5_SQL, "op8_topk": topk.OP8_SQL}
+ORACLES = {"op1_warc": warc.OP1_SQL, "op3_passages": passages.OP3_SQL, "op5_urls": urls.OP5_SQL, "op8_topk": topk.OP8_SQL, "op9_minhash": minhash.OP9_SQL}

@@ -7,7 +7,8 @@ Spark commits like any other output; `export_archives` puts them into files.
 
 Null payloads are empty payloads, null addresses give records without a target. Rows without an id are
 never referred to: a class of equal payloads with null ids only is all response, else such rows revisit.
-Rows that repeat the smallest id of their class are all response. Columns with other names are ignored.
+Rows that repeat the smallest id of their class are all response. Very long payloads close their archive. An empty table gives no
+archive. Columns with other names are ignored.
 """
 
 from __future__ import annotations
@@ -37,15 +38,14 @@ DATE = "2024-01-01T00:00:00Z"
 
 
 def dictionary(records: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
-    """A dictionary for these records: trained, or where they are too few or too alike, their own bytes."""
+    """A dictionary for these records by one rule: what zstandard's trainer makes of them, and where it finds too little
+    to train on (it needs several records that have something in common), the bytes of the same samples."""
     stride = max(1, sum(map(len, records)) // TRAINING_BYTES)
     samples = [r[: TRAINING_BYTES // 8] for r in records[::stride]]
-    if len(samples) >= 16:
-        try:
-            return zstandard.train_dictionary(size, samples, k=512, d=8).as_bytes()
-        except zstandard.ZstdError:
-            pass
-    return b"".join(samples)[:size]
+    try:
+        return zstandard.train_dictionary(size, samples, k=512, d=8).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b"".join(samples)[:size]
 
 
 def _dict_data(raw: bytes) -> zstandard.ZstdCompressionDict | None:
@@ -198,3 +198,12 @@ def op1_warc(spark, sf_dir: str) -> DataFrame:
     return read_archives(written(write_archives(table(spark, sf_dir, "pages")), "op1-archives"), with_payload=False).drop("url")
 
 
+
+OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+c AS (SELECT h, min(page_id) AS first FROM p GROUP BY 1),
+x AS (SELECT p.page_id, p.h, unhex(sha1(p.h)) AS d, CASE WHEN p.page_id = c.first OR c.first IS NULL THEN NULL ELSE c.first END AS refers_to FROM p JOIN c ON p.h = c.h),
+b AS (SELECT *, (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(bits[i * 5 + 1 : i * 5 + 5]::BIT::INT AS INT) + 1, 1), '' ORDER BY i) FROM range(32) r(i)) AS payload_digest
+  FROM (SELECT *, (SELECT string_agg(lpad(bin(CAST('0x' || substr(hex(d), 1 + 2 * j, 2) AS INT)), 8, '0'), '' ORDER BY j) FROM range(20) s(j)) AS bits FROM x))
+SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM b
+"""
