@@ -311,7 +311,7 @@ def decode(ids: np.ndarray, offsets: np.ndarray, v: Vocabulary) -> tuple[np.ndar
 
 def encoded_batches(batches: Iterator[pa.RecordBatch], v: Vocabulary, keep: Callable, text_col: str = "text") -> Iterator[pa.RecordBatch]:
     """Encode batch by batch in pieces of INDEX_BYTES; keep(batch slice, ids, offsets, data, data offsets) makes the output."""
-    for batch in _gathered(batches):
+    for batch in tx.gathered(batches, INDEX_BYTES):
         data, off = tx.utf8(batch.column(batch.schema.get_field_index(text_col)))
         for a, b in tx.chunks(off, INDEX_BYTES):
             part, part_off = data[off[a] : off[b]], off[a : b + 1] - off[a]
@@ -319,20 +319,6 @@ def encoded_batches(batches: Iterator[pa.RecordBatch], v: Vocabulary, keep: Call
             tx.trim()
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches, several in one until they have about INDEX_BYTES."""
-    held: list[pa.RecordBatch] = []
-    size = 0
-    for batch in batches:
-        if held and size + batch.nbytes > INDEX_BYTES:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-            held, size = [], 0
-        held.append(batch)
-        size += batch.nbytes
-    if held:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-
 def bpe_encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: its id and `ids` array<int>, as the tokenizers library encodes it without
     adding special tokens. Null texts have no ids; repeated rows give repeated rows."""

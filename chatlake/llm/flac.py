@@ -1,11 +1,18 @@
 """Text bytes as 8-bit FLAC streams, and FLAC streams as PCM blocks with sample offsets.
 
-The encoder cuts a payload into blocks, takes for each the cheapest of a constant, the raw samples,
-fixed predictors and a fourth-order linear predictor, and writes Rice-coded residuals, CRC-8 and CRC-16
-sums and a seek table with every frame. The decoder finds the frames by the seek table and decodes all
-frames of a batch in step: sample i of every frame at once.
-
-Null texts are empty and still give one padded block of 64 bytes. Repeated rows give repeated rows.
+A sample is a byte's rank: the payload's most common byte is 0, the next ones are -1, 1, -2, and so on. Each stream
+says so itself, in an application block `rank` that lists its bytes in this order; of streams without that block a
+sample is the byte less 128, as in WAV files.
+
+The encoder cuts a payload into blocks and takes for each the cheapest of a constant, the raw samples, the fixed
+predictors of order 0 to 4 and a linear predictor, and writes Rice residuals in the cheapest number of partitions,
+CRC-8 and CRC-16 sums and a seek table with every frame. The decoder finds the frames by the seek table, or where that
+does not name all of them by their headers and sums, and decodes all frames of a batch in step: sample i of every frame
+at once.
+
+Null texts are empty and still give one padded block of 64 bytes. Repeated rows give repeated rows, equal texts equal
+streams; bytes that are as common as each other rank by value. Very long texts take memory in proportion to them. An empty table
+gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,27 +33,39 @@ RATE = 8000
 PAD = 64
 ORDER = 4
 PRECISION, SHIFT = 12, 10
-#: A linear predictor is tried for frames with a mean zigzag value above this.
-LOUD = 24
-# Bytes in order of how common they are in text; the others follow in order of value.
-_COMMON = b" etaoinsrhldcumfpgwybv.,kxjqz\n\xc3ETAIS"
+#: A block has 2 ** MOST_SPLITS partitions at most.
+MOST_SPLITS = 3
 #: Payload bytes that are coded or decoded together.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 # The coefficients of FLAC's fixed predictors of order 0 to 4.
 _FIXED = np.array([[0, 0, 0, 0], [1, 0, 0, 0], [2, -1, 0, 0], [3, -3, 1, 0], [4, -6, 4, -1]], np.int64)
 
 
-def _companding() -> tuple[np.ndarray, np.ndarray]:
-    """The sample of each byte (common bytes are small samples, as in the tables of companded audio) and back."""
-    ranked = [*_COMMON, *(b for b in range(256) if b not in _COMMON)]
-    sample, byte = np.zeros(256, np.int8), np.zeros(256, np.uint8)
-    for r, b in enumerate(ranked):
-        sample[b] = (r >> 1) ^ -(r & 1)
-        byte[int(sample[b]) & 0xFF] = b
-    return sample, byte
+_RANKED = np.array([(r >> 1) ^ -(r & 1) for r in range(256)]).astype(np.int8)  # the sample of each rank
+_APPLICATION = b"rank"
+
+
+def _ranks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The samples of all payloads, and the bytes of each in order of rank."""
+    docs = len(offsets) - 1
+    at = np.repeat(np.arange(docs, dtype=np.int32) * 256, np.diff(offsets)) + data
+    count = np.bincount(at, minlength=256 * docs).reshape(docs, 256)
+    order = np.argsort(-count, 1, kind="stable").astype(np.uint8)
+    sample = np.empty((docs, 256), np.int8)
+    np.put_along_axis(sample, order.astype(np.int64), np.broadcast_to(_RANKED, (docs, 256)), 1)
+    used = (count > 0).sum(1).tolist()
+    return sample.ravel()[at], [o[:n].tobytes() for o, n in zip(order, used)]
 
 
-_SAMPLE, _BYTE = _companding()
+def expanded(samples: np.ndarray, offsets: np.ndarray, ranked: list[bytes | None]) -> np.ndarray:
+    """The payload bytes of samples; ranked: of each stream, as its application block has them."""
+    plain = np.arange(256, dtype=np.uint8) ^ 0x80  # by the sample's bits
+    table = np.empty((len(ranked), 256), np.uint8)
+    for i, r in enumerate(ranked):
+        table[i] = plain
+        if r is not None:
+            table[i, _RANKED[: len(r)].view(np.uint8)] = np.frombuffer(r, np.uint8)
+    return table.ravel()[np.repeat(np.arange(len(ranked), dtype=np.int32) * 256, np.diff(offsets)) + samples.view(np.uint8)]
 
 
 def _crc_table(poly: int, bits: int) -> np.ndarray:
@@ -123,8 +142,9 @@ def _zigzag(r: np.ndarray) -> np.ndarray:
     return (r << 1) ^ (r >> 31)
 
 
-def _predictors(x: np.ndarray) -> np.ndarray:
-    """Quantised coefficients of the linear predictor of each row, by the Levinson recursion."""
+def _predictors(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Quantised coefficients of the linear predictor of each row, by the Levinson recursion, and about the bits that
+    it saves on a sample."""
     auto = np.stack([np.einsum("ij,ij->i", x[:, j:], x[:, : x.shape[1] - j]) for j in range(ORDER + 1)]).astype(np.float64)
     err, a = auto[0] * (1 + 1e-6) + 1e-6, np.zeros((ORDER, len(x)))
     for m in range(ORDER):
@@ -133,48 +153,86 @@ def _predictors(x: np.ndarray) -> np.ndarray:
         a[m] = k
         err = np.maximum(err * (1 - k * k), 1e-9)
     top = (1 << (PRECISION - 1)) - 1
-    return np.clip(np.rint(np.nan_to_num(a) * (1 << SHIFT)), -top, top).astype(np.int32)
+    return np.clip(np.rint(np.nan_to_num(a) * (1 << SHIFT)), -top, top).astype(np.int32), 0.5 * np.log2(np.maximum(auto[0], 1e-9) / err)
+
+
+def _rice(total: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The Rice parameter for n residuals whose zigzag values sum to `total`, and about the bits that they take."""
+    k = np.clip(np.log2(np.maximum(total / np.maximum(n, 1) * 0.6931, 1e-3)).astype(np.int64) + 1, 0, 14)
+    bits = np.stack([n * (1 + j) + np.maximum(total - n * ((1 << j) - 1) / 2, 0) / (1 << j) for j in (np.maximum(k - 1, 0), k)])
+    return np.where(bits[0] < bits[1], np.maximum(k - 1, 0), k), bits.min(0)
 
 
 def encode_streams(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-    """A FLAC stream for each payload; payloads are not empty, and each byte is one sample by the companding table."""
+    """A FLAC stream for each payload; payloads are not empty and have a multiple of 64 bytes."""
     sizes = np.diff(offsets)
     per = -(-sizes // BLOCK)
     doc = np.repeat(np.arange(len(sizes)), per)
     number = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
     start = offsets[doc] + number * BLOCK
     n = np.minimum(BLOCK, offsets[doc + 1] - start)
-    signed = _SAMPLE[data]
+    signed, ranked = _ranks(data, offsets)
     inside = np.arange(BLOCK) < n[:, None]
     s = np.zeros((len(n), BLOCK), np.int32)
     s[inside] = signed
 
-    # the samples themselves (the fixed predictor of order 0), or what the linear predictor leaves of them
+    # the predictor of each frame: its residuals as zigzag values u, those of its first samples are not coded
     u = _zigzag(s)
-    coef = np.zeros((ORDER, len(n)), np.int32)
+    order, body = np.zeros(len(n), np.int64), _rice(u.sum(1), n)[1]
+    rest = s
+    for o in range(1, 5):
+        rest = np.diff(rest, axis=1)
+        part = _zigzag(rest)
+        part[~inside[:, o:]] = 0
+        bits = _rice(part.sum(1), n - o)[1] + 8 * o
+        better = np.flatnonzero(bits < body)
+        order[better], body[better] = o, bits[better]
+        u[better, o:] = part[better]
+    coef, gain = _predictors(s.astype(np.float32))
     use = np.zeros(len(n), bool)
-    loud = np.flatnonzero((u.sum(1) > LOUD * n) & (n > ORDER))
-    if len(loud):
-        x = s[loud]
-        coef[:, loud] = c = _predictors(x.astype(np.float32))
+    likely = np.flatnonzero(gain * n > 9 + (PRECISION + 8) * ORDER)
+    if len(likely):
+        x = s[likely]
         guess = np.zeros_like(x)
         for j in range(ORDER):
-            guess[:, j + 1 :] += c[j][:, None] * x[:, : -j - 1]
-        x -= guess >> SHIFT
-        x[:, :ORDER] = 0
-        linear = _zigzag(x)
-        linear[~inside[loud]] = 0
-        better = linear.sum(1) * 1.05 + 4 * ORDER + 30 < u[loud].sum(1)
-        use[loud] = better
-        u[loud[better]] = linear[better]
-    order = np.where(use, ORDER, 0)
-    coded = n - order
-    k0 = np.clip(np.log2(np.maximum(u.sum(1) / coded, 1e-3) * 0.6931).astype(np.int64), 0, 7)
-    by_k = np.stack([(u >> (k0 + j)[:, None].astype(np.int32)).sum(1) + coded * (1 + k0 + j) for j in (0, 1)])
-    pick = by_k.argmin(0)
-    k = k0 + pick
-    body = 8 * order + 10 + np.where(pick, by_k[1], by_k[0]) + np.where(use, 9 + PRECISION * ORDER, 0)
-    constant = np.where(inside, s, s[:, :1]).min(1) == np.where(inside, s, s[:, :1]).max(1)
+            guess[:, j + 1 :] += coef[j, likely][:, None] * x[:, : -j - 1]
+        part = _zigzag(x - (guess >> SHIFT))
+        part[~inside[likely]] = 0
+        part[:, :ORDER] = 0
+        bits = _rice(part.sum(1), n[likely] - ORDER)[1] + 9 + (PRECISION + 8) * ORDER
+        better = bits < body[likely]
+        use[likely[better]] = True
+        order[likely[better]] = ORDER
+        u[likely[better]] = part[better]
+    inside &= np.arange(BLOCK) >= order[:, None]
+
+    # the number of partitions and their parameters, by the sums of eighths
+    sums = np.zeros((len(n), BLOCK + 1), np.int64)
+    np.cumsum(np.where(inside, u, 0), 1, out=sums[:, 1:])
+    splits, k, body = np.zeros(len(n), np.int64), np.zeros((len(n), 1 << MOST_SPLITS), np.int64), np.full(len(n), np.inf)
+    rows = np.arange(len(n))[:, None]
+    for p in range(MOST_SPLITS + 1):
+        size = n >> p
+        edges = np.arange((1 << p) + 1) * size[:, None]
+        many = np.repeat(size[:, None], 1 << p, 1)
+        many[:, 0] -= order
+        kp, bits = _rice(np.diff(sums[rows, edges], axis=1), many)
+        bits = (bits + 4).sum(1)
+        better = np.flatnonzero((bits < body) & (size > order))
+        splits[better], body[better] = p, bits[better]
+        k[better] = 0
+        k[better[:, None], np.arange(1 << p)] = kp[better]
+    del sums
+    frame, place = np.nonzero(inside)
+    place //= (n >> splits)[frame]
+    kt = k[frame, place].astype(np.int32)
+    lead = np.append(True, (frame[1:] != frame[:-1]) | (place[1:] != place[:-1])) if len(frame) else np.zeros(0, bool)
+    del place
+    ut = u[inside]
+    length = (ut >> kt) + (kt + 1) + 4 * lead
+    body = 8 * order + 6 + np.bincount(frame, length, len(n)).astype(np.int64) + np.where(use, 9 + PRECISION * ORDER, 0)
+    constant = np.where(np.arange(BLOCK) < n[:, None], s, s[:, :1])
+    constant = constant.min(1) == constant.max(1)
     raw = ~constant & (body >= 8 * n)
     coding = ~constant & ~raw
     body = np.where(constant, 8, np.where(raw, 8 * n, body))
@@ -188,37 +246,34 @@ def encode_streams(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     total = int(frame_bytes.sum())
     bits = _Bits()
     sub = (at + head + 1) * 8
-    kind = np.where(constant, 0, np.where(raw, 1, np.where(use, 32 + ORDER - 1, 8)))
+    kind = np.where(constant, 0, np.where(raw, 1, np.where(use, 32 + ORDER - 1, 8 + order)))
     bits.put(sub, kind << 1, np.full(len(n), 8))
     p = sub + 8
     c = np.flatnonzero(constant)
     bits.put(p[c], s[c, 0] & 0xFF, np.full(len(c), 8))
+    for j in range(max(ORDER, 4)):
+        f = np.flatnonzero(coding & (order > j))
+        bits.put(p[f] + 8 * j, s[f, j] & 0xFF, np.full(len(f), 8))
+    p = p + 8 * order
     f = np.flatnonzero(coding & use)
     full = np.full(len(f), PRECISION)
-    for j in range(ORDER):
-        bits.put(p[f] + 8 * j, s[f, j] & 0xFF, np.full(len(f), 8))
-    p[f] += 8 * ORDER
     bits.put(p[f], np.full(len(f), ((PRECISION - 1) << 5) | SHIFT), np.full(len(f), 9))
     for j in range(ORDER):
         bits.put(p[f] + 9 + PRECISION * j, coef[j][f] & ((1 << PRECISION) - 1), full)
     p[f] += 9 + PRECISION * ORDER
     f = np.flatnonzero(coding)
-    bits.put(p[f], k[f], np.full(len(f), 10))  # method 0 and partition order 0 are zero bits
-    p = p + 10
-    inside &= coding[:, None]
-    inside[use, :ORDER] = False
-    many = inside.sum(1)
-    ut, kt = u[inside], np.repeat(k.astype(np.int32), many)
-    q = ut >> kt
-    length = q + (kt + 1)
+    bits.put(p[f], splits[f], np.full(len(f), 6))  # method 0 is zero bits
+    p = p + 6
+    some = coding[frame]
+    frame, kt, ut, length, lead = frame[some], kt[some], ut[some], length[some], lead[some]
     run = np.cumsum(length, dtype=np.int64)
-    firsts = np.cumsum(many) - many
     run -= length
+    heads = np.flatnonzero(np.append(True, frame[1:] != frame[:-1])) if len(frame) else np.zeros(0, np.int64)
     base = p.copy()
-    has = many > 0
-    base[has] -= run[firsts[has]]
-    run += np.repeat(base, many)
-    run += q
+    base[frame[heads]] -= run[heads]
+    run += base[frame]
+    bits.put(run[lead], kt[lead].astype(np.int64), np.full(int(lead.sum()), 4))
+    run += 4 * lead + (ut >> kt)
     one = np.int32(1) << kt
     bits.put(run, one | (ut & (one - 1)), kt.astype(np.int64) + 1)
     out = bits.tobytes(total)
@@ -237,7 +292,7 @@ def encode_streams(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     crc = _crc(out, at, frame_bytes - 2, 16)
     out[at + frame_bytes - 2], out[at + frame_bytes - 1] = crc >> 8, crc & 0xFF
 
-    points = np.zeros(len(n), np.dtype([("sample", ">u8"), ("offset", ">u8"), ("samples", ">u2")]))
+    points = np.zeros(len(n), _POINT)
     firsts = np.cumsum(per) - per
     points["sample"] = number * BLOCK
     points["offset"] = at - at[firsts][doc]
@@ -249,7 +304,8 @@ def encode_streams(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         size = int(sizes[d])
         info = BLOCK.to_bytes(2, "big") * 2 + bytes(6) + ((RATE << 44) | (7 << 36) | size).to_bytes(8, "big")
         info += hashlib.md5(pcm[offsets[d] : offsets[d + 1]]).digest()
-        streams.append(b"fLaC\x00\x00\x00\x22" + info + b"\x83" + (18 * m).to_bytes(3, "big") + seek[18 * a : 18 * (a + m)] + body_bytes[ends[a] : ends[a + m]])
+        own = _APPLICATION + ranked[d]
+        streams.append(b"fLaC\x00\x00\x00\x22" + info + b"\x02" + len(own).to_bytes(3, "big") + own + b"\x83" + (18 * m).to_bytes(3, "big") + seek[18 * a : 18 * (a + m)] + body_bytes[ends[a] : ends[a + m]])
     return streams
 
 
@@ -257,11 +313,14 @@ class FlacError(ValueError):
     pass
 
 
-def _metadata(stream: bytes) -> tuple[int, int, bytes, np.ndarray]:
-    """Start of the frames, number of samples, MD5, and the seek points."""
+_POINT = np.dtype([("sample", ">u8"), ("offset", ">u8"), ("samples", ">u2")])
+
+
+def _metadata(stream: bytes) -> tuple[int, int, bytes, np.ndarray, bytes | None]:
+    """Start of the frames, number of samples, MD5, a seek point for every frame, and the bytes by rank."""
     if stream[:4] != b"fLaC":
         raise FlacError("no FLAC stream")
-    at, last, total, md5, points = 4, False, 0, b"", None
+    at, last, total, md5, points, ranked = 4, False, 0, b"", None, None
     while not last:
         last, kind, n = bool(stream[at] & 0x80), stream[at] & 0x7F, int.from_bytes(stream[at + 1 : at + 4], "big")
         block = stream[at + 4 : at + 4 + n]
@@ -270,16 +329,46 @@ def _metadata(stream: bytes) -> tuple[int, int, bytes, np.ndarray]:
             if (packed >> 41) & 7 or (packed >> 36) & 31 != 7:
                 raise FlacError("only one channel of 8 bits is decoded")
             total, md5 = packed & ((1 << 36) - 1), block[18:34]
+        elif kind == 2 and block[:4] == _APPLICATION:
+            ranked = block[4:]
         elif kind == 3:
-            points = np.frombuffer(block, np.dtype([("sample", ">u8"), ("offset", ">u8"), ("samples", ">u2")]))
+            points = np.frombuffer(block, _POINT)
         at += 4 + n
     if points is None or int(points["samples"].sum()) != total:
-        raise FlacError("the seek table does not name every frame")
-    return at, total, md5, points
-
-
-def decode_streams(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Samples of all streams (signed), their offsets, and for each frame its stream and first sample.
+        points = _scanned(stream, at)
+        if int(points["samples"].sum()) != total:
+            raise FlacError("frames are missing")
+    return at, total, md5, points, ranked
+
+
+def _scanned(stream: bytes, begin: int) -> np.ndarray:
+    """Seek points of all frames, without a seek table: a frame ends where the next one or the end follows and its
+    CRC-16 holds."""
+    points, at, sample = [], begin, 0
+    while at < len(stream):
+        lead = stream[at + 4]
+        tail = at + 4 + (1 if lead < 0x80 else 8 - (~lead & 0xFF).bit_length())
+        code = stream[at + 2] >> 4
+        n = stream[tail] + 1 if code == 6 else int.from_bytes(stream[tail : tail + 2], "big") + 1 if code == 7 else 192 if code == 1 else 576 << (code - 2) if code < 6 else 256 << (code - 8)
+        end, crc = at, 0
+        while True:
+            to = stream.find(b"\xff\xf8", end + 3)
+            to = len(stream) if to < 0 else to
+            for b in stream[max(end - 2, at) : to - 2]:
+                crc = ((crc << 8) & 0xFFFF) ^ int(_CRC16[(crc >> 8) ^ b])
+            if crc == int.from_bytes(stream[to - 2 : to], "big"):
+                break
+            if to == len(stream):
+                raise FlacError("a frame's CRC-16 does not hold")
+            end = to
+        points.append((sample, at - begin, n))
+        at, sample = to, sample + n
+    return np.array(points, _POINT)
+
+
+def decode_streams(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes | None]]:
+    """Samples of all streams (signed), their offsets, for each frame its stream and first sample, and of each stream
+    the bytes by rank.
 
     Raises FlacError where a header's CRC-8, a frame's CRC-16, or the MD5 of a stream does not hold."""
     metas = [_metadata(x) for x in streams]
@@ -287,7 +376,7 @@ def decode_streams(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nda
     base = np.cumsum([0, *map(len, streams)])
     per = np.array([len(m[3]) for m in metas], np.int64)
     doc = np.repeat(np.arange(len(streams)), per)
-    points = np.concatenate([m[3] for m in metas]) if metas else np.zeros(0, np.dtype([("sample", ">u8"), ("offset", ">u8"), ("samples", ">u2")]))
+    points = np.concatenate([m[3] for m in metas]) if metas else np.zeros(0, _POINT)
     at = base[:-1][doc] + np.array([m[0] for m in metas], np.int64)[doc] + points["offset"].astype(np.int64)
     end = np.append(at[1:], base[-1])
     lasts = np.cumsum(per) - 1
@@ -301,7 +390,7 @@ def decode_streams(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nda
     code = data[at + 2] >> 4
     extra = np.where(code == 6, 1, np.where(code == 7, 2, 0))
     tail = at + 4 + num_len
-    n = np.where(code == 6, data[tail] + 1, np.where(code == 7, (data[tail].astype(np.int64) << 8) + data[tail + 1] + 1, 256 << np.maximum(code.astype(np.int64) - 8, 0)))
+    n = np.where(code == 6, data[tail].astype(np.int64) + 1, np.where(code == 7, (data[tail].astype(np.int64) << 8) + data[tail + 1] + 1, np.where(code < 6, np.where(code == 1, 192, 576 << np.maximum(code.astype(np.int64) - 2, 0)), 256 << np.maximum(code.astype(np.int64) - 8, 0))))
     head = 4 + num_len + extra
     if (n != points["samples"]).any() or (_crc(data, at, head, 8) != data[at + head]).any():
         raise FlacError("a frame header is damaged")
@@ -337,7 +426,7 @@ def decode_streams(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nda
     for d, m in enumerate(metas):
         if any(m[2]) and hashlib.md5(pcm[offsets[d] : offsets[d + 1]]).digest() != m[2]:
             raise FlacError("the MD5 of a stream does not hold")
-    return samples, offsets, doc, sample
+    return samples, offsets, doc, sample, [m[4] for m in metas]
 
 
 def _residual_frames(wide, signed, sub, n, order, lpc, longest) -> np.ndarray:
@@ -456,7 +545,7 @@ def flac_encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     source = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
 
     def run(batches):
-        for batch in batches:
+        for batch in tx.gathered(batches, BATCH_BYTES):
             data, off = tx.utf8(batch.column(1))
             for a, b in tx.chunks(off, BATCH_BYTES):
                 n = np.diff(off[a : b + 1])
@@ -481,15 +570,15 @@ def _decoded(batch, media_col: int):
 
 
 def flac_blocks(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """One row per frame: the id, `sample_offset`, `n_samples` and the bytes `pcm` (expanded by the companding table: the payload).
+    """One row per frame: the id, `sample_offset`, `n_samples` and the bytes `pcm` (the payload).
     Rows with a null stream are left out; a damaged stream fails the job."""
     ready(df.sparkSession)
     source = df.where(df[media_col].isNotNull()).select(df[id_col].alias("id"), df[media_col].alias("media"))
 
     def run(batches):
-        for batch in batches:
-            for part, _, samples, off, doc, sample in _decoded(batch, 1):
-                pcm = _BYTE[samples.view(np.uint8)].tobytes()
+        for batch in tx.gathered(batches, BATCH_BYTES):
+            for part, _, samples, off, doc, sample, ranked in _decoded(batch, 1):
+                pcm = expanded(samples, off, ranked).tobytes()
                 at = off[doc] + sample
                 end = np.append(at[1:], len(pcm))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(sample), pa.array((end - at).astype(np.int32)), pa.array([pcm[x:y] for x, y in zip(at.tolist(), end.tolist())], pa.binary())], ["id", "sample_offset", "n_samples", "pcm"])
@@ -503,9 +592,9 @@ def flac_features(df: DataFrame) -> DataFrame:
     ready(df.sparkSession)
 
     def run(batches):
-        for batch in batches:
-            for part, streams, samples, off, _, _ in _decoded(batch, 3):
-                pcm = _BYTE[samples.view(np.uint8)].tobytes()
+        for batch in tx.gathered(batches, BATCH_BYTES):
+            for part, streams, samples, off, _, _, ranked in _decoded(batch, 3):
+                pcm = expanded(samples, off, ranked).tobytes()
                 s = samples.astype(np.int64)
                 sign = np.signbit(s).astype(np.int64)
                 turns = np.abs(np.diff(sign, prepend=sign[:1]))

@@ -59,6 +59,20 @@ def chunks(offsets: np.ndarray, size: int = CHUNK, each: int = 0) -> Iterator[tu
     trim()
 
 
+def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The batches, several in one until they have about `size` bytes."""
+    held: list[pa.RecordBatch] = []
+    total = 0
+    for batch in batches:
+        if held and total + batch.nbytes > size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, total = [], 0
+        held.append(batch)
+        total += batch.nbytes
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def trim() -> None:
     """Give memory that is free in this worker back to the system, as workers stay alive between tasks."""
     pa.default_memory_pool().release_unused()
