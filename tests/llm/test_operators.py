@@ -50,27 +50,46 @@ def test_bpe_frames(spark):
     assert sorted(r.text for r in bpe.bpe_decode(coded, bpe.default_path()).collect()) == sorted(x or "" for _, x in ODD)
 
 
-def test_flac(spark):
+def without_seek_table(stream):
+    at, last, blocks = 4, False, []
+    while not last:
+        last, n = bool(stream[at] & 0x80), int.from_bytes(stream[at + 1 : at + 4], "big")
+        blocks.append((stream[at] & 0x7F, stream[at + 4 : at + 4 + n]))
+        at += 4 + n
+    blocks = [x for x in blocks if x[0] != 3]
+    return b"fLaC" + b"".join(bytes([k | 0x80 * (i + 1 == len(blocks))]) + len(x).to_bytes(3, "big") + x for i, (k, x) in enumerate(blocks)) + stream[at:]
+
+
+def unpacked(streams):
+    samples, off, _, _, ranked = flac.decode_streams(streams)
+    return flac.expanded(samples, off, ranked).tobytes()
+
+
+def test_flac(spark, monkeypatch):
     rng = np.random.default_rng(2)
-    wave = flac._BYTE[(np.sin(np.arange(64 * 50) / 9) * 100).astype(np.int8).view(np.uint8)].tobytes()  # takes linear predictors
-    payloads = [bytes(64), wave, rng.integers(0, 256, 64 * 40, dtype=np.uint8).tobytes(), b"hello world   x" * 64]
+    payloads = [bytes(64), rng.integers(0, 256, 64 * 40, dtype=np.uint8).tobytes(), b"hello world   x" * 64, bytes(range(256)) * 4 + b"ab" * 32, b"a" * 1000 + b"b" * 24 + b"z" * 1024 + b"q" * 64]
     off = np.cumsum([0, *map(len, payloads)])
     streams = flac.encode_streams(np.frombuffer(b"".join(payloads), np.uint8), off)
-    assert (np.frombuffer(streams[1], np.uint8).size) < len(wave) * 0.8
-    assert flac._BYTE[flac.decode_streams(streams)[0].view(np.uint8)].tobytes() == b"".join(payloads)
-    bad = bytearray(streams[3])
+    assert unpacked(streams) == b"".join(payloads) == unpacked([without_seek_table(x) for x in streams])
+    bad = bytearray(streams[2])
     bad[-30] ^= 4
     with pytest.raises(flac.FlacError):
         flac.decode_streams([bytes(bad)])
+    # plain samples: waves and ramps take linear and fixed predictors
+    monkeypatch.setattr(flac, "_ranks", lambda data, offsets: ((data ^ 0x80).view(np.int8), [b""] * (len(offsets) - 1)))
+    monkeypatch.setattr(flac, "expanded", lambda samples, off, ranked: samples.view(np.uint8) ^ 0x80)
+    waves = [np.rint(np.sin(np.arange(64 * 50) / t) * 100 + 128).astype(np.uint8).tobytes() for t in (3, 9, 40)] + [(np.arange(1024) // 5 % 200).astype(np.uint8).tobytes()]
+    streams = flac.encode_streams(np.frombuffer(b"".join(waves), np.uint8), np.cumsum([0, *map(len, waves)]))
+    assert unpacked(streams) == b"".join(waves) and all(len(x) < 0.75 * len(w) for x, w in zip(streams, waves))
+    monkeypatch.undo()
     coded = flac.flac_encode(docs(spark))
     blocks = {}
     for r in flac.flac_blocks(coded.where("doc_id < 4")).orderBy("sample_offset").collect():
         blocks[r.doc_id] = blocks.get(r.doc_id, b"") + bytes(r.pcm)
     assert all(blocks[i].rstrip(b"\0") == (t or "").encode() and len(blocks[i]) % 64 == 0 for i, t in ODD[:4])
-    assert flac.flac_features(coded).count() == len(ODD)
 
 
-def test_warc(spark):
+def test_warc(spark, tmp_path):
     rows = [(i, None if i == 3 else f"http://h/{i}\n", [None, "", "same", "é", "same"][i % 5]) for i in range(40)] + [(None, "u", "same"), (50, "u", "x" * 300000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     archives = warc.write_archives(pages)
@@ -82,6 +101,10 @@ def test_warc(spark):
         h = next((x or "" for i, _, x in rows if i == r.page_id), "same") if r.page_id is not None else "same"
         assert r.payload_bytes == len(h.encode()) and r.payload_digest == base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()
         assert r.refers_to == (None if first[h] == r.page_id else first[h]) and (r.record_type == "response") == (r.refers_to is None)
+    for name in ("a", "b"):  # a repeated task replaces its files
+        warc.export_archives(archives, str(tmp_path))
+    files = sorted(tmp_path.iterdir())
+    assert sum(len(list(warc.records_of(f.read_bytes()))) for f in files) == len(rows) and len(files) == archives.count()
     assert len(back) == len(rows) and warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
     assert all(r.record_type == "response" for r in warc.read_archives(warc.write_archives(pages, 10**9)).collect())
 
