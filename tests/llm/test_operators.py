@@ -242,15 +242,3 @@ def test_packing(spark):
         assert end <= 1024
         padding += 0 if end & (end - 1) == 0 else 1024 - end
     assert padding <= 0.06 * sum(r.length for r in out)
-
-
-def test_pipeline_stages(spark, sf):
-    import corpus_pipeline
-
-    df, before = corpus_pipeline.table(spark, sf, "documents"), None
-    for name, stage in corpus_pipeline.STAGES:
-        out = corpus_pipeline.written(stage(spark, df, sf), f"test-{name}")
-        if name != "packing":
-            assert out.columns == df.columns and out.join(df, "doc_id", "left_anti").count() == 0
-            df = out
-    assert out.agg({"length": "sum"}).first()[0] > df.count()
