@@ -242,3 +242,12 @@ def test_packing(spark):
         assert end <= 1024
         padding += 0 if end & (end - 1) == 0 else 1024 - end
     assert padding <= 0.06 * sum(r.length for r in out)
+
+
+def test_language_sample_counts_copies_once(spark):
+    texts = [f"opening line {'z' * 500} body{i}" for i in range(40)]
+    rows = [(i, t, "x") for i, t in enumerate(t for t in texts for _ in range(40))] + [(9000, "y" * (language.TEXT_BYTES + 1), "long"), (9001, "y" * (language.TEXT_BYTES + 9), "long")]
+    learned = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(learned["x"].decode().splitlines()) == sorted(texts) and len(learned["long"]) == language.TEXT_BYTES + 2
+    many = language.learn(spark.createDataFrame([(i, f"{i} " + "word " * 1000, "x") for i in range(200)], "doc_id long, text string, lang string"))
+    assert language.DICTIONARY_BYTES - 5100 < len(many["x"]) <= language.DICTIONARY_BYTES and set(map(len, many["x"].decode().splitlines())) <= {5002, 5003, 5004}
