@@ -23,6 +23,9 @@ QUESTION_WORDS = ["what", "who", "when", "where", "why", "how", "which"]
 REMOVED_WORDS = ["what", "who", "when", "where", "why", "how", "which", "is", "are", "was", "were", "did", "does", "do", "can", "could", "would", "should"]
 PHRASE_DAYS = {"today": 0, "yesterday": 1, "this week": 7, "last week": 14, "this month": 30, "last month": 60, "this year": 365}
 
+# Patterns.
+CHANNEL_PATTERNS = [r"#([a-z0-9_-]+)", r"in\s+(?:the\s+)?([a-z0-9_-]+)\s+channel", r"channel[:\s]+([a-z0-9_-]+)"]
+USER_PATTERN, BY_PATTERN = r"@([A-Za-z0-9_.-]+)", r"by\s+([a-z0-9_.-]+)"
 WORD = r"[\p{L}\p{N}_]+"
 URL_IN_MESSAGE = r'https?://[^\s<>"{}|\\^`\[\]]+'
 
@@ -105,11 +108,11 @@ def temporal(text: Column, as_of: Column) -> Column:
 
 def channels(text: Column) -> Column:
     low = F.lower(text)
-    return F.array_distinct(F.concat(all_of(text, r"#([A-Za-z0-9_-]+)", 1), all_of(low, r"in (?:the )?([a-z0-9_-]+) channel", 1), all_of(low, r"channel[: ]([a-z0-9_-]+)", 1)))
+    return F.array_distinct(F.concat(*(all_of(low, p, 1) for p in CHANNEL_PATTERNS)))
 
 
 def users(text: Column) -> Column:
-    return F.array_distinct(F.concat(all_of(text, r"@([A-Za-z0-9_.-]+)", 1), all_of(F.lower(text), r"by ([a-z0-9_.-]+)", 1)))
+    return F.array_distinct(F.concat(all_of(text, USER_PATTERN, 1), all_of(F.lower(text), BY_PATTERN, 1)))
 
 
 def code_intent(text: Column) -> Column:
@@ -128,6 +131,17 @@ def question_type(text: Column) -> Column:
 
 
 def expansions(text: Column) -> Column:
-    """The text, its normal form, and it without question words; without repeats."""
-    bare = F.trim(F.regexp_replace(F.lower(text), r"(?<![\p{L}\p{N}_])(" + "|".join(REMOVED_WORDS) + r")\s+", ""))
-    return F.array_distinct(F.array(text, normalized(text), bare))
+    """The text, its normal form if it differs from the text in lower case, and likewise what is left of it without
+    question words, if anything; without repeats."""
+    low = F.lower(text)
+    bare = F.trim(F.regexp_replace(low, words_pattern(REMOVED_WORDS) + r"\s*", ""))
+    variants = [text, F.when(normalized(text) != low, normalized(text)), F.when((bare != "") & (bare != low), bare)]
+    return F.array_distinct(F.array_compact(F.array(*variants)))
+
+
+def analysis(text: Column, as_of: Column) -> Column:
+    """All that is known of a query, as one struct."""
+    return F.struct(
+        text.alias("original_query"), normalized(text).alias("normalized_query"), intents(text).alias("intents"), entities(text).alias("entities"), temporal(text, as_of).alias("temporal"),
+        channels(text).alias("channels"), users(text).alias("users"), code_intent(text).alias("has_code_intent"), question_type(text).alias("question_type"),
+    )

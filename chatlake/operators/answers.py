@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as ft
 
+# The form of a citation, and what counts as mentioned (with the group that is taken).
 CITATION = r"\[([^,]+),\s*@?([^,]+),\s*([^\]]+)\]"
+_APART, _ENDS = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+MENTIONED = [(_APART + r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*" + _ENDS, 0), (_APART + r"\p{Nd}+(?:\.\p{Nd}+)?" + _ENDS, 0), ('"([^"]+)"', 1)]
 # Phrases and words of the checks.
 NO_ANSWER = ["i don't have information", "i couldn't find", "there is no information", "not found in", "unable to locate", "no relevant information", "cannot answer", "don't see any"]
 STARTERS = ["However", "Note", "Additionally"]
@@ -22,6 +25,7 @@ CONFIDENCE = {
 }
 NEAR = 100
 TRIM_ABOVE, TRIM_TO = 10, 20
+ACCEPTABLE = 0.6
 
 
 def citations(answers: DataFrame) -> DataFrame:
@@ -77,9 +81,8 @@ def coverage(text: Column) -> Column:
 
 
 def mentioned(text: Column) -> Column:
-    """Capitalised words, numbers and quoted phrases, without repeats."""
-    caps = F.filter(ft.all_of(text, ft.WORD), lambda x: x.rlike("^[A-Z][A-Za-z0-9]+$"))
-    return F.array_distinct(F.concat(caps, F.filter(ft.all_of(text, ft.WORD), lambda x: x.rlike("^[0-9]+$")), ft.all_of(text, '"([^"]+)"', 1)))
+    """Runs of capitalised words, whole or decimal numbers, and quoted phrases, without repeats."""
+    return F.array_distinct(F.concat(*(ft.all_of(text, p, i) for p, i in MENTIONED)))
 
 
 def grounding(answers: DataFrame, context: DataFrame) -> DataFrame:
@@ -127,8 +130,8 @@ def confidence(text: Column) -> Column:
     return F.when(n["low"] > n["high"], "low").when(n["high"] > n["low"] + n["medium"], "high").otherwise("medium")
 
 
-def quality(cov: Column, ground: Column, rel: Column, n_flags: Column) -> Column:
-    score = 0.3 + 0.25 * cov + 0.25 * ground + 0.15 * rel - F.least(0.02 * n_flags, F.lit(0.05))
+def quality(answered: Column, cov: Column, ground: Column, rel: Column, n_flags: Column) -> Column:
+    score = F.when(answered, 0.3).otherwise(0.0) + 0.25 * cov + 0.25 * ground + 0.15 * rel - F.least(0.02 * n_flags, F.lit(0.05))
     return F.round(F.greatest(F.least(score, F.lit(1.0)), F.lit(0.0)), 3)
 
 
@@ -137,3 +140,14 @@ def trimmed(turns: DataFrame, above: int = TRIM_ABOVE, last: int = TRIM_TO) -> D
     whole = Window.partitionBy("conv_id")
     t = turns.withColumn("back", F.row_number().over(whole.orderBy(F.desc("turn")))).withColumn("n", F.count(F.lit(1)).over(whole))
     return t.where((F.col("n") <= above) | (F.col("back") <= last) | (F.col("role") == "system")).drop("back", "n")
+
+
+def validated(answers: DataFrame, context: DataFrame) -> DataFrame:
+    """Every check of each answer, on its text with numbered citations: has_answer, coverage, grounding, ungrounded,
+    relevance, flags, confidence, quality and acceptable. context: (answer_id, text)."""
+    told = answers.select("answer_id", "query_text").join(rewritten(answers).withColumnRenamed("text", "answer_text"), "answer_id")
+    t = F.col("answer_text")
+    checks = told.select("answer_id", has_answer(t).alias("has_answer"), coverage(t).alias("coverage"), relevance(F.col("query_text"), t).alias("relevance"), flags(t).alias("flags"), confidence(t).alias("confidence"))
+    out = checks.join(grounding(told, context), "answer_id")
+    out = out.withColumn("quality", quality(F.col("has_answer"), F.col("coverage"), F.col("grounding"), F.col("relevance"), F.size("flags")))
+    return out.withColumn("acceptable", F.col("quality") >= ACCEPTABLE)

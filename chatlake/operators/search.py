@@ -2,31 +2,24 @@
 
 from __future__ import annotations
 
+import ahocorasick
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as ft
+from .blocks import meet
 
-#: Query tables up to this many rows are broadcast; larger ones meet the messages without a hint.
-MOST_BROADCAST = 10_000
 SEMANTIC, KEYWORD, ENTITY, CANDIDATES, RRF_K = 100, 50, 30, 200, 60
 AS_OF = "2024-06-01 00:00:00"
 
 
-def checked_broadcast(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
-    """df with a broadcast hint if it has at most `most` rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def best(df: DataFrame, k: int, *order: Column, by: str = "query_id") -> DataFrame:
     """The first k rows of each group with their `rank`; at most k rows a group leave each task."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def dot(x: Column, y: Column) -> Column:
-    return F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, v: s + v)
-
-
 def with_filters(queries: DataFrame, as_of: str = AS_OF) -> DataFrame:
     """queries with the users and the time range that their texts name: users, start_at, end_at."""
     span = ft.temporal(F.col("query_text"), F.lit(as_of).cast("timestamp"))
@@ -46,33 +39,102 @@ def passes(filtered: bool, by_user: bool = False) -> Column:
 
 
 def semantic(queries: DataFrame, messages: DataFrame, vectors: DataFrame, filtered: bool = False, k: int = SEMANTIC) -> DataFrame:
-    """Top k by cosine: (query_id, message_id, score, rank). Vectors: (vec_id, embedding); norms once per side."""
-    v = vectors.select("vec_id", "embedding", F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("norm")).where("norm > 0")
-    q = with_filters(queries).join(v, queries["query_id"] == v["vec_id"]).select("query_id", "channel_filter", "has_code_intent", "start_at", "end_at", F.col("embedding").alias("q_vec"), F.col("norm").alias("q_norm"))
-    m = messages.join(v, messages["doc_id"] == v["vec_id"]).select("message_id", "channel_name", "has_code", "ts", "embedding", "norm")
-    met = m.join(checked_broadcast(q), passes(filtered))
-    scored = met.select("query_id", "message_id", F.round(dot(F.col("embedding"), F.col("q_vec")) / (F.col("norm") * F.col("q_norm")), 9).alias("score"))
+    """Top k by cosine: (query_id, message_id, score, rank). Vectors: (vec_id, embedding), of one length; those that
+    are null, hold nulls or are all zeros take no part. Exact: blocks of messages meet blocks of queries as matrices."""
+    v = vectors.where("embedding IS NOT NULL AND NOT exists(embedding, x -> x IS NULL) AND exists(embedding, x -> x <> 0)").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    micros = lambda c: F.unix_micros(F.col(c)).alias(c)
+    q = with_filters(queries).join(v, queries["query_id"] == v["vec_id"]).select("query_id", "channel_filter", F.coalesce("has_code_intent", F.lit(False)).alias("code"), micros("start_at"), micros("end_at"), "v")
+    m = messages.join(v, messages["doc_id"] == v["vec_id"]).select("message_id", "channel_name", F.coalesce("has_code", F.lit(False)).alias("code"), micros("ts"), "v")
+
+    def pair(m, q):
+        vectors, norms = zip(*map(_matrix, (m["v"], q["v"])))
+        scores = np.round(vectors[1] @ vectors[0].T / (norms[1][:, None] * norms[0]), 9)
+        ids, at = m["message_id"].combine_chunks(), m["ts"].to_numpy(zero_copy_only=False)
+        names, code = np.array(m["channel_name"].to_pylist(), object), m["code"].to_numpy(zero_copy_only=False)
+        for row, s in zip(q.drop_columns("v").to_pylist(), scores):
+            ok = np.ones(len(s), bool)
+            if filtered:
+                ok &= code | (not row["code"])
+                if row["channel_filter"] is not None:
+                    ok &= names == row["channel_filter"]
+                if row["start_at"] is not None:
+                    ok &= at >= row["start_at"]
+                if row["end_at"] is not None:
+                    ok &= at <= row["end_at"]
+            which = np.flatnonzero(ok)
+            if len(which) > k:  # all of the k-th score: the ids decide later
+                which = which[s[which] >= np.partition(s[which], -k)[-k]]
+            if len(which):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(which), row["query_id"], np.int64)), ids.take(pa.array(which)), pa.array(s[which])], ["query_id", "message_id", "score"])
+
+    scored = meet(m, q, pair, "query_id long, message_id string, score double")
     return best(scored, k, F.desc("score"), F.col("message_id"))
 
 
+def _matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    x = column.combine_chunks().flatten().to_numpy().reshape(len(column), -1)
+    return x, np.sqrt((x * x).sum(1))
+
+
+def _tokens(text: Column) -> Column:
+    return F.split(F.lower(text), r"[ \t\n\x0B\f\r]+")
+
+
 def keyword(queries: DataFrame, messages: DataFrame, k: int = KEYWORD) -> DataFrame:
-    """The whole query as a substring, by importance: (query_id, message_id, score, rank)."""
+    """The whole query as a substring, by importance: (query_id, message_id, score, rank).
+
+    Every word inside a query stands whole in a text that holds the query, so that a query meets only the messages that
+    have its longest inner word. Queries of one or two words have no such word and are looked for in every message."""
     q = with_filters(queries).select("query_id", F.lower("query_text").alias("needle"), "channel_filter", "has_code_intent", "users", "start_at", "end_at")
+    words = _tokens("needle")
+    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    q = q.withColumn("word", longest)
     m = messages.select("message_id", "channel_name", "user_name", ft.mentions(F.col("text")).alias("mentioned"), "ts", "has_code", "importance_score", F.lower("text").alias("hay"))
-    met = m.join(checked_broadcast(q), passes(True, by_user=True) & F.contains("hay", "needle"))
-    ranked = best(met.select("query_id", "message_id", "importance_score"), k, F.desc("importance_score"), F.col("message_id"))
+    holds = passes(True, by_user=True) & F.contains("hay", "needle")
+    long, short = q.where("word IS NOT NULL"), q.where("word IS NULL")
+    # only the words of queries are posted, and the texts are fetched for those messages alone
+    posted = messages.select("message_id", F.explode(F.array_distinct(_tokens("text"))).alias("word")).join(long.select("word").distinct(), "word", "left_semi")
+    met = posted.join(long, "word").join(m, "message_id").where(holds)
+    columns = ("query_id", "message_id", "importance_score")
+    met = met.select(*columns).unionByName(m.join(short, holds).select(*columns))
+    ranked = best(met, k, F.desc("importance_score"), F.col("message_id"))
     score = (k - (F.col("rank") - 1)) / k * 0.5 + F.col("importance_score") / 10 * 0.5
     return ranked.select("query_id", "message_id", F.round(score, 9).alias("score"), "rank")
 
 
 def entity(queries: DataFrame, messages: DataFrame, k: int = ENTITY) -> DataFrame:
-    """Any entity of the query as a substring, by importance: (query_id, message_id, score, rank)."""
+    """Any entity of the query as a substring, by importance: (query_id, message_id, score, rank).
+
+    One automaton of a block's distinct entities finds all of them in a text at once. A query's k best messages are
+    among the k best of each of its entities, so that no task gives more than k rows for each entity."""
     q = queries.select("query_id", F.transform(ft.entities(F.col("query_text")), lambda e: F.lower(e["text"])).alias("needles")).where(F.size("needles") > 0)
-    m = messages.select("message_id", "importance_score", F.lower("text").alias("hay"))
-    met = m.join(checked_broadcast(q), F.exists("needles", lambda e: F.contains(F.col("hay"), e)))
+    m = messages.select("message_id", F.col("importance_score").cast("double").alias("importance_score"), F.lower("text").alias("hay")).where("hay IS NOT NULL")
+    asked = q.select("query_id", F.explode(F.array_distinct("needles")).alias("needle"))
+
+    def pair(m, needles):
+        machine = ahocorasick.Automaton()
+        for needle in needles["needle"].to_pylist():
+            machine.add_word(needle, needle)
+        machine.make_automaton()
+        texts, ids = m["hay"].to_pylist(), m["message_id"].to_pylist()
+        weight = m["importance_score"].to_numpy(zero_copy_only=False)
+        found: dict[str, list[int]] = {}
+        # best first, so that an entity that has its k messages needs no more
+        for i in np.lexsort((np.array(ids, object), -np.nan_to_num(weight, nan=-np.inf))).tolist():
+            for needle in {x for _, x in machine.iter(texts[i])}:
+                rows = found.setdefault(needle, [])
+                if len(rows) < k:
+                    rows.append(i)
+        at = pa.array([i for rows in found.values() for i in rows], pa.int64())
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, rows in found.items() for _ in rows], pa.string()), m["message_id"].combine_chunks().take(at), m["importance_score"].combine_chunks().take(at)], ["needle", "message_id", "importance_score"])
+
+    hits = meet(m, asked.select("needle").distinct(), pair, "needle string, message_id string, importance_score double", small_rows=4096)
+    hits = best(hits, k, F.desc("importance_score"), F.col("message_id"), by="needle").drop("rank")
+    top = best(asked.join(hits, "needle").select("query_id", "message_id", "importance_score").distinct(), k, F.desc("importance_score"), F.col("message_id"))
     # the texts go along only for the k rows that stay
-    top = best(met.select("query_id", "message_id", "importance_score", "needles"), k, F.desc("importance_score"), F.col("message_id"))
-    top = top.join(m.select("message_id", "hay"), "message_id")
+    top = top.join(q, "query_id").join(m.select("message_id", "hay"), "message_id")
     share = F.size(F.filter("needles", lambda e: F.contains(F.col("hay"), e))) / F.size("needles")
     return top.select("query_id", "message_id", F.round(share * 0.7 + F.col("importance_score") / 10 * 0.3, 9).alias("score"), "rank")
 

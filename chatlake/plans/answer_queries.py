@@ -11,7 +11,7 @@ from ..sources.views import oracle, view
 from . import retrieval_queries as rt
 from .registry import query
 
-_C = r"\[([^,]+),\s*@?([^,]+),\s*([^\]]+)\]"
+_C = an.CITATION
 _CITES = rf"""SELECT answer_id, row_number() OVER (PARTITION BY answer_id ORDER BY min(pos)) AS number, channel, "user", cited_at FROM (
   SELECT answer_id, unnest(range(len(a))) AS pos, trim(unnest(a)) AS channel, trim(unnest(b)) AS "user", trim(unnest(c)) AS cited_at FROM (
     SELECT answer_id, regexp_extract_all(answer_text, '{_C}', 1) AS a, regexp_extract_all(answer_text, '{_C}', 2) AS b, regexp_extract_all(answer_text, '{_C}', 3) AS c FROM answers)) GROUP BY answer_id, channel, "user", cited_at"""
@@ -22,7 +22,13 @@ def citations(spark, sf_dir):
     return an.citations(view(spark, sf_dir, "answers"))
 
 
-@query("citation_rewrite")
+def _rewritten(source: str) -> str:
+    """SQL of `source` with the column t: the text with numbered citations."""
+    return f"""SELECT * EXCLUDE (gaps, ks), list_aggregate(list_transform(range(1, len(gaps) + 1), lambda i: gaps[i] || coalesce('[' || CAST(len(list_distinct(ks[1 : list_position(ks, ks[i])])) AS VARCHAR) || ']', '')), 'string_agg', '') AS t FROM (
+  SELECT *, regexp_split_to_array(answer_text, '{_C}') AS gaps, list_transform(range(1, len(regexp_extract_all(answer_text, '{_C}', 1)) + 1), lambda i: concat_ws(chr(1), trim(regexp_extract_all(answer_text, '{_C}', 1)[i]), trim(regexp_extract_all(answer_text, '{_C}', 2)[i]), trim(regexp_extract_all(answer_text, '{_C}', 3)[i]))) AS ks FROM {source})"""
+
+
+@query("citation_rewrite", oracle(f"SELECT answer_id, t AS text FROM ({_rewritten('answers')})", "answers"))
 def citation_rewrite(spark, sf_dir):
     return an.rewritten(view(spark, sf_dir, "answers"))
 
@@ -51,63 +57,96 @@ def va_has_answer(spark, sf_dir):
     return view(spark, sf_dir, "answers").select("answer_id", an.has_answer(F.col("answer_text")).alias("has_answer"))
 
 
-_NUMBERED = "answer_text || ' This part is cited well [1].'"
-_COV = rf"list_filter(list_transform(regexp_split_to_array({_NUMBERED}, '[.!?]+'), lambda s: trim(s)), lambda s: length(s) > 10 AND NOT regexp_matches(s, '^(However|Note|Additionally)'))"
+def _cov(t: str) -> str:
+    parts = f"list_filter(list_transform(regexp_split_to_array({t}, '[.!?]+'), lambda s: trim(s)), lambda s: length(s) > 10 AND NOT regexp_matches(s, '^(However|Note|Additionally)'))"
+    return rf"CASE WHEN len({parts}) = 0 THEN 1 ELSE round(len(list_filter({parts}, lambda s: regexp_matches(s, '\[[0-9]+\]'))) / len({parts}), 6) END"
 
 
-@query("va_coverage", oracle(rf"SELECT answer_id, CASE WHEN len({_COV}) = 0 THEN 1 ELSE round(len(list_filter({_COV}, lambda s: regexp_matches(s, '\[[0-9]+\]'))) / len({_COV}), 6) END AS coverage FROM answers", "answers"))
+@query("va_coverage", oracle(f"SELECT answer_id, {_cov('t')} AS coverage FROM ({_rewritten('answers')})", "answers"))
 def va_coverage(spark, sf_dir):
-    return view(spark, sf_dir, "answers").select("answer_id", an.coverage(F.concat(F.col("answer_text"), F.lit(" This part is cited well [1]."))).alias("coverage"))
+    return an.rewritten(view(spark, sf_dir, "answers")).select("answer_id", an.coverage(F.col("text")).alias("coverage"))
 
 
 def _ent(col: str) -> str:
-    return rf"""list_distinct(list_concat(list_filter(regexp_extract_all({col}, '[\p{{L}}\p{{N}}_]+'), lambda x: regexp_full_match(x, '[A-Z][A-Za-z0-9]+') OR regexp_full_match(x, '[0-9]+')), regexp_extract_all({col}, '"([^"]+)"', 1)))"""
+    """Letters beyond ASCII become _ and other signs beyond ASCII a dot, as the oracle's \\b knows ASCII only."""
+    plain = rf"regexp_replace(regexp_replace({col}, '[^\p{{L}}\p{{N}}_\x00-\x7F]', '.', 'g'), '[^\x00-\x7F]', '_', 'g')"
+    return rf"""list_distinct(list_concat(list_concat(regexp_extract_all({plain}, '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b'), regexp_extract_all({plain}, '\b[0-9]+(?:\.[0-9]+)?\b')), regexp_extract_all({col}, '"([^"]+)"', 1)))"""
 
 
-@query("va_grounding", oracle(f"""
-{rt._ALL}, said AS (SELECT answer_id, unnest({_ent("answer_text")}) AS e FROM answers), known AS (SELECT DISTINCT answer_id, e FROM (SELECT c.query_id AS answer_id, unnest({_ent("m.text")}) AS e FROM sel c JOIN doc_messages m USING (message_id))),
-p AS (SELECT s.answer_id, count(*) AS n, count(k.e) AS h, list_sort(list_distinct(list(s.e) FILTER (k.e IS NULL)))[1:5] AS miss FROM said s LEFT JOIN known k ON k.answer_id = s.answer_id AND k.e = s.e GROUP BY 1)
-SELECT a.answer_id, round(coalesce(h / n, 1.0E0), 6) AS grounding, coalesce(array_to_string(miss, ','), '') AS ungrounded FROM answers a LEFT JOIN p USING (answer_id)""", "answers", "search_queries", "doc_messages"))
-def va_grounding(spark, sf_dir):
-    # an answer has the id of its query, whose assembled context holds at most 50 messages
+_GROUND = f"""{rt._ALL}, told AS ({_rewritten('answers')}), said AS (SELECT answer_id, unnest({_ent("t")}) AS e FROM told), known AS (SELECT DISTINCT answer_id, e FROM (SELECT c.query_id AS answer_id, unnest({_ent("m.text")}) AS e FROM sel c JOIN doc_messages m USING (message_id))),
+p AS (SELECT s.answer_id, count(*) AS n, count(k.e) AS h, list_sort(list_distinct(list(s.e) FILTER (k.e IS NULL)))[1:5] AS miss FROM said s LEFT JOIN known k ON k.answer_id = s.answer_id AND k.e = s.e GROUP BY 1),
+ground AS (SELECT a.answer_id, round(coalesce(h / n, 1.0E0), 6) AS grounding, coalesce(array_to_string(miss, ','), '') AS ungrounded FROM answers a LEFT JOIN p USING (answer_id))"""
+
+
+def _context(spark, sf_dir):
+    """An answer has the id of its query, whose assembled context holds at most 50 messages."""
     rows, _ = rt._selected(spark, sf_dir)
-    context = rows.select(F.col("query_id").alias("answer_id"), "message_id").join(view(spark, sf_dir, "doc_messages").select("message_id", "text"), "message_id")
-    return an.grounding(view(spark, sf_dir, "answers"), context)
+    return rows.select(F.col("query_id").alias("answer_id"), "message_id").join(view(spark, sf_dir, "doc_messages").select("message_id", "text"), "message_id")
+
+
+def _told(spark, sf_dir):
+    a = view(spark, sf_dir, "answers")
+    return a.select("answer_id", "query_text").join(an.rewritten(a).withColumnRenamed("text", "answer_text"), "answer_id")
+
+
+@query("va_grounding", oracle(f"{_GROUND} SELECT * FROM ground", "answers", "search_queries", "doc_messages"))
+def va_grounding(spark, sf_dir):
+    return an.grounding(_told(spark, sf_dir), _context(spark, sf_dir))
 
 
 _RELW = r"list_filter(list_distinct(regexp_extract_all(lower(query_text), '[\p{L}\p{N}_]+')), lambda w: NOT list_contains([" + ", ".join(f"'{w}'" for w in an.STOP_WORDS) + "], w))"
 
 
-@query("va_relevance", oracle(f"SELECT answer_id, CASE WHEN len({_RELW}) = 0 THEN 1 ELSE round(len(list_filter({_RELW}, lambda w: contains(lower(answer_text), w))) / len({_RELW}), 6) END AS relevance FROM answers", "answers"))
+def _rel(t: str) -> str:
+    return f"CASE WHEN len({_RELW}) = 0 THEN 1 ELSE round(len(list_filter({_RELW}, lambda w: contains(lower({t}), w))) / len({_RELW}), 6) END"
+
+
+@query("va_relevance", oracle(f"SELECT answer_id, {_rel('answer_text')} AS relevance FROM answers", "answers"))
 def va_relevance(spark, sf_dir):
     return view(spark, sf_dir, "answers").select("answer_id", an.relevance(F.col("query_text"), F.col("answer_text")).alias("relevance"))
 
 
-@query("va_flags")
+def _bare(t: str, word: str) -> str:
+    """Whether a match of the word has no citation near."""
+    gaps, hits = f"regexp_split_to_array(lower({t}), '{word}')", f"regexp_extract_all(lower({t}), '{word}')"
+    size = lambda x, n: f"coalesce(list_sum(list_transform({x}[1 : {n}], lambda y: length(y))), 0)"
+    start = f"({size(gaps, 'i')} + {size(hits, 'i - 1')})"
+    low = f"greatest({start} - {an.NEAR}, 0)"
+    around = f"substr(lower({t}), CAST({low} + 1 AS BIGINT), CAST({start} + length({hits}[i]) + {an.NEAR} - {low} AS BIGINT))"
+    return rf"len(list_filter(range(1, len({hits}) + 1), lambda i: NOT regexp_matches({around}, '\[[0-9]+\]'))) > 0"
+
+
+def _flags(t: str) -> str:
+    parts = [rf"CASE WHEN regexp_matches({t}, '[0-9]{{1,2}}:[0-9]{{2}}(am|pm|AM|PM)') AND NOT regexp_matches({t}, '\[[0-9]+\]') THEN 'time' END"]
+    parts += [rf"CASE WHEN {_bare(t, chr(92) + 'b' + w + chr(92) + 'b')} THEN 'definite:{i}' END" for i, w in enumerate(an.DEFINITE)]
+    parts.append(rf"CASE WHEN len(regexp_extract_all(lower({t}), '\b({'|'.join(an.VAGUE)})\b')) > 3 THEN 'vague' END")
+    return f"list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL)"
+
+
+@query("va_flags", oracle(f"SELECT answer_id, array_to_string({_flags('t')}, '|') AS flags FROM ({_rewritten('answers')})", "answers"))
 def va_flags(spark, sf_dir):
-    return view(spark, sf_dir, "answers").select("answer_id", F.array_join(an.flags(F.col("answer_text")), "|").alias("flags"))
+    return an.rewritten(view(spark, sf_dir, "answers")).select("answer_id", F.array_join(an.flags(F.col("text")), "|").alias("flags"))
 
 
 def _count(words: list[str]) -> str:
     return r"len(list_filter(regexp_extract_all(lower(answer_text), '[\p{L}\p{N}_]+'), lambda w: list_contains([" + ", ".join(f"'{w}'" for w in words) + "], w)))"
 
 
-
-
 @query("va_confidence", oracle(f"SELECT answer_id, CASE WHEN {_count(an.CONFIDENCE['low'])} > {_count(an.CONFIDENCE['high'])} THEN 'low' WHEN {_count(an.CONFIDENCE['high'])} > {_count(an.CONFIDENCE['low'])} + {_count(an.CONFIDENCE['medium'])} THEN 'high' ELSE 'medium' END AS confidence FROM answers", "answers"))
 def va_confidence(spark, sf_dir):
     return view(spark, sf_dir, "answers").select("answer_id", an.confidence(F.col("answer_text")).alias("confidence"))
 
 
-@query("va_quality")
+_QUALITY = f"""{_GROUND}, v AS (SELECT answer_id, {_HAS.replace('answer_text', 't')} AS has_answer, {_cov('t')} AS coverage, {_rel('t')} AS relevance, {_flags('t')} AS f FROM told),
+q AS (SELECT answer_id, round(greatest(0, least(1, CASE WHEN has_answer THEN 0.3E0 ELSE 0 END + 0.25E0 * coverage + 0.25E0 * grounding + 0.15E0 * relevance - least(0.02E0 * len(f), 0.05E0))), 3) AS quality FROM v JOIN ground USING (answer_id))"""
+
+
+@query("va_quality", oracle(f"{_QUALITY} SELECT answer_id, quality, quality >= 0.6 AS acceptable FROM q", "answers", "search_queries", "doc_messages"))
 def va_quality(spark, sf_dir):
-    a = view(spark, sf_dir, "answers")
-    ground = va_grounding(spark, sf_dir).select("answer_id", "grounding")
-    score = an.quality(an.coverage(F.col("answer_text")), F.col("grounding"), an.relevance(F.col("query_text"), F.col("answer_text")), F.size(an.flags(F.col("answer_text"))))
-    return a.join(ground, "answer_id").select("answer_id", score.alias("quality")).withColumn("acceptable", F.col("quality") >= 0.6)
+    return an.validated(view(spark, sf_dir, "answers"), _context(spark, sf_dir)).select("answer_id", "quality", "acceptable")
 
 
-@query("answer_hist")
+@query("answer_hist", oracle(f"{_QUALITY} SELECT le, count(*) FILTER (quality <= le) AS n FROM q, (SELECT unnest([0.2, 0.4, 0.6, 0.8, 1.0, 'inf'::DOUBLE]) AS le) GROUP BY 1", "answers", "search_queries", "doc_messages"))
 def answer_hist(spark, sf_dir):
     return histogram(va_quality(spark, sf_dir), F.col("quality"), [0.2, 0.4, 0.6, 0.8, 1.0])
 

@@ -133,12 +133,16 @@ def q_temporal(spark, sf_dir):
     return rows.select("query_id", "x.phrase", F.unix_timestamp("x.start").cast("double").alias("start_s"), F.unix_timestamp("x.end").cast("double").alias("end_s"))
 
 
-@query("q_channels_users", oracle(r"""
-WITH x AS (SELECT query_id, query_text || ' in #eng-core by alice @bob.c in the ops channel' AS q FROM search_queries)
-SELECT query_id, array_to_string(list_sort(list_distinct(list_concat(list_concat(regexp_extract_all(q, '#([A-Za-z0-9_-]+)', 1), regexp_extract_all(lower(q), 'in (?:the )?([a-z0-9_-]+) channel', 1)), regexp_extract_all(lower(q), 'channel[: ]([a-z0-9_-]+)', 1)))), '|') AS channels,
-  array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(q, '@([A-Za-z0-9_.-]+)', 1), regexp_extract_all(lower(q), 'by ([a-z0-9_.-]+)', 1)))), '|') AS users FROM x""", "search_queries"))
+_PLACES = "' in #Eng-Core by alice @Bob.c  in  the ops channel'"
+_CHANNELS_SQL = "list_sort(list_distinct(list_concat(list_concat(" + "), ".join(", ".join(f"regexp_extract_all(lower({{q}}), '{p}', 1)" for p in part) for part in (ft.CHANNEL_PATTERNS[:2], ft.CHANNEL_PATTERNS[2:])) + ")))"
+_USERS_SQL = f"list_sort(list_distinct(list_concat(regexp_extract_all({{q}}, '{ft.USER_PATTERN}', 1), regexp_extract_all(lower({{q}}), '{ft.BY_PATTERN}', 1))))"
+
+
+@query("q_channels_users", oracle(f"""
+WITH x AS (SELECT query_id, query_text || {_PLACES} AS q FROM search_queries)
+SELECT query_id, array_to_string({_CHANNELS_SQL.format(q='q')}, '|') AS channels, array_to_string({_USERS_SQL.format(q='q')}, '|') AS users FROM x""", "search_queries"))
 def q_channels_users(spark, sf_dir):
-    rows = _queries(spark, sf_dir).withColumn("query_text", F.concat("query_text", F.lit(" in #eng-core by alice @bob.c in the ops channel")))
+    rows = _queries(spark, sf_dir).withColumn("query_text", F.concat("query_text", F.expr(_PLACES)))
     return rows.select("query_id", join_list(F.array_sort(ft.channels(F.col("query_text")))).alias("channels"), join_list(F.array_sort(ft.users(F.col("query_text")))).alias("users"))
 
 
@@ -160,9 +164,20 @@ def q_type(spark, sf_dir):
     return _queries(spark, sf_dir).select("query_id", ft.question_type(F.col("query_text")).alias("question_type"), ft.code_intent(F.col("query_text")).alias("code_intent"))
 
 
-@query("q_expand")
+def _expand_sql(t: str) -> str:
+    """A word of the list goes, and the blanks behind it."""
+    parts, words = f"regexp_extract_all(lower({t}), '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+')", "[" + ", ".join(f"'{w}'" for w in ft.REMOVED_WORDS) + "]"
+    gone = lambda i: f"list_contains({words}, {parts}[{i}])"
+    bare = f"trim(array_to_string(list_transform(range(1, len({parts}) + 1), lambda i: CASE WHEN {gone('i')} THEN '' WHEN i > 1 AND {gone('i - 1')} THEN regexp_replace({parts}[i], '^\\s+', '') ELSE {parts}[i] END), ''))"
+    return f"list_filter([{t}, CASE WHEN {_normal_sql(t)} <> lower({t}) THEN {_normal_sql(t)} END, CASE WHEN {bare} <> '' AND {bare} <> lower({t}) THEN {bare} END], lambda x: x IS NOT NULL)"
+
+
+_WH = "'What is the db about ' || query_text"
+
+
+@query("q_expand", oracle(f"SELECT query_id, CAST(i - 1 AS INTEGER) AS n, v[i] AS variant FROM (SELECT query_id, v, unnest(range(1, len(v) + 1)) AS i FROM (SELECT query_id, {_expand_sql('q')} AS v FROM (SELECT query_id, {_WH} AS q FROM search_queries)))", "search_queries"))
 def q_expand(spark, sf_dir):
-    return _queries(spark, sf_dir).select("query_id", F.posexplode(ft.expansions(F.col("query_text"))).alias("n", "variant"))
+    return _queries(spark, sf_dir).select("query_id", F.posexplode(ft.expansions(F.concat(F.lit("What is the db about "), F.col("query_text")))).alias("n", "variant"))
 
 
 @query("intent_counts", oracle(f"WITH x AS (SELECT CASE WHEN len({_INTENT_SQL}) = 0 THEN ['factual'] ELSE {_INTENT_SQL} END AS i FROM search_queries) SELECT unnest(i) AS intent, count(*) AS n FROM x GROUP BY 1", "search_queries"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import context as cx
 from ..operators import search
+from ..sources.shared import written
 from ..sources.views import oracle, view
 from .message_queries import _DAYS_SQL as DAYS_SQL
 from .registry import query
@@ -85,8 +86,9 @@ def hybrid_rrf(spark, sf_dir):
 
 
 def _results(spark, sf_dir):
+    """The messages, and the ten results of each query: written, as every part of the context reads them."""
     m, fused = _lists(spark, sf_dir)
-    return m, search.rerank(fused, m)
+    return m, written(search.rerank(fused, m), "results")
 
 
 @query("hybrid_full", oracle(f"SELECT query_id, message_id, round(relevance, 8) AS relevance, rank, text, concat('https://chat.example/archives/', channel_id, '/p', replace(message_id, '.', '')) AS permalink FROM ({_FULL})", *_VIEWS))
@@ -105,7 +107,7 @@ def precision_at_k(spark, sf_dir):
     return search.precision_at(_results(spark, sf_dir)[1], good)
 
 
-# Thread context: the results are those of the keyword list and the vector list fused, which have an oracle above.
+# Thread context around the reranked results of the three lists.
 _HITS = f"SELECT query_id, message_id, relevance AS score FROM ({_FULL})"
 _ROWS = f"""SELECT w.query_id, b.thread_ts AS thread, b.message_id, b.ts, b.user_name, b.channel_name, row_number() OVER (PARTITION BY w.query_id, b.thread_ts ORDER BY b.ts, b.message_id) - 1 AS pos,
   count(*) OVER (PARTITION BY w.query_id, b.thread_ts) AS thread_size, h.score IS NOT NULL AS relevant, coalesce(h.score, 0) AS score
@@ -121,7 +123,7 @@ _ALL = f"{_WITH}, s AS ({_SCORED}), b AS ({_BUDGET}), sel AS ({_SEL})"
 
 def _context(spark, sf_dir):
     m, r = _results(spark, sf_dir)
-    rows = cx.threads(r.select("query_id", "message_id", F.col("relevance").alias("score")), m)
+    rows = written(cx.threads(r.select("query_id", "message_id", F.col("relevance").alias("score")), m), "threads")
     kept = cx.compress(rows)
     importance = m.where("thread_ts = message_id").select(F.col("message_id").alias("thread"), "importance_score")
     return rows, kept, cx.scored(kept, importance)

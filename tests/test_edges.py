@@ -30,6 +30,12 @@ def test_queries(spark):
     row = one(spark, 'Who said "ship it" in #eng-core yesterday?', ft.intents(t), ft.question_type(t), ft.channels(t))
     assert row[0] == ["who"] and row[1] == "who" and "eng-core" in row[2]
     assert one(spark, "classic cars?", ft.code_intent(t), ft.question_type(t)) == (True, "question")
+    assert one(spark, "ask #Eng-Core  in  the ops channel: x, channel:\tqa", ft.channels(t))[0] == ["eng-core", "ops", "x", "qa"]
+    assert one(spark, "said by  Alice", ft.users(t))[0] == ["alice"]
+    assert one(spark, "Deploy guide", ft.expansions(t))[0] == ["Deploy guide"]
+    assert one(spark, "What is?", ft.expansions(t))[0] == ["What is?", "?"]
+    assert one(spark, "who is", ft.expansions(t))[0] == ["who is"]
+    assert one(spark, "The DB", ft.expansions(t))[0] == ["The DB", "the database"]
     assert one(spark, "recap 2024-13-45", ft.temporal(t, F.lit("2024-02-01 12:34:56").cast("timestamp")))[0] is None
 
 
@@ -60,6 +66,18 @@ def test_citations_and_flags(spark):
     assert one(spark, "It never stops [1].", answers.flags(t))[0] == []
 
 
+def test_mentioned_and_quality(spark):
+    t = F.col("t")
+    assert one(spark, 'New York saw 3.5 Kafka Streams, 7 éCafe "a b" IBM xAb', answers.mentioned(t))[0] == ["New York", "Kafka Streams", "3.5", "7", "a b"]
+    rows = [(1, "deploy kafka", "We deploy Kafka to production with the new release train [#c, @u, t]."), (2, "deploy kafka", "I don't have information about it, sorry, nothing at all was said there.")]
+    a = spark.createDataFrame(rows, "answer_id long, query_text string, answer_text string")
+    context = spark.createDataFrame([(1, "We use Kafka")], "answer_id long, text string")
+    got = {r.answer_id: r for r in answers.validated(a, context).collect()}
+    # entities of the first: We, Kafka, 1 (of its own citation); two of three are grounded
+    assert (got[1].has_answer, got[1].coverage, got[1].grounding, got[1].relevance, got[1].quality, got[1].acceptable) == (True, 1.0, 0.666667, 1.0, 0.867, True)
+    assert (got[2].has_answer, got[2].coverage, got[2].relevance, got[2].acceptable) == (False, 0.0, 0.0, False)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()

@@ -139,13 +139,3 @@ def test_hybrid_filters_the_vector_list(spark, tiny):
     docs = [(i, f"word{i}", "en", "s", 5) for i in range(64)]
     d = tiny(documents=(docs, DOCUMENTS), benchmark=([(1, "nothing alike")], "item_id long, text string"), embeddings=([(i, [1.0, float(i)], 0) for i in range(64)], "vec_id long, embedding array<float>, label int"))
     assert {r.message_id for r in catalog.QUERIES["hybrid_rrf"](spark, d).collect()} == {f"D{i:08}" for i in range(16, 32)}  # channel_filter chan-1
-
-
-def test_language_sample_counts_copies_once(spark):
-    from chatlake.llm import language
-
-    texts = [f"opening line {'z' * 500} body{i}" for i in range(40)]
-    rows = [(i, t, "x") for i, t in enumerate(t for t in texts for _ in range(40))]
-    learned = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))["x"].decode()
-    parts = learned.split("\n")
-    assert len(parts) == 40 and any(not p.startswith("opening line") for p in parts)
