@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as ft
-from ..operators import search
+from ..operators import messages, search
 from ..sources.views import oracle, view
 from .registry import query
 
@@ -61,19 +61,61 @@ def importance(spark, sf_dir):
     return view(spark, sf_dir, "chat_messages").select("message_id", _importance().alias("importance"))
 
 
-@query("message_rows", oracle(f"""
-SELECT message_id, channel_id, coalesce(user_id, 'BOT') AS user_id, coalesce(thread_ts = message_id, false) AS is_thread_parent, thread_ts IS NOT NULL AS in_thread,
-  {_IMPORTANCE_SQL} AS importance_score, nullif(CAST(len({_LINKS_SQL}) AS BIGINT), 0) AS n_links, CAST(0 AS BIGINT) AS reaction_count,
-  concat('https://chat.example/archives/', channel_id, '/p', replace(message_id, '.', '')) AS permalink
-FROM chat_messages WHERE user_id IS NOT NULL""", "chat_messages"))
-def message_rows(spark, sf_dir):
-    n = F.size(ft.links(F.col("text"))).cast("long")
-    return view(spark, sf_dir, "chat_messages").where("user_id IS NOT NULL").select(
-        "message_id", "channel_id", "user_id", F.col("thread_ts").eqNullSafe(F.col("message_id")).alias("is_thread_parent"), F.col("thread_ts").isNotNull().alias("in_thread"), _importance().alias("importance_score"),
-        F.when(n > 0, n).alias("n_links"), F.lit(0).cast("long").alias("reaction_count"), search.permalink(F.col("channel_id"), F.col("message_id")).alias("permalink"),
+# Raw events: in a ninth of the messages a bot speaks, in another ninth nobody; every fourth has event_ts only.
+_EVENTS = """SELECT message_id, CASE WHEN (conv_id + turn) % 4 = 1 THEN NULL ELSE message_id END AS ts, message_id AS event_ts, CASE WHEN (conv_id * 3 + turn) % 9 < 2 THEN NULL ELSE user_id END AS "user",
+  CASE WHEN (conv_id * 3 + turn) % 9 < 2 THEN NULL ELSE user_name END AS username, CASE WHEN (conv_id * 3 + turn) % 9 = 1 THEN 'B' || (conv_id % 5) END AS bot_id, channel_id, channel_name, thread_ts, text, reaction_total, event_reply_count, has_file, conv_id FROM chat_messages"""
+_SEEN = r"""regexp_extract_all(text, '(?s)```([0-9A-Za-z_]+)?\n(.*?)```', 1)"""
+_LANGS = f"list_sort(list_distinct(list_transform({_SEEN}, lambda x: CASE WHEN x IS NULL OR x = '' THEN 'unknown' ELSE x END)))"
+
+
+def _events(spark, sf_dir):
+    m = view(spark, sf_dir, "chat_messages")
+    who = (F.col("conv_id") * 3 + F.col("turn")) % 9
+    return m.select(
+        F.when((F.col("conv_id") + F.col("turn")) % 4 != 1, F.col("message_id")).alias("ts"), F.col("message_id").alias("event_ts"), F.when(who >= 2, F.col("user_id")).alias("user"), F.when(who >= 2, F.col("user_name")).alias("username"),
+        F.when(who == 1, F.concat(F.lit("B"), (F.col("conv_id") % 5).cast("string"))).alias("bot_id"), F.col("channel_id").alias("channel"), "channel_name", "thread_ts", "text", F.lit("message").alias("type"), F.lit(None).cast("string").alias("subtype"),
+        F.when(F.col("has_file"), F.array(F.struct(F.concat(F.lit("F"), F.col("conv_id").cast("string")).alias("id")), F.struct(F.lit(None).cast("string").alias("id")))).alias("files"), "reaction_total", "event_reply_count",
     )
 
 
+_LIST = lambda c: f"CASE WHEN len({c}) > 0 THEN array_to_string({c}, '|') END"
+_ROWS_SQL = f"""SELECT message_id, channel_id, channel_name, coalesce("user", 'BOT:' || bot_id) AS user_id, CASE WHEN "user" IS NULL THEN coalesce(username, 'bot') ELSE username END AS user_name, 'T1' AS team_id, thread_ts,
+  coalesce(thread_ts = message_id, false) AS is_thread_parent, text, trim(regexp_replace(regexp_replace(text, '<#[A-Z0-9]+\\|([^>]+)>', '#\\1', 'g'), '\\s+', ' ', 'g')) AS text_processed, 'message' AS message_type, CAST(NULL AS VARCHAR) AS subtype,
+  CAST(split_part(message_id, '.', 1) AS DOUBLE) AS timestamp_s, len({_SEEN}) > 0 AS has_code, {_LIST(_LANGS)} AS code_languages, has_file AS has_files, CASE WHEN has_file THEN 'F' || conv_id END AS file_ids, len({_LINKS_SQL}) > 0 AS has_links, {_LIST(_LINKS_SQL)} AS links,
+  CAST(0 AS BIGINT) AS reaction_count, {_LIST("regexp_extract_all(text, '<@([A-Z0-9]+)>', 1)")} AS mentioned_users, {_IMPORTANCE_SQL} AS importance_score
+FROM ({_EVENTS}) WHERE "user" IS NOT NULL OR bot_id IS NOT NULL"""
+
+
+@query("message_rows", oracle(_ROWS_SQL, "chat_messages"))
+def message_rows(spark, sf_dir):
+    rows = messages.message_rows(_events(spark, sf_dir), F.lit("T1"))
+    lists = {c: join_list(F.col(c)) for c in ("code_languages", "file_ids", "links", "mentioned_users")}
+    return rows.withColumns(lists | {"timestamp_s": F.floor(F.unix_micros("timestamp") / 1e6).cast("double")}).drop("timestamp", "reactions", "raw_json")
+
+
+_META_KEYS = ["message_id", "channel_id", "channel_name", "user_id", "user_name", "thread_ts", "is_thread_parent", "has_code", "reaction_count", "importance_score", "has_files"]
+
+
+@query("vector_metadata", oracle(f"SELECT message_id, channel_id, channel_name, user_id, user_name, strftime(make_timestamp(CAST(timestamp_s * 1000000 AS BIGINT)), '%Y-%m-%dT%H:%M:%S') AS timestamp, coalesce(thread_ts, '') AS thread_ts, is_thread_parent, substr(text, 1, 1000) AS text, has_code, coalesce(code_languages, '') AS code_languages, coalesce(mentioned_users, '') AS mentioned_users, reaction_count, CAST(0 AS BIGINT) AS reply_count, importance_score, has_files FROM ({_ROWS_SQL})", "chat_messages"))
+def vector_metadata(spark, sf_dir):
+    rows = messages.message_rows(_events(spark, sf_dir), F.lit("T1")).withColumns({"reply_count": F.lit(0).cast("long"), "timestamp": F.timestamp_seconds(F.floor(F.unix_micros("timestamp") / 1e6))})
+    out = rows.select(messages.vector_metadata(rows).alias("m")).select("m.*")
+    return out.withColumns({c: join_list(F.col(c)) for c in ("code_languages", "mentioned_users")})
+
+
+_DIM = 16
+
+
+@query("embed_hash", oracle(f"""
+WITH t AS (SELECT message_id, md5(unnest(regexp_extract_all(lower(text), '{_W}'))) AS h FROM chat_messages),
+s AS (SELECT message_id, CAST('0x' || substr(h, 1, 4) AS INT) % {_DIM} AS slot, sum(CASE WHEN CAST('0x' || substr(h, 5, 1) AS INT) % 2 = 0 THEN 1 ELSE -1 END) AS v FROM t GROUP BY 1, 2)
+SELECT message_id, slot, round(v / sqrt(sum(v * v) OVER (PARTITION BY message_id)), 6) AS value FROM s QUALIFY v <> 0""", "chat_messages"))
+def embed_hash(spark, sf_dir):
+    m = view(spark, sf_dir, "chat_messages").select("message_id", "text")
+    made = messages.embed(m, "text", messages.hashing_model(_DIM))
+    return made.select("message_id", F.posexplode("embedding").alias("slot", "value")).where("value <> 0").select("message_id", "slot", F.round("value", 6).alias("value"))
+
+
 @query("embed_text", oracle(r"""
 SELECT m.message_id, concat_ws(chr(10), 'Channel: ' || m.channel_name, CASE WHEN m.thread_ts <> m.message_id THEN 'Thread Topic: ' || substr(p.text, 1, 200) END, 'Message: ' || m.text,
   CASE WHEN contains(m.text, '```') THEN 'Contains code: ' || array_to_string(list_distinct(list_transform(regexp_extract_all(m.text, '(?s)```([0-9A-Za-z_]+)?\n(.*?)```', 1), lambda x: CASE WHEN x IS NULL OR x = '' THEN 'unknown' ELSE x END)), ', ') END) AS embed_text
@@ -180,6 +222,24 @@ def q_expand(spark, sf_dir):
     return _queries(spark, sf_dir).select("query_id", F.posexplode(ft.expansions(F.concat(F.lit("What is the db about "), F.col("query_text")))).alias("n", "variant"))
 
 
+_ANALYSIS_SQL = f"""
+SELECT query_id, query_text, {_normal_sql('query_text')} AS normalized_query, CASE WHEN len({_INTENT_SQL}) = 0 THEN 'factual' ELSE array_to_string({_INTENT_SQL}, '|') END AS intents, array_to_string({_ENT_SQL}, '|') AS entities,
+  CASE WHEN a IS NOT NULL THEN a.phrase WHEN day IS NOT NULL THEN regexp_extract(q, '([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})', 1) ELSE nullif(regexp_extract(lower(q), '((after|before) [0-9A-Za-z_]+ [0-9]+)', 1), '') END AS phrase,
+  CASE WHEN a IS NOT NULL THEN epoch(a.s) ELSE epoch(day) END AS start_s, CASE WHEN a IS NOT NULL THEN epoch(a.e) ELSE epoch(day + INTERVAL 1 DAY) END AS end_s, array_to_string({_CHANNELS_SQL.format(q='query_text')}, '|') AS channels, array_to_string({_USERS_SQL.format(q='query_text')}, '|') AS users,
+  {" OR ".join(f"contains(lower(query_text), '{p}')" for p in ft.CODE_PARTS)} AS has_code_intent, CASE {" ".join(f"WHEN starts_with(trim(lower(query_text)), '{w}') THEN '{w}'" for w in ft.QUESTION_WORDS)} WHEN contains(query_text, '?') THEN 'question' ELSE 'statement' END AS question_type
+FROM (SELECT *, {_DAYS_SQL} AS a, try_strptime(regexp_extract(q, '([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})', 1), '%Y-%m-%d') AS day FROM (SELECT *, query_text AS q, TIMESTAMP '{AS_OF}' AS t FROM search_queries))"""
+
+
+@query("q_analysis", oracle(_ANALYSIS_SQL, "search_queries"))
+def q_analysis(spark, sf_dir):
+    a = _queries(spark, sf_dir).select("query_id", ft.analysis(F.col("query_text"), F.col("as_of")).alias("a")).select("query_id", "a.*")
+    seconds = lambda c: F.unix_timestamp(f"temporal.{c}").cast("double").alias(f"{c}_s")
+    return a.select(
+        "query_id", F.col("original_query").alias("query_text"), "normalized_query", join_list(F.col("intents")).alias("intents"), join_list(F.transform("entities", lambda e: F.concat_ws(":", e["type"], e["text"]))).alias("entities"), "temporal.phrase", seconds("start"), seconds("end"),
+        join_list(F.array_sort("channels")).alias("channels"), join_list(F.array_sort("users")).alias("users"), "has_code_intent", "question_type",
+    )
+
+
 @query("intent_counts", oracle(f"WITH x AS (SELECT CASE WHEN len({_INTENT_SQL}) = 0 THEN ['factual'] ELSE {_INTENT_SQL} END AS i FROM search_queries) SELECT unnest(i) AS intent, count(*) AS n FROM x GROUP BY 1", "search_queries"))
 def intent_counts(spark, sf_dir):
     return _queries(spark, sf_dir).select(F.explode(ft.intents(F.col("query_text"))).alias("intent")).groupBy("intent").agg(F.count(F.lit(1)).alias("n"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import context as cx
+from ..operators import messages
 from ..operators import search
 from ..sources.shared import written
 from ..sources.views import oracle, view
+from .message_queries import _ANALYSIS_SQL, AS_OF, join_list
 from .message_queries import _DAYS_SQL as DAYS_SQL
 from .registry import query
 
@@ -98,6 +100,13 @@ def hybrid_full(spark, sf_dir):
     return r.select("query_id", "message_id", (F.round(F.col("relevance") * 1e8) / 1e8).alias("relevance"), "rank", "text", search.permalink(F.col("channel_id"), F.col("message_id")).alias("permalink"))
 
 
+@query("query_log", oracle(f"SELECT query_id, query_text, split_part(intents, '|', 1) AS intent_type, entities, start_s, end_s, channels, coalesce(n, 0) AS results_count FROM ({_ANALYSIS_SQL}) LEFT JOIN (SELECT query_id, count(*) AS n FROM ({_FULL}) GROUP BY 1) USING (query_id)", *_VIEWS))
+def query_log(spark, sf_dir):
+    log = messages.query_log(view(spark, sf_dir, "search_queries"), _results(spark, sf_dir)[1], F.lit(AS_OF).cast("timestamp"))
+    seconds = lambda c: F.unix_timestamp(f"date_range_{c}").cast("double").alias(f"{c}_s")
+    return log.select("query_id", "query_text", "intent_type", join_list(F.transform("entities_extracted", lambda e: F.concat_ws(":", e["type"], e["text"]))).alias("entities"), seconds("start"), seconds("end"), join_list(F.array_sort("channel_filters")).alias("channels"), "results_count")
+
+
 @query("precision_at_k", oracle(f"""
 WITH good AS (SELECT DISTINCT 'D' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS message_id FROM labels WHERE quality = 1), h AS (SELECT r.query_id, r.rank, CASE WHEN g.message_id IS NULL THEN 0E0 ELSE 1E0 END AS good FROM ({_FULL}) r LEFT JOIN good g USING (message_id)),
 p AS (SELECT query_id, k, avg(good) AS p FROM h, (VALUES (1), (5), (10)) t(k) WHERE rank <= k GROUP BY 1, 2)
