@@ -44,9 +44,9 @@ WINDOW, PHRASE = 13, 5
 LETTER_BITS = 12
 #: Bytes of text in a shard, and what a row counts besides its text.
 SHARD_BYTES, ROW_BYTES = 1 << 19, 64
-#: Windows whose anchor is in more shards than this meet by their own hashes, each in a row of its own, so that
+#: Windows whose anchor is chosen more often than this meet by their own hashes, each in a row of its own, so that
 #: a very common phrase isn't one key.
-HOT_SHARDS = 256
+HOT_TIMES = 1024
 #: Hot windows that a task remembers, so that its later shards needn't ask again. A full memory costs rows only.
 REMEMBERED = 1 << 16
 PATTERNS = 1 << 15
@@ -147,7 +147,8 @@ def _opened(z: bytes) -> tuple[pa.RecordBatch, np.ndarray, Words]:
 
 
 def _phrases(shards: DataFrame) -> DataFrame:
-    """(key, shard, low, high): each distinct anchor of a shard with the smallest and largest id that has it."""
+    """(key, shard, low, high, times): each distinct anchor of a shard with the smallest and largest id that has it, and
+    how often it is one."""
 
     def run(batches):
         for batch in batches:
@@ -162,10 +163,10 @@ def _phrases(shards: DataFrame) -> DataFrame:
                 if not len(key):
                     continue
                 head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-                yield pa.RecordBatch.from_arrays([pa.array(tx.signed(key[head])), pa.array(np.full(len(head), shard)), pa.array(np.minimum.reduceat(who, head)), pa.array(np.maximum.reduceat(who, head))], ["key", "shard", "low", "high"])
+                yield pa.RecordBatch.from_arrays([pa.array(tx.signed(key[head])), pa.array(np.full(len(head), shard)), pa.array(np.minimum.reduceat(who, head)), pa.array(np.maximum.reduceat(who, head)), pa.array(np.diff(np.append(head, len(key))).astype(np.int32))], ["key", "shard", "low", "high", "times"])
             tx.trim()
 
-    return shards.mapInArrow(run, "key long, shard long, low long, high long")
+    return shards.mapInArrow(run, "key long, shard long, low long, high long, times int")
 
 
 def _within(values: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -376,8 +377,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"), *(docs[c].alias(o) for c, o in zip(carry, others)))
     shards = _sharded(docs)
     phrases = _phrases(shards)
-    recurring = phrases.groupBy("key").agg(F.min("low").alias("least"), F.max("high").alias("most"), F.count("*").alias("shards")).where("least < most").drop("least", "most")
-    is_hot = F.col("shards") > HOT_SHARDS
+    recurring = phrases.groupBy("key").agg(F.min("low").alias("least"), F.max("high").alias("most"), F.sum("times").alias("times")).where("least < most").drop("least", "most")
+    is_hot = F.col("times") > HOT_TIMES
     found = phrases.select("key", "shard").join(recurring, "key").groupBy("shard").agg(F.collect_list("key").alias("keys"), F.collect_list(F.when(is_hot, F.col("key"))).alias("hot"))
     # both joins are left ones, so that they read one shuffle of the shards
     asked = _asked(shards.join(found, "shard", "left").select("shard", "z", "keys", "hot"))

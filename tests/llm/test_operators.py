@@ -109,9 +109,9 @@ def test_warc(spark, tmp_path):
     assert all(r.record_type == "response" for r in warc.read_archives(warc.write_archives(pages, 10**9)).collect())
 
 
-@pytest.mark.parametrize(("hot", "size"), [(3, 2000), (passages.HOT_SHARDS, 2000), (passages.HOT_SHARDS, passages.SHARD_BYTES)])
+@pytest.mark.parametrize(("hot", "size"), [(3, 2000), (passages.HOT_TIMES, 2000), (passages.HOT_TIMES, passages.SHARD_BYTES)])
 def test_passages(spark, monkeypatch, hot, size):
-    monkeypatch.setattr(passages, "HOT_SHARDS", hot)
+    monkeypatch.setattr(passages, "HOT_TIMES", hot)
     monkeypatch.setattr(passages, "SHARD_BYTES", size)
     rng = random.Random(4)
     shared = [noise(rng, 30) for _ in range(4)]
