@@ -10,6 +10,19 @@ from ..functions import text as ft
 COMPRESS_ABOVE, MOST_MESSAGES = 10, 50
 
 
+#: What a model is told before the prompt: in every case, and for the first intent of the query.
+SYSTEM = {
+    "base": "You answer questions about a team's chat history. Say only what the given messages support, name the source of each claim as [Channel, @User, timestamp], and say so where they hold no answer or leave it open.",
+    "factual": "The question asks for a fact: answer it first, then give the details and any messages that contradict each other, the newest first.",
+    "code": "The question asks for code: give whole snippets as they were posted, what they do, who wrote them, and warnings that go with them.",
+    "summary": "The question asks for a summary: main points by theme, then decisions and open tasks, in short bullet points.",
+    "timeline": "The question asks for a course of events: list them in order of time with their dates, and mark turning points.",
+    "who": "The question asks for people: name them, quote what they said and where, and tell authors from those who agreed.",
+    "comparison": "The question asks for a comparison: set the options side by side, with what speaks for and against each, and any decision.",
+    "howto": "The question asks for a procedure: number the steps, name what they need beforehand, and add commands and known pitfalls.",
+}
+
+
 def threads(results: DataFrame, messages: DataFrame) -> DataFrame:
     """All messages of the threads that hold a result: (query_id, thread, message_id, ts, user_name, channel_name,
     pos, thread_size, relevant, score). A result outside any thread is its own thread."""
@@ -27,15 +40,24 @@ def threads(results: DataFrame, messages: DataFrame) -> DataFrame:
     )
 
 
+#: The message id of a placeholder row.
+SUMMARY = "summary"
+
+
 def compress(rows: DataFrame, above: int = COMPRESS_ABOVE) -> DataFrame:
-    """Of longer threads the parent, the results and their neighbours; `left_out` counts the rest of the thread.
+    """Of longer threads the parent, the results and their neighbours, and where that is less than the thread a
+    placeholder row after them; `left_out` counts the rest of the thread.
     A result at the parent's place pulls in no neighbour, as the walk starts after it."""
     order = Window.partitionBy("query_id", "thread").orderBy("pos")
     beside = lambda step: F.coalesce(F.lag("relevant", step).over(order) & (F.lag("pos", step).over(order) >= 1), F.lit(False))
     after = F.coalesce(F.lead("relevant").over(order) & (F.col("pos") >= 1), F.lit(False))
     flagged = rows.withColumn("keep", (F.col("thread_size") <= above) | (F.col("pos") == 0) | F.col("relevant") | beside(1) | after)
-    kept = flagged.withColumn("left_out", F.sum((~F.col("keep")).cast("int")).over(Window.partitionBy("query_id", "thread")))
-    return kept.where("keep").drop("keep")
+    kept = flagged.withColumn("left_out", F.sum((~F.col("keep")).cast("int")).over(Window.partitionBy("query_id", "thread"))).where("keep").drop("keep")
+    # the parent's row gives the placeholder's, so that nothing is read twice
+    gap = (F.col("pos") == 0) & (F.col("left_out") > 0)
+    blank = {c: F.lit(None).cast(kept.schema[c].dataType) for c in ("ts", "user_name")} | {"message_id": F.lit(SUMMARY), "pos": F.col("thread_size").cast(kept.schema["pos"].dataType), "relevant": F.lit(False), "score": F.lit(0.0)}
+    placeholder = F.struct(*(blank.get(c, F.col(c)).alias(c) for c in kept.columns))
+    return kept.select(F.explode(F.array_compact(F.array(F.struct(*kept.columns), F.when(gap, placeholder)))).alias("x")).select("x.*")
 
 
 def scored(rows: DataFrame, importance: DataFrame) -> DataFrame:
@@ -69,25 +91,35 @@ def meta(rows: DataFrame) -> DataFrame:
 
 def connections(rows: DataFrame) -> DataFrame:
     """Users and channels that more than one selected thread of a query has."""
-    both = rows.select("query_id", "thread", F.explode(F.array(F.struct(F.lit("user").alias("kind"), F.col("user_name").alias("name")), F.struct(F.lit("channel").alias("kind"), F.col("channel_name").alias("name")))).alias("x"))
+    both = rows.where(F.col("message_id") != SUMMARY).select("query_id", "thread", F.explode(F.array(F.struct(F.lit("user").alias("kind"), F.col("user_name").alias("name")), F.struct(F.lit("channel").alias("kind"), F.col("channel_name").alias("name")))).alias("x"))
     return both.groupBy("query_id", "x.kind", "x.name").agg(F.count_distinct("thread").alias("n_threads")).where("n_threads > 1")
 
 
-def prompt_rows(rows: DataFrame, contexts: DataFrame, queries: DataFrame, messages: DataFrame, as_of: Column, most_threads: int = 10, most_people: int = 10) -> DataFrame:
-    """One user message per query: an overview, the threads by score with their messages, the question, instructions.
-    A thread that the budget cut shows no placeholder, as its messages end before it; totals count real messages."""
-    said = messages.select("message_id", "text", "reaction_count")
-    line = F.concat_ws(
+def _line() -> Column:
+    """A message as text, or the placeholder."""
+    return F.when(F.col("message_id") == SUMMARY, F.concat(F.lit("_["), F.col("left_out").cast("string"), F.lit(" additional messages in thread]_\n"))).otherwise(F.concat_ws(
         "\n", F.concat(F.lit("**"), F.coalesce("user_name", F.lit("Unknown")), F.lit("** ("), F.coalesce(F.date_format("ts", "yyyy-MM-dd HH:mm"), F.lit("")), F.lit("):")), F.concat(F.coalesce("text", F.lit("")), F.lit("\n")),
         F.when(F.col("reaction_count") > 0, F.concat(F.lit("_Reactions: "), F.col("reaction_count").cast("string"), F.lit("_\n"))),
+    ))
+
+
+def assembled(rows: DataFrame, messages: DataFrame) -> DataFrame:
+    """One row for each thread of a query, with its messages in order as one document."""
+    met = rows.join(messages.select("message_id", "text", "reaction_count"), "message_id", "left")
+    inside = F.transform(F.sort_array(F.collect_list(F.struct("pos", _line().alias("line")))), lambda x: x["line"])
+    return met.groupBy("query_id", "thread").agg(
+        F.min("channel_name").alias("channel_name"), F.count(F.lit(1)).alias("n_messages"), F.max(F.col("message_id") == SUMMARY).alias("has_placeholder"), F.array_join(inside, "\n").alias("messages")
     )
+
+
+def prompt_rows(rows: DataFrame, contexts: DataFrame, queries: DataFrame, messages: DataFrame, as_of: Column, most_threads: int = 10, most_people: int = 10) -> DataFrame:
+    """(query_id, intent, system, prompt) of each query: instructions for its first intent, and one message with an
+    overview, the threads by score with their messages, the question, and what to heed."""
+    line, said = _line(), messages.select("message_id", "text", "reaction_count")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "thread")
-    ranked = contexts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most_threads)
-    ranked = ranked.select("query_id", "thread", "r", "left_out", (F.col("left_out") > 0).alias("short"), (F.col("taken") == F.col("n_messages")).alias("whole"))
-    met = rows.drop("left_out").join(said, "message_id").join(ranked, ["query_id", "thread"])
-    lines = met.groupBy("query_id", "r", "left_out", "short", "whole").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]).alias("lines"), F.min("channel_name").alias("channel"))
-    gap = F.when(F.col("short") & F.col("whole"), F.array(F.concat(F.lit("_["), F.col("left_out").cast("string"), F.lit(" additional messages in thread]_\n")))).otherwise(F.array().cast("array<string>"))
-    lines = lines.withColumn("lines", F.concat("lines", gap))
+    ranked = contexts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most_threads).select("query_id", "thread", "r")
+    met = rows.join(said, "message_id", "left").join(ranked, ["query_id", "thread"])
+    lines = met.groupBy("query_id", "r").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]).alias("lines"), F.min("channel_name").alias("channel"))
     head = F.concat(F.lit("### Discussion "), F.col("r").cast("string"), F.lit("\n**Channel**: #"), F.coalesce("channel", F.lit("unknown")), F.lit("\n**Messages** ("), F.size("lines").cast("string"), F.lit("):\n\n"))
     body = lines.select("query_id", F.struct("r", F.concat(head, F.array_join("lines", "\n"), F.lit("\n")).alias("t")).alias("t")).groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("t")), lambda x: x["t"]), "\n").alias("threads"))
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
@@ -109,5 +141,7 @@ def prompt_rows(rows: DataFrame, contexts: DataFrame, queries: DataFrame, messag
         F.lit("- Provide citations with [Channel, @User, timestamp] format for all factual claims."), F.lit("- If information is not found in the context, explicitly state that."), F.lit("- Be concise but comprehensive."),
     )
     known = facts.select("query_id", overview.alias("overview")).join(body, "query_id")
-    found = queries.select("query_id", asked.alias("asked")).join(known, "query_id", "left")
-    return found.select("query_id", F.concat_ws("\n", "overview", F.when(F.col("threads").isNotNull(), F.lit("## Relevant Discussions\n")), "threads", "asked").alias("prompt"))
+    intent = F.element_at(ft.intents(q), 1)
+    system = F.concat(F.lit(SYSTEM["base"] + "\n\n"), F.element_at(F.create_map(*(F.lit(x) for k in SYSTEM if k != "base" for x in (k, SYSTEM[k]))), intent))
+    found = queries.select("query_id", intent.alias("intent"), system.alias("system"), asked.alias("asked")).join(known, "query_id", "left")
+    return found.select("query_id", "intent", "system", F.concat_ws("\n", "overview", F.when(F.col("threads").isNotNull(), F.lit("## Relevant Discussions\n")), "threads", "asked").alias("prompt"))

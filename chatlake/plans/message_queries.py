@@ -156,6 +156,9 @@ _CAPS_SQL = f"list_filter(regexp_extract_all(query_text, '{_W}'), lambda x: rege
 _ENT_SQL = f"""list_concat(list_concat(list_concat(list_transform(regexp_extract_all(query_text, '"([^"]+)"', 1), lambda x: 'quoted:' || x), list_transform({_CAPS_SQL}, lambda x: 'technical:' || x)), list_transform(regexp_extract_all(query_text, '\\b[A-Z]+-[0-9]+\\b'), lambda x: 'ticket:' || x)), list_transform(regexp_extract_all(query_text, 'https?://\\S+'), lambda x: 'url:' || x))"""
 
 
+_NAMES_SQL = f"""list_concat(list_concat(list_concat(regexp_extract_all(query_text, '"([^"]+)"', 1), {_CAPS_SQL}), regexp_extract_all(query_text, '\\b[A-Z]+-[0-9]+\\b')), regexp_extract_all(query_text, 'https?://\\S+'))"""
+
+
 @query("q_entities", oracle(f"SELECT query_id, array_to_string({_ENT_SQL}, '|') AS entities FROM search_queries", "search_queries"))
 def q_entities(spark, sf_dir):
     return _queries(spark, sf_dir).select("query_id", join_list(F.transform(ft.entities(F.col("query_text")), lambda e: F.concat_ws(":", e["type"], e["text"]))).alias("entities"))

@@ -9,7 +9,7 @@ from ..operators import messages
 from ..operators import search
 from ..sources.shared import written
 from ..sources.views import oracle, view
-from .message_queries import _ANALYSIS_SQL, AS_OF, join_list
+from .message_queries import _ANALYSIS_SQL, _NAMES_SQL, AS_OF, join_list
 from .message_queries import _DAYS_SQL as DAYS_SQL
 from .registry import query
 
@@ -123,7 +123,7 @@ _ROWS = f"""SELECT w.query_id, b.thread_ts AS thread, b.message_id, b.ts, b.user
 FROM (SELECT DISTINCT query_id, thread_ts FROM hits JOIN doc_messages USING (message_id)) w JOIN doc_messages b ON b.thread_ts = w.thread_ts LEFT JOIN hits h ON h.query_id = w.query_id AND h.message_id = b.message_id"""
 _KEPT = """SELECT *, sum(CASE WHEN keep THEN 0 ELSE 1 END) OVER (PARTITION BY query_id, thread) AS left_out FROM (SELECT *, thread_size <= 10 OR pos = 0 OR relevant OR coalesce(lag(relevant) OVER w AND lag(pos) OVER w >= 1, false) OR coalesce(lead(relevant) OVER w AND pos >= 1, false) AS keep
   FROM r WINDOW w AS (PARTITION BY query_id, thread ORDER BY pos)) QUALIFY true"""
-_WITH = f"WITH hits AS MATERIALIZED ({_HITS}), r AS ({_ROWS}), k0 AS ({_KEPT}), k AS (SELECT * EXCLUDE (keep) FROM k0 WHERE keep)"
+_WITH = f"WITH hits AS MATERIALIZED ({_HITS}), r AS ({_ROWS}), k0 AS ({_KEPT}), k1 AS (SELECT * EXCLUDE (keep) FROM k0 WHERE keep), k AS (SELECT * FROM k1 UNION ALL SELECT query_id, thread, '{cx.SUMMARY}', NULL, NULL, channel_name, thread_size, thread_size, false, 0, left_out FROM k1 WHERE pos = 0 AND left_out > 0)"
 _SCORED = """SELECT query_id, thread, round(sum(k.score) + coalesce(any_value(m.importance_score) / 10, 0), 6) AS score, count(*) AS n_messages, max(left_out) AS left_out FROM k LEFT JOIN doc_messages m ON m.message_id = k.thread GROUP BY 1, 2"""
 _BUDGET = """SELECT query_id, thread, score, n_messages, left_out, least(n_messages, 50 - before) AS taken FROM (SELECT *, coalesce(sum(n_messages) OVER (PARTITION BY query_id ORDER BY score DESC, thread ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s) WHERE before < 50"""
 _SEL = "SELECT k.* FROM k JOIN b USING (query_id, thread) QUALIFY row_number() OVER (PARTITION BY k.query_id, k.thread ORDER BY pos) <= b.taken"
@@ -171,12 +171,37 @@ def context_meta(spark, sf_dir):
     return rows.select("query_id", "n_threads", "n_messages", "channels", "n_participants", F.unix_timestamp("first_ts").cast("double").alias("first_s"), F.unix_timestamp("last_ts").cast("double").alias("last_s"))
 
 
-@query("context_connections", oracle(f"{_ALL}, e AS (SELECT query_id, thread, 'user' AS kind, user_name AS name FROM sel UNION ALL SELECT query_id, thread, 'channel', channel_name FROM sel) SELECT query_id, kind, name, count(DISTINCT thread) AS n_threads FROM e GROUP BY 1, 2, 3 HAVING count(DISTINCT thread) > 1", *_VIEWS))
+@query("context_connections", oracle(f"{_ALL}, e AS (SELECT query_id, thread, 'user' AS kind, user_name AS name FROM sel WHERE message_id <> 'summary' UNION ALL SELECT query_id, thread, 'channel', channel_name FROM sel WHERE message_id <> 'summary') SELECT query_id, kind, name, count(DISTINCT thread) AS n_threads FROM e GROUP BY 1, 2, 3 HAVING count(DISTINCT thread) > 1", *_VIEWS))
 def context_connections(spark, sf_dir):
     return cx.connections(_selected(spark, sf_dir)[0])
 
 
-@query("prompt_rows")
+# The messages of the selected threads as one document for each of them.
+_MESSAGES = f"""{_ALL}, l AS (SELECT query_id, thread, pos, s.message_id, s.left_out, s.channel_name, CASE WHEN s.message_id = '{cx.SUMMARY}' THEN '_[' || CAST(s.left_out AS BIGINT) || ' additional messages in thread]_' || chr(10)
+  ELSE concat_ws(chr(10), '**' || coalesce(s.user_name, 'Unknown') || '** (' || coalesce(strftime(s.ts, '%Y-%m-%d %H:%M'), '') || '):', coalesce(m.text, '') || chr(10), CASE WHEN m.reaction_count > 0 THEN '_Reactions: ' || m.reaction_count || '_' || chr(10) END) END AS line
+  FROM sel s LEFT JOIN doc_messages m USING (message_id))"""
+_SYSTEM_SQL = "'" + cx.SYSTEM["base"].replace("'", "''") + "' || chr(10) || chr(10) || CASE intent " + " ".join("WHEN '" + k + "' THEN '" + v.replace("'", "''") + "'" for k, v in cx.SYSTEM.items() if k != "base") + " END"
+_PROMPTS = f"""{_MESSAGES}, o AS (SELECT query_id, thread, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, thread) AS r FROM b QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, thread) <= 10),
+d AS (SELECT query_id, r, '### Discussion ' || r || chr(10) || '**Channel**: #' || coalesce(min(channel_name), 'unknown') || chr(10) || '**Messages** (' || count(*) || '):' || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY pos) || chr(10) AS t FROM l JOIN o USING (query_id, thread) GROUP BY 1, 2),
+e AS (SELECT query_id, string_agg(t, chr(10) ORDER BY r) AS threads FROM d GROUP BY 1),
+g AS (SELECT query_id, count(DISTINCT thread) AS nt, count(*) AS nm, list_sort(list_distinct(list(channel_name))) AS ch, list_sort(list_distinct(list(user_name) FILTER (user_name IS NOT NULL))) AS pe, min(ts) AS a, max(ts) AS z FROM sel GROUP BY 1),
+v AS (SELECT query_id, concat_ws(chr(10), '## Context Overview', '- Found ' || nt || ' relevant discussions', '- Total messages: ' || nm, CASE WHEN len(ch) > 0 THEN '- Channels: ' || array_to_string(ch, ', ') END, CASE WHEN len(pe) > 0 THEN '- Participants: ' || array_to_string(pe[1:10], ', ') END,
+  CASE WHEN len(pe) > 10 THEN '  (and ' || (len(pe) - 10) || ' more)' END, '- Time period: ' || strftime(a, '%Y-%m-%dT%H:%M:%S') || ' to ' || strftime(z, '%Y-%m-%dT%H:%M:%S'), '') AS overview FROM g),
+x AS (SELECT y.query_id, split_part(y.intents, '|', 1) AS intent, q.has_code_intent AS code, y.* EXCLUDE (query_id, has_code_intent) FROM (ANALYSIS) y JOIN search_queries q ON q.query_id = y.query_id)
+SELECT x.query_id, intent, {_SYSTEM_SQL} AS system, concat_ws(chr(10), overview, CASE WHEN threads IS NOT NULL THEN '## Relevant Discussions' || chr(10) END, threads, '## User Question', query_text || chr(10), '## Instructions',
+  CASE WHEN code THEN '- The user is looking for code. Include complete code snippets with syntax highlighting.' END, '- Pay special attention to the time period: ' || phrase,
+  CASE WHEN entities <> '' THEN '- Focus on information related to: ' || array_to_string(list_transform(names, lambda y: y), ', ') END,
+  '- Provide citations with [Channel, @User, timestamp] format for all factual claims.', '- If information is not found in the context, explicitly state that.', '- Be concise but comprehensive.') AS prompt
+FROM x LEFT JOIN (SELECT * FROM v JOIN e USING (query_id)) w USING (query_id)"""
+
+
+@query("context_assembly", oracle(f"{_MESSAGES} SELECT query_id, thread, any_value(channel_name) AS channel_name, count(*) AS n_messages, count(*) FILTER (message_id = '{cx.SUMMARY}') > 0 AS has_placeholder, string_agg(line, chr(10) ORDER BY pos) AS messages FROM l GROUP BY 1, 2", *_VIEWS))
+def context_assembly(spark, sf_dir):
+    rows, _ = _selected(spark, sf_dir)
+    return cx.assembled(rows, view(spark, sf_dir, "doc_messages"))
+
+
+@query("prompt_rows", oracle(_PROMPTS.replace("ANALYSIS", _ANALYSIS_SQL.replace(AS_OF, search.AS_OF).replace('SELECT query_id, query_text,', f'SELECT query_id, query_text, {_NAMES_SQL} AS names,', 1)), *_VIEWS))
 def prompt_rows(spark, sf_dir):
     rows, contexts = _selected(spark, sf_dir)
     q, m, _ = _sources(spark, sf_dir)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from chatlake import catalog
 from chatlake.functions import text as ft
-from chatlake.operators import answers, context, folds, search
+from chatlake.operators import answers, context, folds, messages, search
 
 
 @pytest.fixture(scope="module")
@@ -61,7 +61,7 @@ def test_backfill_limits(spark, tiny):
 
 PROMPT = """## Context Overview
 - Found 2 relevant discussions
-- Total messages: 12
+- Total messages: 13
 - Channels: c1, c2
 - Participants: u00, u01, u02, u03, u04, u05, u06, u07, u08, u09
   (and 2 more)
@@ -105,10 +105,12 @@ Where is ABC-12 yesterday?
 def test_prompt_equals_hand_made(spark):
     ids = [(i, 1704067200 + 60 * i) for i in range(12)]
     m = spark.createDataFrame([(f"m{i}", f"text {i}", 4 if i == 1 else 0) for i, _ in ids], "message_id string, text string, reaction_count long")
-    rows = spark.createDataFrame([(1, "a" if i < 2 else "b", f"m{i}", s, f"u{i:02}", "c1" if i < 2 else "c2", i, 9 if i < 2 else 3) for i, s in ids], "query_id long, thread string, message_id string, s long, user_name string, channel_name string, pos long, left_out long").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    given = [(1, "a" if i < 2 else "b", f"m{i}", s, f"u{i:02}", "c1" if i < 2 else "c2", i, 9 if i < 2 else 0) for i, s in ids] + [(1, "a", context.SUMMARY, None, None, "c1", 11, 9)]
+    rows = spark.createDataFrame(given, "query_id long, thread string, message_id string, s long, user_name string, channel_name string, pos long, left_out long").withColumn("ts", F.timestamp_seconds("s")).drop("s")
     contexts = spark.createDataFrame([(1, "b", 1.0, 12, 3, 10), (1, "a", 2.0, 2, 9, 2)], "query_id long, thread string, score double, n_messages long, left_out long, taken long")
     queries = spark.createDataFrame([(1, "Where is ABC-12 yesterday?", True), (2, "none", False)], "query_id long, query_text string, has_code_intent boolean")
     got = {r.query_id: r.prompt for r in context.prompt_rows(rows, contexts, queries, m, F.lit("2024-02-01").cast("timestamp")).collect()}
+    assert {r.query_id: (r.intent, r.system.split("\n\n")) for r in context.prompt_rows(rows, contexts, queries, m, F.lit("2024-02-01").cast("timestamp")).collect()} == {i: ("factual", [context.SYSTEM["base"], context.SYSTEM["factual"]]) for i in (1, 2)}
     assert got[1] == PROMPT and got[2].startswith("## User Question\nnone\n\n## Instructions\n- Provide")
 
 
@@ -139,3 +141,37 @@ def test_hybrid_filters_the_vector_list(spark, tiny):
     docs = [(i, f"word{i}", "en", "s", 5) for i in range(64)]
     d = tiny(documents=(docs, DOCUMENTS), benchmark=([(1, "nothing alike")], "item_id long, text string"), embeddings=([(i, [1.0, float(i)], 0) for i in range(64)], "vec_id long, embedding array<float>, label int"))
     assert {r.message_id for r in catalog.QUERIES["hybrid_rrf"](spark, d).collect()} == {f"D{i:08}" for i in range(16, 32)}  # channel_filter chan-1
+
+
+def test_long_threads_get_a_placeholder(spark):
+    given = [(1, "t", f"m{i:02}", i, "u", "c", i, 12, i in (3, 5), 1.0 if i in (3, 5) else 0.0) for i in range(12)] + [(2, "t", f"m{i:02}", i, "u", "c", i, 10, i == 0, 0.0) for i in range(10)]
+    rows = spark.createDataFrame(given, "query_id long, thread string, message_id string, ts long, user_name string, channel_name string, pos long, thread_size long, relevant boolean, score double")
+    out = context.compress(rows).orderBy("query_id", "pos").collect()
+    assert [r.message_id for r in out if r.query_id == 1] == ["m00", "m02", "m03", "m04", "m05", "m06", context.SUMMARY] and {r.left_out for r in out if r.query_id == 1} == {6}
+    assert len([r for r in out if r.query_id == 2]) == 10
+
+
+def test_message_rows_identity(spark):
+    schema = "ts string, event_ts string, user string, username string, bot_id string, channel string, channel_name string, thread_ts string, text string, type string, subtype string, files array<struct<id:string>>, reaction_total long, event_reply_count long"
+    blank = [None, None, None, "x", None, None, None, 0, 0]
+    raw = [("1.5", None, "U1", "ann", "B1", *blank[1:3], "1.5", "```py\n1\n``` <@U2>", None, None, [("F1",), (None,), ("",)], 2, 1), (None, "2.5", None, None, "B1", None, None, None, None, None, "bot", None, 0, 0), ("3.5", "9", "", "hook", "B2", None, None, "1.5", "x", "message", None, None, 0, 0), ("4.5", None, None, "ghost", None, None, None, None, "x", None, None, None, 0, 0)]
+    got = {r.message_id: r for r in messages.message_rows(spark.createDataFrame(raw, schema), F.lit("T")).collect()}
+    assert set(got) == {"1.5", "2.5", "3.5"}
+    assert [(got[i].user_id, got[i].user_name, got[i].is_thread_parent, got[i].message_type) for i in sorted(got)] == [("U1", "ann", True, "message"), ("BOT:B1", "bot", False, "message"), ("BOT:B2", "hook", False, "message")]
+    assert got["1.5"].file_ids == ["F1"] and got["1.5"].code_languages == ["py"] and got["1.5"].mentioned_users == ["U2"] and got["1.5"].importance_score == 1 + 1 + 0.3 + 2 + 1.5
+    assert got["2.5"].text == "" and got["2.5"].links is None and got["2.5"].file_ids is None and not got["2.5"].has_files
+
+
+def test_embedder_gets_batches(spark):
+    df = spark.createDataFrame([(i, None if i == 3 else f"w{i}") for i in range(7)], "id long, text string").coalesce(1)
+    out = {r.id: r.embedding for r in messages.embed(df, "text", lambda texts: [[float(len(texts))] for _ in texts], batch=4).collect()}
+    assert out == {0: [3.0], 1: [3.0], 2: [3.0], 3: None, 4: [3.0], 5: [3.0], 6: [3.0]}
+
+
+def test_query_log_appends(spark, tmp_path):
+    q = spark.createDataFrame([(1, "who said it yesterday in the ops channel"), (2, "x")], "query_id long, query_text string")
+    r = spark.createDataFrame([(1, "m"), (1, "n")], "query_id long, message_id string")
+    for _ in range(2):
+        messages.append_log(messages.query_log(q, r, F.lit("2024-02-01 12:34:56").cast("timestamp")), str(tmp_path / "log"))
+    rows = spark.read.parquet(str(tmp_path / "log")).orderBy("query_id").collect()
+    assert [(x.query_id, x.intent_type, x.results_count, x.channel_filters) for x in rows] == [(1, "who", 2, ["ops"])] * 2 + [(2, "factual", 0, [])] * 2 and str(rows[0].date_range_start) == "2024-01-31 00:00:00"
