@@ -151,3 +151,9 @@ def validated(answers: DataFrame, context: DataFrame) -> DataFrame:
     out = checks.join(grounding(told, context), "answer_id")
     out = out.withColumn("quality", quality(F.col("has_answer"), F.col("coverage"), F.col("grounding"), F.col("relevance"), F.size("flags")))
     return out.withColumn("acceptable", F.col("quality") >= ACCEPTABLE)
+
+
+def history(turns: DataFrame, last: int = TRIM_TO) -> DataFrame:
+    """(conv_id, n, role, content): the `last` turns of each conversation in order."""
+    recent = turns.withColumn("back", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))).where(F.col("back") <= last)
+    return recent.select("conv_id", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("n"), "role", F.col("text").alias("content"))

@@ -107,6 +107,17 @@ def latest_per_channel(messages: DataFrame, limit: int, oldest: Column | None =
     return rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= limit)
 
 
+def lag_seconds(event_time: Column, ingested: Column) -> Column:
+    return (F.unix_micros(ingested) - F.unix_micros(event_time)) / F.lit(1e6)
+
+
+def filled(messages: DataFrame, channels: DataFrame) -> DataFrame:
+    """messages with channel_name and team_id taken from the channel table where they are null."""
+    c = channels.select("channel_id", F.col("channel_name").alias("__name"), F.col("team_id").alias("__team"))
+    met = messages.join(c, "channel_id", "left")
+    return met.withColumns({"channel_name": F.coalesce("channel_name", "__name"), "team_id": F.coalesce("team_id", "__team")}).drop("__name", "__team").select(messages.columns)
+
+
 def quota(requests: DataFrame, per_hour: int, per_minute: int) -> DataFrame:
     """Admission of each request under fixed windows; a denied request does not count. requests: (event_id, user_id, epoch_s)."""
     minute, hour = F.floor(F.col("epoch_s") / 60), F.floor(F.col("epoch_s") / 3600)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import answers as an
-from ..operators.folds import histogram
+from ..operators.folds import deleted, histogram
 from ..sources.views import oracle, view
 from . import retrieval_queries as rt
 from .registry import query
@@ -191,3 +191,14 @@ def convo_expire(spark, sf_dir):
 @query("history_trim", "SELECT conv_id, turn FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) WHERE n <= 10 OR back <= 20 OR role = 'system'")
 def history_trim(spark, sf_dir):
     return an.trimmed(view(spark, sf_dir, "conversations")).select("conv_id", "turn")
+
+
+@query("convo_history", "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, role, text AS content FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) WHERE back <= 20")
+def convo_history(spark, sf_dir):
+    return an.history(view(spark, sf_dir, "conversations"))
+
+
+@query("convo_delete", "SELECT conv_id, turn FROM conversations WHERE conv_id % 9 <> 4")
+def convo_delete(spark, sf_dir):
+    t = view(spark, sf_dir, "conversations")
+    return deleted(t, t.where("conv_id % 9 = 4").select("conv_id").distinct(), "conv_id").select("conv_id", "turn")

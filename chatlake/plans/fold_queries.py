@@ -78,9 +78,12 @@ def task_fanout(spark, sf_dir):
 _LAGS = [0.1, 0.5, 1, 2, 5, 10, 30, 60]
 
 
-@query("lag_histogram", "SELECT le, count(*) FILTER (abs(value) <= le) AS n FROM events, (SELECT unnest([0.1, 0.5, 1, 2, 5, 10, 30, 60, 'inf'::DOUBLE]) AS le) GROUP BY 1")
+@query("lag_histogram", "SELECT le, count(*) FILTER ((epoch_us(ts + to_microseconds(CAST(round(abs(value) * 1000000) AS BIGINT))) - epoch_us(ts)) / 1000000 <= le) AS n FROM events, (SELECT unnest([0.1, 0.5, 1, 2, 5, 10, 30, 60, 'inf'::DOUBLE]) AS le) GROUP BY 1")
 def lag_histogram(spark, sf_dir):
-    return folds.histogram(view(spark, sf_dir, "events"), F.abs("value"), _LAGS)
+    """An event arrives as many seconds after it happened as its value says."""
+    e = view(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    arrived = F.timestamp_micros(F.unix_micros("ts") + F.round(F.abs("value") * 1000000).cast("long"))
+    return folds.histogram(e.withColumn("lag", folds.lag_seconds(F.col("ts"), arrived)), F.col("lag"), _LAGS)
 
 
 @query("event_counts", "SELECT epoch(date_trunc('minute', ts)) AS minute_s, event_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -136,9 +139,29 @@ def channel_upsert(spark, sf_dir):
     return _upserted(spark, sf_dir)
 
 
-@query("user_upsert", oracle(_UPSERT.format(first="o.created_by, n.created_by", last="CASE WHEN o.channel_id IS NOT NULL THEN coalesce(n.last_seen, o.last_seen) END"), "chat_messages"))
+_SEEN = """SELECT user_id, max(user_name) || '{mark}' AS user_name, count(*) % 2 = 0 AS is_bot, 'T{mark}' AS team_id, CAST(min(epoch(ts)) AS BIGINT) AS created_s, CAST(max(epoch(ts)) AS BIGINT) AS last_active_s FROM chat_messages WHERE user_id IS NOT NULL AND conv_id % 8 {part} GROUP BY 1"""
+_OLD_USERS, _NEW_USERS = _SEEN.format(mark="-old", part="< 3"), _SEEN.format(mark="-new", part=">= 2")
+
+
+@query("user_upsert", oracle(f"SELECT coalesce(n.user_id, o.user_id) AS user_id, coalesce(n.user_name, o.user_name) AS user_name, coalesce(o.is_bot, n.is_bot) AS is_bot, coalesce(o.team_id, n.team_id) AS team_id, coalesce(o.created_s, n.created_s) AS created_s, CASE WHEN o.user_id IS NOT NULL THEN coalesce(n.last_active_s, o.last_active_s) END AS last_active_s FROM ({_OLD_USERS}) o FULL JOIN ({_NEW_USERS}) n ON o.user_id = n.user_id", "chat_messages"))
 def user_upsert(spark, sf_dir):
-    return _upserted(spark, sf_dir, insert_only=("created_by",), update_only=("last_seen",))
+    """Users seen in messages, into a table of users: is_bot, team and creation stay as inserted, activity is set on updates."""
+
+    def seen(mark, part):
+        m = _m(spark, sf_dir).where(f"user_id IS NOT NULL AND conv_id % 8 {part}")
+        at = lambda f: f(F.unix_timestamp("ts")).cast("long")
+        return m.groupBy("user_id").agg(F.concat(F.max("user_name"), F.lit(mark)).alias("user_name"), (F.count(F.lit(1)) % 2 == 0).alias("is_bot"), F.lit(f"T{mark}").alias("team_id"), at(F.min).alias("created_s"), at(F.max).alias("last_active_s"))
+
+    return folds.upsert(seen("-old", "< 3"), seen("-new", ">= 2"), "user_id", insert_only=("is_bot", "team_id", "created_s"), update_only=("last_active_s",))
+
+
+@query("backfill_fill", oracle("SELECT message_id, channel_id, CASE WHEN turn % 2 = 0 AND channel_id = 'C005' THEN NULL ELSE channel_name END AS channel_name, CASE WHEN turn % 3 = 0 THEN 'own' WHEN channel_id <> 'C005' THEN 'T-' || channel_id END AS team_id FROM chat_messages", "chat_messages"))
+def backfill_fill(spark, sf_dir):
+    """Exported messages without channel names or teams get them from the channel table, where it knows the channel."""
+    m = _m(spark, sf_dir)
+    channels = m.where("channel_id <> 'C005'").select("channel_id", "channel_name").distinct().withColumn("team_id", F.concat(F.lit("T-"), "channel_id"))
+    bare = m.select("message_id", "channel_id", F.when(F.col("turn") % 2 == 1, F.col("channel_name")).alias("channel_name"), F.when(F.col("turn") % 3 == 0, "own").alias("team_id"))
+    return folds.filled(bare, channels)
 
 
 @query("distinct_users", oracle("SELECT DISTINCT user_id FROM chat_messages WHERE user_id IS NOT NULL", "chat_messages"))
@@ -159,11 +182,14 @@ def vector_delete(spark, sf_dir):
     return folds.deleted(v, v.where("label = 3"), "vec_id")
 
 
-@query("feedback_update", "WITH f AS (SELECT user_id % 40 AS query_id, arg_max(event_id % 5 + 1, (ts, event_id)) AS rating FROM events WHERE event_type = 'click' GROUP BY 1) SELECT CAST(b.item_id AS BIGINT) AS query_id, CAST(rating AS BIGINT) AS rating, coalesce(rating > 3, false) AS copied FROM benchmark b LEFT JOIN f ON f.query_id = b.item_id")
+@query("feedback_update", "WITH f AS (SELECT user_id % 40 AS query_id, arg_max(event_id % 5 + 1, (ts, event_id)) AS rating, arg_max(event_id, (ts, event_id)) AS e FROM events WHERE event_type = 'click' GROUP BY 1) SELECT CAST(b.item_id AS BIGINT) AS query_id, CAST(rating AS BIGINT) AS rating, 'm' || e || '|m' || (e + 1) AS clicked, coalesce(rating > 3, false) AS copied FROM benchmark b LEFT JOIN f ON f.query_id = b.item_id")
 def feedback_update(spark, sf_dir):
+    """The last feedback of each query: its rating, and the two results that were clicked."""
     log = view(spark, sf_dir, "search_queries").select("query_id")
-    latest = view(spark, sf_dir, "events").where("event_type = 'click'").groupBy((F.col("user_id") % 40).alias("query_id")).agg(F.max_by(F.col("event_id") % 5 + 1, F.struct("ts", "event_id")).alias("rating"))
-    return log.join(latest, "query_id", "left").select("query_id", F.col("rating").cast("long").alias("rating"), F.coalesce(F.col("rating") > 3, F.lit(False)).alias("copied"))
+    given = view(spark, sf_dir, "events").where("event_type = 'click'")
+    clicked = F.concat(F.lit("m"), F.col("event_id").cast("string"), F.lit("|m"), (F.col("event_id") + 1).cast("string"))
+    latest = given.groupBy((F.col("user_id") % 40).alias("query_id")).agg(F.max_by(F.struct((F.col("event_id") % 5 + 1).alias("rating"), clicked.alias("clicked")), F.struct("ts", "event_id")).alias("x"))
+    return log.join(latest, "query_id", "left").select("query_id", F.col("x.rating").cast("long").alias("rating"), "x.clicked", F.coalesce(F.col("x.rating") > 3, F.lit(False)).alias("copied"))
 
 
 @query("quota", oracle("""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as ft
 from ..operators import messages, search
+from ..sources.files import FILE_TYPES
 from ..sources.views import oracle, view
 from .registry import query
 
@@ -127,10 +128,6 @@ def embed_text(spark, sf_dir):
     return joined.select("message_id", F.concat_ws("\n", F.concat(F.lit("Channel: "), "channel_name"), F.when(F.col("thread_ts") != F.col("message_id"), F.concat(F.lit("Thread Topic: "), "topic")), F.concat(F.lit("Message: "), "text"), F.when(F.col("text").contains("```"), F.concat(F.lit("Contains code: "), F.array_join(F.array_distinct(ft.code_languages(F.col("text"))), ", ")))).alias("embed_text"))
 
 
-# File types whose content is read.
-FILE_TYPES = ["text", "python", "javascript", "java", "go", "rust", "markdown", "json", "xml", "yaml", "csv", "sql"]
-
-
 @query("file_embed_text", """
 SELECT doc_id AS file_id, 'File: f' || doc_id || '.txt' || chr(10) || 'Title: ' || source || chr(10) || 'Content: ' || substr(text, 1, 10000) AS embed_text
 FROM documents WHERE doc_id % 3 <> 0 AND text IS NOT NULL AND text <> ''""")

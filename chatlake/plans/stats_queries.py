@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as ft
 from ..operators.folds import histogram
 from ..sources.views import oracle, view
+from .message_queries import _INTENT_SQL
 from .registry import query
 
 
@@ -22,9 +23,17 @@ def table_counts(spark, sf_dir):
     return rows.unionByName(view(spark, sf_dir, "embeddings").agg(F.count(F.lit(1)).alias("n")).select(F.lit("vectors").alias("name"), "n"))
 
 
-@query("search_stats", "SELECT count(*) AS total_queries, round(avg(value), 6) AS avg_latency, round(avg(CASE WHEN event_id % 4 = 0 THEN 1E0 ELSE 0E0 END), 6) AS cache_hit_rate, max(event_type) AS last_type FROM events")
+_TOP = f"(SELECT string_agg(intent || ':' || n, '|' ORDER BY n DESC, intent) FROM (SELECT * FROM (SELECT unnest(string_split(intents, '|')) AS intent, count(*) AS n FROM (SELECT CASE WHEN len({_INTENT_SQL}) = 0 THEN 'factual' ELSE array_to_string({_INTENT_SQL}, '|') END AS intents FROM search_queries) GROUP BY 1) ORDER BY n DESC, intent LIMIT 5))"
+
+
+@query("search_stats", oracle(f"SELECT count(*) AS total_queries, round(avg(value), 6) AS avg_latency, round(avg(CASE WHEN event_id % 4 = 0 THEN 1E0 ELSE 0E0 END), 6) AS cache_hit_rate, {_TOP} AS top_intents FROM events", "search_queries"))
 def search_stats(spark, sf_dir):
-    return view(spark, sf_dir, "events").agg(F.count(F.lit(1)).alias("total_queries"), F.round(F.avg("value"), 6).alias("avg_latency"), F.round(F.avg((F.col("event_id") % 4 == 0).cast("double")), 6).alias("cache_hit_rate"), F.max("event_type").alias("last_type"))
+    """Over the request log, with the five intents that queries have most often (a report)."""
+    one = view(spark, sf_dir, "events").agg(F.count(F.lit(1)).alias("total_queries"), F.round(F.avg("value"), 6).alias("avg_latency"), F.round(F.avg((F.col("event_id") % 4 == 0).cast("double")), 6).alias("cache_hit_rate"))
+    found = view(spark, sf_dir, "search_queries").select(F.explode(ft.intents(F.col("query_text"))).alias("intent")).groupBy("intent").agg(F.count(F.lit(1)).alias("n"))
+    # one row of each intent, and there are seven
+    ranked = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("o"), "intent", "n")))
+    return one.crossJoin(F.broadcast(found.agg(F.array_join(F.transform(F.slice(ranked, 1, 5), lambda x: F.concat_ws(":", x["intent"], x["n"].cast("string"))), "|").alias("top_intents"))))
 
 
 _EDGES = [0.1, 0.5, 1, 2, 3, 5, 10]
@@ -35,14 +44,14 @@ def latency_hist(spark, sf_dir):
     return histogram(view(spark, sf_dir, "events").withColumnRenamed("event_type", "stage"), F.col("value"), _EDGES, "stage")
 
 
-@query("latency_p95")
+@query("latency_p95", "SELECT event_type AS stage, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY 1")
 def latency_p95(spark, sf_dir):
     return view(spark, sf_dir, "events").groupBy(F.col("event_type").alias("stage")).agg(F.percentile_approx("value", 0.95, 10000).alias("p95"))
 
 
-@query("rating_counts", "SELECT event_id % 5 + 1 AS rating, count(*) AS n, round(avg(CASE WHEN event_type = 'click' THEN 1E0 ELSE 0E0 END), 6) AS click_rate FROM events GROUP BY 1")
+@query("rating_counts", "SELECT event_id % 5 + 1 AS rating, count(*) AS n, round(avg(CASE WHEN event_type = 'click' THEN 1E0 ELSE 0E0 END), 6) AS click_rate, CASE WHEN event_id % 5 + 1 > 3 THEN 1E0 ELSE 0E0 END AS copy_rate FROM events GROUP BY 1, 4")
 def rating_counts(spark, sf_dir):
-    return view(spark, sf_dir, "events").groupBy((F.col("event_id") % 5 + 1).alias("rating")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("event_type") == "click").cast("double")), 6).alias("click_rate"))
+    return view(spark, sf_dir, "events").groupBy((F.col("event_id") % 5 + 1).alias("rating")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("event_type") == "click").cast("double")), 6).alias("click_rate"), F.avg((F.col("event_id") % 5 + 1 > 3).cast("double")).alias("copy_rate"))
 
 
 @query("channel_activity", oracle("SELECT channel_id, count(*) AS total_messages, count(DISTINCT user_id) AS active_users, epoch(max(ts)) AS last_s, round(count(*) / greatest(1, floor((epoch(max(ts)) - epoch(min(ts))) / 86400) + 1), 6) AS messages_per_day FROM chat_messages GROUP BY 1", "chat_messages"))
@@ -70,43 +79,52 @@ def thread_totals(spark, sf_dir):
     return _m(spark, sf_dir).where("thread_ts IS NOT NULL").groupBy("thread_ts").agg(F.sum("reaction_total").alias("total_reactions"), (F.unix_timestamp(F.max("ts")) >= 1704067200 + 40 * 3600).alias("is_active"))
 
 
-_ENT = r"""SELECT message_id, channel_id, ts, unnest(list_distinct(list_transform(list_concat(list_concat(list_concat(regexp_extract_all(text, '"([^"]+)"', 1), list_filter(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[A-Z][A-Za-z0-9]+'))),
-  regexp_extract_all(text, '\b[A-Z]+-[0-9]+\b')), regexp_extract_all(text, 'https?://\S+')), lambda x: trim(lower(x))))) AS entity FROM (SELECT message_id, channel_id, ts, text FROM chat_messages UNION ALL SELECT message_id, channel_id, ts, text FROM doc_messages)"""
+_KINDS = [("quoted", r"""regexp_extract_all(text, '"([^"]+)"', 1)"""), ("technical", r"list_filter(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[A-Z][A-Za-z0-9]+'))"), ("ticket", r"regexp_extract_all(text, '\b[A-Z]+-[0-9]+\b')"), ("url", r"regexp_extract_all(text, 'https?://\S+')")]
+_TEXTS = "(SELECT message_id, channel_id, ts, text FROM chat_messages UNION ALL SELECT message_id, channel_id, ts, text FROM doc_messages)"
+_TYPED = " UNION ".join(f"SELECT message_id, channel_id, ts, '{k}' AS type, trim(lower(unnest({x}))) AS entity FROM {_TEXTS}" for k, x in _KINDS)
+_ENT = f"SELECT DISTINCT message_id, channel_id, ts, entity FROM ({_TYPED})"
 _KG = ("chat_messages", "doc_messages")
 
 
 def _entities(spark, sf_dir):
-    """Distinct entities of each message and document, in lower case, sorted."""
-    names = F.array_sort(F.array_distinct(F.transform(ft.entities(F.col("text")), lambda e: F.trim(F.lower(e["text"])))))
+    """Distinct entities of each message and document, in lower case, sorted, each with its kinds."""
+    found = F.transform(ft.entities(F.col("text")), lambda e: F.struct(F.trim(F.lower(e["text"])).alias("name"), e["type"].alias("type")))
+    names = F.array_sort(F.array_distinct(F.transform("found", lambda e: e["name"])))
     parts = [view(spark, sf_dir, n).select("message_id", "channel_id", "ts", "text") for n in _KG]
-    return parts[0].unionByName(parts[1]).select("message_id", "channel_id", "ts", names.alias("names"))
+    return parts[0].unionByName(parts[1]).select("message_id", "channel_id", "ts", F.array_distinct(found).alias("found")).withColumn("names", names)
 
 
-@query("kg_entities", oracle(f"SELECT entity, count(*) AS occurrence_count, count(DISTINCT channel_id) AS channel_count, epoch(min(ts)) AS first_s, epoch(max(ts)) AS last_s FROM ({_ENT}) GROUP BY 1", *_KG))
+@query("kg_entities", oracle(f"WITH e AS ({_TYPED}), k AS (SELECT entity, string_agg(DISTINCT type, ',' ORDER BY type) AS types FROM e GROUP BY 1), n AS (SELECT entity, count(*) AS occurrence_count, count(DISTINCT channel_id) AS channel_count, array_to_string(list_sort(list_distinct(list(channel_id))), ',') AS related_channels, epoch(min(ts)) AS first_s, epoch(max(ts)) AS last_s FROM (SELECT DISTINCT message_id, channel_id, ts, entity FROM e) GROUP BY 1) SELECT n.*, types FROM n JOIN k USING (entity)", *_KG))
 def kg_entities(spark, sf_dir):
-    return _entities(spark, sf_dir).select("channel_id", "ts", F.explode("names").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("occurrence_count"), F.count_distinct("channel_id").alias("channel_count"), F.unix_timestamp(F.min("ts")).cast("double").alias("first_s"), F.unix_timestamp(F.max("ts")).cast("double").alias("last_s"))
+    """related_channels has each channel once, so it is bounded by the number of channels."""
+    rows = _entities(spark, sf_dir).select("channel_id", "ts", F.explode(F.transform("names", lambda n: F.struct(n.alias("entity"), F.transform(F.filter("found", lambda f: f["name"] == n), lambda f: f["type"]).alias("types")))).alias("x")).select("channel_id", "ts", "x.*")
+    is_a = [F.max(F.array_contains("types", k).cast("int")).alias(k) for k, _ in _KINDS]
+    out = rows.groupBy("entity").agg(F.count(F.lit(1)).alias("occurrence_count"), F.collect_set("channel_id").alias("c"), F.unix_timestamp(F.min("ts")).cast("double").alias("first_s"), F.unix_timestamp(F.max("ts")).cast("double").alias("last_s"), *is_a)
+    types = F.array_join(F.array_compact(F.array(*(F.when(F.col(k) == 1, k) for k, _ in _KINDS))), ",")
+    return out.select("entity", "occurrence_count", F.size("c").cast("long").alias("channel_count"), F.array_join(F.array_sort("c"), ",").alias("related_channels"), "first_s", "last_s", types.alias("types"))
 
 
-_PAIRS = f"WITH e AS ({_ENT}), o AS (SELECT entity, count(*) AS n FROM e GROUP BY 1), p AS (SELECT a.entity AS entity_1, b.entity AS entity_2, count(*) AS n FROM e a JOIN e b ON a.message_id = b.message_id AND a.entity < b.entity GROUP BY 1, 2)"
+_PAIRS = f"WITH e AS ({_ENT}), o AS (SELECT entity, count(*) AS n FROM e GROUP BY 1), p AS (SELECT a.entity AS entity_1, b.entity AS entity_2, count(*) AS n, count(DISTINCT a.channel_id) AS channels, epoch(min(a.ts)) AS first_s, epoch(max(a.ts)) AS last_s FROM e a JOIN e b ON a.message_id = b.message_id AND a.entity < b.entity GROUP BY 1, 2)"
 
 
-def _edges(spark, sf_dir):
+def _pairs(spark, sf_dir):
+    """A row for each pair of entities of a message: made inside its row, one name after another, so that no self-join
+    is needed and a text with many names is no large array."""
     rows = _entities(spark, sf_dir)
-    # pairs are built inside a row: no self-join, and no shuffle before the counts
-    pairs = F.flatten(F.transform("names", lambda a, i: F.transform(F.slice("names", i + 2, F.size("names")), lambda b: F.struct(a.alias("entity_1"), b.alias("entity_2")))))
-    edges = rows.select(F.explode(pairs).alias("p")).select("p.*").groupBy("entity_1", "entity_2").agg(F.count(F.lit(1)).alias("n"))
-    return rows, edges
+    ahead = rows.select("channel_id", "ts", "names", F.posexplode("names").alias("i", "entity_1"))
+    return rows, ahead.select("channel_id", "ts", "entity_1", F.explode(F.slice("names", F.col("i") + 2, F.size("names"))).alias("entity_2"))
 
 
-@query("kg_edges", oracle(f"{_PAIRS} SELECT entity_1, entity_2, p.n AS co_occurrence_count, round(p.n / least(x.n, y.n), 6) AS confidence FROM p JOIN o x ON x.entity = entity_1 JOIN o y ON y.entity = entity_2", *_KG))
+@query("kg_edges", oracle(f"{_PAIRS} SELECT entity_1, entity_2, p.n AS co_occurrence_count, channels, first_s, last_s, round(p.n / least(x.n, y.n), 6) AS confidence FROM p JOIN o x ON x.entity = entity_1 JOIN o y ON y.entity = entity_2", *_KG))
 def kg_edges(spark, sf_dir):
-    rows, edges = _edges(spark, sf_dir)
+    rows, pairs = _pairs(spark, sf_dir)
+    edges = pairs.groupBy("entity_1", "entity_2").agg(F.count(F.lit(1)).alias("n"), F.size(F.collect_set("channel_id")).cast("long").alias("channels"), F.unix_timestamp(F.min("ts")).cast("double").alias("first_s"), F.unix_timestamp(F.max("ts")).cast("double").alias("last_s"))
     seen = rows.select(F.explode("names").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("m"))
     x, y = seen.select(F.col("entity").alias("entity_1"), F.col("m").alias("x")), seen.select(F.col("entity").alias("entity_2"), F.col("m").alias("y"))
-    return edges.join(x, "entity_1").join(y, "entity_2").select("entity_1", "entity_2", F.col("n").alias("co_occurrence_count"), F.round(F.col("n") / F.least("x", "y"), 6).alias("confidence"))
+    return edges.join(x, "entity_1").join(y, "entity_2").select("entity_1", "entity_2", F.col("n").alias("co_occurrence_count"), "channels", "first_s", "last_s", F.round(F.col("n") / F.least("x", "y"), 6).alias("confidence"))
 
 
 @query("kg_related", oracle(f"{_PAIRS}, b AS (SELECT entity_1 AS entity, entity_2 AS other, n FROM p UNION ALL SELECT entity_2, entity_1, n FROM p) SELECT entity, other, n FROM b", *_KG))
 def kg_related(spark, sf_dir):
-    _, e = _edges(spark, sf_dir)
+    e = _pairs(spark, sf_dir)[1].groupBy("entity_1", "entity_2").agg(F.count(F.lit(1)).alias("n"))
     return e.select(F.explode(F.array(F.struct(F.col("entity_1").alias("entity"), F.col("entity_2").alias("other"), "n"), F.struct(F.col("entity_2").alias("entity"), F.col("entity_1").alias("other"), "n"))).alias("x")).select("x.*")

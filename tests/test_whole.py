@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from chatlake import catalog
 from chatlake.functions import text as ft
 from chatlake.operators import answers, context, folds, messages, search
+from chatlake.sources import files
 
 
 @pytest.fixture(scope="module")
@@ -175,3 +176,15 @@ def test_query_log_appends(spark, tmp_path):
         messages.append_log(messages.query_log(q, r, F.lit("2024-02-01 12:34:56").cast("timestamp")), str(tmp_path / "log"))
     rows = spark.read.parquet(str(tmp_path / "log")).orderBy("query_id").collect()
     assert [(x.query_id, x.intent_type, x.results_count, x.channel_filters) for x in rows] == [(1, "who", 2, ["ops"])] * 2 + [(2, "factual", 0, [])] * 2 and str(rows[0].date_range_start) == "2024-01-31 00:00:00"
+
+
+def test_file_scan(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.py").write_bytes("é1".encode() + b"\xff\xfe2")
+    (tmp_path / "long.txt").write_text("z" * 10_005)
+    (tmp_path / "pic.PNG").write_bytes(b"\x89PNG")
+    (tmp_path / "old.md").write_text("old")
+    done = spark.createDataFrame([("old.md",)], "file_id string")
+    got = {r.file_id: r for r in files.scan(spark, str(tmp_path), done, F.lit("2024-01-01").cast("timestamp")).collect()}
+    assert {k: (r.filetype, r.extracted_text) for k, r in got.items()} == {"x.py": ("python", "é12"), "long.txt": ("text", "z" * 10_000), "pic.PNG": ("png", None)}
+    assert str(got["x.py"].expires_at) == "2024-01-31 00:00:00"
