@@ -21,19 +21,20 @@ def best(df: DataFrame, k: int, *order: Column, by: str = "query_id") -> DataFra
 
 
 def with_filters(queries: DataFrame, as_of: str = AS_OF) -> DataFrame:
-    """queries with the users and the time range that their texts name: users, start_at, end_at."""
+    """queries with the channels, users and time range that their texts name: channels, users, start_at, end_at."""
     span = ft.temporal(F.col("query_text"), F.lit(as_of).cast("timestamp"))
-    return queries.withColumns({"users": ft.users(F.col("query_text")), "start_at": span["start"], "end_at": span["end"]})
+    return queries.withColumns({"channels": ft.channels(F.col("query_text")), "users": ft.users(F.col("query_text")), "start_at": span["start"], "end_at": span["end"]})
 
 
 def passes(filtered: bool, by_user: bool = False) -> Column:
-    """Channel, code and time filters of a query, cheap ones first, and by_user those on users: the reference's
-    vector branch has none on users (RT-2), its keyword branch has (RT-4)."""
+    """Channel, code and time filters of a query, cheap ones first, and by_user those on users, which the keyword list
+    has and the vector list has not. Channels named in the text count as they stand here; the vector list drops unknown ones."""
     if not filtered:
         return F.lit(True)
     out = (F.col("channel_filter").isNull() | (F.col("channel_filter") == F.col("channel_name"))) & (~F.col("has_code_intent") | F.col("has_code"))
     out &= (F.col("start_at").isNull() | (F.col("ts") >= F.col("start_at"))) & (F.col("end_at").isNull() | (F.col("ts") <= F.col("end_at")))
     if by_user:
+        out &= (F.size("channels") == 0) | F.array_contains("channels", F.col("channel_name"))
         out &= (F.size("users") == 0) | F.coalesce(F.array_contains("users", F.col("user_name")), F.lit(False)) | F.arrays_overlap("mentioned", "users")
     return out
 
@@ -43,7 +44,8 @@ def semantic(queries: DataFrame, messages: DataFrame, vectors: DataFrame, filter
     are null, hold nulls or are all zeros take no part. Exact: blocks of messages meet blocks of queries as matrices."""
     v = vectors.where("embedding IS NOT NULL AND NOT exists(embedding, x -> x IS NULL) AND exists(embedding, x -> x <> 0)").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     micros = lambda c: F.unix_micros(F.col(c)).alias(c)
-    q = with_filters(queries).join(v, queries["query_id"] == v["vec_id"]).select("query_id", "channel_filter", F.coalesce("has_code_intent", F.lit(False)).alias("code"), micros("start_at"), micros("end_at"), "v")
+    known = F.broadcast(messages.agg(F.collect_set("channel_name").alias("known")))  # each channel's name once
+    q = with_filters(queries).join(v, queries["query_id"] == v["vec_id"]).crossJoin(known).select("query_id", "channel_filter", F.array_intersect("channels", "known").alias("channels"), F.coalesce("has_code_intent", F.lit(False)).alias("code"), micros("start_at"), micros("end_at"), "v")
     m = messages.join(v, messages["doc_id"] == v["vec_id"]).select("message_id", "channel_name", F.coalesce("has_code", F.lit(False)).alias("code"), micros("ts"), "v")
 
     def pair(m, q):
@@ -57,6 +59,8 @@ def semantic(queries: DataFrame, messages: DataFrame, vectors: DataFrame, filter
                 ok &= code | (not row["code"])
                 if row["channel_filter"] is not None:
                     ok &= names == row["channel_filter"]
+                if row["channels"]:
+                    ok &= np.isin(names.astype(str), row["channels"])
                 if row["start_at"] is not None:
                     ok &= at >= row["start_at"]
                 if row["end_at"] is not None:
@@ -85,7 +89,7 @@ def keyword(queries: DataFrame, messages: DataFrame, k: int = KEYWORD) -> DataFr
 
     Every word inside a query stands whole in a text that holds the query, so that a query meets only the messages that
     have its longest inner word. Queries of one or two words have no such word and are looked for in every message."""
-    q = with_filters(queries).select("query_id", F.lower("query_text").alias("needle"), "channel_filter", "has_code_intent", "users", "start_at", "end_at")
+    q = with_filters(queries).select("query_id", F.lower("query_text").alias("needle"), "channel_filter", "has_code_intent", "channels", "users", "start_at", "end_at")
     words = _tokens("needle")
     inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]

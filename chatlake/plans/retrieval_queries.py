@@ -9,7 +9,7 @@ from ..operators import messages
 from ..operators import search
 from ..sources.shared import written
 from ..sources.views import oracle, view
-from .message_queries import _ANALYSIS_SQL, _NAMES_SQL, AS_OF, join_list
+from .message_queries import _ANALYSIS_SQL, _CHANNELS_SQL, _NAMES_SQL, AS_OF, join_list
 from .message_queries import _DAYS_SQL as DAYS_SQL
 from .registry import query
 
@@ -26,7 +26,7 @@ def _lists(spark, sf_dir):
 
 
 # Queries with the users and the time range of their texts.
-_Q = rf"""(SELECT query_id, query_text, channel_filter, has_code_intent, list_concat(regexp_extract_all(q, '@([A-Za-z0-9_.-]+)', 1), regexp_extract_all(lower(q), 'by ([a-z0-9_.-]+)', 1)) AS users, CASE WHEN a IS NOT NULL THEN a.s ELSE day END AS start_at, CASE WHEN a IS NOT NULL THEN a.e ELSE day + INTERVAL 1 DAY END AS end_at
+_Q = rf"""(SELECT query_id, query_text, channel_filter, has_code_intent, {_CHANNELS_SQL.format(q='q')} AS channels, list_concat(regexp_extract_all(q, '@([A-Za-z0-9_.-]+)', 1), regexp_extract_all(lower(q), 'by ([a-z0-9_.-]+)', 1)) AS users, CASE WHEN a IS NOT NULL THEN a.s ELSE day END AS start_at, CASE WHEN a IS NOT NULL THEN a.e ELSE day + INTERVAL 1 DAY END AS end_at
   FROM (SELECT *, {DAYS_SQL} AS a, try_strptime(regexp_extract(q, '([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})', 1), '%Y-%m-%d') AS day FROM (SELECT *, query_text AS q, TIMESTAMP '{search.AS_OF}' AS t FROM search_queries)))"""
 
 
@@ -39,7 +39,8 @@ def _semantic_sql(where: str) -> str:
 
 
 _FILTER = "(q.channel_filter IS NULL OR q.channel_filter = m.channel_name) AND (NOT q.has_code_intent OR m.has_code) AND (q.start_at IS NULL OR m.ts >= q.start_at) AND (q.end_at IS NULL OR m.ts <= q.end_at)"
-_BY_USER = "(len(q.users) = 0 OR coalesce(list_contains(q.users, m.user_name), false) OR list_has_any(q.users, regexp_extract_all(m.text, '<@([A-Z0-9]+)>', 1)))"
+_IN = "coalesce(len(list_intersect(q.channels, (SELECT list(DISTINCT channel_name) FROM doc_messages))) = 0 OR list_contains(q.channels, m.channel_name), false)"
+_BY_USER = "(len(q.channels) = 0 OR coalesce(list_contains(q.channels, m.channel_name), false)) AND (len(q.users) = 0 OR coalesce(list_contains(q.users, m.user_name), false) OR list_has_any(q.users, regexp_extract_all(m.text, '<@([A-Z0-9]+)>', 1)))"
 _KEYWORD = f"""SELECT query_id, message_id, round((50 - (rank - 1)) / 50 * 0.5E0 + importance_score / 10 * 0.5E0, 9) AS score, rank FROM (
   SELECT q.query_id, m.message_id, m.importance_score, row_number() OVER (PARTITION BY q.query_id ORDER BY m.importance_score DESC, m.message_id) AS rank
   FROM {_Q} q, doc_messages m WHERE {_FILTER} AND {_BY_USER} AND contains(lower(m.text), lower(q.query_text))) WHERE rank <= 50"""
@@ -50,7 +51,7 @@ _ENTITY = f"""SELECT query_id, message_id, round(len(list_filter(needles, lambda
   FROM ({_NEEDLES}) q, doc_messages m WHERE len(list_filter(q.needles, lambda x: contains(lower(m.text), x))) > 0) WHERE rank <= 30"""
 _FUSED = f"""SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, first, message_id) AS rank FROM (
   SELECT query_id, message_id, round(sum(1.0E0 / (60 + rank)), 12) AS rrf, count(*) AS n_sources, min(source * 1000 + rank) AS first FROM (
-    SELECT query_id, message_id, rank, 0 AS source FROM ({_semantic_sql(_FILTER)}) UNION ALL SELECT query_id, message_id, rank, 1 FROM ({_KEYWORD}) UNION ALL SELECT query_id, message_id, rank, 2 FROM ({_ENTITY})) GROUP BY 1, 2)
+    SELECT query_id, message_id, rank, 0 AS source FROM ({_semantic_sql(_FILTER + ' AND ' + _IN)}) UNION ALL SELECT query_id, message_id, rank, 1 FROM ({_KEYWORD}) UNION ALL SELECT query_id, message_id, rank, 2 FROM ({_ENTITY})) GROUP BY 1, 2)
   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, first, message_id) <= 200"""
 _FULL = f"""SELECT query_id, message_id, relevance, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, fused_rank) AS rank, channel_id, text FROM (
   SELECT f.query_id, f.message_id, f.rank AS fused_rank, m.channel_id, substr(m.text, 1, 500) AS text, CASE WHEN count(*) OVER (PARTITION BY f.query_id) > 10 THEN round(0.4E0 * rrf + 0.2E0 * importance_score / 10
@@ -65,7 +66,7 @@ def vector_topk(spark, sf_dir):
     return search.semantic(*_sources(spark, sf_dir))
 
 
-@query("vector_topk_filtered", oracle(_semantic_sql(_FILTER), *_VIEWS))
+@query("vector_topk_filtered", oracle(_semantic_sql(_FILTER + ' AND ' + _IN), *_VIEWS))
 def vector_topk_filtered(spark, sf_dir):
     return search.semantic(*_sources(spark, sf_dir), filtered=True)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.folds import TASKS
+from ..operators.folds import TASKS, insert_new
 
 ENVELOPE = T.StructType(
     [
@@ -42,15 +42,24 @@ def counts_per_minute(events: DataFrame) -> DataFrame:
 
 def write_tables(events: DataFrame, out: str, checkpoint: str):
     """One query that writes messages, follow-up tasks and dead letters. Each micro-batch replaces its own
-    partition, so that a batch that runs twice is written once."""
+    partition, so that a batch that runs twice is written once. A message that an earlier batch has, or that stands twice
+    in one, is written once: the first by time and event."""
+
+    def stored(spark: SparkSession, batch_id: int) -> DataFrame:
+        schema = T.StructType([T.StructField("message_id", T.StringType()), T.StructField("batch_id", T.IntegerType())])
+        there = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/messages")
+        if not there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema).parquet(f"{out}/messages").where(F.col("batch_id") < batch_id)
 
     def save(batch: DataFrame, batch_id: int) -> None:
+        old = stored(batch.sparkSession, batch_id)
         batch = batch.withColumn("batch_id", F.lit(batch_id)).persist()
         known = F.col("type").isin(*TASKS, "reaction_added", "reaction_removed", "message_changed", "message_deleted")
         tasks = F.create_map(*(F.lit(x) for p in TASKS.items() for x in p))
         reason = F.when(~good(batch), "undecodable").when(~known, "unknown type")
         parts = {
-            "messages": batch.where(good(batch) & (F.col("type") == "message")).select("message_id", "user", "text", "event_time", "batch_id"),
+            "messages": insert_new(old, batch.where(good(batch) & (F.col("type") == "message")), "message_id", F.col("event_time"), F.col("event_id")).select("message_id", "user", "text", "event_time", "batch_id"),
             "tasks": batch.where(good(batch)).select(tasks[F.col("type")].alias("task_type"), F.col("message_id").alias("key"), "batch_id").where("task_type IS NOT NULL"),
             "dead": batch.withColumn("reason", F.coalesce(reason, F.lit(None))).where("reason IS NOT NULL").select("raw", "reason", "batch_id"),
         }

@@ -136,6 +136,12 @@ def test_filters_by_user_and_time(spark):
     assert {r.message_id for r in search.keyword(q.withColumn("query_text", F.lit("@U1")), m2).collect()} == {"m2"}
     assert {r.message_id for r in search.semantic(q, m, v, filtered=True).collect()} == {"m0", "m1", "m2", "m5"}
     assert search.semantic(q, m, v).count() == 6
+    # a channel named in the text: unknown ones hold in the keyword list and are dropped in the vector list
+    m3 = m.withColumn("text", F.lit("see #c and #d")).withColumn("channel_name", F.when(F.col("doc_id") < 2, "c").otherwise("e"))
+    for text, words, near in (("#c", {"m0", "m1"}, {"m0", "m1"}), ("#d", set(), {f"m{i}" for i in range(6)})):
+        named = q.withColumn("query_text", F.lit(text))
+        assert {r.message_id for r in search.keyword(named, m3).collect()} == words
+        assert {r.message_id for r in search.semantic(named, m3, v, filtered=True).collect()} == near
 
 
 def test_hybrid_filters_the_vector_list(spark, tiny):
