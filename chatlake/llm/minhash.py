@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .components import connected
-from .session import ready, table, written
+from .session import forget, ready, table, written
 
 BINS = 256
 WORDS = 5
@@ -175,13 +175,13 @@ def _unpacked_sets(batches):
             yield part, *shingle_sets(data, at)
 
 
-def _prefix_pairs(texts: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+def _prefix_pairs(texts: DataFrame, members: DataFrame, percent: int, spent: list[DataFrame]) -> DataFrame:
     """All pairs (a, b) of members (rep, comp) of different components that can be similar enough.
 
     In any order of shingles, two sets of similarity s share one of the first n - ceil(s * n) + 1 shingles
     of each. The order puts rare shingles first, by a count sketch of fixed size, so that what a group of
     copies has in common is hardly ever met; a bad count costs time but loses no pair. Shingles that one
-    member alone has bound what it can share with any other."""
+    member alone has bound what it can share with any other. Tables that the pairs are read from go to `spent`."""
     rows = written(texts.join(members.withColumnRenamed("rep", "id"), "id").select("id", "comp", "z"), "minhash-left")
 
     def listed(batches):
@@ -189,6 +189,7 @@ def _prefix_pairs(texts: DataFrame, members: DataFrame, percent: int) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(tx.signed(h)), part.column(0).take(pa.array(doc))], ["token", "rep"])
 
     alone = rows.select("id", "z").mapInArrow(listed, "token long, rep long").groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("id")).where("m = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+    spent.append(rows)
     rows = written(rows.join(alone, "id", "left").select("id", "comp", F.coalesce("own", F.lit(0)).alias("own"), "z"), "minhash-own")
 
     def counted(batches):
@@ -215,6 +216,7 @@ def _prefix_pairs(texts: DataFrame, members: DataFrame, percent: int) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(tx.signed(h[take])), part.column(0).take(at), part.column(1).take(at), part.column(2).take(at), pa.array(n[doc[take]].astype(np.int64)), pa.array((np.arange(len(h)) - first[doc])[take].astype(np.int32))], ["token", "rep", "comp", "own", "n", "at"])
 
     tokens = written(rows.mapInArrow(prefixes, "token long, rep long, comp long, own long, n long, at int").where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")), "minhash-prefixes")
+    spent += [rows, tokens]
     mixed = tokens.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
     tokens = tokens.join(mixed, "token", "left_semi")
     other = tokens.select("token", F.col("rep").alias("b"), F.col("comp").alias("kb"), F.col("n").alias("nb"), F.col("own").alias("ob"), F.col("at").alias("pb"))
@@ -239,10 +241,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     buckets = written(members.join(shared, "key"), "minhash-buckets")
     # a member that shares buckets with many is a good centre: near copies differ least from it
     weight = written(buckets.groupBy("rep").agg(F.sum("m").alias("weight")), "minhash-weights")
+    spent = [buckets, weight]  # what nothing reads any more in the end
     buckets = buckets.drop("m").join(weight, "rep")
     near = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     texts = written(_packed_texts(docs.where("id IS NOT NULL")).join(buckets.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]), "minhash-texts")
 
+    spent.append(texts)
     tried = labels = None
     for turn in range(1, TURNS + 1):
         rows_now = buckets if labels is None else buckets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
@@ -251,6 +255,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
         mixed = rows_now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key") if labels is not None else None
         if mixed is not None:
             rows_now = written(rows_now.join(mixed, "key", "left_semi"), "minhash-mixed")
+            spent.append(rows_now)
         if turn < TURNS:
             # centres: the first member by a hash, and the first of those in other components than its own
             share = F.lit(1.0) if turn == 1 else 0.25 + F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(1 << 20)) / (1 << 20)
@@ -268,16 +273,19 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
             best = pairs.groupBy("rep").agg(F.min_by("centre", "o").alias("centre"))
             edges = best.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
         else:
-            edges = _prefix_pairs(texts, rows_now.select("rep", "comp").distinct(), percent)
+            edges = _prefix_pairs(texts, rows_now.select("rep", "comp").distinct(), percent, spent)
         if tried is not None:
             edges = edges.join(tried, ["a", "b"], "left_anti")
         edges = written(edges, "minhash-edges")
         found = written(_confirmed(edges, texts, percent), "minhash-links")
+        spent += [edges, found]
         tried = edges if tried is None else tried.unionByName(edges)
         if not found.isEmpty() or labels is None:
             # what is known of the components stands for the links before this turn
             known = labels.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")) if labels is not None else None
             labels = connected(found if known is None else found.unionByName(known))
+    for df in spent:
+        forget(df)
     parts = classes.select("f1", "f2", "n", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.col("n").alias("size"), F.coalesce("component", "rep").alias("component"))
     on = (described["f1"] == parts["f1"]) & (described["f2"] == parts["f2"]) & (described["n"] == parts["size"]) & (described["n"] > 0) & described["id"].isNotNull()
     out = described.join(parts, on, "left").select("id", described["n"].alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
