@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, flac, language, minhash, packing, passages, topk, toxicity, urls, warc, whitening
+from . import bpe, flac, language, minhash, packing, passages, resharding, topk, toxicity, urls, warc, whitening
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_minhash": minhash.op9_minhash,
     "op10_packing": packing.op10_packing,
     "op12_whitening": whitening.op12_whitening,
+    "op13_resharding": resharding.op13_resharding,
 }
 
 ORACLES = {"op1_warc": warc.OP1_SQL, "op3_passages": passages.OP3_SQL, "op5_urls": urls.OP5_SQL, "op8_topk": topk.OP8_SQL, "op9_minhash": minhash.OP9_SQL}
