@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, flac, language, minhash, packing, passages, resharding, topk, toxicity, urls, warc, whitening
+from . import bpe, flac, language, minhash, packing, passages, resharding, spelling, topk, toxicity, urls, warc, whitening
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_topk": topk.op8_topk,
     "op9_minhash": minhash.op9_minhash,
     "op10_packing": packing.op10_packing,
+    "op11_spelling": spelling.op11_spelling,
     "op12_whitening": whitening.op12_whitening,
     "op13_resharding": resharding.op13_resharding,
 }
