@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as ft
+
 
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """One row per key, the first by `order`; needs no more than one row of a key from each task."""
@@ -36,13 +38,21 @@ def upsert(old: DataFrame, new: DataFrame, key: str, insert_only: tuple[str, ...
     return both.select(*cols)
 
 
+def edit_columns(original: Column, steps: Column) -> list[Column]:
+    """The columns of an edited message: text, text_processed, edited_at, n_edits and history, the earlier texts in order, each with
+    the time of the edit that replaced it. steps: edits in order, structs of event_time, event_id and text."""
+    texts = F.concat(F.array(original), F.transform(steps, lambda s: s["text"]))
+    history = F.transform(steps, lambda s, i: F.struct(s["event_time"].alias("timestamp"), F.get(texts, i).alias("old_text")))
+    last = F.element_at(steps, -1)
+    return [last["text"].alias("text"), ft.clean(last["text"]).alias("text_processed"), last["event_time"].alias("edited_at"), F.size(steps).alias("n_edits"), history.alias("history")]
+
+
 def edits(messages: DataFrame, changes: DataFrame) -> DataFrame:
-    """(message_id, text, n_edits, history): the last text, the earlier ones in order. changes: (message_id,
-    event_time, event_id, text); edits of unknown messages are ignored."""
+    """(message_id, text, text_processed, edited_at, n_edits, history) of edited messages; flags, links and importance
+    stay as they were. changes: (message_id, event_time, event_id, text); edits of unknown messages are ignored."""
     steps = changes.groupBy("message_id").agg(F.sort_array(F.collect_list(F.struct("event_time", "event_id", "text"))).alias("steps"))
     joined = messages.select("message_id", F.col("text").alias("original")).join(steps, "message_id")
-    texts = F.concat(F.array("original"), F.transform("steps", lambda s: s["text"]))
-    return joined.select("message_id", F.element_at(texts, -1).alias("text"), F.size("steps").alias("n_edits"), F.slice(texts, F.lit(1), F.size(texts) - 1).alias("history"))
+    return joined.select("message_id", *edit_columns(F.col("original"), F.col("steps")))
 
 
 def deleted(messages: DataFrame, deletes: DataFrame, key: str = "message_id") -> DataFrame:
@@ -62,13 +72,43 @@ def reactions(messages: DataFrame, events: DataFrame, keys: list[str]) -> DataFr
     return messages.select(*keys, "message_id").join(per, keys).select("message_id", "reactions", "reaction_count", "importance_gain")
 
 
+def reaction_summary(steps: Column) -> Column:
+    """What steps do to a counter that is never below 0, as a struct that can be merged: total, their sum, low, the least
+    sum of a prefix (0 for none), and adds. steps: in order, structs with delta."""
+    kind = "struct<total:bigint,low:bigint,adds:bigint>"
+
+    def step(acc, s):
+        total = acc["total"] + s["delta"]
+        return F.struct(total.alias("total"), F.least(acc["low"], total).alias("low"), (acc["adds"] + (s["delta"] > 0).cast("bigint")).alias("adds")).cast(kind)
+
+    zero = F.lit(0)
+    return F.aggregate(steps, F.struct(zero.alias("total"), zero.alias("low"), zero.alias("adds")).cast(kind), step)
+
+
+def merged_counts(parts: Column) -> Column:
+    """Struct (n, adds): the counter after the summaries `parts`, in order."""
+    kind = "struct<total:bigint,low:bigint,adds:bigint>"
+
+    def step(acc, s):
+        return F.struct((acc["total"] + s["total"]).alias("total"), F.least(acc["low"], acc["total"] + s["low"]).alias("low"), (acc["adds"] + s["adds"]).alias("adds")).cast(kind)
+
+    zero = F.lit(0)
+    return F.aggregate(parts, F.struct(zero.alias("total"), zero.alias("low"), zero.alias("adds")).cast(kind), step, lambda a: F.struct((a["total"] - a["low"]).alias("n"), a["adds"].alias("adds")))
+
+
+def thread_columns() -> list[Column]:
+    """The columns of a thread, of its parent's (channel_id, parent_user, started_at, importance_score) and those of its
+    replies: n, last, who."""
+    people = F.array_sort(F.array_union(F.array("parent_user"), F.coalesce("who", F.array().cast("array<string>"))))
+    return [F.col(c) for c in ("channel_id", "started_at")] + [F.coalesce("n", F.lit(0)).alias("reply_count"), F.col("last").alias("last_reply_at"), people.alias("participants"), F.size(people).alias("participant_count"), F.col("importance_score")]
+
+
 def thread_rollup(messages: DataFrame) -> DataFrame:
-    """Threads of parent messages with reply_count, participants and last_reply_at."""
-    parent = messages.where(F.col("thread_ts") == F.col("message_id")).select("thread_ts", "channel_id", F.col("user_id").alias("parent_user"), F.col("ts").alias("started_at"))
+    """Threads of parent messages, with their importance, reply_count, participants and last_reply_at. messages: message_id,
+    thread_ts, channel_id, user_id, ts, importance_score."""
+    parent = messages.where(F.col("thread_ts") == F.col("message_id")).select("thread_ts", "channel_id", F.col("user_id").alias("parent_user"), F.col("ts").alias("started_at"), "importance_score")
     replies = messages.where(F.col("thread_ts") != F.col("message_id")).groupBy("thread_ts").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last"), F.collect_set("user_id").alias("who"))
-    joined = parent.join(replies, "thread_ts", "left")
-    people = F.array_sort(F.array_union(F.array("parent_user"), F.coalesce("who", F.array().cast("array<string>"))))
-    return joined.select("thread_ts", "channel_id", "started_at", F.coalesce("n", F.lit(0)).alias("reply_count"), F.col("last").alias("last_reply_at"), people.alias("participants"))
+    return parent.join(replies, "thread_ts", "left").select("thread_ts", *thread_columns())
 
 
 def members(events: DataFrame) -> DataFrame:

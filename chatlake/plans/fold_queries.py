@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as ft
 from ..operators import folds
 from ..sources.views import oracle, view
+from .message_queries import _IMPORTANCE_SQL
 from .registry import query
 
 
@@ -24,14 +26,16 @@ _CHANGES = "SELECT message_id, epoch_off, event_id, text || ' (edit ' || event_i
 
 
 @query("edit_fold", oracle(f"""
-WITH c AS ({_CHANGES}) SELECT m.message_id, arg_max(c.text, c.epoch_off) AS text, count(*) AS n_edits, string_agg(c.text, '|' ORDER BY c.epoch_off) FILTER (c.epoch_off < 20) AS earlier, any_value(m.text) AS original
+WITH c AS ({_CHANGES}) SELECT m.message_id, arg_max(c.text, c.epoch_off) AS text, trim(regexp_replace(regexp_replace(arg_max(c.text, c.epoch_off), '<#[A-Z0-9]+\\|([^>]+)>', '#\\1', 'g'), '\\s+', ' ', 'g')) AS text_processed, max(c.epoch_off) AS edited_at, count(*) AS n_edits,
+  string_agg(c.epoch_off || '=' || CASE WHEN c.epoch_off = 10 THEN m.text ELSE m.text || ' (edit 2)' END, '|' ORDER BY c.epoch_off) AS history
 FROM chat_messages m JOIN c USING (message_id) GROUP BY 1""", "chat_messages"))
 def edit_fold(spark, sf_dir):
     m = _m(spark, sf_dir)
     steps = F.explode(F.array(F.struct(F.lit(1).alias("event_id"), F.lit(20).alias("event_time")), F.struct(F.lit(2).alias("event_id"), F.lit(10).alias("event_time"))))
     changes = m.where("turn % 3 = 0").select("message_id", "text", steps.alias("e")).select("message_id", "e.event_id", "e.event_time", F.concat("text", F.lit(" (edit "), F.col("e.event_id").cast("string"), F.lit(")")).alias("text"))
     out = folds.edits(m, changes)
-    return out.select("message_id", "text", F.col("n_edits").cast("long").alias("n_edits"), F.array_join(F.slice("history", F.lit(2), F.size("history")), "|").alias("earlier"), F.element_at("history", 1).alias("original"))
+    history = F.array_join(F.transform("history", lambda h: F.concat(h["timestamp"].cast("string"), F.lit("="), h["old_text"])), "|")
+    return out.select("message_id", "text", "text_processed", "edited_at", F.col("n_edits").cast("long").alias("n_edits"), history.alias("history"))
 
 
 @query("delete_fold", oracle("SELECT message_id FROM chat_messages WHERE (conv_id + turn) % 5 <> 0", "chat_messages"))
@@ -50,12 +54,23 @@ def reaction_fold(spark, sf_dir):
     return out.withColumn("reactions", F.array_join(F.transform("reactions", lambda r: F.concat_ws("=", r["name"], r["n"].cast("string"))), ","))
 
 
-@query("thread_rollup", oracle("""
-SELECT p.thread_ts, p.channel_id, count(r.message_id) AS reply_count, epoch(max(r.ts)) AS last_reply_s, array_to_string(list_sort(list_distinct(list_append(coalesce(list(r.user_id) FILTER (r.user_id IS NOT NULL), []), any_value(p.user_id)))), ',') AS participants
-FROM chat_messages p LEFT JOIN chat_messages r ON r.thread_ts = p.thread_ts AND r.message_id <> r.thread_ts WHERE p.thread_ts = p.message_id GROUP BY 1, 2""", "chat_messages"))
+THREADS_SQL = oracle(f"""
+SELECT p.thread_ts, p.channel_id, epoch(any_value(p.ts)) AS started_s, count(r.message_id) AS reply_count, epoch(max(r.ts)) AS last_reply_s, array_to_string(list_sort(list_distinct(list_append(coalesce(list(r.user_id) FILTER (r.user_id IS NOT NULL), []), any_value(p.user_id)))), ',') AS participants,
+  len(list_distinct(list_append(coalesce(list(r.user_id) FILTER (r.user_id IS NOT NULL), []), any_value(p.user_id)))) AS participant_count, any_value(p.importance_score) AS importance_score
+FROM (SELECT *, {_IMPORTANCE_SQL} AS importance_score FROM chat_messages) p LEFT JOIN chat_messages r ON r.thread_ts = p.thread_ts AND r.message_id <> r.thread_ts WHERE p.thread_ts = p.message_id GROUP BY 1, 2""", "chat_messages")
+
+
+def scored_messages(spark, sf_dir):
+    return _m(spark, sf_dir).withColumn("importance_score", ft.importance(F.col("text"), F.col("reaction_total"), F.col("event_reply_count"), F.col("has_file")))
+
+
+def thread_rows(rollup):
+    return rollup.select("thread_ts", "channel_id", F.unix_timestamp("started_at").cast("double").alias("started_s"), "reply_count", F.unix_timestamp("last_reply_at").cast("double").alias("last_reply_s"), F.array_join("participants", ",").alias("participants"), F.col("participant_count").cast("long").alias("participant_count"), "importance_score")
+
+
+@query("thread_rollup", THREADS_SQL)
 def thread_rollup(spark, sf_dir):
-    out = folds.thread_rollup(_m(spark, sf_dir))
-    return out.select("thread_ts", "channel_id", "reply_count", F.unix_timestamp("last_reply_at").cast("double").alias("last_reply_s"), F.array_join("participants", ",").alias("participants"))
+    return thread_rows(folds.thread_rollup(scored_messages(spark, sf_dir)))
 
 
 @query("member_fold", oracle("""

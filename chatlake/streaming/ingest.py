@@ -40,31 +40,44 @@ def counts_per_minute(events: DataFrame) -> DataFrame:
     return events.where(good(events)).withWatermark("event_time", KEEP).groupBy(F.window("event_time", "1 minute"), "type").count()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
+
+
+def day_of(message_id):
+    """The day in a message's id, which starts with its seconds; -1 for ids of another form."""
+    return F.coalesce(F.floor(F.try_element_at(F.split(message_id, r"\."), F.lit(1)).try_cast("double") / 86400).cast("int"), F.lit(-1))
+
+
 def write_tables(events: DataFrame, out: str, checkpoint: str):
     """One query that writes messages, follow-up tasks and dead letters. Each micro-batch replaces its own
     partition, so that a batch that runs twice is written once. A message that an earlier batch has, or that stands twice
-    in one, is written once: the first by time and event."""
+    in one, is written once: the first by time and event. Messages lie by the day in their ids, and of earlier
+    batches only the ids of the days of a batch are read."""
 
-    def stored(spark: SparkSession, batch_id: int) -> DataFrame:
-        schema = T.StructType([T.StructField("message_id", T.StringType()), T.StructField("batch_id", T.IntegerType())])
-        there = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/messages")
-        if not there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+    def stored(spark: SparkSession, batch: DataFrame, batch_id: int) -> DataFrame:
+        schema = T.StructType([T.StructField("message_id", T.StringType()), T.StructField("day", T.IntegerType()), T.StructField("batch_id", T.IntegerType())])
+        if not exists(spark, f"{out}/messages"):
             return spark.createDataFrame([], schema)
-        return spark.read.schema(schema).parquet(f"{out}/messages").where(F.col("batch_id") < batch_id)
+        days = [r.day for r in batch.select("day").distinct().collect()]  # as many as a batch has days
+        return spark.read.schema(schema).parquet(f"{out}/messages").where(F.col("day").isin(days) & (F.col("batch_id") < batch_id))
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        old = stored(batch.sparkSession, batch_id)
         batch = batch.withColumn("batch_id", F.lit(batch_id)).persist()
+        said = batch.where(good(batch) & (F.col("type") == "message")).withColumn("day", day_of(F.col("message_id")))
+        old = stored(batch.sparkSession, said, batch_id)
         known = F.col("type").isin(*TASKS, "reaction_added", "reaction_removed", "message_changed", "message_deleted")
         tasks = F.create_map(*(F.lit(x) for p in TASKS.items() for x in p))
         reason = F.when(~good(batch), "undecodable").when(~known, "unknown type")
         parts = {
-            "messages": insert_new(old, batch.where(good(batch) & (F.col("type") == "message")), "message_id", F.col("event_time"), F.col("event_id")).select("message_id", "user", "text", "event_time", "batch_id"),
+            "messages": insert_new(old, said, "message_id", F.col("event_time"), F.col("event_id")).select("message_id", "user", "text", "event_time", "day", "batch_id"),
             "tasks": batch.where(good(batch)).select(tasks[F.col("type")].alias("task_type"), F.col("message_id").alias("key"), "batch_id").where("task_type IS NOT NULL"),
             "dead": batch.withColumn("reason", F.coalesce(reason, F.lit(None))).where("reason IS NOT NULL").select("raw", "reason", "batch_id"),
         }
         for name, rows in parts.items():
-            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{out}/{name}")
+            by = ("day", "batch_id") if name == "messages" else ("batch_id",)
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{out}/{name}")
         batch.unpersist()
 
     return events.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
