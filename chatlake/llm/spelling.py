@@ -35,6 +35,8 @@ from .session import forget, ready, table, written
 LEAST, OFTEN, TIMES, TYPO = 6, 5, 5, 199
 #: Words of a partition at most, and code points of a word that goes through a machine.
 PART, LONG = 8_000, 64
+#: Prefixes that are sent to all executors at most.
+MOST_SENT = 100_000
 #: Rows of counts that a task holds before it hands them on.
 HELD = 200_000
 _ASCII = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
@@ -226,8 +228,9 @@ def _depth(words: DataFrame, form: Column, part: int) -> DataFrame:
     """words with `depth`: the code points of the shortest prefix of `form` that at most `part` words share; one more than
     the word has where there is none."""
     prefixes = words.select("word", F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda k: F.substring(form, F.lit(1), k))).alias("prefix"))
-    hot = prefixes.groupBy("prefix").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") > part).select("prefix")
-    deepest = prefixes.join(hot, "prefix").groupBy("word").agg(F.max(F.length("prefix")).alias("hot"))
+    hot = written(prefixes.groupBy("prefix").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") > part).select("prefix"), "spelling-hot")
+    # a hot prefix is that of many words, so that its rows are better not dealt by it; there are few, as each needs `part` words
+    deepest = prefixes.join(F.broadcast(hot) if hot.count() <= MOST_SENT else hot, "prefix").groupBy("word").agg(F.max(F.length("prefix")).alias("hot"))
     return words.join(deepest, "word", "left").withColumn("depth", F.coalesce("hot", F.lit(0)) + 1).drop("hot")
 
 
