@@ -26,6 +26,7 @@ PHRASE_DAYS = {"today": 0, "yesterday": 1, "this week": 7, "last week": 14, "thi
 # Patterns.
 CHANNEL_PATTERNS = [r"#([a-z0-9_-]+)", r"in\s+(?:the\s+)?([a-z0-9_-]+)\s+channel", r"channel[:\s]+([a-z0-9_-]+)"]
 USER_PATTERN, BY_PATTERN = r"@([A-Za-z0-9_.-]+)", r"by\s+([a-z0-9_.-]+)"
+APART, ENDS = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 WORD = r"[\p{L}\p{N}_]+"
 URL_IN_MESSAGE = r'https?://[^\s<>"{}|\\^`\[\]]+'
 
@@ -82,11 +83,11 @@ def normalized(text: Column) -> Column:
 def entities(text: Column) -> Column:
     """Structs (text, type) in the order quoted, technical, ticket, url; duplicates stay."""
     kind = lambda a, t: F.transform(a, lambda x: F.struct(x.alias("text"), F.lit(t).alias("type")))
-    words = F.filter(all_of(text, WORD), lambda x: x.rlike("^[A-Z][A-Za-z0-9]+$"))
+    words = all_of(text, APART + "[A-Z][A-Za-z0-9]++" + ENDS)
     return F.concat(
         kind(all_of(text, '"([^"]+)"', 1), "quoted"),
         kind(words, "technical"),
-        kind(all_of(text, r"(?<![\p{L}\p{N}_])[A-Z]+-[0-9]+(?![\p{L}\p{N}_])"), "ticket"),
+        kind(all_of(text, APART + "[A-Z]+-[0-9]+" + ENDS), "ticket"),
         kind(all_of(text, r"https?://\S+"), "url"),
     )
 

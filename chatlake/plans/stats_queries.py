@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as ft
 from ..operators.folds import histogram
+from ..operators.graph import co_occurrences, entity_counts
+from ..sources.shared import written
 from ..sources.views import oracle, view
 from .message_queries import _INTENT_SQL
 from .registry import query
@@ -107,24 +109,22 @@ def kg_entities(spark, sf_dir):
 _PAIRS = f"WITH e AS ({_ENT}), o AS (SELECT entity, count(*) AS n FROM e GROUP BY 1), p AS (SELECT a.entity AS entity_1, b.entity AS entity_2, count(*) AS n, count(DISTINCT a.channel_id) AS channels, epoch(min(a.ts)) AS first_s, epoch(max(a.ts)) AS last_s FROM e a JOIN e b ON a.message_id = b.message_id AND a.entity < b.entity GROUP BY 1, 2)"
 
 
-def _pairs(spark, sf_dir):
-    """A row for each pair of entities of a message: made inside its row, one name after another, so that no self-join
-    is needed and a text with many names is no large array."""
-    rows = _entities(spark, sf_dir)
-    ahead = rows.select("channel_id", "ts", "names", F.posexplode("names").alias("i", "entity_1"))
-    return rows, ahead.select("channel_id", "ts", "entity_1", F.explode(F.slice("names", F.col("i") + 2, F.size("names"))).alias("entity_2"))
+def _mentions(spark, sf_dir):
+    """The names of each message, written, as they are read for counts and for pairs, and the counts of each name."""
+    rows = written(_entities(spark, sf_dir).select("message_id", "channel_id", "ts", "names"), "kg-mentions")
+    return rows, written(entity_counts(rows), "kg-counts")
 
 
 @query("kg_edges", oracle(f"{_PAIRS} SELECT entity_1, entity_2, p.n AS co_occurrence_count, channels, first_s, last_s, round(p.n / least(x.n, y.n), 6) AS confidence FROM p JOIN o x ON x.entity = entity_1 JOIN o y ON y.entity = entity_2", *_KG))
 def kg_edges(spark, sf_dir):
-    rows, pairs = _pairs(spark, sf_dir)
-    edges = pairs.groupBy("entity_1", "entity_2").agg(F.count(F.lit(1)).alias("n"), F.size(F.collect_set("channel_id")).cast("long").alias("channels"), F.unix_timestamp(F.min("ts")).cast("double").alias("first_s"), F.unix_timestamp(F.max("ts")).cast("double").alias("last_s"))
-    seen = rows.select(F.explode("names").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("m"))
-    x, y = seen.select(F.col("entity").alias("entity_1"), F.col("m").alias("x")), seen.select(F.col("entity").alias("entity_2"), F.col("m").alias("y"))
-    return edges.join(x, "entity_1").join(y, "entity_2").select("entity_1", "entity_2", F.col("n").alias("co_occurrence_count"), "channels", "first_s", "last_s", F.round(F.col("n") / F.least("x", "y"), 6).alias("confidence"))
+    rows, seen = _mentions(spark, sf_dir)
+    seconds = lambda c: F.unix_timestamp(f"{c}_ts").cast("double").alias(f"{c}_s")
+    x, y = seen.select(F.col("entity").alias("entity_1"), F.col("n").alias("x")), seen.select(F.col("entity").alias("entity_2"), F.col("n").alias("y"))
+    met = co_occurrences(rows, seen).join(x, "entity_1").join(y, "entity_2")
+    return met.select("entity_1", "entity_2", F.col("n").alias("co_occurrence_count"), "channels", seconds("first"), seconds("last"), F.round(F.col("n") / F.least("x", "y"), 6).alias("confidence"))
 
 
 @query("kg_related", oracle(f"{_PAIRS}, b AS (SELECT entity_1 AS entity, entity_2 AS other, n FROM p UNION ALL SELECT entity_2, entity_1, n FROM p) SELECT entity, other, n FROM b", *_KG))
 def kg_related(spark, sf_dir):
-    e = _pairs(spark, sf_dir)[1].groupBy("entity_1", "entity_2").agg(F.count(F.lit(1)).alias("n"))
+    e = co_occurrences(*_mentions(spark, sf_dir))
     return e.select(F.explode(F.array(F.struct(F.col("entity_1").alias("entity"), F.col("entity_2").alias("other"), "n"), F.struct(F.col("entity_2").alias("entity"), F.col("entity_1").alias("other"), "n"))).alias("x")).select("x.*")
