@@ -9,7 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import ready
+from ..sources.shared import ready, written
 
 _BLOCK = "block long, rows binary"
 
@@ -61,3 +61,34 @@ def meet(large: DataFrame, small: DataFrame, pair: Callable[[pa.Table, pa.Table]
                 yield from pair(_opened(x.as_py()), _opened(y.as_py()))
 
     return a.join(b, "part").select("rows", "small").mapInArrow(run, schema)
+
+
+#: Blocks of the large and of the small side that a task holds at a time.
+GROUP_BLOCKS, SMALL_BLOCKS = 16, 64
+
+
+def meet_groups(large: DataFrame, small: DataFrame, run: Callable[[list[pa.Table], pa.Table], Iterator[pa.RecordBatch]], schema: str, rows: int = 4096, small_rows: int = 256, size: int = 4 << 20) -> DataFrame:
+    """What `run` gives for each group of blocks of `large` with each block of `small`, so that what is known after one
+    block of the group serves at the next.
+
+    The packed blocks are written, as their number says how many groups there are."""
+    spark = ready(large.sparkSession)
+    a, b = written(_packed(large, rows, size), "large-blocks"), _packed(small, small_rows, size)
+    n = a.count()
+    groups = max(-(-n // GROUP_BLOCKS), min(n, 2 * spark.sparkContext.defaultParallelism), 1)
+    bundles = max(1, -(-b.count() // SMALL_BLOCKS))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
+    a = a.select("rows", dealt(groups).alias("part"), each(bundles).alias("bundle"))
+    b = b.select("rows", dealt(bundles).alias("bundle"), each(groups).alias("part"))
+    empty = spark.createDataFrame([], schema).toArrow().schema
+
+    def both(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if len(left) and len(right):
+            held = [_opened(x.as_py()) for x in left["rows"]]
+            for x in right["rows"]:
+                out += run(held, _opened(x.as_py()))
+        return pa.Table.from_batches(out) if out else empty.empty_table()
+
+    return a.groupBy("part", "bundle").cogroup(b.groupBy("part", "bundle")).applyInArrow(both, schema)

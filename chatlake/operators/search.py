@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as ft
-from .blocks import meet
+from .blocks import meet, meet_groups
+from .grams import holding
 
 SEMANTIC, KEYWORD, ENTITY, CANDIDATES, RRF_K = 100, 50, 30, 200, 60
 AS_OF = "2024-06-01 00:00:00"
@@ -40,68 +41,79 @@ def passes(filtered: bool, by_user: bool = False) -> Column:
 
 
 def semantic(queries: DataFrame, messages: DataFrame, vectors: DataFrame, filtered: bool = False, k: int = SEMANTIC) -> DataFrame:
-    """Top k by cosine: (query_id, message_id, score, rank). Vectors: (vec_id, embedding), of one length; those that
-    are null, hold nulls or are all zeros take no part. Exact: blocks of messages meet blocks of queries as matrices."""
-    v = vectors.where("embedding IS NOT NULL AND NOT exists(embedding, x -> x IS NULL) AND exists(embedding, x -> x <> 0)").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    """Top k by cosine: (query_id, message_id, score, rank). Vectors: (vec_id, embedding); those that are null, hold nulls
+    or numbers that are not finite, or are all zeros take no part, and vectors meet those of their own length only. Exact:
+    groups of blocks of messages meet blocks of queries as matrices, with the k-th best score of each query carried from
+    block to block, so that a group gives k rows of a query at most."""
+    v = vectors.where("embedding IS NOT NULL").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    v = v.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
     micros = lambda c: F.unix_micros(F.col(c)).alias(c)
     known = F.broadcast(messages.agg(F.collect_set("channel_name").alias("known")))  # each channel's name once
     q = with_filters(queries).join(v, queries["query_id"] == v["vec_id"]).crossJoin(known).select("query_id", "channel_filter", F.array_intersect("channels", "known").alias("channels"), F.coalesce("has_code_intent", F.lit(False)).alias("code"), micros("start_at"), micros("end_at"), "v")
     m = messages.join(v, messages["doc_id"] == v["vec_id"]).select("message_id", "channel_name", F.coalesce("has_code", F.lit(False)).alias("code"), micros("ts"), "v")
 
-    def pair(m, q):
-        vectors, norms = zip(*map(_matrix, (m["v"], q["v"])))
-        scores = np.round(vectors[1] @ vectors[0].T / (norms[1][:, None] * norms[0]), 9)
-        ids, at = m["message_id"].combine_chunks(), m["ts"].to_numpy(zero_copy_only=False)
-        names, code = np.array(m["channel_name"].to_pylist(), object), m["code"].to_numpy(zero_copy_only=False)
-        for row, s in zip(q.drop_columns("v").to_pylist(), scores):
-            ok = np.ones(len(s), bool)
-            if filtered:
-                ok &= code | (not row["code"])
-                if row["channel_filter"] is not None:
-                    ok &= names == row["channel_filter"]
-                if row["channels"]:
-                    ok &= np.isin(names.astype(str), row["channels"])
-                if row["start_at"] is not None:
-                    ok &= at >= row["start_at"]
-                if row["end_at"] is not None:
-                    ok &= at <= row["end_at"]
-            which = np.flatnonzero(ok)
-            if len(which) > k:  # all of the k-th score: the ids decide later
-                which = which[s[which] >= np.partition(s[which], -k)[-k]]
-            if len(which):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(which), row["query_id"], np.int64)), ids.take(pa.array(which)), pa.array(s[which])], ["query_id", "message_id", "score"])
-
-    scored = meet(m, q, pair, "query_id long, message_id string, score double")
+    def run(blocks, q):
+        rows = q.drop_columns("v").to_pylist()
+        top = [_NONE] * len(rows)
+        asked = _by_length(q)
+        for m in blocks:
+            for length, (there, x, norm) in _by_length(m).items():
+                if length not in asked:
+                    continue
+                here, y, asked_norm = asked[length]
+                part = m.take(pa.array(there))
+                ids = np.array(part["message_id"].to_pylist(), object)
+                at, names, code = part["ts"].to_numpy(), np.array(part["channel_name"].to_pylist(), object), part["code"].to_numpy()
+                scores = np.round(y @ x.T / (asked_norm[:, None] * norm), 9)
+                for n, s in zip(here.tolist(), scores):
+                    row = rows[n]
+                    ok = s >= top[n][0][-1] if len(top[n][0]) == k else np.ones(len(s), bool)
+                    if filtered:
+                        ok &= code | (not row["code"])
+                        if row["channel_filter"] is not None:
+                            ok &= names == row["channel_filter"]
+                        if row["channels"]:
+                            ok &= np.isin(names.astype(str), row["channels"])
+                        if row["start_at"] is not None:
+                            ok &= at >= row["start_at"]
+                        if row["end_at"] is not None:
+                            ok &= at <= row["end_at"]
+                    which = np.flatnonzero(ok)
+                    if len(which) > k:  # with all of the k-th score, as ids decide between these
+                        which = which[s[which] >= np.partition(s[which], -k)[-k]]
+                    if len(which):
+                        score, who = np.append(top[n][0], s[which]), np.append(top[n][1], ids[which])
+                        order = np.lexsort((who, -score))[:k]
+                        top[n] = score[order], who[order]
+        for row, (score, who) in zip(rows, top):
+            if len(score):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(score), row["query_id"], np.int64)), pa.array(who.tolist(), pa.string()), pa.array(score)], ["query_id", "message_id", "score"])
+
+    scored = meet_groups(m, q, run, "query_id long, message_id string, score double")
     return best(scored, k, F.desc("score"), F.col("message_id"))
 
 
-def _matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    x = column.combine_chunks().flatten().to_numpy().reshape(len(column), -1)
-    return x, np.sqrt((x * x).sum(1))
+_NONE = (np.zeros(0), np.zeros(0, object))
 
 
-def _tokens(text: Column) -> Column:
-    return F.split(F.lower(text), r"[ \t\n\x0B\f\r]+")
+def _by_length(rows: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row numbers, matrix and norms of the vectors `v` of each length."""
+    v = rows["v"].combine_chunks()
+    sizes = np.diff(v.offsets.to_numpy())
+    flat, starts, out = v.flatten().to_numpy(), np.cumsum(sizes) - sizes, {}
+    for n in np.unique(sizes).tolist():
+        which = np.flatnonzero(sizes == n)
+        x = flat[starts[which][:, None] + np.arange(n)]
+        out[n] = which, x, np.sqrt((x * x).sum(1))
+    return out
 
 
 def keyword(queries: DataFrame, messages: DataFrame, k: int = KEYWORD) -> DataFrame:
-    """The whole query as a substring, by importance: (query_id, message_id, score, rank).
-
-    Every word inside a query stands whole in a text that holds the query, so that a query meets only the messages that
-    have its longest inner word. Queries of one or two words have no such word and are looked for in every message."""
-    q = with_filters(queries).select("query_id", F.lower("query_text").alias("needle"), "channel_filter", "has_code_intent", "channels", "users", "start_at", "end_at")
-    words = _tokens("needle")
-    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    q = q.withColumn("word", longest)
+    """The whole query as a substring, by importance: (query_id, message_id, score, rank). A query meets only the messages
+    that have its rarest gram."""
+    q = with_filters(queries).select("query_id", F.lower("query_text").alias("needle"), "channel_filter", F.coalesce("has_code_intent", F.lit(False)).alias("has_code_intent"), "channels", "users", "start_at", "end_at")
     m = messages.select("message_id", "channel_name", "user_name", ft.mentions(F.col("text")).alias("mentioned"), "ts", "has_code", "importance_score", F.lower("text").alias("hay"))
-    holds = passes(True, by_user=True) & F.contains("hay", "needle")
-    long, short = q.where("word IS NOT NULL"), q.where("word IS NULL")
-    # only the words of queries are posted, and the texts are fetched for those messages alone
-    posted = messages.select("message_id", F.explode(F.array_distinct(_tokens("text"))).alias("word")).join(long.select("word").distinct(), "word", "left_semi")
-    met = posted.join(long, "word").join(m, "message_id").where(holds)
-    columns = ("query_id", "message_id", "importance_score")
-    met = met.select(*columns).unionByName(m.join(short, holds).select(*columns))
+    met = holding(m, q).where(passes(True, by_user=True)).select("query_id", "message_id", "importance_score")
     ranked = best(met, k, F.desc("importance_score"), F.col("message_id"))
     score = (k - (F.col("rank") - 1)) / k * 0.5 + F.col("importance_score") / 10 * 0.5
     return ranked.select("query_id", "message_id", F.round(score, 9).alias("score"), "rank")
