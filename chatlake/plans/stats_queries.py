@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as ft
 from ..operators.folds import histogram
 from ..operators.graph import co_occurrences, entity_counts
+from ..operators.quantiles import exact_quantile
 from ..sources.shared import written
 from ..sources.views import oracle, view
 from .message_queries import _INTENT_SQL
@@ -48,7 +49,7 @@ def latency_hist(spark, sf_dir):
 
 @query("latency_p95", "SELECT event_type AS stage, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY 1")
 def latency_p95(spark, sf_dir):
-    return view(spark, sf_dir, "events").groupBy(F.col("event_type").alias("stage")).agg(F.percentile_approx("value", 0.95, 10000).alias("p95"))
+    return exact_quantile(view(spark, sf_dir, "events"), F.col("value"), 0.95, "event_type").select(F.col("event_type").alias("stage"), F.col("quantile").alias("p95"))
 
 
 @query("rating_counts", "SELECT event_id % 5 + 1 AS rating, count(*) AS n, round(avg(CASE WHEN event_type = 'click' THEN 1E0 ELSE 0E0 END), 6) AS click_rate, CASE WHEN event_id % 5 + 1 > 3 THEN 1E0 ELSE 0E0 END AS copy_rate FROM events GROUP BY 1, 4")

@@ -32,10 +32,13 @@ SELECT
   concat('D', lpad(CAST(CAST(floor(doc_id / 16) AS BIGINT) * 16 AS STRING), 8, '0')) AS thread_ts,
   concat('C', lpad(CAST(CAST(floor(doc_id / 16) AS BIGINT) % 20 AS STRING), 3, '0')) AS channel_id,
   concat('chan-', CAST(CAST(floor(doc_id / 16) AS BIGINT) % 20 AS STRING)) AS channel_name,
+  concat('U', lpad(CAST(doc_id % 37 AS STRING), 4, '0')) AS user_id,
   concat('user', CAST(doc_id % 37 AS STRING)) AS user_name,
   {TS:1704067200 + doc_id * 600} AS ts,
   CAST(1 + doc_id % 11 AS DOUBLE) + CASE WHEN n_chars > 500 THEN 1.0E0 ELSE 0.0E0 END AS importance_score,
   CAST(doc_id % 15 AS BIGINT) AS reaction_count,
+  CAST(floor((doc_id % 15) / 3) AS BIGINT) AS eyes,
+  CASE WHEN doc_id % 6 = 0 THEN concat('F', CAST(doc_id AS STRING)) END AS file_id,
   doc_id % 5 = 0 AS has_code,
   doc_id, lang, text
 FROM documents""",
