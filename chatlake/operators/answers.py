@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as ft
+from .search import permalink
 
 # The form of a citation, and what counts as mentioned (with the group that is taken).
 CITATION = r"\[([^,]+),\s*@?([^,]+),\s*([^\]]+)\]"
-_APART, _ENDS = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
-MENTIONED = [(_APART + r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*" + _ENDS, 0), (_APART + r"\p{Nd}+(?:\.\p{Nd}+)?" + _ENDS, 0), ('"([^"]+)"', 1)]
+MENTIONED = [(ft.APART + r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*" + ft.ENDS, 0), (ft.APART + r"\p{Nd}+(?:\.\p{Nd}+)?" + ft.ENDS, 0), ('"([^"]+)"', 1)]
 # Phrases and words of the checks.
 NO_ANSWER = ["i don't have information", "i couldn't find", "there is no information", "not found in", "unable to locate", "no relevant information", "cannot answer", "don't see any"]
 STARTERS = ["However", "Note", "Additionally"]
@@ -23,6 +23,8 @@ CONFIDENCE = {
     "low": ["unclear", "uncertain", "possibly", "might", "may"],
     "hedging": ["however", "but", "although", "while"],
 }
+# Fixed value: the mark of a citation without a message.
+UNAVAILABLE = " (link unavailable)"
 NEAR = 100
 TRIM_ABOVE, TRIM_TO = 10, 20
 ACCEPTABLE = 0.6
@@ -47,23 +49,29 @@ def rewritten(answers: DataFrame) -> DataFrame:
     return rows.select("answer_id", F.array_join(joined, "").alias("text"))
 
 
-def citation_links(found: DataFrame, messages: DataFrame) -> DataFrame:
-    """Each citation with the first message it names (by ts, message_id), or a link to the channel only."""
-    name = F.ltrim(F.col("channel"), F.lit("#"))
-    c = found.select("*", name.alias("channel_key"), F.ltrim(F.col("user"), F.lit("@")).alias("user_key"))
-    m = messages.select("message_id", "channel_name", "user_name", "ts", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"))
-    met = c.join(m, (c["channel_key"] == m["channel_name"]) & (c["user_key"] == m["user_name"]) & F.contains(m["iso"], c["cited_at"]), "left")
-    best = met.groupBy("answer_id", "number", "channel", "user", "cited_at").agg(F.min_by("message_id", F.struct("ts", "message_id")).alias("message_id"))
-    label = F.concat(F.col("channel"), F.lit(" "), F.col("user"), F.lit(" "), F.col("cited_at"), F.when(F.col("message_id").isNull(), " (link unavailable)").otherwise(""))
-    return best.select("answer_id", "number", "message_id", label.alias("label"))
-
-
-def citation_validity(answers: DataFrame, found: DataFrame, messages: DataFrame) -> DataFrame:
-    """Share of an answer's citations whose channel and user any message has; 1 without citations."""
-    known = messages.select(F.col("channel_name").alias("ck"), F.col("user_name").alias("uk")).distinct().withColumn("ok", F.lit(1))
+def citation_links(found: DataFrame, context: DataFrame) -> DataFrame:
+    """(answer_id, number, message_id, link, label): each citation with the first message of its answer's context that it
+    names, or a link to the channel only. A cited time is a part of the message's time in ISO form.
+    context: answer_id, place (of the thread), pos, channel_id, channel_name, user_name, ts, message_id, at most a budget of rows for an answer."""
+    key = lambda c, mark: F.ltrim(F.col(c), F.lit(mark))
+    c = found.withColumns({"channel_name": key("channel", "#"), "user_name": key("user", "@")})
+    m = context.where("channel_id <> '' AND message_id <> ''").withColumn("iso", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
+    met = c.join(m, ["answer_id", "channel_name", "user_name"]).where(F.contains("iso", "cited_at"))
+    first = met.groupBy("answer_id", "number").agg(F.min_by(F.struct("channel_id", "message_id"), F.struct("place", "pos")).alias("m"))
+    out = c.join(first, ["answer_id", "number"], "left")
+    link = F.coalesce(permalink(F.col("m.channel_id"), F.col("m.message_id")), F.concat(F.lit("https://chat.example/app_redirect?channel="), "channel_name"))
+    label = F.concat(F.lit("["), F.col("number").cast("string"), F.lit("] #"), "channel", F.lit(" - @"), "user", F.lit(" - "), "cited_at", F.when(F.col("m").isNull(), UNAVAILABLE).otherwise(""))
+    return out.select("answer_id", "number", "m.message_id", link.alias("link"), label.alias("label"))
+
+
+def citation_validity(answers: DataFrame, found: DataFrame, context: DataFrame) -> DataFrame:
+    """(answer_id, n_citations, n_valid, score): the share of an answer's citations whose channel and user a message of its
+    context has; 1 without citations. context: answer_id, channel_name, user_name."""
+    known = context.select("answer_id", F.col("channel_name").alias("ck"), F.col("user_name").alias("uk")).distinct().withColumn("ok", F.lit(1))
     c = found.select("answer_id", F.ltrim(F.col("channel"), F.lit("#")).alias("ck"), F.ltrim(F.col("user"), F.lit("@")).alias("uk"))
-    per = c.join(known, ["ck", "uk"], "left").groupBy("answer_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("ok", F.lit(0))).alias("valid"))
-    return answers.select("answer_id").join(per, "answer_id", "left").select("answer_id", F.coalesce("n", F.lit(0)).alias("n_citations"), F.round(F.coalesce(F.col("valid") / F.col("n"), F.lit(1.0)), 6).alias("score"))
+    per = c.join(known, ["answer_id", "ck", "uk"], "left").groupBy("answer_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("ok", F.lit(0))).alias("valid"))
+    zero = lambda x: F.coalesce(x, F.lit(0))
+    return answers.select("answer_id").join(per, "answer_id", "left").select("answer_id", zero("n").alias("n_citations"), zero("valid").alias("n_valid"), F.round(F.coalesce(F.col("valid") / F.col("n"), F.lit(1.0)), 6).alias("score"))
 
 
 def has_answer(text: Column) -> Column:
@@ -119,7 +127,7 @@ def _bare(text: Column, pattern: str) -> Column:
 def flags(text: Column) -> Column:
     """Names of doubtful traits: a time of day with no citation anywhere, definite words with none near, vague counts."""
     low = F.lower(text)
-    out = [F.when(text.rlike(r"[0-9]{1,2}:[0-9]{2}(am|pm|AM|PM)") & ~text.rlike(r"\[[0-9]+\]"), "time")]
+    out = [F.when(text.rlike(r"(?i)[0-9]{1,2}:[0-9]{2}(am|pm)") & ~text.rlike(r"\[[0-9]+\]"), "time")]
     out += [F.when(_bare(low, ft.words_pattern([w])), F.lit(f"definite:{i}")) for i, w in enumerate(DEFINITE)]
     out.append(F.when(F.regexp_count(low, F.lit(ft.words_pattern(VAGUE))) > 3, "vague"))
     return F.array_compact(F.array(*out))
@@ -157,3 +165,32 @@ def history(turns: DataFrame, last: int = TRIM_TO) -> DataFrame:
     """(conv_id, n, role, content): the `last` turns of each conversation in order."""
     recent = turns.withColumn("back", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))).where(F.col("back") <= last)
     return recent.select("conv_id", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("n"), "role", F.col("text").alias("content"))
+
+
+#: Buckets of the distributions of answers: their upper ends.
+QUALITY_ENDS = [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
+CITATION_ENDS = [0, 1, 2, 3, 5, 7, 10, 15, 20]
+TURN_ENDS = [1, 2, 3, 5, 7, 10, 15, 20]
+
+
+def distributions(checked: DataFrame, turns: DataFrame) -> DataFrame:
+    """(metric, kind, le, n): cumulative counts of answers by quality and by number of citations and of conversations by
+    turns (le: the upper end, infinity last), and of flags by their kind (le null). Each input is read once: a row
+    becomes a bucket of each of its distributions, and what is left of a bucket is a count.
+    checked: quality, n_citations, flags; turns: n_turns, a row for each conversation."""
+
+    def bucket(metric, value, ends):
+        le = F.lit(float("inf"))
+        for e in reversed(ends):
+            le = F.when(value <= e, F.lit(float(e))).otherwise(le)
+        return F.struct(F.lit(metric).alias("metric"), F.lit(None).cast("string").alias("kind"), le.alias("le"))
+
+    flag = F.transform("flags", lambda f: F.struct(F.lit("flags").alias("metric"), F.element_at(F.split(f, ":"), 1).alias("kind"), F.lit(None).cast("double").alias("le")))
+    answered = checked.select(F.explode(F.concat(F.array(bucket("quality", F.col("quality"), QUALITY_ENDS), bucket("citations", F.col("n_citations"), CITATION_ENDS)), flag)).alias("x"))
+    counts = answered.unionByName(turns.select(bucket("turns", F.col("n_turns"), TURN_ENDS).alias("x"))).groupBy("x.metric", "x.kind", "x.le").agg(F.count(F.lit(1)).alias("m"))
+    known = [(m, float(e)) for m, ends in (("quality", QUALITY_ENDS), ("citations", CITATION_ENDS), ("turns", TURN_ENDS)) for e in [*ends, float("inf")]]
+    edges = counts.sparkSession.createDataFrame(known, "metric string, le double")
+    inside = counts.where("le IS NOT NULL").select("metric", F.col("le").alias("at"), "m")
+    upto = F.broadcast(edges).join(inside, "metric").where("at <= le").groupBy("metric", "le").agg(F.sum("m").alias("n"))
+    full = edges.join(upto, ["metric", "le"], "left").select("metric", F.lit(None).cast("string").alias("kind"), "le", F.coalesce("n", F.lit(0)).alias("n"))
+    return full.unionByName(counts.where("le IS NULL").select("metric", "kind", "le", F.col("m").alias("n")))

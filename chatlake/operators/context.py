@@ -59,7 +59,7 @@ def compress(rows: DataFrame, above: int = COMPRESS_ABOVE) -> DataFrame:
     kept = flagged.withColumn("left_out", F.sum((~F.col("keep")).cast("int")).over(Window.partitionBy("query_id", "thread"))).where("keep").drop("keep")
     # the parent's row gives the placeholder's, so that nothing is read twice
     gap = (F.col("pos") == 0) & (F.col("left_out") > 0)
-    blank = {c: F.lit(None).cast(kept.schema[c].dataType) for c in ("ts", "user_id", "user_name")} | {"message_id": F.lit(SUMMARY), "pos": F.col("thread_size").cast(kept.schema["pos"].dataType), "relevant": F.lit(False), "score": F.lit(0.0)}
+    blank = {c: F.lit(None).cast(kept.schema[c].dataType) for c in ("ts", "user_id", "user_name") if c in kept.columns} | {"message_id": F.lit(SUMMARY), "pos": F.col("thread_size").cast(kept.schema["pos"].dataType), "relevant": F.lit(False), "score": F.lit(0.0)}
     placeholder = F.struct(*(blank.get(c, F.col(c)).alias(c) for c in kept.columns))
     return kept.select(F.explode(F.array_compact(F.array(F.struct(*kept.columns), F.when(gap, placeholder)))).alias("x")).select("x.*")
 

@@ -31,17 +31,33 @@ def message_rows(events: DataFrame, team_id: Column) -> DataFrame:
     bot = F.col("user").isNull() | (F.col("user") == "")
     user = F.when(~bot, F.col("user")).when(F.col("bot_id") != "", F.concat(F.lit("BOT:"), "bot_id"))
     files = F.filter(F.transform(F.coalesce("files", F.array().cast("array<struct<id:string>>")), lambda f: f["id"]), lambda i: i.isNotNull() & (i != ""))
-    links, code = ft.links(text), ft.code_languages(text)
+    # taken from the text once, as several columns are derived of each
+    events, raw = events.withColumns({"__links": ft.links(text), "__code": ft.code_languages(text), "__mentions": ft.mentions(text), "__files": files}), F.to_json(F.struct(*events.columns))
+    links, code, held = F.col("__links"), F.col("__code"), F.col("__files")
     rows = events.select(
         at.alias("message_id"), F.col("channel").alias("channel_id"), "channel_name", user.alias("user_id"), F.when(bot, F.coalesce("username", F.lit("bot"))).otherwise(F.col("username")).alias("user_name"), team_id.alias("team_id"),
         "thread_ts", F.coalesce(F.col("thread_ts") == at, F.lit(False)).alias("is_thread_parent"), text.alias("text"), ft.clean(text).alias("text_processed"), F.coalesce("type", F.lit("message")).alias("message_type"), "subtype",
-        F.timestamp_seconds(at.cast("double")).alias("timestamp"), (F.size(code) > 0).alias("has_code"), _filled(F.array_sort(F.array_distinct(code))).alias("code_languages"), (F.size(files) > 0).alias("has_files"), _filled(files).alias("file_ids"),
-        (F.size(links) > 0).alias("has_links"), _filled(links).alias("links"), F.lit(0).cast("long").alias("reaction_count"), F.lit(None).cast("array<struct<name:string,count:int>>").alias("reactions"), _filled(ft.mentions(text)).alias("mentioned_users"),
-        ft.importance(text, F.col("reaction_total"), F.col("event_reply_count"), F.size(files) > 0).alias("importance_score"), F.to_json(F.struct(*events.columns)).alias("raw_json"),
+        F.timestamp_seconds(at.cast("double")).alias("timestamp"), (F.size(code) > 0).alias("has_code"), _filled(F.array_sort(F.array_distinct(code))).alias("code_languages"), (F.size(held) > 0).alias("has_files"), _filled(held).alias("file_ids"),
+        (F.size(links) > 0).alias("has_links"), _filled(links).alias("links"), F.lit(0).cast("long").alias("reaction_count"), F.lit(None).cast("array<struct<name:string,count:int>>").alias("reactions"), _filled(F.col("__mentions")).alias("mentioned_users"),
+        ft.importance(text, F.col("reaction_total"), F.col("event_reply_count"), F.size(held) > 0).alias("importance_score"), raw.alias("raw_json"),
     )
     return rows.where("user_id IS NOT NULL")
 
 
+def embed_texts(rows: DataFrame) -> DataFrame:
+    """(message_id, embed_text): what is embedded of a message, its channel, the start of the message that its thread
+    replies to, its cleaned text and the languages of its code. rows: message_id, channel_id, channel_name, thread_ts,
+    text, text_processed, code_languages (null without code)."""
+    said = lambda c: F.when(F.col(c) != "", F.col(c))
+    parent = rows.select(F.col("message_id").alias("__parent"), F.substring(said("text"), 1, 200).alias("topic"))
+    met = rows.join(parent, rows["thread_ts"] == parent["__parent"], "left")
+    parts = [
+        F.concat(F.lit("Channel: "), F.coalesce(said("channel_name"), "channel_id")), F.when(F.col("thread_ts") != F.col("message_id"), F.concat(F.lit("Thread Topic: "), "topic")),
+        F.concat(F.lit("Message: "), F.coalesce(said("text_processed"), "text")), F.when(F.size("code_languages") > 0, F.concat(F.lit("Contains code: "), F.array_join("code_languages", ", "))),
+    ]
+    return met.select("message_id", F.concat_ws("\n", *parts).alias("embed_text"))
+
+
 def vector_metadata(rows: DataFrame) -> Column:
     """The metadata of a message's vector, as one struct; texts are cut to 1000 characters, nulls are empty."""
     blank = lambda c: F.coalesce(c, F.lit("")).alias(c)

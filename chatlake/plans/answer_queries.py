@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import answers as an
-from ..operators.folds import deleted, histogram
+from ..operators import context as cx
+from ..operators.folds import deleted
 from ..sources.views import oracle, view
 from . import retrieval_queries as rt
 from .registry import query
@@ -33,20 +34,37 @@ def citation_rewrite(spark, sf_dir):
     return an.rewritten(view(spark, sf_dir, "answers"))
 
 
-@query("citation_links", oracle(f"""
-WITH c AS ({_CITES}), l AS (SELECT c.answer_id, c.number, c.channel, c."user", c.cited_at, arg_min(m.message_id, (m.ts, m.message_id)) AS message_id FROM c LEFT JOIN chat_messages m
-  ON ltrim(c.channel, '#') = m.channel_name AND ltrim(c."user", '@') = m.user_name AND contains(strftime(m.ts, '%Y-%m-%dT%H:%M:%S'), c.cited_at) GROUP BY ALL)
-SELECT answer_id, number, message_id, channel || ' ' || "user" || ' ' || cited_at || CASE WHEN message_id IS NULL THEN ' (link unavailable)' ELSE '' END AS label FROM l""", "answers", "chat_messages"))
+# Answers that also cite the results in their contexts, by the hour.
+_CITED = f"""{rt._ALL}, told AS (SELECT query_id AS answer_id, string_agg(' Said in [#' || channel_name || ', @' || user_name || ', ' || strftime(ts, '%Y-%m-%dT%H') || '].', '' ORDER BY message_id) AS more FROM sel WHERE relevant GROUP BY 1),
+cited AS (SELECT a.answer_id, a.query_text, a.answer_text || coalesce(more, '') AS answer_text FROM answers a LEFT JOIN told USING (answer_id)), c AS ({_CITES.replace('FROM answers', 'FROM cited')}),
+known AS (SELECT s.query_id AS answer_id, row_number() OVER (PARTITION BY s.query_id ORDER BY b.score DESC, s.thread, s.pos) AS place, b.channel_id, b.channel, s.user_name, strftime(s.ts, '%Y-%m-%dT%H:%M:%S') AS iso, s.message_id FROM sel s JOIN b USING (query_id, thread) WHERE s.message_id <> '{cx.SUMMARY}')"""
+
+
+def _cited(spark, sf_dir):
+    """Answers with citations of their contexts' results, and the contexts' messages."""
+    rows, contexts = rt._selected(spark, sf_dir)
+    said = F.concat(F.lit(" Said in [#"), "channel_name", F.lit(", @"), "user_name", F.lit(", "), F.date_format("ts", "yyyy-MM-dd'T'HH"), F.lit("]."))
+    more = rows.where("relevant").groupBy(F.col("query_id").alias("answer_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("message_id", said.alias("t")))), lambda x: x["t"]), "").alias("more"))
+    a = view(spark, sf_dir, "answers").join(more, "answer_id", "left")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "thread")).alias("place")
+    of = contexts.select("query_id", "thread", place, "channel_id", "channel_name")
+    context = rows.where(F.col("message_id") != cx.SUMMARY).select("query_id", "thread", "pos", "user_name", "ts", "message_id").join(of, ["query_id", "thread"]).withColumnRenamed("query_id", "answer_id")
+    return a.select("answer_id", "query_text", F.concat("answer_text", F.coalesce("more", F.lit(""))).alias("answer_text")), context
+
+
+@query("citation_links", oracle(f"""{_CITED}, l AS (SELECT c.answer_id, c.number, arg_min(k.message_id, k.place) AS message_id, arg_min(k.channel_id, k.place) AS channel_id FROM c JOIN known k ON k.answer_id = c.answer_id AND ltrim(c.channel, '#') = k.channel AND ltrim(c."user", '@') = k.user_name AND contains(k.iso, c.cited_at) GROUP BY 1, 2)
+SELECT c.answer_id, c.number, l.message_id, CASE WHEN l.message_id IS NULL THEN 'https://chat.example/app_redirect?channel=' || ltrim(c.channel, '#') ELSE 'https://chat.example/archives/' || l.channel_id || '/p' || replace(l.message_id, '.', '') END AS link,
+  '[' || c.number || '] #' || c.channel || ' - @' || c."user" || ' - ' || c.cited_at || CASE WHEN l.message_id IS NULL THEN ' (link unavailable)' ELSE '' END AS label FROM c LEFT JOIN l USING (answer_id, number)""", "answers", "search_queries", "doc_messages"))
 def citation_links(spark, sf_dir):
-    return an.citation_links(an.citations(view(spark, sf_dir, "answers")), view(spark, sf_dir, "chat_messages"))
+    answers, context = _cited(spark, sf_dir)
+    return an.citation_links(an.citations(answers), context)
 
 
-@query("citation_validity", oracle(f"""
-WITH c AS ({_CITES}), k AS (SELECT DISTINCT channel_name, user_name FROM chat_messages), p AS (SELECT answer_id, count(*) AS n, count(k.channel_name) AS v FROM c LEFT JOIN k ON ltrim(c.channel, '#') = k.channel_name AND ltrim(c."user", '@') = k.user_name GROUP BY 1)
-SELECT a.answer_id, coalesce(n, 0) AS n_citations, round(coalesce(v / n, 1.0E0), 6) AS score FROM answers a LEFT JOIN p USING (answer_id)""", "answers", "chat_messages"))
+@query("citation_validity", oracle(f"""{_CITED}, u AS (SELECT DISTINCT answer_id, channel, user_name FROM known), p AS (SELECT c.answer_id, count(*) AS n, count(u.channel) AS v FROM c LEFT JOIN u ON u.answer_id = c.answer_id AND ltrim(c.channel, '#') = u.channel AND ltrim(c."user", '@') = u.user_name GROUP BY 1)
+SELECT a.answer_id, coalesce(n, 0) AS n_citations, coalesce(v, 0) AS n_valid, round(coalesce(v / n, 1.0E0), 6) AS score FROM answers a LEFT JOIN p USING (answer_id)""", "answers", "search_queries", "doc_messages"))
 def citation_validity(spark, sf_dir):
-    a = view(spark, sf_dir, "answers")
-    return an.citation_validity(a, an.citations(a), view(spark, sf_dir, "chat_messages"))
+    answers, context = _cited(spark, sf_dir)
+    return an.citation_validity(answers, an.citations(answers), context)
 
 
 _HAS = "length(trim(answer_text)) >= 50" + "".join(" AND NOT contains(lower(answer_text), '" + p.replace("'", "''") + "')" for p in an.NO_ANSWER)
@@ -117,7 +135,7 @@ def _bare(t: str, word: str) -> str:
 
 
 def _flags(t: str) -> str:
-    parts = [rf"CASE WHEN regexp_matches({t}, '[0-9]{{1,2}}:[0-9]{{2}}(am|pm|AM|PM)') AND NOT regexp_matches({t}, '\[[0-9]+\]') THEN 'time' END"]
+    parts = [rf"CASE WHEN regexp_matches({t}, '(?i)[0-9]{{1,2}}:[0-9]{{2}}(am|pm)') AND NOT regexp_matches({t}, '\[[0-9]+\]') THEN 'time' END"]
     parts += [rf"CASE WHEN {_bare(t, chr(92) + 'b' + w + chr(92) + 'b')} THEN 'definite:{i}' END" for i, w in enumerate(an.DEFINITE)]
     parts.append(rf"CASE WHEN len(regexp_extract_all(lower({t}), '\b({'|'.join(an.VAGUE)})\b')) > 3 THEN 'vague' END")
     return f"list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL)"
@@ -146,9 +164,16 @@ def va_quality(spark, sf_dir):
     return an.validated(view(spark, sf_dir, "answers"), _context(spark, sf_dir)).select("answer_id", "quality", "acceptable")
 
 
-@query("answer_hist", oracle(f"{_QUALITY} SELECT le, count(*) FILTER (quality <= le) AS n FROM q, (SELECT unnest([0.2, 0.4, 0.6, 0.8, 1.0, 'inf'::DOUBLE]) AS le) GROUP BY 1", "answers", "search_queries", "doc_messages"))
+_ENDS = " UNION ALL ".join(f"SELECT '{m}' AS metric, unnest([{', '.join(map(str, map(float, ends)))}, 'inf'::DOUBLE]) AS le" for m, ends in (("quality", an.QUALITY_ENDS), ("citations", an.CITATION_ENDS), ("turns", an.TURN_ENDS)))
+
+
+@query("answer_hist", oracle(f"""{_QUALITY}, values_ AS (SELECT 'quality' AS metric, quality AS v FROM q UNION ALL SELECT 'citations', (SELECT count(*) FROM ({_CITES}) c WHERE c.answer_id = a.answer_id) FROM answers a UNION ALL SELECT 'turns', count(*) FROM conversations GROUP BY conv_id)
+SELECT e.metric, CAST(NULL AS VARCHAR) AS kind, e.le, count(*) FILTER (v <= e.le) AS n FROM ({_ENDS}) e JOIN values_ USING (metric) GROUP BY 1, 2, 3 UNION ALL SELECT 'flags', split_part(f, ':', 1), NULL, count(*) FROM (SELECT unnest(f) AS f FROM v) GROUP BY 2""", "answers", "search_queries", "doc_messages"))
 def answer_hist(spark, sf_dir):
-    return histogram(va_quality(spark, sf_dir), F.col("quality"), [0.2, 0.4, 0.6, 0.8, 1.0])
+    a = view(spark, sf_dir, "answers")
+    found = an.citations(a).groupBy("answer_id").agg(F.count(F.lit(1)).alias("n_citations"))
+    checked = an.validated(a, _context(spark, sf_dir)).join(found, "answer_id", "left").withColumn("n_citations", F.coalesce("n_citations", F.lit(0)))
+    return an.distributions(checked, view(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns")))
 
 
 _TURNS = "conv_id, turn, role, text, 1704067200 + conv_id * 3600 + turn * 60 AS at_s"

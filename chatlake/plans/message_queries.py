@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as ft
 from ..operators import messages, search
-from ..sources.files import FILE_TYPES
+from ..sources.files import FILE_TYPES, scan
+from ..sources.shared import ready, shared_folder
 from ..sources.views import oracle, view
 from .registry import query
 
@@ -117,15 +120,20 @@ def embed_hash(spark, sf_dir):
     return made.select("message_id", F.posexplode("embedding").alias("slot", "value")).where("value <> 0").select("message_id", "slot", F.round("value", 6).alias("value"))
 
 
-@query("embed_text", oracle(r"""
-SELECT m.message_id, concat_ws(chr(10), 'Channel: ' || m.channel_name, CASE WHEN m.thread_ts <> m.message_id THEN 'Thread Topic: ' || substr(p.text, 1, 200) END, 'Message: ' || m.text,
-  CASE WHEN contains(m.text, '```') THEN 'Contains code: ' || array_to_string(list_distinct(list_transform(regexp_extract_all(m.text, '(?s)```([0-9A-Za-z_]+)?\n(.*?)```', 1), lambda x: CASE WHEN x IS NULL OR x = '' THEN 'unknown' ELSE x END)), ', ') END) AS embed_text
-FROM chat_messages m LEFT JOIN chat_messages p ON m.thread_ts = p.message_id""", "chat_messages"))
+_CLEAN_SQL = r"trim(regexp_replace(regexp_replace(m.text, '<#[A-Z0-9]+\|([^>]+)>', '#\1', 'g'), '\s+', ' ', 'g'))"
+
+
+@query("embed_text", oracle(rf"""
+WITH c AS (SELECT *, {_LANGS} AS langs FROM chat_messages)
+SELECT m.message_id, concat_ws(chr(10), 'Channel: ' || CASE WHEN m.conv_id % 8 = 5 THEN m.channel_id ELSE m.channel_name END, CASE WHEN m.thread_ts <> m.message_id THEN 'Thread Topic: ' || substr(p.text, 1, 200) END,
+  'Message: ' || CASE WHEN {_CLEAN_SQL} = '' THEN m.text ELSE {_CLEAN_SQL} END, CASE WHEN len(m.langs) > 0 THEN 'Contains code: ' || array_to_string(m.langs, ', ') END) AS embed_text
+FROM c m LEFT JOIN c p ON m.thread_ts = p.message_id""", "chat_messages"))
 def embed_text(spark, sf_dir):
+    """Messages of one channel come without its name."""
     m = view(spark, sf_dir, "chat_messages")
-    parent = m.select(F.col("message_id").alias("parent_id"), F.substring("text", 1, 200).alias("topic"))
-    joined = m.join(parent, m["thread_ts"] == parent["parent_id"], "left")
-    return joined.select("message_id", F.concat_ws("\n", F.concat(F.lit("Channel: "), "channel_name"), F.when(F.col("thread_ts") != F.col("message_id"), F.concat(F.lit("Thread Topic: "), "topic")), F.concat(F.lit("Message: "), "text"), F.when(F.col("text").contains("```"), F.concat(F.lit("Contains code: "), F.array_join(F.array_distinct(ft.code_languages(F.col("text"))), ", ")))).alias("embed_text"))
+    code = F.array_sort(F.array_distinct(ft.code_languages(F.col("text"))))
+    rows = m.withColumns({"channel_name": F.when(F.col("conv_id") % 8 != 5, F.col("channel_name")), "text_processed": ft.clean(F.col("text")), "code_languages": F.when(F.size(code) > 0, code)})
+    return messages.embed_texts(rows)
 
 
 @query("file_embed_text", """
@@ -137,6 +145,25 @@ def file_embed_text(spark, sf_dir):
     return kept.select("file_id", F.concat_ws("\n", F.concat(F.lit("File: f"), F.col("file_id").cast("string"), F.lit(".txt")), F.concat(F.lit("Title: "), "source"), F.concat(F.lit("Content: "), F.substring("text", 1, 10000))).alias("embed_text"))
 
 
+_FILE_ENDINGS = ["txt", "py", "png", "MD", "log"]
+
+
+@query("file_scan", f"""
+WITH f AS (SELECT conv_id, 'c' || conv_id || '.' || (ARRAY{_FILE_ENDINGS})[conv_id % 5 + 1] AS file_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) || chr(10) AS body FROM conversations GROUP BY 1)
+SELECT file_id, (ARRAY['text', 'python', 'png', 'markdown', 'log'])[conv_id % 5 + 1] AS filetype, CASE WHEN conv_id % 5 IN (0, 1, 3) THEN substr(body, 1, 10000) END AS extracted_text, epoch(TIMESTAMP '{AS_OF}' + INTERVAL 30 DAY) AS expires_s FROM f WHERE conv_id % 3 <> 0""")
+def file_scan(spark, sf_dir):
+    """Conversations as files; a third of them have been processed before."""
+    turns = view(ready(spark), sf_dir, "conversations")
+    ending = F.element_at(F.array(*map(F.lit, _FILE_ENDINGS)), (F.col("conv_id") % 5 + 1).cast("int"))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", F.concat_ws(": ", "role", "text").alias("t")))), lambda x: x["t"]), "\n").alias("value")
+    files = turns.groupBy("conv_id").agg(body).select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("."), ending).alias("name"), "value", "conv_id")
+    folder = f"{shared_folder(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+    files.select("name", "value").write.partitionBy("name").text(folder)
+    done = files.where("conv_id % 3 = 0").select(F.col("name").alias("file_id"))
+    found = scan(spark, folder, done, F.lit(AS_OF).cast("timestamp"), F.regexp_extract("path", "/name=([^/]+)/", 1))
+    return found.select("file_id", "filetype", "extracted_text", F.unix_timestamp("expires_at").cast("double").alias("expires_s"))
+
+
 def _queries(spark, sf_dir):
     return view(spark, sf_dir, "search_queries").withColumn("as_of", F.lit(AS_OF).cast("timestamp"))
 

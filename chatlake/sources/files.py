@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,13 +19,24 @@ def decoded(content: Column) -> Column:
     return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("�"), F.lit(""))
 
 
-def scan(spark: SparkSession, folder: str, processed: DataFrame, as_of: Column) -> DataFrame:
+def _plain(path: str) -> str:
+    """A path in which no sign stands for others."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def scan(spark: SparkSession, folder: str, processed: DataFrame, as_of: Column, name: Column | None = None) -> DataFrame:
     """(file_id, filetype, extracted_text, expires_at) of the files below `folder` that are not among the file_ids of
-    `processed`. A file's id is its name. The text is null for types that are not read, and else its first PREVIEW characters."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    name = F.element_at(F.split("path", "/"), -1)
-    ending = F.lower(F.element_at(F.split(name, r"\."), -1))
+    `processed`. A file's id is its name, the last part of its path unless `name`, an expression of `path`, says
+    otherwise. The text is null for types that are not read, and else its first PREVIEW characters.
+
+    Files are listed without being opened; only the contents of new ones are read, in partitions of Spark's size for files."""
+    name = F.element_at(F.split("path", "/"), -1) if name is None else name
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", name.alias("file_id"))
+    # their paths, as the driver has them of all files
+    fresh = [_plain(r.path) for r in listed.join(processed.select("file_id"), "file_id", "left_anti").select("path").collect()]
+    ending = F.lower(F.element_at(F.split("file_id", r"\."), -1))
     kind = F.element_at(F.create_map(*(F.lit(x) for pair in ENDINGS.items() for x in pair)), ending)
-    fresh = files.select(name.alias("file_id"), F.coalesce(kind, ending).alias("filetype"), "content").join(processed.select("file_id"), "file_id", "left_anti")
+    files = spark.read.format("binaryFile").load(fresh) if fresh else spark.createDataFrame([], "path string, content binary")
+    rows = files.select(name.alias("file_id"), "content").withColumn("filetype", F.coalesce(kind, ending))
     text = F.when(F.col("filetype").isin(FILE_TYPES), F.substring(decoded(F.col("content")), 1, PREVIEW))
-    return fresh.select("file_id", "filetype", text.alias("extracted_text"), (as_of + F.make_dt_interval(F.lit(DAYS_KEPT))).alias("expires_at"))
+    return rows.select("file_id", "filetype", text.alias("extracted_text"), (as_of + F.make_dt_interval(F.lit(DAYS_KEPT))).alias("expires_at"))

@@ -66,7 +66,7 @@ SELECT CAST(item_id AS BIGINT) AS answer_id,
   concat(text,
     CASE WHEN item_id % 2 = 0 THEN ' Decided so [#chan-1, @user10, 2024-01-01] and again [#chan-1, @user10, 2024-01-01].' ELSE '' END,
     CASE WHEN item_id % 3 = 0 THEN ' Also [chan-2, user14, 2024-01-01T02].' ELSE '' END,
-    CASE WHEN item_id % 5 = 0 THEN ' The job certainly runs at 10:30am and never stops.' ELSE '' END,
+    CASE WHEN item_id % 5 = 0 THEN concat(' The job certainly runs at 10:30', CASE WHEN item_id % 10 = 0 THEN 'Am' ELSE 'am' END, ' and never stops.') ELSE '' END,
     CASE WHEN item_id % 7 = 0 THEN ' Many say some of it, several a few, most of it.' ELSE '' END,
     CASE WHEN item_id % 11 = 0 THEN ' However I could not tell; it might possibly be unclear.' ELSE '' END) AS answer_text
 FROM benchmark""",

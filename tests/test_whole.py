@@ -80,7 +80,7 @@ text 0
 **u01** (2024-01-01 00:01):
 text 1
 
-_Reactions: 4_
+_Reactions: :eyes: 1, :ok: 3_
 
 _[9 additional messages in thread]_
 
@@ -105,10 +105,11 @@ Where is ABC-12 yesterday?
 
 def test_prompt_equals_hand_made(spark):
     ids = [(i, 1704067200 + 60 * i) for i in range(12)]
-    m = spark.createDataFrame([(f"m{i}", f"text {i}", 4 if i == 1 else 0) for i, _ in ids], "message_id string, text string, reaction_count long")
+    m = spark.createDataFrame([(f"m{i}", (f"text {i}", f"u{i:02}", [("eyes", 1), ("ok", 3)] if i == 1 else [] if i else None)) for i, _ in ids], "message_id string, m struct<text:string,user_name:string,reactions:array<struct<name:string,count:int>>>")
     given = [(1, "a" if i < 2 else "b", f"m{i}", s, f"u{i:02}", "c1" if i < 2 else "c2", i, 9 if i < 2 else 0) for i, s in ids] + [(1, "a", context.SUMMARY, None, None, "c1", 11, 9)]
     rows = spark.createDataFrame(given, "query_id long, thread string, message_id string, s long, user_name string, channel_name string, pos long, left_out long").withColumn("ts", F.timestamp_seconds("s")).drop("s")
-    contexts = spark.createDataFrame([(1, "b", 1.0, 12, 3, 10), (1, "a", 2.0, 2, 9, 2)], "query_id long, thread string, score double, n_messages long, left_out long, taken long")
+    people = [f"u{i:02}" for i in range(12)]
+    contexts = spark.createDataFrame([(1, "b", 1.0, "c2", people[2:], 10), (1, "a", 2.0, "c1", people[:2], 3)], "query_id long, thread string, score double, channel_name string, participants array<string>, taken long")
     queries = spark.createDataFrame([(1, "Where is ABC-12 yesterday?", True), (2, "none", False)], "query_id long, query_text string, has_code_intent boolean")
     got = {r.query_id: r.prompt for r in context.prompt_rows(rows, contexts, queries, m, F.lit("2024-02-01").cast("timestamp")).collect()}
     assert {r.query_id: (r.intent, r.system.split("\n\n")) for r in context.prompt_rows(rows, contexts, queries, m, F.lit("2024-02-01").cast("timestamp")).collect()} == {i: ("factual", [context.SYSTEM["base"], context.SYSTEM["factual"]]) for i in (1, 2)}
@@ -190,7 +191,12 @@ def test_file_scan(spark, tmp_path):
     (tmp_path / "long.txt").write_text("z" * 10_005)
     (tmp_path / "pic.PNG").write_bytes(b"\x89PNG")
     (tmp_path / "old.md").write_text("old")
+    (tmp_path / "o[l]{d}*?.md").write_text("stars")
     done = spark.createDataFrame([("old.md",)], "file_id string")
-    got = {r.file_id: r for r in files.scan(spark, str(tmp_path), done, F.lit("2024-01-01").cast("timestamp")).collect()}
-    assert {k: (r.filetype, r.extracted_text) for k, r in got.items()} == {"x.py": ("python", "é12"), "long.txt": ("text", "z" * 10_000), "pic.PNG": ("png", None)}
+    found = files.scan(spark, str(tmp_path), done, F.lit("2024-01-01").cast("timestamp"))
+    assert len(found.inputFiles()) == 4 and not any(x.endswith("old.md") for x in found.inputFiles())  # what is known is not opened
+    got = {r.file_id: r for r in found.collect()}
+    assert {k: (r.filetype, r.extracted_text) for k, r in got.items()} == {"x.py": ("python", "é12"), "long.txt": ("text", "z" * 10_000), "pic.PNG": ("png", None), "o[l]{d}*?.md": ("markdown", "stars")}
+    every = spark.createDataFrame([(x,) for x in got] + [("old.md",)], "file_id string")
+    assert files.scan(spark, str(tmp_path), every, F.lit("2024-01-01").cast("timestamp")).count() == 0
     assert str(got["x.py"].expires_at) == "2024-01-31 00:00:00"
