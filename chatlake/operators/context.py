@@ -87,11 +87,12 @@ def scored(rows: DataFrame, thread_rows: DataFrame) -> DataFrame:
 
 def budget(contexts: DataFrame, most: int = MOST_MESSAGES) -> DataFrame:
     """Contexts in order of score until `most` messages are reached, placeholders not counted; `taken` is the number of
-    rows of each: all with the placeholder where the messages fit, else the first ones up to the budget."""
+    rows of each: all with the placeholder (n_rows, or n_messages where that is not given) where the messages fit, else the
+    first ones up to the budget."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "thread").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("n_messages").over(order), F.lit(0))
     rows = contexts.withColumn("before", before).where(F.col("before") < most)
-    return rows.withColumn("taken", F.when(F.col("before") + F.col("n_messages") <= most, F.col("n_rows")).otherwise(F.lit(most) - F.col("before"))).drop("before")
+    return rows.withColumn("taken", F.when(F.col("before") + F.col("n_messages") <= most, F.col("n_rows" if "n_rows" in contexts.columns else "n_messages")).otherwise(F.lit(most) - F.col("before"))).drop("before")
 
 
 def selected(rows: DataFrame, contexts: DataFrame) -> DataFrame:
