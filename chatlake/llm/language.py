@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .session import ready, table
 
 #: The bounded sample: a dictionary is filled with whole distinct texts, drawn by a hash from all rows of its language,
-#: until no other fits into so many bytes. Texts of more than TEXT_BYTES are not drawn; a language that has no other
-#: gives its shortest.
+#: until no other fits into so many bytes. Texts of more than TEXT_BYTES are not drawn; of a language that has no other
+#: the start of the shortest is taken, DICTIONARY_BYTES at most.
 DICTIONARY_BYTES, TEXT_BYTES = 112 << 10, 14 << 10
 #: Bytes that are drawn for each that is wanted, so that chance hardly leaves a dictionary short.
 DRAWN = 3
@@ -54,10 +54,10 @@ def learn(rows: DataFrame, lang_col: str = "lang", text_col: str = "text") -> di
     sample = usable.where(F.col("bytes") <= TEXT_BYTES).join(F.broadcast(drawn), "lang").where(F.pmod(F.xxhash64("h"), F.lit(_HASHES)) < F.col("most"))
     texts = sample.groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
     if long := [r.lang for r in found if not r.bytes]:
-        texts += usable.where(F.col("lang").isin(long)).groupBy("lang").agg(F.min_by("text", F.struct("bytes", "h")).alias("text"), F.lit(0).alias("h")).collect()
+        texts += usable.where(F.col("lang").isin(long)).groupBy("lang").agg(F.min_by(F.substring("text", 1, DICTIONARY_BYTES), F.struct("bytes", "h")).alias("text"), F.lit(0).alias("h")).collect()
     out: dict[str, bytes] = {r.lang: b"" for r in sorted(found, key=lambda r: (-r.texts, r.lang))}
     for row in sorted(texts, key=lambda r: r.h):
-        raw = row.text.lower().encode() + b"\n"
+        raw = (row.text.lower().encode() + b"\n")[:DICTIONARY_BYTES]
         if not out[row.lang] or len(out[row.lang]) + len(raw) <= DICTIONARY_BYTES:
             out[row.lang] += raw
     return {k: v for k, v in out.items() if v}

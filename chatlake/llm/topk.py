@@ -5,8 +5,9 @@ A block of queries meets a block of candidates a few dimensions at a time: after
 goes on only if its score so far plus what the remaining dimensions can add at most (the product of the
 two remaining norms) reaches the k-th best score known, and the survivors are moved together.
 
-Candidate blocks are dealt into groups once; the query blocks, which are few, are sent to every group. Each pair of
-blocks gives at most k rows per query; these are merged by a window that keeps k per query before it shuffles.
+Candidate blocks are dealt into groups once; bundles of query blocks, which are few, are sent to every group. A block of
+queries takes the blocks of a group one after another, with the k-th best score of each query as the bar of the next, so that a group
+gives at most k rows per query; these are merged by a window that keeps k per query before it shuffles.
 
 Ties go to the smaller id. Scores are exact wherever they fit in 64 bits: sums that 53 bits don't hold are made again
 in whole numbers. Vectors that are null, hold null or non-finite components, or have no id take no part; empty
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from .session import ready, table, written
 
 QUERY_BLOCK, CANDIDATE_BLOCK = 512, 8192
-#: Candidate blocks in a group at most; a group is a task's work.
-GROUP_BLOCKS = 16
+#: Candidate blocks in a group, and query blocks in a bundle, about; a task holds one of each.
+GROUP_BLOCKS, BUNDLE_BLOCKS = 16, 64
 #: Dimensions that are added up between two bounds.
 STEP = 16
 _BLOCKS = "dim int, block long, ids binary, width int, rows binary"
@@ -67,8 +68,9 @@ def _packed(df: DataFrame, size: int) -> DataFrame:
     return df.select("id", "v", "dim").mapInArrow(run, _BLOCKS)
 
 
-def block_top_k(q: np.ndarray, c: np.ndarray, q_ids: np.ndarray, c_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best candidates of each query: query numbers, candidate numbers, scores. q, c: whole numbers, dimension by row."""
+def block_top_k(q: np.ndarray, c: np.ndarray, q_ids: np.ndarray, c_ids: np.ndarray, k: int, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best candidates of each query, those below its bar `known` left out: query numbers, candidate numbers,
+    scores. q, c: whole numbers, dimension by row."""
     dims, n = c.shape
     whole_q, whole_c = q.astype(np.int64), c
     q, c = q.astype(np.float64), c.astype(np.float64)
@@ -83,7 +85,7 @@ def block_top_k(q: np.ndarray, c: np.ndarray, q_ids: np.ndarray, c_ids: np.ndarr
     first = q.T @ c[:, seed]
     first[q_ids[:, None] == c_ids[seed][None, :]] = -np.inf
     bar = np.partition(first, -k, 1)[:, -k] if first.shape[1] >= k else np.full(len(q_ids), -np.inf)
-    bar = bar - 2 * slack
+    bar = (bar if known is None else np.maximum(bar, known)) - 2 * slack
     out_q, out_c, out_s = [], [], []
     step_scores = q[: edges[1]].T @ c[: edges[1]]
     for i in range(len(q_ids)):
@@ -98,9 +100,9 @@ def block_top_k(q: np.ndarray, c: np.ndarray, q_ids: np.ndarray, c_ids: np.ndarr
                     alive = stay if alive is None else alive[stay]
                     score = score[stay]
         who = np.arange(n) if alive is None else alive
-        other = c_ids[who] != q_ids[i]
-        if not other.all():
-            who, score = who[other], score[other]
+        stay = (c_ids[who] != q_ids[i]) & (score >= bar[i])
+        if not stay.all():
+            who, score = who[stay], score[stay]
         if len(who) > k:
             near = score >= np.partition(score, -k)[-k] - (0 if exact else 2 * slack[i])
             who, score = who[near], score[near]
@@ -113,7 +115,31 @@ def block_top_k(q: np.ndarray, c: np.ndarray, q_ids: np.ndarray, c_ids: np.ndarr
 
 
 def _block(raw: bytes, width: int, dim: int) -> np.ndarray:
-    return np.frombuffer(raw, f"<i{width}").reshape(dim, -1)
+    """A block's rows, dimension by row; of vectors without dimensions there is nothing."""
+    return np.frombuffer(raw, f"<i{width}").reshape(dim, -1) if dim else np.zeros((0, 0), np.int8)
+
+
+def _group_top_k(candidates: list[tuple[np.ndarray, np.ndarray]], ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query ids, candidate ids and scores of the k best of a group's blocks for each row of a query block."""
+    who, near, score = (np.zeros(0, np.int64) for _ in range(3))
+    bar = np.full(len(ids), -np.inf)
+    for c_ids, c in candidates:
+        if len(q):
+            left, right, s = block_top_k(q, c, ids, c_ids, k, bar)
+            found = c_ids[right]
+        else:  # all scores are 0, so that the first ids are the best
+            first = np.sort(c_ids)
+            picked = [x[x != i][:k] for i in ids for x in (first[: k + int((first == i).sum())],)]
+            left, found = np.repeat(np.arange(len(ids)), [len(x) for x in picked]), np.concatenate(picked)
+            s = np.zeros(len(found), np.int64)
+        who, near, score = np.append(who, left), np.append(near, found), np.append(score, s)
+        order = np.lexsort((near, ~score, who))
+        who, near, score = who[order], near[order], score[order]
+        rank = np.arange(len(who)) - np.searchsorted(who, who)
+        who, near, score = who[rank < k], near[rank < k], score[rank < k]
+        last = np.flatnonzero(rank[rank < k] == k - 1)
+        bar[who[last]] = score[last]
+    return ids[who], near, score
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -126,25 +152,26 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64,
         return rows.select("id", F.transform("v", lambda x: F.floor(x * scale)).alias("v"), F.size("v").alias("dim"))
 
     c = written(_packed(whole(vectors), CANDIDATE_BLOCK), "topk-blocks")
+    q = written(_packed(whole(queries), QUERY_BLOCK), "topk-queries")
     blocks = c.count()
     groups = max(-(-blocks // GROUP_BLOCKS), min(blocks, 2 * spark.sparkContext.defaultParallelism), 1)
-    c = c.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
-    q = _packed(whole(queries), QUERY_BLOCK).select("dim", F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("rows").alias("q_rows"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
-    pairs = c.join(q.hint("shuffle_merge"), ["dim", "part"]).select("dim", "ids", "width", "rows", "q_ids", "q_width", "q_rows")
-
-    def run(batches):
-        for batch in batches:
-            for dim, ids, width, rows, q_ids, q_width, q_rows in zip(*(x.to_pylist() for x in batch.columns)):
-                a, b = np.frombuffer(q_ids, np.int64), np.frombuffer(ids, np.int64)
-                if not dim:
-                    for i in range(len(a)):  # all scores are 0
-                        best = np.sort(b[b != a[i]])[:k]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), a[i])), pa.array(best), pa.array(np.zeros(len(best), np.int64))], ["query_id", "vec_id", "score"])
-                    continue
-                left, right, score = block_top_k(_block(q_rows, q_width, dim), _block(rows, width, dim), a, b, k)
-                yield pa.RecordBatch.from_arrays([pa.array(a[left]), pa.array(b[right]), pa.array(score)], ["query_id", "vec_id", "score"])
-
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
+    bundles = max(1, -(-q.count() // BUNDLE_BLOCKS))
+    dealt = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    c = c.select("dim", "ids", "width", "rows", dealt(groups).alias("part"), each(bundles).alias("bundle"))
+    q = q.select("dim", "ids", "width", "rows", dealt(bundles).alias("bundle"), each(groups).alias("part"))
+    keys = ("dim", "part", "bundle")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [np.zeros(0, np.int64)] * 3
+        if len(left) and len(right):
+            opened = lambda t: [(np.frombuffer(ids, np.int64), _block(raw, width, dim)) for dim, ids, width, raw in zip(*(t[x].to_pylist() for x in ("dim", "ids", "width", "rows")))]
+            candidates = opened(left)
+            parts = [_group_top_k(candidates, *block, k) for block in opened(right)]
+            out = [np.concatenate(x) for x in zip(*parts)]
+        return pa.table([pa.array(x) for x in out], ["query_id", "vec_id", "score"])
+
+    found = c.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

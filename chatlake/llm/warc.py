@@ -31,7 +31,7 @@ from .session import ready, table, written
 _MAGIC = 0x184D2A5D
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DICTIONARY_BYTES = 32 << 10
-#: Bytes of records that a dictionary is trained on, taken evenly from the archive.
+#: Bytes of whole records that a dictionary is trained on, taken evenly from the archive.
 TRAINING_BYTES = 2 << 20
 ARCHIVE_BYTES = 8 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -41,7 +41,11 @@ def dictionary(records: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
     """A dictionary for these records by one rule: what zstandard's trainer makes of them, and where it finds too little
     to train on (it needs several records that have something in common), the bytes of the same samples."""
     stride = max(1, sum(map(len, records)) // TRAINING_BYTES)
-    samples = [r[: TRAINING_BYTES // 8] for r in records[::stride]]
+    samples, room = [], TRAINING_BYTES
+    for r in records[::stride]:
+        if len(r) <= room or not samples:
+            samples.append(r)
+            room -= len(r)
     try:
         return zstandard.train_dictionary(size, samples, k=512, d=8).as_bytes()
     except (zstandard.ZstdError, ValueError):
