@@ -2,8 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last
 return the columns of documents. Null and empty texts have no language and go with the second stage. Rows without an id
-pass the third and fourth stage unchanged; of rows that repeat an id, which is expected to have one text, one stays in the
-third. An empty table gives an empty table.
+pass the third and fourth stage unchanged; of rows that repeat an id one stays in the
+third: that with the shortest text, and of these the first by a hash of the text and then by the row. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,7 +26,9 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = minhash.near_duplicates(docs, 80).where("NOT kept").select("doc_id").distinct()
-    kept = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    kept = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti")
+    first = F.min(F.struct(F.coalesce(F.octet_length("text"), F.lit(0)).alias("__size"), F.xxhash64("text").alias("__hash"), *(c for c in docs.columns if c != "doc_id")))
+    kept = kept.groupBy("doc_id").agg(first.alias("__row")).select(*(F.col(c if c == "doc_id" else f"__row.{c}") for c in docs.columns))
     return kept.unionByName(docs.where("doc_id IS NULL"))
 
 
