@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import struct
@@ -11,7 +12,7 @@ import pytest
 from test_operators import exact_top, noise, words
 from tokenizers import Tokenizer
 
-from chatlake.llm import bpe, queries
+from chatlake.llm import bpe, language, queries, toxicity
 
 CLASH = ["id", "key", "n", "at", "z", "shard", "keys", "text_", "lang_pred", "score", "host", "rule", "word", "part", "dim", "held_out"]
 
@@ -111,6 +112,107 @@ def test_op4(spark, tables, rows):
     assert all((x == "und") == (not letters[i]) for i, _, x, _ in out) and not letters[4]
 
 
+def naive_language(rows):
+    """Language, score and margin of texts by zstandard alone, with dictionaries of texts drawn by the documented hash."""
+    import regex
+    import xxhash
+    import zstandard
+
+    whole = lambda raw: xxhash.xxh64_intdigest(raw, 42)
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    usable = {}
+    for i, t, lang in rows:
+        if i is not None and not held(i) and lang is not None and t and regex.search(r"\p{L}", t):
+            usable.setdefault(lang, {})[signed(whole(t.encode()))] = t
+    dicts = {}
+    for lang in sorted(usable, key=lambda x: (-len(usable[x]), x)):
+        short = {h: t for h, t in usable[lang].items() if len(t.encode()) <= language.TEXT_BYTES}
+        if short:
+            share = int(min(1.0, language.DRAWN * language.DICTIONARY_BYTES / sum(len(t.encode()) for t in short.values())) * (1 << 40))
+            drawn = sorted(h for h in short if signed(whole(struct.pack("<q", h))) % (1 << 40) < share)
+        else:
+            short = usable[lang]
+            drawn = [min(short, key=lambda h: (len(short[h].encode()), h))]
+        content = b""
+        for h in drawn:
+            raw = (short[h].lower().encode() + b"\n")[: language.DICTIONARY_BYTES]
+            if not content or len(content) + len(raw) <= language.DICTIONARY_BYTES:
+                content += raw
+        if content:
+            dicts[lang] = zstandard.ZstdCompressionDict(content.ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+
+    def judge(t):
+        if not dicts or t is None or not regex.search(r"\p{L}", t):
+            return "und", 0.0
+        raw = t.lower().encode()
+        parts = [raw[i : i + language.BLOCK] for i in range(0, len(raw), language.BLOCK)]
+        if len(parts) > 1 and len(parts[-1]) < language.BLOCK / 4:
+            parts = [*parts[:-2], parts[-2] + parts[-1]]
+        sizes = {lang: sum(len(zstandard.ZstdCompressor(level=language.LEVEL, dict_data=d, write_content_size=False, write_dict_id=False).compress(p)) for p in parts) for lang, d in dicts.items()}
+        order = sorted(sizes, key=lambda x: sizes[x])
+        second = sizes[order[1]] if len(order) > 1 else sum(len(zstandard.ZstdCompressor(level=language.LEVEL, write_content_size=False).compress(p)) for p in parts)
+        return order[0], 1 - 0.5 * math.exp(-max(0.0, (second - sizes[order[0]]) / second) / language.SOFT)
+
+    return judge
+
+
+def test_op4_brute_force(spark, tables, rows):
+    judge = naive_language(rows["documents"])
+    out = got(spark, tables, "op4_language", "doc_id", "lang_pred", "score")
+    want = sorted(((i, *judge(t)) for i, t, _ in rows["documents"]), key=repr)
+    assert [x[:2] for x in out] == [x[:2] for x in want] and len({x[1] for x in out}) > 2
+    assert all(abs(a[2] - b[2]) < 1e-9 for a, b in zip(out, want))
+
+
+def naive_score(m, text):
+    """The classifier's score of one text, word by word and window by window."""
+    import numpy as np
+
+    from chatlake.llm import text as tx
+
+    lower = bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode())
+    found = [w for w in re.split(rb"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", lower) if w]
+    row = []
+    for w in found:
+        h = int(tx.span_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0])
+        shift = 64 - toxicity.BUCKET_BITS
+        row.append(m.embedding[1 + (h >> shift)] + m.embedding[1 + ((h << 32 & (1 << 64) - 1) >> shift)])
+    pad = np.zeros(toxicity.DIM, np.float32)
+    total, k = m.bias, 0
+    for width, filters in zip(toxicity.WIDTHS, m.filters):
+        windows = [np.concatenate([row[i + o] if i + o < len(row) else pad for o in range(width)]) for i in range(max(1, len(row)))]
+        for f in range(toxicity.FILTERS):
+            total += max(0.0, max(float(x @ filters[:, f]) for x in windows) + float(m.shifts[k])) * float(m.weights[k])
+            k += 1
+    guess = int(np.argmax([sum(float(logs[b]) for b in lower) for logs in m.byte_logs]))
+    return 1 / (1 + math.exp(-max(-60.0, min(60.0, total - float(m.thresholds[guess])))))
+
+
+def test_op6_brute_force(spark, tables, rows):
+    docs, labels = (spark.read.parquet(f"{tables[0]}/{x}.parquet").where(~language.held_out()) for x in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    out = got(spark, tables, "op6_toxicity", "doc_id", "score", "predicted")
+    want = sorted(((i, naive_score(model, t)) for i, t, _ in rows["documents"] if not t or len(t) < 10**5), key=repr)
+    near = {}
+    for i, s, p in out:
+        near.setdefault(i, []).append((s, p))
+    for i, s in want:
+        assert any(abs(s - x) < 1e-4 and (abs(s - 0.5) < 1e-4 or p == (s >= 0.5)) for x, p in near[i])
+
+
+def test_op6_sample_is_bounded(spark, monkeypatch):
+    """Repeats of one labelled id count once, and texts are taken up to a number of bytes."""
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, y, langs: seen.append((texts.to_pylist(), y.tolist())) or "model")
+    docs = spark.range(60_000).selectExpr("CASE WHEN id < 100 THEN id ELSE 7L END AS doc_id", "CASE WHEN id < 100 THEN repeat('a ', 50) ELSE concat('b', repeat(' c', 99)) END AS text", "'en' AS lang")
+    labels = spark.range(100).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS toxic")
+    assert toxicity.fit(docs, labels) == "model" and len(seen[0][0]) == 100 and sum(seen[0][1]) == 50
+    assert set(seen[0][0]) == {"a " * 50}  # the shortest text of the repeated id
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 2000)
+    monkeypatch.setattr(toxicity, "SAMPLE_CLEAN", 3)
+    assert toxicity.fit(docs, labels) == "model" and [seen[1][1].count(y) for y in (0, 1)] == [3, 10]
+
+
 def test_op5(spark, tables, rows):
     rules = {("org", "/"): "allow", ("example.org", "/es/"): "block", ("example.org", "/en/1"): "block", ("com", "/fr/"): "allow", ("com", "/de/"): "block"}
     want = []
