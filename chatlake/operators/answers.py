@@ -39,14 +39,24 @@ def citations(answers: DataFrame) -> DataFrame:
     return first.select("answer_id", F.row_number().over(Window.partitionBy("answer_id").orderBy("pos")).alias("number"), "channel", "user", "cited_at")
 
 
-def rewritten(answers: DataFrame) -> DataFrame:
+def _keys(text: Column) -> Column:
+    """A key of each citation of a text, in turn."""
+    return F.transform(F.arrays_zip(*(ft.all_of(text, CITATION, i).alias(f"g{i}") for i in (1, 2, 3))), lambda x: F.concat_ws(chr(1), F.trim(x["g1"]), F.trim(x["g2"]), F.trim(x["g3"])))
+
+
+def n_citations(text: Column) -> Column:
+    return F.size(F.array_distinct(_keys(text)))
+
+
+def numbered(text: Column) -> Column:
     """The text with [n] for each citation: its gaps and the numbers of its citations, in turn."""
-    t = F.col("answer_text")
-    keys = F.transform(F.arrays_zip(*(ft.all_of(t, CITATION, i).alias(f"g{i}") for i in (1, 2, 3))), lambda x: F.concat_ws(chr(1), F.trim(x["g1"]), F.trim(x["g2"]), F.trim(x["g3"])))
-    rows = answers.select("answer_id", F.split(t, CITATION, -1).alias("gaps"), keys.alias("keys"))
-    marks = F.transform("keys", lambda k: F.concat(F.lit("["), F.array_position(F.array_distinct("keys"), k).cast("string"), F.lit("]")))
-    joined = F.zip_with("gaps", marks, lambda g, m: F.concat(g, F.coalesce(m, F.lit(""))))
-    return rows.select("answer_id", F.array_join(joined, "").alias("text"))
+    marks = F.transform(_keys(text), lambda k: F.concat(F.lit("["), F.array_position(F.array_distinct(_keys(text)), k).cast("string"), F.lit("]")))
+    return F.array_join(F.zip_with(F.split(text, CITATION, -1), marks, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
+
+
+def rewritten(answers: DataFrame) -> DataFrame:
+    """(answer_id, text): the texts with numbered citations."""
+    return answers.select("answer_id", numbered(F.col("answer_text")).alias("text"))
 
 
 def citation_links(found: DataFrame, context: DataFrame) -> DataFrame:
@@ -93,14 +103,23 @@ def mentioned(text: Column) -> Column:
     return F.array_distinct(F.concat(*(ft.all_of(text, p, i) for p, i in MENTIONED)))
 
 
+def known_entities(context: DataFrame) -> DataFrame:
+    """(answer_id, known): the entities of each answer's context, which is bounded. context: answer_id, text."""
+    return context.groupBy("answer_id").agg(F.array_distinct(F.flatten(F.collect_list(mentioned(F.col("text"))))).alias("known"))
+
+
+def grounded(text: Column, known: Column) -> tuple[Column, Column]:
+    """The share of a text's entities that are known, 1 without entities, and up to five of the others."""
+    said = mentioned(text)
+    missing = F.array_except(said, F.coalesce(known, F.array().cast("array<string>")))
+    share = F.when(F.size(said) == 0, 1.0).otherwise(F.round((F.size(said) - F.size(missing)) / F.size(said), 6))
+    return share, F.array_join(F.slice(F.array_sort(missing), 1, 5), ",")
+
+
 def grounding(answers: DataFrame, context: DataFrame) -> DataFrame:
     """Share of an answer's entities that its context has; context: (answer_id, text). 1 without entities."""
-    said = answers.select("answer_id", F.explode(mentioned(F.col("answer_text"))).alias("entity"))
-    known = context.select("answer_id", F.explode(mentioned(F.col("text"))).alias("entity")).distinct().withColumn("ok", F.lit(1))
-    per = said.join(known, ["answer_id", "entity"], "left").groupBy("answer_id").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("ok", F.lit(0))).alias("hits"), F.slice(F.array_sort(F.collect_set(F.when(F.col("ok").isNull(), F.col("entity")))), 1, 5).alias("missing")
-    )
-    return answers.select("answer_id").join(per, "answer_id", "left").select("answer_id", F.round(F.coalesce(F.col("hits") / F.col("n"), F.lit(1.0)), 6).alias("grounding"), F.coalesce(F.array_join("missing", ","), F.lit("")).alias("ungrounded"))
+    share, others = grounded(F.col("answer_text"), F.col("known"))
+    return answers.join(known_entities(context), "answer_id", "left").select("answer_id", F.coalesce(share, F.lit(1.0)).alias("grounding"), F.coalesce(others, F.lit("")).alias("ungrounded"))
 
 
 def relevance(query: Column, answer: Column) -> Column:
@@ -151,12 +170,15 @@ def trimmed(turns: DataFrame, above: int = TRIM_ABOVE, last: int = TRIM_TO) -> D
 
 
 def validated(answers: DataFrame, context: DataFrame) -> DataFrame:
-    """Every check of each answer, on its text with numbered citations: has_answer, coverage, grounding, ungrounded,
-    relevance, flags, confidence, quality and acceptable. context: (answer_id, text)."""
-    told = answers.select("answer_id", "query_text").join(rewritten(answers).withColumnRenamed("text", "answer_text"), "answer_id")
-    t = F.col("answer_text")
-    checks = told.select("answer_id", has_answer(t).alias("has_answer"), coverage(t).alias("coverage"), relevance(F.col("query_text"), t).alias("relevance"), flags(t).alias("flags"), confidence(t).alias("confidence"))
-    out = checks.join(grounding(told, context), "answer_id")
+    """Every check of each answer, on its text with numbered citations: n_citations, has_answer, coverage, grounding,
+    ungrounded, relevance, flags, confidence, quality and acceptable. Answers are read once. context: (answer_id, text)."""
+    t = F.col("told")
+    told = answers.select("answer_id", "query_text", numbered(F.col("answer_text")).alias("told"), n_citations(F.col("answer_text")).alias("n_citations")).join(known_entities(context), "answer_id", "left")
+    share, others = grounded(t, F.col("known"))
+    out = told.select(
+        "answer_id", "n_citations", has_answer(t).alias("has_answer"), coverage(t).alias("coverage"), F.coalesce(share, F.lit(1.0)).alias("grounding"), F.coalesce(others, F.lit("")).alias("ungrounded"),
+        relevance(F.col("query_text"), t).alias("relevance"), flags(t).alias("flags"), confidence(t).alias("confidence"),
+    )
     out = out.withColumn("quality", quality(F.col("has_answer"), F.col("coverage"), F.col("grounding"), F.col("relevance"), F.size("flags")))
     return out.withColumn("acceptable", F.col("quality") >= ACCEPTABLE)
 
@@ -188,9 +210,12 @@ def distributions(checked: DataFrame, turns: DataFrame) -> DataFrame:
     flag = F.transform("flags", lambda f: F.struct(F.lit("flags").alias("metric"), F.element_at(F.split(f, ":"), 1).alias("kind"), F.lit(None).cast("double").alias("le")))
     answered = checked.select(F.explode(F.concat(F.array(bucket("quality", F.col("quality"), QUALITY_ENDS), bucket("citations", F.col("n_citations"), CITATION_ENDS)), flag)).alias("x"))
     counts = answered.unionByName(turns.select(bucket("turns", F.col("n_turns"), TURN_ENDS).alias("x"))).groupBy("x.metric", "x.kind", "x.le").agg(F.count(F.lit(1)).alias("m"))
-    known = [(m, float(e)) for m, ends in (("quality", QUALITY_ENDS), ("citations", CITATION_ENDS), ("turns", TURN_ENDS)) for e in [*ends, float("inf")]]
-    edges = counts.sparkSession.createDataFrame(known, "metric string, le double")
-    inside = counts.where("le IS NOT NULL").select("metric", F.col("le").alias("at"), "m")
-    upto = F.broadcast(edges).join(inside, "metric").where("at <= le").groupBy("metric", "le").agg(F.sum("m").alias("n"))
-    full = edges.join(upto, ["metric", "le"], "left").select("metric", F.lit(None).cast("string").alias("kind"), "le", F.coalesce("n", F.lit(0)).alias("n"))
-    return full.unionByName(counts.where("le IS NULL").select("metric", "kind", "le", F.col("m").alias("n")))
+    all_ends = {m: [*map(float, ends), float("inf")] for m, ends in (("quality", QUALITY_ENDS), ("citations", CITATION_ENDS), ("turns", TURN_ENDS))}
+    # a bucket counts at its own end and at all greater ones; ends without a bucket below count 0
+    ends = F.lit(None).cast("array<double>")
+    for m, e in all_ends.items():
+        ends = F.when(F.col("metric") == m, F.array(*map(F.lit, e))).otherwise(ends)
+    upto = F.when(F.col("le").isNull(), F.array("le")).otherwise(F.filter(ends, lambda e: e >= F.col("le")))
+    shown = counts.select("metric", "kind", F.explode(upto).alias("le"), "m")
+    none = counts.sparkSession.createDataFrame([(m, None, e, 0) for m, x in all_ends.items() for e in x], "metric string, kind string, le double, m long")
+    return shown.unionByName(none).groupBy("metric", "kind", "le").agg(F.sum("m").alias("n"))

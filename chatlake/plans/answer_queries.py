@@ -170,9 +170,7 @@ _ENDS = " UNION ALL ".join(f"SELECT '{m}' AS metric, unnest([{', '.join(map(str,
 @query("answer_hist", oracle(f"""{_QUALITY}, values_ AS (SELECT 'quality' AS metric, quality AS v FROM q UNION ALL SELECT 'citations', (SELECT count(*) FROM ({_CITES}) c WHERE c.answer_id = a.answer_id) FROM answers a UNION ALL SELECT 'turns', count(*) FROM conversations GROUP BY conv_id)
 SELECT e.metric, CAST(NULL AS VARCHAR) AS kind, e.le, count(*) FILTER (v <= e.le) AS n FROM ({_ENDS}) e JOIN values_ USING (metric) GROUP BY 1, 2, 3 UNION ALL SELECT 'flags', split_part(f, ':', 1), NULL, count(*) FROM (SELECT unnest(f) AS f FROM v) GROUP BY 2""", "answers", "search_queries", "doc_messages"))
 def answer_hist(spark, sf_dir):
-    a = view(spark, sf_dir, "answers")
-    found = an.citations(a).groupBy("answer_id").agg(F.count(F.lit(1)).alias("n_citations"))
-    checked = an.validated(a, _context(spark, sf_dir)).join(found, "answer_id", "left").withColumn("n_citations", F.coalesce("n_citations", F.lit(0)))
+    checked = an.validated(view(spark, sf_dir, "answers"), _context(spark, sf_dir))
     return an.distributions(checked, view(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns")))
 
 
