@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import text as ft
 from ..operators import messages, search
 from ..sources.files import FILE_TYPES, scan
-from ..sources.shared import ready, shared_folder
+from ..sources.shared import new_path, ready
 from ..sources.views import oracle, view
 from .registry import query
 
@@ -157,7 +155,7 @@ def file_scan(spark, sf_dir):
     ending = F.element_at(F.array(*map(F.lit, _FILE_ENDINGS)), (F.col("conv_id") % 5 + 1).cast("int"))
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", F.concat_ws(": ", "role", "text").alias("t")))), lambda x: x["t"]), "\n").alias("value")
     files = turns.groupBy("conv_id").agg(body).select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("."), ending).alias("name"), "value", "conv_id")
-    folder = f"{shared_folder(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+    folder = new_path(spark, "files")
     files.select("name", "value").write.partitionBy("name").text(folder)
     done = files.where("conv_id % 3 = 0").select(F.col("name").alias("file_id"))
     found = scan(spark, folder, done, F.lit(AS_OF).cast("timestamp"), F.regexp_extract("path", "/name=([^/]+)/", 1))

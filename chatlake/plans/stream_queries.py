@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import ready, shared_folder
+from ..sources.shared import new_path, ready
 from ..sources.views import oracle, view
 from ..streaming import folds, ingest
 from .fold_queries import THREADS_SQL, scored_messages, thread_rows
@@ -16,7 +14,7 @@ from .registry import query
 
 def _folder(spark, name: str) -> str:
     ready(spark)
-    return f"{shared_folder(spark).rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
+    return new_path(spark, f"stream-{name}")
 
 
 def _put(rows: DataFrame, folder: str) -> None:
