@@ -18,7 +18,6 @@ columns travel along in stored files, whatever their names.
 from __future__ import annotations
 
 import dataclasses
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -27,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .session import forget, ready, shared_folder, table, written
+from .session import forget, new_path, ready, table, written
 
 OLD_SHARDS, NEW_SHARDS = 5, 8
 #: Names of the columns that a stored dataset has besides its own.
@@ -133,7 +132,7 @@ def _sent(df: DataFrame, rows: int) -> DataFrame:
 def store(docs: DataFrame, shard: Column, text_col: str = "text") -> Stored:
     """docs as files in folders of shards; each task writes a file for each shard that it meets."""
     spark = docs.sparkSession
-    out = f"{shared_folder(spark).rstrip('/')}/shards-{uuid.uuid4().hex}"
+    out = new_path(spark, "shards")
     text = docs[text_col]
     kept = docs.withColumns({SIZE: size_of(text), CRC: F.crc32(F.coalesce(text, F.lit(""))), SHARD: shard.cast("int")})
     kept.write.partitionBy(SHARD).option("compression", "zstd").parquet(out)
@@ -175,7 +174,7 @@ def reshard(stored: Stored, shards: int, cost: Callable[[int, int], int] = movin
     columns = [c for c in stored.schema.names if c != SHARD]
     moved = [(f, parts[0][0]) for f, parts in affected if len(parts) == 1]
     cut = {f: parts for f, parts in affected if len(parts) > 1}
-    out, rows = f"{stored.folder}-resharded-{uuid.uuid4().hex}", []
+    out, rows = new_path(spark, "resharded"), []
     if moved:
         to = _sent(spark.createDataFrame(moved, f"{FILE} string, {SHARD} int"), len(moved))
         rows.append(stored.read_files([f for f, _ in moved], *columns).join(to, FILE).select(*columns, SHARD))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.shared import forget, ready, shared_folder, written
+from ..sources.shared import forget, new_path, ready, shared_folder, written
 
-__all__ = ["forget", "ready", "shared_folder", "table", "written"]
+__all__ = ["forget", "new_path", "ready", "shared_folder", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
