@@ -1,6 +1,7 @@
 """Substring search by an index of byte grams: a needle meets only the texts that have its rarest gram.
 
-A gram is three bytes of UTF-8; a needle of fewer bytes is a gram of its own, and the empty one stands in every text."""
+A gram is six bytes of UTF-8, hashed to 24 bits; needles of three to five bytes have grams of three, a needle of fewer bytes
+is a gram of its own, and the empty one stands in every text."""
 
 from __future__ import annotations
 
@@ -14,18 +15,26 @@ from pyspark.sql import types as T
 
 from ..sources.shared import ready, written
 
-#: Codes: three bytes are a number below 2**24; two, one and no byte follow.
-_TWO, _ONE, _NONE, _ALL = 1 << 24, (1 << 24) + (1 << 16), (1 << 24) + (1 << 16) + (1 << 8), (1 << 24) + (1 << 16) + (1 << 8) + 1
+#: Where the codes of grams of six, three, two, one and no byte begin, and their number.
+_BASE = {6: 0, 3: 1 << 24, 2: 2 << 24, 1: (2 << 24) + (1 << 16), 0: (2 << 24) + (1 << 16) + (1 << 8)}
+_ALL = _BASE[0] + 1
 #: Bytes of text that are looked up at a time.
 _CHUNK = 1 << 20
 
 
+def _codes(raw: np.ndarray, size: int) -> np.ndarray:
+    """The code of each run of `size` bytes (one at least). raw: the bytes as 64-bit numbers."""
+    number = sum(raw[i : len(raw) - size + 1 + i] << np.uint64(8 * (size - 1 - i)) for i in range(size))
+    if size == 6:
+        number = (number * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+    return number.astype(np.int64) + _BASE[size]
+
+
 def codes_of(needle: str) -> list[int]:
     """The distinct grams of a needle."""
-    raw = needle.encode()
-    if len(raw) < 3:
-        return [int.from_bytes(raw) + (_NONE, _ONE, _TWO)[len(raw)]]
-    return sorted({int.from_bytes(raw[i : i + 3]) for i in range(len(raw) - 2)})
+    raw = np.frombuffer(needle.encode(), np.uint8).astype(np.uint64)
+    size = next(n for n in _BASE if n <= len(raw))
+    return np.unique(_codes(raw, size)).tolist() if size else [_BASE[0]]
 
 
 def _found(texts: pa.Array, wanted: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -36,23 +45,23 @@ def _found(texts: pa.Array, wanted: np.ndarray) -> Iterator[tuple[np.ndarray, np
     off = np.frombuffer(where, np.int64)[texts.offset : texts.offset + n + 1]
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     known = texts.is_valid().to_numpy(zero_copy_only=False)
-    short = [wanted[_TWO:_ONE].any(), wanted[_ONE:_NONE].any()]
+    used = [n for n in (6, 3, 2, 1) if wanted[_BASE[n] : _BASE[{6: 3, 3: 2, 2: 1, 1: 0}[n]]].any()]
     at = 0
     while at < n:
         to = min(n, max(at + 1, int(np.searchsorted(off, off[at] + _CHUNK, "right")) - 1))
-        b, starts = raw[off[at] : off[to]].astype(np.int64), off[at : to + 1] - off[at]
+        b, starts = raw[off[at] : off[to]].astype(np.uint64), off[at : to + 1] - off[at]
         rows, codes = [], []
-        for size, base, use in ((3, 0, True), (2, _TWO, short[0]), (1, _ONE, short[1])):
-            if use and len(b) >= size:
-                code = sum(b[i : len(b) - size + 1 + i] << (8 * (size - 1 - i)) for i in range(size)) + base
+        for size in used:
+            if len(b) >= size:
+                code = _codes(b, size)
                 hit = np.flatnonzero(wanted[code])
                 row = np.searchsorted(starts, hit, "right") - 1
                 inside = hit + size <= starts[row + 1]
                 rows.append(row[inside])
                 codes.append(code[hit[inside]])
-        if wanted[_NONE]:
+        if wanted[_BASE[0]]:
             rows.append(np.flatnonzero(known[at:to]))
-            codes.append(np.full(len(rows[-1]), _NONE))
+            codes.append(np.full(len(rows[-1]), _BASE[0]))
         if rows:
             both = np.unique(np.concatenate(rows) * _ALL + np.concatenate(codes))
             yield at + both // _ALL, both % _ALL
@@ -79,15 +88,15 @@ def with_rarest(needles: DataFrame, texts: DataFrame, needle: str = "needle", te
     each = written(needles.mapInArrow(split, schema), "grams-needles")
     codes = each.select(F.explode("codes").alias("code")).distinct()
     # a number for each of at most 2**24 grams
-    wanted = spark.sparkContext.broadcast(codes.toArrow()["code"].to_numpy())
+    wanted = spark.sparkContext.broadcast(np.sort(codes.toArrow()["code"].to_numpy()))
 
     def counted(batches):
-        flags, n = _flags(wanted.value), np.zeros(_ALL, np.int64)
+        flags, n = _flags(wanted.value), np.zeros(len(wanted.value), np.int64)
         for batch in batches:
             for _, code in _found(batch.column(0), flags):
-                n += np.bincount(code, minlength=_ALL)
+                n += np.bincount(np.searchsorted(wanted.value, code), minlength=len(n))
         at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["code", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(wanted.value[at].astype(np.int32)), pa.array(n[at])], ["code", "n"])
 
     counts = texts.select(text).mapInArrow(counted, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
     keys = [c for c in needles.columns if c != needle]
