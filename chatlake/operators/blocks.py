@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from ..sources.shared import ready, written
 
@@ -71,9 +73,9 @@ def meet_groups(large: DataFrame, small: DataFrame, run: Callable[[list[pa.Table
     """What `run` gives for each group of blocks of `large` with each block of `small`, so that what is known after one
     block of the group serves at the next.
 
-    The packed blocks are written, as their number says how many groups there are."""
+    The packed blocks are written, as their numbers say how many groups and bundles there are."""
     spark = ready(large.sparkSession)
-    a, b = written(_packed(large, rows, size), "large-blocks"), _packed(small, small_rows, size)
+    a, b = written(_packed(large, rows, size), "large-blocks"), written(_packed(small, small_rows, size), "small-blocks")
     n = a.count()
     groups = max(-(-n // GROUP_BLOCKS), min(n, 2 * spark.sparkContext.defaultParallelism), 1)
     bundles = max(1, -(-b.count() // SMALL_BLOCKS))
@@ -81,7 +83,7 @@ def meet_groups(large: DataFrame, small: DataFrame, run: Callable[[list[pa.Table
     dealt = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
     a = a.select("rows", dealt(groups).alias("part"), each(bundles).alias("bundle"))
     b = b.select("rows", dealt(bundles).alias("bundle"), each(groups).alias("part"))
-    empty = spark.createDataFrame([], schema).toArrow().schema
+    empty = to_arrow_schema(_parse_datatype_string(schema))
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
