@@ -34,7 +34,7 @@ from .session import forget, ready, table, written
 
 LEAST, OFTEN, TIMES, TYPO = 6, 5, 5, 199
 #: Words of a partition at most, and code points of a word that goes through a machine.
-PART, LONG = 2_000, 64
+PART, LONG = 500, 64
 #: Prefixes that are sent to all executors at most.
 MOST_SENT = 100_000
 #: Rows of counts that a task holds before it hands them on.
