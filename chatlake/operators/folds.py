@@ -85,15 +85,21 @@ def reaction_summary(steps: Column) -> Column:
     return F.aggregate(steps, F.struct(zero.alias("total"), zero.alias("low"), zero.alias("adds")).cast(kind), step)
 
 
-def merged_counts(parts: Column) -> Column:
-    """Struct (n, adds): the counter after the summaries `parts`, in order."""
+def merged_summary(parts: Column) -> Column:
+    """The summary of what the summaries `parts`, in order, do one after another."""
     kind = "struct<total:bigint,low:bigint,adds:bigint>"
 
     def step(acc, s):
         return F.struct((acc["total"] + s["total"]).alias("total"), F.least(acc["low"], acc["total"] + s["low"]).alias("low"), (acc["adds"] + s["adds"]).alias("adds")).cast(kind)
 
     zero = F.lit(0)
-    return F.aggregate(parts, F.struct(zero.alias("total"), zero.alias("low"), zero.alias("adds")).cast(kind), step, lambda a: F.struct((a["total"] - a["low"]).alias("n"), a["adds"].alias("adds")))
+    return F.aggregate(parts, F.struct(zero.alias("total"), zero.alias("low"), zero.alias("adds")).cast(kind), step)
+
+
+def merged_counts(parts: Column) -> Column:
+    """Struct (n, adds): the counter, from 0, after the summaries `parts`, in order."""
+    s = merged_summary(parts)
+    return F.struct((s["total"] - s["low"]).alias("n"), s["adds"].alias("adds"))
 
 
 def thread_columns() -> list[Column]:

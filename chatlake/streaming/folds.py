@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.folds import edit_columns, merged_counts, reaction_summary, thread_columns
+from ..operators.folds import edit_columns, merged_counts, merged_summary, reaction_summary, thread_columns
 from .ingest import KEEP, exists, good
 
 
@@ -43,10 +43,22 @@ def reaction_segments(events: DataFrame) -> DataFrame:
     return steps.select("key", "name", F.col("w.start").alias("since"), reaction_summary(F.col("steps")).alias("s")).select("key", "name", "since", "s.*")
 
 
+def _in_order(segments: DataFrame) -> DataFrame:
+    rows = latest(segments, "key", "name", "since")
+    return rows.groupBy("key", "name").agg(F.sort_array(F.collect_list(F.struct("since", "total", "low", "adds"))).alias("parts"))
+
+
 def reaction_counts(segments: DataFrame) -> DataFrame:
     """(key, name, n, adds): the counts after all segments in their order. segments: written rows of reaction_segments()."""
-    parts = latest(segments, "key", "name", "since").groupBy("key", "name").agg(F.sort_array(F.collect_list(F.struct("since", "total", "low", "adds"))).alias("parts"))
-    return parts.select("key", "name", merged_counts(F.col("parts")).alias("x")).select("key", "name", "x.*")
+    return _in_order(segments).select("key", "name", merged_counts(F.col("parts")).alias("x")).select("key", "name", "x.*")
+
+
+def compacted(segments: DataFrame, before: Column) -> DataFrame:
+    """The rows to keep in place of `segments`: those since `before`, and one row for all earlier ones of a counter, which
+    no event can change once they are KEEP behind the newest. So what readers merge does not grow with time."""
+    earlier = _in_order(segments.where(F.col("since") < before))
+    base = earlier.select("key", "name", F.col("parts")[0]["since"].alias("since"), merged_summary(F.col("parts")).alias("s")).select("key", "name", "since", "s.*", F.lit(0).alias("batch_id"))
+    return base.unionByName(segments.where(F.col("since") >= before).select(base.columns))
 
 
 def edited(events: DataFrame) -> DataFrame:

@@ -37,6 +37,10 @@ def test_reactions(spark, tmp_path, seed):
         n, adds = want.get((key, name), (0, 0))
         want[key, name] = (max(0, n + delta), adds + (delta > 0))
     assert {(r.key, r.name): (r.n, r.adds) for r in folds.reaction_counts(kept).collect()} == want
+    for hours in (0, 30, 61, 200):
+        less = folds.compacted(kept, F.lit(START + dt.timedelta(hours=hours)))
+        assert {(r.key, r.name): (r.n, r.adds) for r in folds.reaction_counts(less).collect()} == want
+        assert less.where(F.col("since") < F.lit(START + dt.timedelta(hours=hours))).groupBy("key", "name").count().where("count > 1").count() == 0
 
 
 def test_edits(spark, tmp_path):
