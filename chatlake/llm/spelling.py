@@ -34,7 +34,9 @@ from .session import forget, ready, table, written
 
 LEAST, OFTEN, TIMES, TYPO = 6, 5, 5, 199
 #: Words of a partition at most, and code points of a word that goes through a machine.
-PART, LONG = 500, 64
+PART, LONG = 2_000, 64
+#: Words that a task composes, about: the work is large for its bytes, by which Spark would deal it to few tasks.
+TASK_WORDS = 10_000
 #: Prefixes that are sent to all executors at most.
 MOST_SENT = 100_000
 #: Rows of counts that a task holds before it hands them on.
@@ -234,7 +236,7 @@ def _depth(words: DataFrame, form: Column, part: int) -> DataFrame:
     return words.join(deepest, "word", "left").withColumn("depth", F.coalesce("hot", F.lit(0)) + 1).drop("hot")
 
 
-def _by_machine(words: DataFrame) -> DataFrame:
+def _by_machine(words: DataFrame, tasks: int) -> DataFrame:
     """(word, n, near, near_n) of pairs whose edit comes after the prefix by which words are dealt, `depth` code points,
     with less than `after` code points after it. words: word, n, depth, after (null: any number)."""
     dealt = words.where(F.col("depth") <= F.length("word"))
@@ -247,7 +249,7 @@ def _by_machine(words: DataFrame) -> DataFrame:
         left, right = ([prefix + p[k] for p in pairs] for k in (0, 1))
         return pa.table([pa.array(left, pa.string()), pa.array([of[x] for x, _ in pairs], pa.int64()), pa.array(right, pa.string()), pa.array([of[y] for _, y in pairs], pa.int64())], ["word", "n", "near", "near_n"])
 
-    return dealt.groupBy("prefix").applyInArrow(run, "word string, n long, near string, near_n long")
+    return dealt.repartition(tasks, "prefix").groupBy("prefix").applyInArrow(run, "word string, n long, near string, near_n long")
 
 
 def _without_each(word: str, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
@@ -297,7 +299,9 @@ def _by_place(words: DataFrame) -> DataFrame:
 def near_words(words: DataFrame, part: int = PART) -> DataFrame:
     """(word, n, near, near_n): every pair of words one edit apart, in both directions. words: word, n."""
     short = words.where(F.length("word") <= LONG)
-    if words.count() > part:
+    n = words.count()
+    tasks = max(1, -(-n // TASK_WORDS))
+    if n > part:
         ahead = _depth(short, F.col("word"), part).select("word", F.col("depth").alias("ahead"))
         behind = _depth(short, F.reverse("word"), part).select("word", F.col("depth").alias("behind"))
         deep = written(words.join(ahead, "word", "left").join(behind, "word", "left"), "spelling-depths")
@@ -305,9 +309,9 @@ def near_words(words: DataFrame, part: int = PART) -> DataFrame:
         deep = words.withColumns({"ahead": F.lit(1), "behind": F.lit(1)})
     deep = deep.withColumns({"ahead": F.coalesce("ahead", F.lit(0)), "behind": F.coalesce("behind", F.lit(0))})
     machine = deep.where(F.length("word") <= LONG)
-    front = _by_machine(machine.select("word", "n", F.col("ahead").alias("depth"), F.lit(None).cast("int").alias("after")))
+    front = _by_machine(machine.select("word", "n", F.col("ahead").alias("depth"), F.lit(None).cast("int").alias("after")), tasks)
     # reversed words, for the edits inside the prefixes only
-    back = _by_machine(machine.select(F.reverse("word").alias("word"), "n", F.col("behind").alias("depth"), F.col("ahead").alias("after")))
+    back = _by_machine(machine.select(F.reverse("word").alias("word"), "n", F.col("behind").alias("depth"), F.col("ahead").alias("after")), tasks)
     back = back.select(F.reverse("word").alias("word"), "n", F.reverse("near").alias("near"), "near_n")
     once = front.unionByName(back).unionByName(_by_place(deep))
     turned = once.select(F.explode(F.array(F.struct("word", "n", "near", "near_n"), F.struct(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n")))).alias("x")).select("x.*")
