@@ -16,7 +16,7 @@ from chatlake.llm.session import forget, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    model = toxicity.fit_all(docs, table(spark, sf_dir, "labels"))
     return toxicity.keep_clean(docs, model)
 
 
