@@ -34,3 +34,10 @@ def test_co_occurrences(spark, block_pairs):
 def test_capital_words(spark):
     text = "Kafka xAb éCafe A Ab Abé AB_C 9Ab AB1 Ünder IBM's ABé1 A9"
     assert [x["text"] for x in spark.range(1).select(ft.entities(F.lit(text)).alias("e")).first().e if x["type"] == "technical"] == ["Kafka", "Ab", "AB1", "IBM", "A9"]
+
+
+def test_blocks_get_no_names_before_their_own(spark):
+    """A block is sent the names after its first own one only, and nothing for the last name of a message."""
+    df = spark.createDataFrame([("m", "C1", dt.datetime(2024, 1, 1), [f"n{i:02}" for i in range(30)])], "message_id string, channel_id string, ts timestamp, names array<string>")
+    rows = graph._routed(df, 10**6, {}).collect()
+    assert len(rows) == 29 and all(r.mine[0] == 0 for r in rows) and sum(len(r.names) for r in rows) == sum(range(2, 31))
