@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from chatlake.operators import grams
 from chatlake.operators import blocks, search
 
 START = dt.datetime(2024, 1, 1)
@@ -66,3 +67,10 @@ def test_grams(spark):
     assert got == want and len(want) > 500
     plan = grams.holding(t, q)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan
+
+
+def test_grams_are_counted_as_they_stand(spark):
+    """A needle's gram is the one that stands least often in all texts, counted without sorting."""
+    texts = spark.createDataFrame([("abcdefabcdefabcdefabcdef xbcdefg",), ("xbcdefg",), ("bcdefg",)], "hay string")
+    got = grams.with_rarest(spark.createDataFrame([(1, "abcdefg")], "query_id long, needle string"), texts).collect()
+    assert [r.code for r in got] == grams.codes_of("bcdefg")
