@@ -216,6 +216,7 @@ def _prefix_pairs(texts: DataFrame, members: DataFrame, percent: int, spent: lis
             yield pa.RecordBatch.from_arrays([pa.array(tx.signed(h[take])), part.column(0).take(at), part.column(1).take(at), part.column(2).take(at), pa.array(n[doc[take]].astype(np.int64)), pa.array((np.arange(len(h)) - first[doc])[take].astype(np.int32))], ["token", "rep", "comp", "own", "n", "at"])
 
     tokens = written(rows.mapInArrow(prefixes, "token long, rep long, comp long, own long, n long, at int").where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")), "minhash-prefixes")
+    shared.destroy()
     spent += [rows, tokens]
     mixed = tokens.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
     tokens = tokens.join(mixed, "token", "left_semi")

@@ -393,19 +393,22 @@ def _passed(dealt: DataFrame, model: Model, rate: float) -> Model:
                 at = np.frombuffer(rows.as_py(), np.int32) - first
                 sums[at] += np.frombuffer(moves.as_py(), np.float32).reshape(-1, DIM)
                 n[at] += 1
-            out = (sums / np.maximum(n, 1)[:, None]).ravel()
+            whole = np.zeros((each, DIM), np.float32)
+            old = shared.value.embedding[first : first + each]
+            whole[: len(old)] = old + (sums / np.maximum(n, 1)[:, None])[: len(old)]
+            out = whole.ravel()
         return pa.table([pa.array([piece], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["piece", "move"])
 
     moves = dealt.mapInArrow(run, "piece int, part int, docs long, rows binary, moves binary")
-    got = {r.piece: np.frombuffer(r.move) for r in moves.groupBy("piece").applyInArrow(mean, "piece int, move binary").collect()}  # the size of a model
+    got = {r.piece: np.frombuffer(r.move, np.float64 if r.piece == PIECES else np.float32) for r in moves.groupBy("piece").applyInArrow(mean, "piece int, move binary").collect()}  # the size of a model
     whole = np.concatenate([got[p] for p in range(PIECES)]).reshape(-1, DIM)[: BUCKETS + 1]
     others, at, params = got[PIECES], 0, []
     for p in _params(model)[1:]:
         params.append((p + others[at : at + p.size].reshape(p.shape)).astype(np.float32))
         at += p.size
     n = len(model.filters)
-    shared.unpersist()
-    return dataclasses.replace(model, embedding=(model.embedding + whole).astype(np.float32), filters=params[:n], shifts=params[n], weights=params[n + 1], bias=float(params[n + 2][0]))
+    shared.destroy()  # its copy in the driver's memory as well
+    return dataclasses.replace(model, embedding=whole, filters=params[:n], shifts=params[n], weights=params[n + 1], bias=float(params[n + 2][0]))
 
 
 def _judged(tune: DataFrame, model: Model) -> tuple[float, list]:
@@ -426,7 +429,7 @@ def _judged(tune: DataFrame, model: Model) -> tuple[float, list]:
                 yield pa.RecordBatch.from_arrays([pa.array(_guess(_byte_counts(part, at), m.byte_logs).astype(np.int32)), pa.array(where), pa.array(y.astype(np.int32)), pa.array(loss)], ["lang", "bin", "y", "loss"])
 
     rows = tune.mapInArrow(run, "lang int, bin int, y int, loss long").groupBy("lang", "bin", "y").agg(F.count(F.lit(1)).alias("n"), F.sum("loss").alias("loss")).collect()
-    shared.unpersist()
+    shared.destroy()  # its copy in the driver's memory as well
     return sum(r.loss for r in rows) / max(1, sum(r.n for r in rows)), rows
 
 
