@@ -200,3 +200,17 @@ def test_file_scan(spark, tmp_path):
     every = spark.createDataFrame([(x,) for x in got] + [("old.md",)], "file_id string")
     assert files.scan(spark, str(tmp_path), every, F.lit("2024-01-01").cast("timestamp")).count() == 0
     assert str(got["x.py"].expires_at) == "2024-01-31 00:00:00"
+
+
+def test_file_scan_lists_in_few_tasks(spark, tmp_path):
+    for i in range(60):
+        (tmp_path / f"d{i}").mkdir()
+        (tmp_path / f"d{i}" / f"{i}.txt").write_text(str(i))
+    before = spark.conf.get(files._LISTING)
+    spark.sparkContext.setJobGroup("listing", "")
+    found = files.scan(spark, str(tmp_path), spark.createDataFrame([("7.txt",)], "file_id string"), F.lit("2024-01-01").cast("timestamp"))
+    tracker = spark.sparkContext.statusTracker()
+    tasks = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds if tracker.getStageInfo(s)]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert tasks and max(tasks) <= files.TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    assert {r.extracted_text for r in found.collect()} == {str(i) for i in range(60)} - {"7"} and spark.conf.get(files._LISTING) == before
