@@ -38,6 +38,8 @@ TURNS = 3
 #: Counters of the sketch that orders shingles in the last round.
 SLOT_BITS = 20
 SLOTS = 1 << SLOT_BITS
+#: Of which so many go to the driver as one value.
+SLOT_PIECE = 1 << 14
 _SET_SEED = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -200,10 +202,19 @@ def _prefix_pairs(texts: DataFrame, members: DataFrame, percent: int, spent: lis
         for a in range(0, len(used), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(used[a : a + (1 << 16)]), pa.array(total[used[a : a + (1 << 16)]])], ["slot", "n"])
 
-    got = rows.mapInArrow(counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    sketch = np.zeros(SLOTS, np.int64)
-    sketch[got["slot"].to_numpy()] = got["n"].to_numpy()
-    shared = rows.sparkSession.sparkContext.broadcast(np.minimum(sketch, 0xFFFFFFFF).astype(np.uint32))
+    def piece(key, table):
+        out = np.zeros(SLOT_PIECE, np.uint32)
+        out[table["slot"].to_numpy() % SLOT_PIECE] = np.minimum(table["n"].to_numpy(), 0xFFFFFFFF)
+        return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([out.tobytes()], pa.binary())], ["piece", "counts"])
+
+    counts = rows.mapInArrow(counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    # the driver gets 4 bytes for each counter, not a row
+    got = counts.groupBy(F.floor(F.col("slot") / SLOT_PIECE).alias("piece")).applyInArrow(piece, "piece long, counts binary").collect()
+    sketch = np.zeros(SLOTS, np.uint32)
+    for r in got:
+        sketch[r.piece * SLOT_PIECE : (r.piece + 1) * SLOT_PIECE] = np.frombuffer(r.counts, np.uint32)
+    shared = rows.sparkSession.sparkContext.broadcast(sketch)
+    del got, sketch
 
     def prefixes(batches):
         for part, h, doc in _unpacked_sets(batches):
@@ -217,6 +228,7 @@ def _prefix_pairs(texts: DataFrame, members: DataFrame, percent: int, spent: lis
 
     tokens = written(rows.mapInArrow(prefixes, "token long, rep long, comp long, own long, n long, at int").where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")), "minhash-prefixes")
     shared.destroy()
+    tx.trim()
     spent += [rows, tokens]
     mixed = tokens.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
     tokens = tokens.join(mixed, "token", "left_semi")

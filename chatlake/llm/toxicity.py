@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import dataclasses
 import math
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -248,7 +249,8 @@ def _byte_counts_in_chunks(data, off):
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id") -> Model | None:
-    """Train on a bounded sample of the rows of docs (all may be used) that have a label."""
+    """Train on a bounded sample of the rows of docs (all may be used) that have a label, in a task."""
+    ready(docs.sparkSession)
     marks = _marks(labels, label_col, id_col)
     # documents are taken in the order of a hash of their ids, so that the sample is spread over all of the corpus
     drawn = [marks.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(most) for y, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
@@ -264,14 +266,20 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
                 chosen.append((r.id, y, r.t.bytes, r.t.h))
     wanted = docs.sparkSession.createDataFrame(chosen, f"id {docs.schema[id_col].dataType.simpleString()}, y int, bytes int, h long")
     rows = source.join(F.broadcast(wanted), "id").where((F.octet_length("text") == F.col("bytes")) & (F.xxhash64("text") == F.col("h"))).groupBy("id", "y").agg(F.min(F.struct("text", "lang")).alias("x"))
-    got = rows.select("id", "y", "x.text", "x.lang").toArrow().sort_by("id")
-    y = got["y"].to_numpy().astype(np.int64)
-    if len(y) == 0 or y.min() == y.max():
-        return None
-    model = train(got["text"].combine_chunks(), y, got["lang"].to_pylist())
-    del got
-    tx.trim()
-    return model
+
+    def trained(batches):
+        if not (held := list(batches)):
+            return
+        got = pa.Table.from_batches(held).sort_by("id")
+        y = got["y"].to_numpy().astype(np.int64)
+        if len(y) and y.min() != y.max():
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(got["text"].combine_chunks(), y, got["lang"].to_pylist()))])], ["model"])
+        del got, held
+        tx.trim()
+
+    # the driver gets the model alone, neither the texts nor what training takes
+    models = rows.select("id", "y", "x.text", "x.lang").repartition(1).mapInArrow(trained, "model binary").collect()
+    return pickle.loads(models[0].model) if models else None
 
 
 def _marks(labels: DataFrame, label_col: str, id_col: str) -> DataFrame:

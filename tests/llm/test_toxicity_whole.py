@@ -1,9 +1,11 @@
 """op6 learns from all labelled rows, also where its bounded start does not hold them."""
 
+import os
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from test_operators import noise
 
 from chatlake.llm import toxicity
@@ -39,3 +41,23 @@ def test_binned_thresholds():
     rows = [Row(int(b), label, int(((at == b) & (y == label)).sum())) for b in np.unique(at) for label in (0, 1)]
     f1 = lambda t: 2 * y[z >= t].sum() / ((z >= t).sum() + y.sum())
     assert abs(f1(toxicity._binned_thresholds(rows, 1)[0]) - f1(toxicity._threshold(z, y, 0.0))) < 0.003
+
+
+def test_driver_trains_nothing(spark, monkeypatch):
+    """The start's training runs in a task: the driver gets neither the texts nor the arrays of it, and the model is the same."""
+    rng = random.Random(6)
+    rows = [(i, f"{noise(rng, 12)} {'vile' if i % 3 == 0 else 'kind'} {noise(rng, 5)}", "en") for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(150)], "doc_id long, toxic int")
+    want = toxicity.train(pa.array([t for _, t, _ in rows]), np.array([int(i % 3 == 0) for i in range(150)]), ["en"] * 150)
+
+    driver, real = os.getpid(), toxicity.train
+
+    def elsewhere(*x):
+        assert os.getpid() != driver, "trained in the driver"
+        return real(*x)
+
+    monkeypatch.setattr(toxicity, "train", elsewhere)
+    got = toxicity.fit(docs, labels)
+    assert np.allclose(got.embedding, want.embedding, atol=1e-5) and np.allclose(got.weights, want.weights, atol=1e-5) and np.allclose(got.thresholds, want.thresholds, atol=1e-4)
+    assert toxicity.fit(docs, labels.where("toxic = 0")) is None and toxicity.fit(docs.limit(0), labels) is None
