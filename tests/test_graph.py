@@ -4,6 +4,7 @@ import datetime as dt
 import random
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,3 +42,40 @@ def test_blocks_get_no_names_before_their_own(spark):
     df = spark.createDataFrame([("m", "C1", dt.datetime(2024, 1, 1), [f"n{i:02}" for i in range(30)])], "message_id string, channel_id string, ts timestamp, names array<string>")
     rows = graph._routed(df, 10**6, {}).collect()
     assert len(rows) == 29 and all(r.mine[0] == 0 for r in rows) and sum(len(r.names) for r in rows) == sum(range(2, 31))
+
+
+def test_a_frequent_name_leads_no_pairs(spark):
+    """Of two names the rarer one leads, so that a name of all messages, first in the order of names or not, is no block's burden."""
+    rows = [(f"m{i}", "C1", dt.datetime(2024, 1, 1), sorted(["a", f"n{i}", f"n{i + 1}"])) for i in range(200)]
+    df = spark.createDataFrame(rows, "message_id string, channel_id string, ts timestamp, names array<string>")
+    ranked = graph._ranked(df, graph.entity_counts(df))
+    assert graph.entity_counts(ranked).where("entity = 'a'").first().pairs == 0
+    sent = graph._routed(ranked, 64, {})
+    assert sent.select(F.explode("names")).count() == 200 * (3 + 2) - sum(1 for r in sent.collect() if len(r.mine) == 2) * 2
+
+
+def test_block_in_steps():
+    """A block's pairs are the same, however many are laid out at a time; a name's many pairs may be added up in several steps."""
+    rng = random.Random(1)
+    names = [f"n{i}" for i in range(12)] + ["é", ""]
+    found = [rng.sample(names, rng.randint(0, 8)) for _ in range(300)]
+    stamps = [dt.datetime(2024, 1, 1) + dt.timedelta(minutes=rng.randint(0, 99)) for _ in found]
+    table = pa.table({"names": pa.array(found, pa.list_(pa.string())), "channel_id": [rng.choice(["C1", "C2", None]) for _ in found], "ts": pa.array(stamps, pa.timestamp("us", "UTC"))})
+    parcels = []
+    for part in (table.slice(0, 100), table.slice(100)):
+        for _, lists in graph._parcels(part, 1, set()):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, graph._ROWS) as to:
+                to.write_batch(pa.RecordBatch.from_arrays(lists, schema=graph._ROWS))
+            parcels.append(sink.getvalue())
+    want = {}
+    for step in (10**6, 300, 7, 1):
+        got = {}
+        for batch in graph._summed(parcels, step):
+            for r in batch.to_pylist():
+                assert r["entity_1"] < r["entity_2"]
+                x = got.setdefault((r["entity_1"], r["entity_2"]), [0, r["channels"], r["first_ts"], r["last_ts"]])
+                x[0], x[1], x[2], x[3] = x[0] + r["n"], max(x[1], r["channels"]), min(x[2], r["first_ts"]), max(x[3], r["last_ts"])
+        want = want or got
+        assert got == want
+    assert sum(x[0] for x in want.values()) == sum(len(f) * (len(f) - 1) // 2 for f in found)

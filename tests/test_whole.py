@@ -35,6 +35,29 @@ def test_graph_has_all_turns_kinds_and_documents(spark, tiny):
     assert len(edges) == 6 + 1 + 3 and edges["abc-12", "redis"] == (1, 1.0)
 
 
+def test_edges_meet_no_table_of_names_again(spark, tiny):
+    """What a block has added up is the result: it isn't joined, sorted or added up once more."""
+    d = tiny(conversations=([(1, t, "user", "Aa Bb Cc Dd") for t in range(9)], CONVERSATIONS), documents=([], DOCUMENTS))
+    plan = catalog.QUERIES["kg_edges"](spark, d)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and plan.count("Exchange") == 1
+
+
+def test_rows_of_one_message_are_one(spark, tiny):
+    """As in the SQL: a repeated row counts once, and texts of one message pair with one another."""
+    rows = [(1, 1, "user", "Aa Bb"), (1, 1, "user", "Bb Cc Aa"), (1, 2, "user", "Cc Dd"), (2, 1, "user", "Dd Aa")]
+    edges = lambda d: {(r.entity_1, r.entity_2): (r.co_occurrence_count, r.channels, r.confidence) for r in catalog.QUERIES["kg_edges"](spark, d).collect()}
+    d = tiny(conversations=(rows, CONVERSATIONS), documents=([], DOCUMENTS))
+    con = duckdb.connect()
+    con.execute("set timezone='UTC'")
+    for t in ("conversations", "documents"):
+        con.execute(f"create view {t} as select * from read_parquet('{d}/{t}.parquet/*.parquet')")
+    got = edges(d)
+    assert got == {(r[0], r[1]): (r[2], r[3], r[6]) for r in con.execute(catalog.ORACLES["kg_edges"]).fetchall()}
+    assert got["aa", "bb"] == (1, 1, 1.0) and got["aa", "cc"][0] == 1
+    # a row without a key is no message
+    assert ("ee", "ff") not in edges(tiny(conversations=([*rows, (None, 1, "user", "Ee Ff")], CONVERSATIONS), documents=([], DOCUMENTS)))
+
+
 def test_related_keeps_all_partners(spark, tiny):
     words = ["Aa", "Bb", "Cc", "Dd", "Ee", "Ff", "Gg"]
     d = tiny(conversations=([(1, 1, "user", " ".join(words))], CONVERSATIONS), documents=([], DOCUMENTS))
