@@ -71,7 +71,7 @@ def test_block_in_steps():
     want = {}
     for step in (10**6, 300, 7, 1):
         got = {}
-        for batch in graph._summed(parcels, step):
+        for batch in graph._summed(list(parcels), step):
             for r in batch.to_pylist():
                 assert r["entity_1"] < r["entity_2"]
                 x = got.setdefault((r["entity_1"], r["entity_2"]), [0, r["channels"], r["first_ts"], r["last_ts"]])
